@@ -1 +1,10 @@
 """DuckDB statements that state each query a second, independent time."""
+
+from __future__ import annotations
+
+from oracles.build import with_tables
+from oracles.views import VIEWS
+
+
+def statements() -> dict[str, str]:
+    return {name: with_tables(body) for name, body in VIEWS.items()}
