@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from oracles.build import with_tables
+from oracles.commands import COMMANDS
+from oracles.rules import RULES
 from oracles.views import VIEWS
 
 
 def statements() -> dict[str, str]:
-    return {name: with_tables(body) for name, body in VIEWS.items()}
+    return {name: with_tables(body) for name, body in {**VIEWS, **COMMANDS, **RULES}.items()}

@@ -12,11 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stocklens import requests
 from stocklens.functions import metrics
-from stocklens.operators import alerts
+from stocklens.functions.columns import day
+from stocklens.operators import alerts, commands, deletes, guards, rules, utilization
+from stocklens.operators.ingest import ingest_batch
 from stocklens.operators.utilization import with_utilization
 from stocklens.plans import alert_reports, stock, suppliers, workforce
+from stocklens.session import run_folder
+from stocklens.sources import sinks
 from stocklens.sources.star_mapping import star_tables
+from stocklens.sources.tables import read_tables, write_tables
+from stocklens.streaming import alerts as alert_stream
+from stocklens.streaming import utilization as space_stream
 
 Tables = Mapping[str, DataFrame]
 
@@ -53,6 +61,151 @@ def _sell_through_report(t: Tables) -> DataFrame:
     return metrics.sell_through_report(t, named.union(past).distinct())
 
 
+def _complete_inbound(t: Tables) -> DataFrame:
+    t = with_utilization(t)
+    return commands.complete_inbound(t, requests.receive_open_orders(t), AS_OF).results
+
+
+def _complete_outbound(t: Tables) -> DataFrame:
+    return commands.complete_outbound(t, requests.ship_open_orders(t), AS_OF).results
+
+
+def _split(t: Tables) -> DataFrame:
+    """The log rows of splitting every lot: new lots, what they came from, and quantities."""
+    t = with_utilization(t)
+    outcome = commands.split_inventory(t, requests.split_every_lot(t), AS_OF)
+    return outcome.added["inventory_adjustments"]
+
+
+def _write_off(t: Tables) -> DataFrame:
+    outcome = commands.write_off_lots(t, requests.drop_expired_lots(t, AS_OF), AS_OF)
+    return outcome.added["inventory_adjustments"]
+
+
+def _create_inbound(t: Tables) -> DataFrame:
+    outcome = commands.create_inbound_orders(t, requests.repeat_cancelled_inbound(t), AS_OF)
+    return outcome.added["inbound_orders"]
+
+
+def _create_outbound(t: Tables) -> DataFrame:
+    outcome = commands.create_outbound_orders(t, requests.repeat_cancelled_outbound(t), AS_OF)
+    return outcome.added["outbound_orders"]
+
+
+def _employee_status(t: Tables) -> DataFrame:
+    return commands.update_employee_status(t, requests.status_after_each_adjustment(t)).results
+
+
+def _ingest(t: Tables) -> DataFrame:
+    stored, batch = requests.redelivered_inbound(t)
+    done = ingest_batch(stored, "inbound_orders", batch, AS_OF)
+    accepted = done.accepted.select("inbound_id", "status", F.lit("").alias("violations"))
+    return accepted.unionByName(
+        done.rejected.select("inbound_id", "status", F.concat_ws(",", "violations").alias("violations"))
+    )
+
+
+def _capacity_guard(t: Tables) -> DataFrame:
+    """All lots put away again, in id order, into empty locations."""
+    return guards.capacity_guard(t, t["inventory"]).select("inventory_id", "rejection")
+
+
+def _on_insert(t: Tables) -> DataFrame:
+    """Held lots are the new ones; untouched locations keep their stored 0."""
+    return _space(utilization.utilization_on_insert(t, t["inventory"].filter("inventory_status = 'hold'")))
+
+
+def _on_update(t: Tables) -> DataFrame:
+    """Lots on hold were all moved to the first location of their warehouse."""
+    before = t["inventory"]
+    held = F.col("inventory_status") == "hold"
+    place = F.when(held, "Z-01").otherwise(F.col("storage_location"))
+    after = before.withColumn("storage_location", place)
+    now = {**t, "inventory": after}
+    return _space(utilization.utilization_on_update(now, before.filter(held), after.filter(held)))
+
+
+def _on_delete(t: Tables) -> DataFrame:
+    """Expired lots were removed."""
+    expired = F.col("expiry_date") < day(AS_OF)
+    now = {**t, "inventory": t["inventory"].filter(~expired)}
+    return _space(utilization.utilization_on_delete(now, t["inventory"].filter(expired)))
+
+
+def _space(locations: DataFrame) -> DataFrame:
+    return locations.select("warehouse_id", "location", "utilization")
+
+
+def _foreign_keys(t: Tables) -> DataFrame:
+    made = {
+        f"{rule.direction}_delay_alerts": alerts.delay_alerts(t[rule.orders], rule, AS_OF)
+        for rule in alerts.RULES.values()
+    }
+    return rules.audit_foreign_keys({**t, **made})
+
+
+def _retired(t: Tables) -> dict[str, DataFrame]:
+    return {
+        "warehouses": t["warehouses"].filter("status = 'inactive'").select("warehouse_id"),
+        "suppliers": t["suppliers"].filter("status = 'inactive'").select("supplier_id"),
+        "products": t["products"].filter("status = 'discontinued'").select("product_id"),
+    }
+
+
+def _cascade_delete(t: Tables) -> DataFrame:
+    """Rows kept per table after inactive warehouses, suppliers and discontinued products go."""
+    kept = deletes.cascade_delete(dict(t), _retired(t))
+    parts = [df.agg(F.count("*").alias("rows_kept")).withColumn("table_name", F.lit(n)) for n, df in kept.items()]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _null_on_delete(t: Tables) -> DataFrame:
+    """References left after inactive warehouses and terminated staff go."""
+    gone = {
+        "warehouses": t["warehouses"].filter("status = 'inactive'"),
+        "employees": t["employees"].filter("employment_status = 'terminated'"),
+    }
+    kept = deletes.null_on_delete({n: t[n] for n in ("employees", "outbound_orders")}, gone)
+    staff = kept["employees"].select(
+        F.lit("employees").alias("table_name"),
+        F.col("employee_id").cast("bigint").alias("row_id"),
+        F.col("warehouse_id").alias("first_reference"),
+        F.lit(None).cast("int").alias("second_reference"),
+    )
+    orders = kept["outbound_orders"].select(
+        F.lit("outbound_orders").alias("table_name"),
+        F.col("outbound_id").alias("row_id"),
+        F.col("picker").alias("first_reference"),
+        F.col("packer").alias("second_reference"),
+    )
+    return staff.unionByName(orders)
+
+
+def _restrict_delete(t: Tables) -> DataFrame:
+    """Staff who are not active any more but cannot be removed."""
+    gone = t["employees"].filter("employment_status <> 'active'")
+    return deletes.restrict_delete(dict(t), {"employees": gone})["employees"]
+
+
+def _rename_location(t: Tables) -> DataFrame:
+    """Lots after the locations of inactive warehouses got new names."""
+    closed = t["warehouses"].filter("status = 'inactive'").select("warehouse_id")
+    renames = (
+        t["locations"]
+        .join(closed, "warehouse_id", "left_semi")
+        .select("warehouse_id", "location", F.concat(F.lit("closed-"), "location").alias("new_location"))
+    )
+    lots = deletes.cascade_rename_location(dict(t), renames)["inventory"]
+    return lots.select("inventory_id", "warehouse_id", "storage_location")
+
+
+def _careless(audit: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    return lambda t: audit(requests.careless_tables(t))
+
+
 ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "list_warehouses": stock.list_warehouses,
     "warehouse_utilization": lambda t: stock.warehouse_utilization(with_utilization(t)),
@@ -88,6 +241,134 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "inbound_delay_alerts": lambda t: alerts.inbound_delay_alerts(t, AS_OF),
     "outbound_delay_alerts": lambda t: alerts.outbound_delay_alerts(t, AS_OF),
     "sweep_delay_alerts": lambda t: alerts.sweep_delay_alerts(t, AS_OF),
+    "recalculate_utilization": lambda t: utilization.recalculate_utilization(t),
+    "utilization_on_insert": _on_insert,
+    "utilization_on_update": _on_update,
+    "utilization_on_delete": _on_delete,
+    "capacity_guard": _capacity_guard,
+    "inbound_operator_guard": lambda t: guards.inbound_operator_guard(t, t["inbound_orders"]).select(
+        "inbound_id", "operator", "warehouse_id", "rejection"
+    ),
+    "outbound_operator_guard": lambda t: guards.outbound_operator_guard(
+        t, t["outbound_orders"]
+    ).select("outbound_id", "picker", "packer", "warehouse_id", "rejection"),
+    "split_inventory": _split,
+    "write_off_lot": _write_off,
+    "create_inbound_order": _create_inbound,
+    "complete_inbound": _complete_inbound,
+    "create_outbound_order": _create_outbound,
+    "complete_outbound": _complete_outbound,
+    "update_employee_status": _employee_status,
+    "ingest_batch": _ingest,
+    "audit_primary_keys": _careless(rules.audit_primary_keys),
+    "audit_unique": _careless(rules.audit_unique),
+    "audit_not_null": _careless(rules.audit_not_null),
+    "audit_enums": _careless(rules.audit_enums),
+    "audit_checks": lambda t: rules.audit_checks(requests.careless_tables(with_utilization(t))),
+    "audit_lengths": _careless(rules.audit_lengths),
+    "audit_foreign_keys": _foreign_keys,
+    "cascade_delete": _cascade_delete,
+    "null_on_delete": _null_on_delete,
+    "restrict_delete": _restrict_delete,
+    "cascade_rename_location": _rename_location,
+}
+
+
+def _read_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Land the mapped tables and read them back by their declared schemas: rows and key sums."""
+    landed = run_folder(spark, "tables")
+    write_tables(dict(star_tables(spark, folder)), landed)
+    parts = []
+    for name, df in read_tables(spark, landed).items():
+        number = df.columns[0]
+        parts.append(
+            df.agg(
+                F.count("*").alias("row_count"),
+                F.sum(F.col(number).cast("decimal(38,0)")).cast("double").alias("id_sum"),
+            ).withColumn("table_name", F.lit(name))
+        )
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _write_monthly_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The month written twice, next to another month, and read back."""
+    tables, target = star_tables(spark, folder), run_folder(spark, "report")
+    for month in (MONTH, "1998-04", MONTH):
+        report = suppliers.supplier_monthly_report(tables, month, AS_OF)
+        sinks.write_monthly_report(report, target, month)
+    return sinks.read_monthly_report(spark, target).filter(F.col("report_month") == MONTH)
+
+
+def _write_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of the day before, replaced by those of the day, read back."""
+    tables, target = star_tables(spark, folder), run_folder(spark, "alerts")
+    for as_of in ("2001-07-31 00:00:00", AS_OF):
+        sinks.write_alerts(alerts.sweep_delay_alerts(tables, as_of), target)
+    return sinks.read_alerts(spark, target)
+
+
+def _publish_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots of the latest published run, after the open orders were shipped from them."""
+    tables, target = star_tables(spark, folder), run_folder(spark, "snapshots")
+    names = ["inventory", "outbound_orders"]
+    sinks.publish_snapshot({n: tables[n] for n in names}, target, "before", "2001-07-31 00:00:00")
+    before = {**tables, **sinks.read_snapshot(spark, target, names)}
+    after = commands.complete_outbound(before, requests.ship_open_orders(before), AS_OF).tables
+    sinks.publish_snapshot({n: after[n] for n in names}, target, "after", AS_OF)
+    lots = sinks.read_snapshot(spark, target, names)["inventory"]
+    return lots.select("inventory_id", "total_quantity", "locked_quantity", "available_quantity", "last_updated")
+
+
+def _stream_delay_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """A feed that opens every order and then brings it to its real state."""
+    tables, root = star_tables(spark, folder), run_folder(spark, "alert-stream")
+    found = []
+    for rule in alerts.RULES.values():
+        orders, feed = tables[rule.orders], f"{root}/{rule.direction}/changes"
+        opened = orders.withColumn("status", F.lit("pending")).withColumn("change_seq", F.lit(1).cast("bigint"))
+        opened.write.mode("append").parquet(feed)
+        orders.withColumn("change_seq", F.lit(2).cast("bigint")).write.mode("append").parquet(feed)
+        target = f"{root}/{rule.direction}/alerts"
+        alert_stream.stream_delay_alerts(
+            spark, rule.direction, feed, target, f"{root}/{rule.direction}/state", AS_OF
+        )
+        current = alert_stream.current_alerts(spark, rule.direction, target)
+        found.append(
+            current.withColumnRenamed(rule.order_id, "order_id").withColumn("direction", F.lit(rule.direction))
+        )
+    return found[0].unionByName(found[1])
+
+
+def _stream_location_utilization(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots arrive, ship what is available, and held ones are removed."""
+    tables, root = star_tables(spark, folder), run_folder(spark, "space-stream")
+    lots, side = tables["inventory"], space_stream.lot_side()
+    nothing = F.lit(None).cast(space_stream.LOT_CHANGES["before"].dataType)
+    shipped = lots.withColumn("before", side).withColumn("total_quantity", F.col("locked_quantity"))
+    held = F.col("inventory_status") == "hold"
+    changes = [
+        lots.select("inventory_id", nothing.alias("before"), side.alias("after")),
+        shipped.select("inventory_id", "before", side.alias("after")),
+        shipped.filter(held).select("inventory_id", side.alias("before"), nothing.alias("after")),
+    ]
+    for change in changes:
+        change.write.mode("append").parquet(f"{root}/changes")
+    space_stream.stream_location_utilization(
+        spark, tables["products"], f"{root}/changes", f"{root}/totals", f"{root}/state"
+    )
+    return space_stream.current_utilization(spark, tables["locations"], f"{root}/totals")
+
+
+WITH_STORAGE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "read_tables": _read_tables,
+    "write_monthly_report": _write_monthly_report,
+    "write_alerts": _write_alerts,
+    "publish_snapshot": _publish_snapshot,
+    "stream_delay_alerts": _stream_delay_alerts,
+    "stream_location_utilization": _stream_location_utilization,
 }
 
 
@@ -100,4 +381,10 @@ def _bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(query) for name, query in ON_TABLES.items()}
+    def stored(query):
+        return lambda spark, folder: portable(query(spark, folder))
+
+    return {
+        **{name: _bind(query) for name, query in ON_TABLES.items()},
+        **{name: stored(query) for name, query in WITH_STORAGE.items()},
+    }

@@ -115,3 +115,20 @@ def previous_value(ranged: DataFrame, key: str, order: str, value: str, name: st
         .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inner")))
         .drop("_inner", "_first", "_carried")
     )
+
+
+def position_in_ranges(ranged: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """Dense positions (1, 2, …) over a subset of a table from :func:`in_ranges`.
+
+    Rows keep their range, so a filtered subset is numbered without sorting the table again.
+    """
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row per range, see with_position
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return (
+        ranged.join(F.broadcast(offsets), "_range")
+        .withColumn(name, F.col("_before") + place)
+        .drop("_before")
+    )
