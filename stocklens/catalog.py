@@ -6,6 +6,7 @@ timestamps as text.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,14 +122,14 @@ def _on_update(t: Tables) -> DataFrame:
     held = F.col("inventory_status") == "hold"
     place = F.when(held, "Z-01").otherwise(F.col("storage_location"))
     after = before.withColumn("storage_location", place)
-    now = {**t, "inventory": after}
+    now = ChainMap({"inventory": after}, t)
     return _space(utilization.utilization_on_update(now, before.filter(held), after.filter(held)))
 
 
 def _on_delete(t: Tables) -> DataFrame:
     """Expired lots were removed."""
     expired = F.col("expiry_date") < day(AS_OF)
-    now = {**t, "inventory": t["inventory"].filter(~expired)}
+    now = ChainMap({"inventory": t["inventory"].filter(~expired)}, t)
     return _space(utilization.utilization_on_delete(now, t["inventory"].filter(expired)))
 
 
@@ -141,7 +142,7 @@ def _foreign_keys(t: Tables) -> DataFrame:
         f"{rule.direction}_delay_alerts": alerts.delay_alerts(t[rule.orders], rule, AS_OF)
         for rule in alerts.RULES.values()
     }
-    return rules.audit_foreign_keys({**t, **made})
+    return rules.audit_foreign_keys(ChainMap(made, t))
 
 
 def _retired(t: Tables) -> dict[str, DataFrame]:
@@ -154,7 +155,7 @@ def _retired(t: Tables) -> dict[str, DataFrame]:
 
 def _cascade_delete(t: Tables) -> DataFrame:
     """Rows kept per table after inactive warehouses, suppliers and discontinued products go."""
-    kept = deletes.cascade_delete(dict(t), _retired(t))
+    kept = deletes.cascade_delete(t, _retired(t))
     parts = [df.agg(F.count("*").alias("rows_kept")).withColumn("table_name", F.lit(n)) for n, df in kept.items()]
     result = parts[0]
     for part in parts[1:]:
@@ -187,7 +188,7 @@ def _null_on_delete(t: Tables) -> DataFrame:
 def _restrict_delete(t: Tables) -> DataFrame:
     """Staff who are not active any more but cannot be removed."""
     gone = t["employees"].filter("employment_status <> 'active'")
-    return deletes.restrict_delete(dict(t), {"employees": gone})["employees"]
+    return deletes.restrict_delete(t, {"employees": gone})["employees"]
 
 
 def _rename_location(t: Tables) -> DataFrame:
@@ -198,7 +199,7 @@ def _rename_location(t: Tables) -> DataFrame:
         .join(closed, "warehouse_id", "left_semi")
         .select("warehouse_id", "location", F.concat(F.lit("closed-"), "location").alias("new_location"))
     )
-    lots = deletes.cascade_rename_location(dict(t), renames)["inventory"]
+    lots = deletes.cascade_rename_location(t, renames)["inventory"]
     return lots.select("inventory_id", "warehouse_id", "storage_location")
 
 
@@ -315,7 +316,7 @@ def _publish_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     tables, target = star_tables(spark, folder), run_folder(spark, "snapshots")
     names = ["inventory", "outbound_orders"]
     sinks.publish_snapshot({n: tables[n] for n in names}, target, "before", "2001-07-31 00:00:00")
-    before = {**tables, **sinks.read_snapshot(spark, target, names)}
+    before = ChainMap(sinks.read_snapshot(spark, target, names), tables)
     after = commands.complete_outbound(before, requests.ship_open_orders(before), AS_OF).tables
     sinks.publish_snapshot({n: after[n] for n in names}, target, "after", AS_OF)
     lots = sinks.read_snapshot(spark, target, names)["inventory"]

@@ -13,9 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocklens.session import ensure_checkpoint_dir
+from stocklens.session import landed
 
 _BUCKETS = 4096
+_MAX_RANGES = 256
+_QUANTILE_ACCURACY = 2_500
+ROWS_PER_RANGE = 200_000
+#: Marks a table that is one range as a whole, where plain windows do.
+_SINGLE = {"single": True}
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row within its partition in 33 bits
 
 
@@ -39,35 +44,66 @@ def frequent_keys(
     return [r[0] for r in found.select(key).collect()]
 
 
-def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Spread ``df`` in ``order`` and add ``_range`` (rising with the order) and ``_row``.
+def in_ranges(df: DataFrame, order: str, rows_per_range: int | None = None) -> DataFrame:
+    """Land ``df`` and add ``_range``: ranges that rise with ``order`` and hold about equal rows.
 
-    ``_row`` counts from 0 within a range.  The result is checkpointed, so every later use sees
-    the same ranges even when an executor is lost.
+    The bounds come from one pass over the landed ``order`` column and are constants of the plan,
+    so a row gets the same range however often a task is repeated.  No row moves.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    spread = (
+    df = landed(df)
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
+    shares = [i / _MAX_RANGES for i in range(1, _MAX_RANGES)]
+    rows, quantiles = df.agg(
+        F.count("*"), F.percentile_approx(order, shares, F.lit(_QUANTILE_ACCURACY))
+    ).first()
+    wanted = min(_MAX_RANGES, -(-rows // rows_per_range))
+    if wanted <= 1:
+        return df.withColumn("_range", F.lit(0)).withMetadata("_range", _SINGLE)
+    step = _MAX_RANGES / wanted
+    bounds = sorted({quantiles[round(i * step) - 1] for i in range(1, wanted)})
+    below = F.filter(F.lit(bounds), lambda bound: bound < F.col(order))
+    return df.withColumn("_range", F.size(below))
+
+
+def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Add the dense position (1, 2, …) of each row in ``order`` over the whole table."""
+    placed = landed(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_range", F.shiftright("_at", _ROW_BITS))
-        .withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .drop("_at")
     )
-    return spread.checkpoint()
+    split = placed.withColumn("_range", F.shiftright("_at", _ROW_BITS)).withColumn(
+        "_row", F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    )
+    return (
+        split.join(_rows_before(split), "_range")
+        .withColumn(name, F.col("_before") + F.col("_row") + 1)
+        .drop("_at", "_range", "_row", "_before")
+    )
 
 
-def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
-    """Add the dense position (1, 2, …) of each row in ``order`` over the whole table."""
-    ranged = in_ranges(df, order)
-    # one row per range: the unpartitioned window sees as many rows as there are partitions
+def _single_range(ranged: DataFrame) -> bool:
+    return bool(ranged.schema["_range"].metadata.get("single"))
+
+
+def _rows_before(ranged: DataFrame) -> DataFrame:
+    """Per range how many rows the ranges before it hold; one record per range, so broadcast."""
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # the only unpartitioned window: it sees one row per range
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return F.broadcast(sizes.select("_range", offset.alias("_before")))
+
+
+def position_in_ranges(ranged: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """Dense positions (1, 2, …) over a subset of a table from :func:`in_ranges`."""
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    if _single_range(ranged):
+        return ranged.withColumn(name, place)
     return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_before") + F.col("_row") + 1)
-        .drop("_range", "_row", "_before")
+        ranged.join(_rows_before(ranged), "_range")
+        .withColumn(name, F.col("_before") + place)
+        .drop("_before")
     )
 
 
@@ -80,6 +116,11 @@ def running_sums(
     first; the running total over ranges then works on one record per (key, range).
     """
     keys = list(keys)
+    if _single_range(ranged):
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return ranged.withColumns(
+            {n: F.coalesce(F.sum(expr).over(before), F.lit(0)) for n, expr in sums.items()}
+        )
     inner = Window.partitionBy(*keys, "_range").orderBy(order)
     inner = inner.rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,6 +144,8 @@ def running_sums(
 
 def previous_value(ranged: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
     """Per key, ``value`` of the row just before in ``order`` (NULL for the first)."""
+    if _single_range(ranged):
+        return ranged.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(order)))
     inner = Window.partitionBy(key, "_range").orderBy(order)
     outer = Window.partitionBy(key).orderBy("_range")
     last = ranged.groupBy(key, "_range").agg(F.max_by(value, order).alias("_last"))
@@ -115,20 +158,3 @@ def previous_value(ranged: DataFrame, key: str, order: str, value: str, name: st
         .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inner")))
         .drop("_inner", "_first", "_carried")
     )
-
-
-def position_in_ranges(ranged: DataFrame, order: str, name: str = "position") -> DataFrame:
-    """Dense positions (1, 2, …) over a subset of a table from :func:`in_ranges`.
-
-    Rows keep their range, so a filtered subset is numbered without sorting the table again.
-    """
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # one row per range, see with_position
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_before") + place)
-        .drop("_before")
-    )

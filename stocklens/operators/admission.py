@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.functions.scale import running_sums
-from stocklens.session import ensure_checkpoint_dir
+from stocklens.session import landed
 
 #: Amounts and rooms are whole numbers; volumes are counted in ten-thousandths.
 VOLUME_UNIT = 10_000
@@ -33,7 +33,6 @@ def admit(demands: DataFrame, sequential_rows: int = 50_000, least_progress: flo
     back), ``room`` (left at the start; NULL means unlimited) and ``_range`` from ``in_ranges``;
     one row per request and resource.
     """
-    ensure_checkpoint_dir(demands.sparkSession)
     working = demands.select(
         "request_id",
         "resource",
@@ -45,11 +44,12 @@ def admit(demands: DataFrame, sequential_rows: int = 50_000, least_progress: flo
     verdicts: list[DataFrame] = []
     open_before = None
     while True:
-        judged = _judge(working).checkpoint()
+        judged = landed(_judge(working))
         verdicts.append(_verdicts(judged))
         left = judged.filter(F.col("accepted").isNull())
-        # one row per range with undecided requests, at most the number of partitions
-        per_range = {r["_range"]: r["n"] for r in left.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+        # one row per range with undecided requests
+        counts = left.groupBy("_range").agg(F.count("*").alias("n")).collect()
+        per_range = {r["_range"]: r["n"] for r in counts}
         open_now = sum(per_range.values())
         if open_now == 0:
             break
@@ -59,8 +59,8 @@ def admit(demands: DataFrame, sequential_rows: int = 50_000, least_progress: flo
             break
         if open_before is not None and open_now > open_before * least_progress:
             first = min(per_range)
-            settled = _settled(left.unionByName(newly)).checkpoint()
-            decided = _sequential(settled.filter(F.col("_range") == first)).checkpoint()
+            settled = landed(_settled(left.unionByName(newly)))
+            decided = landed(_sequential(settled.filter(F.col("_range") == first)))
             verdicts.append(decided)
             working = (
                 settled.drop("accepted")

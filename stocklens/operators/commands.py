@@ -8,6 +8,7 @@ row per request.  Requests take effect in ``request_id`` order, each entirely or
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -25,6 +26,7 @@ from stocklens.operators.guards import (
     place_of,
     space_units,
 )
+from stocklens.session import landed
 from stocklens.sources import schemas
 
 Tables = Mapping[str, DataFrame]
@@ -36,7 +38,7 @@ ORDER_CLOSED = "order is already closed"
 
 @dataclass(frozen=True)
 class Outcome:
-    tables: dict[str, DataFrame]
+    tables: Tables
     results: DataFrame
     added: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -76,12 +78,11 @@ def _judged(ranged: DataFrame, demands: DataFrame, refusal: str) -> DataFrame:
     """``ranged`` requests with ``accepted`` and the final ``reason``."""
     verdicts = admit(demands).withColumnRenamed("accepted", "_verdict")
     refused = F.col("reason").isNull() & ~F.coalesce("_verdict", F.lit(True))
-    return (
+    return landed(
         ranged.join(verdicts, "request_id", "left")
         .withColumn("reason", F.when(refused, F.lit(refusal)).otherwise(F.col("reason")))
         .withColumn("accepted", F.col("reason").isNull())
         .drop("_verdict")
-        .checkpoint()
     )
 
 
@@ -155,7 +156,7 @@ def split_inventory(
             ),
         )
     )
-    ranged = in_ranges(enriched, ["request_id"])
+    ranged = in_ranges(enriched, "request_id")
     valid = ranged.filter(F.col("reason").isNull())
     space = space_units(F.col("volume") * F.col("quantity"))
     sized = F.col("volume").isNotNull()
@@ -271,11 +272,13 @@ def split_inventory(
         ids.select("request_id", F.col("new_id").alias("new_inventory_id")), "request_id", "left"
     )
     return Outcome(
-        {
-            **tables,
-            "inventory": remaining.unionByName(new_lots),
-            "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
-        },
+        ChainMap(
+            {
+                "inventory": remaining.unionByName(new_lots),
+                "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
+            },
+            tables,
+        ),
         results,
         {"inventory": new_lots, "inventory_adjustments": new_log},
     )
@@ -302,7 +305,7 @@ def write_off_lots(tables: Tables, requests: DataFrame, as_of: When) -> Outcome:
         )
         .withColumn("accepted", F.col("reason").isNull())
     )
-    ranged = in_ranges(enriched, ["request_id"])
+    ranged = in_ranges(enriched, "request_id")
     accepted = ranged.filter("accepted")
     first = accepted.groupBy("inventory_id").agg(F.min("request_id").alias("_first"))
     before = F.when(F.col("request_id") == F.col("_first"), F.col("total_quantity")).otherwise(0)
@@ -328,11 +331,13 @@ def write_off_lots(tables: Tables, requests: DataFrame, as_of: When) -> Outcome:
     for name in ("total_quantity", "locked_quantity", "available_quantity"):
         state = state.withColumn(name, F.when(F.col("_gone"), 0).otherwise(F.col(name)))
     return Outcome(
-        {
-            **tables,
-            "inventory": state.select(*lots.columns),
-            "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
-        },
+        ChainMap(
+            {
+                "inventory": state.select(*lots.columns),
+                "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
+            },
+            tables,
+        ),
         ranged.select("request_id", "inventory_id", "accepted", "reason"),
         {"inventory_adjustments": new_log},
     )
@@ -346,7 +351,7 @@ def _create_orders(
     judged = guarded.withColumn("reason", F.coalesce(invalid, F.col("rejection"))).withColumn(
         "accepted", F.col("reason").isNull()
     )
-    ranged = in_ranges(judged, ["request_id"])
+    ranged = in_ranges(judged, "request_id")
     numbered = position_in_ranges(ranged.filter("accepted"), "request_id").withColumn(
         key, _last_id(tables[table.name], key) + F.col("position")
     )
@@ -355,7 +360,7 @@ def _create_orders(
         numbered.select("request_id", key), "request_id", "left"
     )
     return Outcome(
-        {**tables, table.name: append(tables, table.name, rows)}, results, {table.name: rows}
+        ChainMap({table.name: append(tables, table.name, rows)}, tables), results, {table.name: rows}
     )
 
 
@@ -441,7 +446,7 @@ def complete_inbound(tables: Tables, requests: DataFrame, as_of: When, strict: b
         .join(places, ["warehouse_id", "location"], "left")
         .withColumn("reason", first_reason(*problems))
     )
-    ranged = in_ranges(enriched, ["request_id"])
+    ranged = in_ranges(enriched, "request_id")
     demands = ranged.filter(F.col("reason").isNull() & F.col("location").isNotNull()).select(
         "request_id",
         place_of("warehouse_id", "location").alias("resource"),
@@ -487,7 +492,9 @@ def complete_inbound(tables: Tables, requests: DataFrame, as_of: When, strict: b
         numbered.select("request_id", F.col("new_id").alias("new_inventory_id")), "request_id", "left"
     )
     return Outcome(
-        {**tables, "inbound_orders": state, "inventory": append(tables, "inventory", new_lots)},
+        ChainMap(
+            {"inbound_orders": state, "inventory": append(tables, "inventory", new_lots)}, tables
+        ),
         results,
         {"inventory": new_lots},
     )
@@ -531,7 +538,7 @@ def complete_outbound(tables: Tables, requests: DataFrame, as_of: When, strict:
         .join(lot, "inventory_id", "left")
         .withColumn("reason", first_reason(*problems))
     )
-    ranged = in_ranges(enriched, ["request_id"])
+    ranged = in_ranges(enriched, "request_id")
     demands = ranged.filter(F.col("reason").isNull()).select(
         "request_id",
         F.concat(F.lit("lot/"), F.col("inventory_id")).alias("resource"),
@@ -558,11 +565,13 @@ def complete_outbound(tables: Tables, requests: DataFrame, as_of: When, strict:
     )
     taken = accepted.groupBy("inventory_id").agg(F.sum("quantity").alias("_taken"))
     return Outcome(
-        {
-            **tables,
-            "outbound_orders": state,
-            "inventory": _take_from_lots(lots, taken, stamp(as_of)),
-        },
+        ChainMap(
+            {
+                "outbound_orders": state,
+                "inventory": _take_from_lots(lots, taken, stamp(as_of)),
+            },
+            tables,
+        ),
         judged.select("request_id", "outbound_id", "inventory_id", "accepted", "reason"),
     )
 
@@ -583,7 +592,7 @@ def update_employee_status(tables: Tables, requests: DataFrame, as_of: When | No
             (~valid, "unknown status"),
         ),
     ).withColumn("accepted", F.col("reason").isNull())
-    ranged = in_ranges(enriched, ["request_id"])
+    ranged = in_ranges(enriched, "request_id")
     changes = previous_value(
         ranged.filter("accepted"), "employee_id", "request_id", "new_status", "_previous"
     )
@@ -611,4 +620,4 @@ def update_employee_status(tables: Tables, requests: DataFrame, as_of: When | No
         .withColumn("employment_status", F.coalesce("_status", "employment_status"))
         .select(*staff.columns)
     )
-    return Outcome({**tables, "employees": state}, results)
+    return Outcome(ChainMap({"employees": state}, tables), results)

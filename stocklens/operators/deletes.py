@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping
 from functools import reduce
 
@@ -100,7 +101,7 @@ def delete_rows(
     return null_on_delete(_without(tables, gone), gone), refused
 
 
-def cascade_rename_location(tables: Tables, renames: DataFrame) -> dict[str, DataFrame]:
+def cascade_rename_location(tables: Tables, renames: DataFrame) -> Tables:
     """Rename locations, on the locations and on their lots.
 
     ``renames``: warehouse_id, location, new_location.
@@ -117,4 +118,4 @@ def cascade_rename_location(tables: Tables, renames: DataFrame) -> dict[str, Dat
         .withColumn("storage_location", F.coalesce("new_location", "storage_location"))
         .select(*lots.columns)
     )
-    return {**tables, "locations": moved, "inventory": relabelled}
+    return ChainMap({"locations": moved, "inventory": relabelled}, tables)

@@ -47,7 +47,7 @@ def capacity_guard(tables: Tables, new_lots: DataFrame, order: str = "inventory_
         )
         .withColumn("_space", space_units(F.col("volume") * F.col("total_quantity")))
     )
-    ranged = in_ranges(sized, ["request_id"])
+    ranged = in_ranges(sized, "request_id")
     known = F.col("volume").isNotNull() & F.col("total_quantity").isNotNull()
     demands = ranged.filter(F.col("storage_location").isNotNull()).select(
         "request_id",

@@ -19,7 +19,7 @@ from stocklens.operators.guards import (
     place_of,
     space_units,
 )
-from stocklens.operators.rules import orphans, reference_rule, violations
+from stocklens.operators.rules import violations, with_orphan_rules
 from stocklens.sources import schemas
 
 Tables = Mapping[str, DataFrame]
@@ -66,7 +66,7 @@ def ingest_batch(
     for columns in _single_use(table):
         taken = tables[name].select(*columns).distinct().withColumn(_flag(columns), F.lit(True))
         rows = rows.join(taken, list(columns), "left")
-    ranged = in_ranges(rows.withColumn("request_id", F.col("row_order").cast("bigint")), ["request_id"])
+    ranged = in_ranges(rows.withColumn("request_id", F.col("row_order").cast("bigint")), "request_id")
     verdicts = admit(_demands(table, ranged.filter(F.size("violations") == 0)))
     refused = F.lit(f"key_or_unique_value_taken{'_or_no_space' if name == 'inventory' else ''}")
     judged = ranged.join(verdicts, "request_id", "left").withColumn(
@@ -101,22 +101,16 @@ def _guarded(tables: Tables, name: str, rows: DataFrame) -> DataFrame:
 
 def _with_orphans(tables: Tables, table: schemas.Table, rows: DataFrame) -> DataFrame:
     """Add the name of each broken reference; lots may refer to lots of the same batch."""
+    parents = dict(tables)
     for reference in table.references:
-        parents = tables[reference.parent].select(*reference.parent_columns)
         if reference.parent == table.name:
-            parents = parents.union(rows.select(*reference.parent_columns)).distinct()
-        lost = orphans(rows, reference, parents).select("row_order", F.lit(True).alias("_lost"))
-        rows = (
-            rows.join(lost, "row_order", "left")
-            .withColumn(
-                "violations",
-                F.when(
-                    F.col("_lost"), F.concat("violations", F.array(F.lit(reference_rule(reference))))
-                ).otherwise(F.col("violations")),
-            )
-            .drop("_lost")
-        )
-    return rows
+            keys = reference.parent_columns
+            parents[table.name] = tables[table.name].select(*keys).union(rows.select(*keys))
+    return (
+        with_orphan_rules(rows, table, parents)
+        .withColumn("violations", F.concat("violations", "broken_references"))
+        .drop("broken_references")
+    )
 
 
 def _with_space(tables: Tables, rows: DataFrame) -> DataFrame:

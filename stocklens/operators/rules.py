@@ -151,13 +151,24 @@ def audit_unique(tables: Tables) -> DataFrame:
     return _all(parts)
 
 
-def orphans(df: DataFrame, reference: Reference, parents: DataFrame) -> DataFrame:
-    """Rows whose complete reference names no parent; an incomplete reference passes."""
-    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in reference.columns])
-    keys = parents.select(
-        *[F.col(p).alias(c) for c, p in zip(reference.columns, reference.parent_columns, strict=True)]
-    )
-    return df.filter(complete).join(keys, list(reference.columns), "left_anti")
+def with_orphan_rules(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> DataFrame:
+    """``df`` plus ``broken_references``: names of complete references that find no parent.
+
+    All references of a row are looked up in one pass over the table; an incomplete reference
+    passes.  Parent keys are made distinct first, so a repeated parent does not repeat rows.
+    """
+    marks = []
+    for number, reference in enumerate(table.references):
+        if reference.parent not in parents:
+            continue
+        pairs = zip(reference.columns, reference.parent_columns, strict=True)
+        keys = parents[reference.parent].select(*[F.col(p).alias(c) for c, p in pairs]).distinct()
+        found = f"_parent_{number}"
+        df = df.join(keys.withColumn(found, F.lit(True)), list(reference.columns), "left")
+        complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in reference.columns])
+        marks.append((found, F.when(complete & F.col(found).isNull(), reference_rule(reference))))
+    noted = F.array_compact(F.array(*[mark for _, mark in marks])).cast("array<string>")
+    return df.withColumn("broken_references", noted).drop(*[found for found, _ in marks])
 
 
 def reference_rule(reference: Reference) -> str:
@@ -166,15 +177,16 @@ def reference_rule(reference: Reference) -> str:
 
 def audit_foreign_keys(tables: Tables) -> DataFrame:
     """Orphans of every reference of the base tables and, when given, the alert tables."""
-    declared = {**TABLES, **ALERT_TABLES}
-    parts = [
-        orphans(df, reference, tables[reference.parent]).select(
-            F.lit(name).alias("table_name"),
-            key_text(declared[name]).alias("row_key"),
-            F.lit(reference_rule(reference)).alias("rule"),
-        )
-        for name, df in _present(tables, declared)
-        for reference in declared[name].references
-        if reference.parent in tables
-    ]
+    parts = []
+    for name, df in _present(tables, {**TABLES, **ALERT_TABLES}):
+        table = {**TABLES, **ALERT_TABLES}[name]
+        used = dict.fromkeys([*table.key, *[c for r in table.references for c in r.columns]])
+        if any(r.parent in tables for r in table.references):
+            parts.append(
+                with_orphan_rules(df.select(*used), table, tables).select(
+                    F.lit(name).alias("table_name"),
+                    key_text(table).alias("row_key"),
+                    F.explode("broken_references").alias("rule"),
+                )
+            )
     return _all(parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -35,9 +36,9 @@ def recalculate_utilization(tables: Tables) -> DataFrame:
     return _replace(tables["locations"], location_utilization(tables))
 
 
-def with_utilization(tables: Tables) -> dict[str, DataFrame]:
+def with_utilization(tables: Tables) -> Tables:
     """The same tables with freshly computed ``locations.utilization``."""
-    return {**tables, "locations": recalculate_utilization(tables)}
+    return ChainMap({"locations": recalculate_utilization(tables)}, tables)
 
 
 def touched_locations(*lots: DataFrame) -> DataFrame:
@@ -51,8 +52,12 @@ def touched_locations(*lots: DataFrame) -> DataFrame:
 
 def refresh_utilization(tables: Tables, touched: DataFrame) -> DataFrame:
     """``locations`` with only the ``touched`` keys recomputed from the current lots."""
-    fresh = location_utilization({**tables, "locations": tables["locations"].join(touched, _KEY, "left_semi"),
-                                  "inventory": _lots_in(tables["inventory"], touched)})
+    narrowed = {
+        "locations": tables["locations"].join(touched, _KEY, "left_semi"),
+        "inventory": _lots_in(tables["inventory"], touched),
+        "products": tables["products"],
+    }
+    fresh = location_utilization(narrowed)
     return _replace(tables["locations"], fresh)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -115,10 +116,10 @@ def status_after_each_adjustment(t: Tables) -> DataFrame:
     )
 
 
-def redelivered_inbound(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
+def redelivered_inbound(t: Tables) -> tuple[Tables, DataFrame]:
     """Completed orders as stored, and all orders delivered again as a careless batch."""
     orders = t["inbound_orders"]
-    stored = {**t, "inbound_orders": orders.filter(F.col("status") == "completed")}
+    stored = ChainMap({"inbound_orders": orders.filter(F.col("status") == "completed")}, t)
     batch = (
         orders.withColumn("row_order", F.col("inbound_id"))
         .withColumn("inbound_type", F.when(F.col("status") != "cancelled", F.col("inbound_type")))
@@ -127,7 +128,7 @@ def redelivered_inbound(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
     return stored, batch
 
 
-def careless_tables(t: Tables) -> dict[str, DataFrame]:
+def careless_tables(t: Tables) -> Tables:
     """The tables with typical entry mistakes, for the audits."""
     department, status = F.col("department"), F.col("employment_status")
     staff = (
@@ -165,10 +166,12 @@ def careless_tables(t: Tables) -> dict[str, DataFrame]:
             F.col("after_quantity")
         ),
     )
-    return {
-        **t,
-        "employees": staff,
-        "outbound_orders": orders,
-        "inventory": lots,
-        "inventory_adjustments": log,
-    }
+    return ChainMap(
+        {
+            "employees": staff,
+            "outbound_orders": orders,
+            "inventory": lots,
+            "inventory_adjustments": log,
+        },
+        t,
+    )

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "stocklens", **conf: str) -> SparkSession:
@@ -52,7 +52,12 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_folder(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def landed(df: DataFrame, purpose: str = "step") -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    Cuts the lineage for good: later stages read columns of files, an executor lost meanwhile costs
+    nothing that was written, and the planner knows the size.
+    """
+    path = run_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,33 @@ from pyspark.sql import functions as F
 
 from stocklens.functions.columns import day, stamp
 from stocklens.functions.scale import frequent_keys, with_position
-from stocklens.session import ensure_checkpoint_dir
+from stocklens.session import landed
+
+#: Columns of the star-schema files; stated so that reading needs no look into the files.
+_FILES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+}
 
 _EPOCH = "1995-01-01 00:00:00"
 _LAST_DAY = "2001-07-31 00:00:00"
@@ -65,7 +91,7 @@ class StarTables(Mapping[str, DataFrame]):
         return len(self._makers)
 
     def _read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._spark.read.schema(_FILES[name]).parquet(f"{self._folder}/{name}.parquet")
 
     def _rows_in(self, name: str) -> Column:
         return self._read(name).agg(F.count("*")).scalar()
@@ -363,11 +389,10 @@ def _number_hot_lines(joined: DataFrame) -> DataFrame:
     """The same numbering for orders too large for one task.
 
     Lines are placed in one global order; the number within an order is the distance to the
-    order's first line.  The tie-break keeps equal lines spread as well; it is checkpointed so
-    that a lost executor cannot change it.
+    order's first line.  The tie-break keeps equal lines spread as well; it is landed so that
+    a lost executor cannot change it.
     """
-    ensure_checkpoint_dir(joined.sparkSession)
-    tied = joined.withColumn("_tie", F.monotonically_increasing_id()).checkpoint()
+    tied = landed(joined.withColumn("_tie", F.monotonically_increasing_id()))
     placed = with_position(tied, ["l_orderkey", *_LINE_ORDER, "_tie"], "_position")
     # at most as many records as there are hot orders, which frequent_keys bounds
     first = placed.groupBy("l_orderkey").agg(F.min("_position").alias("_first"))

@@ -34,7 +34,11 @@ def lot_side(present: Column | None = None) -> Column:
 
 
 def space_changes(changes: DataFrame, products: DataFrame) -> DataFrame:
-    """Signed volume per location: what left the old place and what came to the new one."""
+    """Signed volume per location: what left the old places and what came to the new ones.
+
+    Units are summed per (location, product) before the join, so however often one product moves,
+    it is one record per location there.
+    """
     sides = F.array(
         F.struct(F.col("before").alias("lot"), F.lit(-1).alias("sign")),
         F.struct(F.col("after").alias("lot"), F.lit(1).alias("sign")),
@@ -42,16 +46,16 @@ def space_changes(changes: DataFrame, products: DataFrame) -> DataFrame:
     moves = changes.select(F.explode(sides).alias("side")).filter(
         F.col("side.lot.storage_location").isNotNull()
     )
-    return (
+    units = (
         moves.select("side.lot.*", "side.sign")
+        .groupBy("warehouse_id", F.col("storage_location").alias("location"), "product_id")
+        .agg(F.sum(F.col("sign") * F.col("total_quantity")).alias("units"))
+    )
+    return (
+        units.filter("units <> 0")
         .join(products.select("product_id", "volume"), "product_id")
-        .select(
-            "warehouse_id",
-            F.col("storage_location").alias("location"),
-            (F.col("sign") * F.col("volume") * F.col("total_quantity"))
-            .cast("decimal(28,4)")
-            .alias("space"),
-        )
+        .groupBy("warehouse_id", "location")
+        .agg(F.sum(F.col("volume") * F.col("units")).cast("decimal(28,4)").alias("space"))
     )
 
 
@@ -63,28 +67,23 @@ def stream_location_utilization(
     state: str,
     files_per_batch: int = 1000,
 ) -> None:
-    """Follow the change files in ``changes``; each batch writes the new totals it touched."""
+    """Follow the change files in ``changes``; each batch adds one record per touched location."""
     feed = (
         spark.readStream.schema(LOT_CHANGES)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(changes)
     )
-    running = (
-        space_changes(feed, products)
-        .groupBy("warehouse_id", "location")
-        .agg(F.sum("space").alias("utilization"))
-    )
-    run_available(running, per_batch(lambda b: b, totals), state, "update")
+    run_available(feed, per_batch(lambda b: space_changes(b, products), totals), state, "append")
 
 
 def current_utilization(spark: SparkSession, locations: DataFrame, totals: str) -> DataFrame:
-    """The latest total of every location, 0 where no lot ever was."""
+    """Used space of every location after all batches, 0 where no lot ever was."""
     written = spark.read.option("basePath", totals).parquet(totals)
-    latest = written.groupBy("warehouse_id", "location").agg(
-        F.max_by("utilization", "batch").alias("utilization")
-    )
+    used = written.groupBy("warehouse_id", "location").agg(F.sum("space").alias("utilization"))
     return (
         locations.select("warehouse_id", "location")
-        .join(latest, ["warehouse_id", "location"], "left")
-        .withColumn("utilization", F.coalesce("utilization", F.lit(0).cast("decimal(28,4)")))
+        .join(used, ["warehouse_id", "location"], "left")
+        .withColumn(
+            "utilization", F.coalesce("utilization", F.lit(0)).cast("decimal(28,4)")
+        )
     )

@@ -7,18 +7,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stocklens.functions.scale import in_ranges, previous_value, running_sums, with_position
+from stocklens.functions.scale import (
+    in_ranges,
+    position_in_ranges,
+    previous_value,
+    running_sums,
+    with_position,
+)
 from stocklens.operators.admission import admit
 
-@pytest.fixture
-def many_ranges(spark):
-    """Keep small tables in several ranges, as large ones are."""
-    name = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(name, "false")
-    yield
-    spark.conf.set(name, "true")
-
-
 SCHEMA = "request_id bigint, resource string, amount bigint, room bigint"
 
 
@@ -51,30 +48,35 @@ def batch(seed, requests, resources, hot=False):
 
 
 @pytest.mark.parametrize(
-    "limit, progress", [(50_000, 0.5), (0, 1.0), (10, 0.0)], ids=["fold", "rounds", "ranges"]
+    "limit, progress, rows_per_range",
+    [(50_000, 0.5, 200_000), (50_000, 0.5, 40), (0, 1.0, 40), (10, 0.0, 40)],
+    ids=["one-range", "one-task", "rounds", "range-by-range"],
 )
-def test_same_as_sequential(spark, many_ranges, limit, progress):
+def test_same_as_sequential(spark, limit, progress, rows_per_range):
     rows = batch(7, 160, 12, hot=True)
-    demands = in_ranges(spark.createDataFrame(rows, SCHEMA), ["request_id", "resource"])
+    demands = in_ranges(spark.createDataFrame(rows, SCHEMA), "request_id", rows_per_range)
     got = {r[0]: r[1] for r in admit(demands, limit, progress).collect()}
     assert got == one_after_the_other(rows)
 
 
 def test_later_small_request_fits_after_a_rejected_one(spark):
     rows = [(1, "a", 5, 10), (2, "a", 9, 10), (3, "a", 4, 10)]
-    demands = in_ranges(spark.createDataFrame(rows, SCHEMA), ["request_id", "resource"])
+    demands = in_ranges(spark.createDataFrame(rows, SCHEMA), "request_id", 40)
     for limit in (50_000, 0):
         got = {r[0]: r[1] for r in admit(demands, limit).collect()}
         assert got == {1: True, 2: False, 3: True}
 
 
-def test_positions_and_running_values(spark, many_ranges):
+def test_positions_and_running_values(spark):
     rows = [(i * 7 % 101, "hot" if i % 3 else "cold", i) for i in range(101)]
     df = spark.createDataFrame(rows, "id bigint, key string, value bigint")
     placed = {r["id"]: r["position"] for r in with_position(df, ["id"]).collect()}
     assert placed == {key: place for place, key in enumerate(sorted(placed), 1)}
-    ranged = in_ranges(df, ["id"])
-    assert ranged.select("_range").distinct().count() > 1
+    ranged = in_ranges(df, "id", 10)
+    assert ranged.select("_range").distinct().count() == 11
+    some = ranged.filter("key = 'hot'")
+    numbered = {r["id"]: r["position"] for r in position_in_ranges(some, "id").collect()}
+    assert numbered == {key: place for place, key in enumerate(sorted(numbered), 1)}
     sums = running_sums(ranged, ["key"], "id", {"before": F.col("value")})
     last = previous_value(sums, "key", "id", "value", "last").collect()
     for r in last:
