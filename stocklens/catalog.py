@@ -20,7 +20,7 @@ from stocklens.operators import alerts, commands, deletes, guards, rules, utiliz
 from stocklens.operators.ingest import ingest_batch
 from stocklens.operators.utilization import with_utilization
 from stocklens.plans import alert_reports, stock, suppliers, workforce
-from stocklens.session import run_folder
+from stocklens.session import landed, run_folder
 from stocklens.sources import sinks
 from stocklens.sources.star_mapping import star_tables
 from stocklens.sources.tables import read_tables, write_tables
@@ -62,18 +62,24 @@ def _sell_through_report(t: Tables) -> DataFrame:
     return metrics.sell_through_report(t, named.union(past).distinct())
 
 
+def _stored(t: Tables, *names: str) -> Tables:
+    """Commands work on stored tables: land the mapped ones they read more than once."""
+    return ChainMap({name: landed(t[name], name) for name in names}, t)
+
+
 def _complete_inbound(t: Tables) -> DataFrame:
-    t = with_utilization(t)
+    t = with_utilization(_stored(t, "inbound_orders"))
     return commands.complete_inbound(t, requests.receive_open_orders(t), AS_OF).results
 
 
 def _complete_outbound(t: Tables) -> DataFrame:
+    t = _stored(t, "outbound_orders", "inventory")
     return commands.complete_outbound(t, requests.ship_open_orders(t), AS_OF).results
 
 
 def _split(t: Tables) -> DataFrame:
     """The log rows of splitting every lot: new lots, what they came from, and quantities."""
-    t = with_utilization(t)
+    t = with_utilization(_stored(t, "inventory"))
     outcome = commands.split_inventory(t, requests.split_every_lot(t), AS_OF)
     return outcome.added["inventory_adjustments"]
 
@@ -84,11 +90,13 @@ def _write_off(t: Tables) -> DataFrame:
 
 
 def _create_inbound(t: Tables) -> DataFrame:
+    t = _stored(t, "inbound_orders")
     outcome = commands.create_inbound_orders(t, requests.repeat_cancelled_inbound(t), AS_OF)
     return outcome.added["inbound_orders"]
 
 
 def _create_outbound(t: Tables) -> DataFrame:
+    t = _stored(t, "outbound_orders")
     outcome = commands.create_outbound_orders(t, requests.repeat_cancelled_outbound(t), AS_OF)
     return outcome.added["outbound_orders"]
 
@@ -98,7 +106,7 @@ def _employee_status(t: Tables) -> DataFrame:
 
 
 def _ingest(t: Tables) -> DataFrame:
-    stored, batch = requests.redelivered_inbound(t)
+    stored, batch = requests.redelivered_inbound(_stored(t, "inbound_orders"))
     done = ingest_batch(stored, "inbound_orders", batch, AS_OF)
     accepted = done.accepted.select("inbound_id", "status", F.lit("").alias("violations"))
     return accepted.unionByName(
@@ -138,6 +146,7 @@ def _space(locations: DataFrame) -> DataFrame:
 
 
 def _foreign_keys(t: Tables) -> DataFrame:
+    t = _stored(t, "inbound_orders", "outbound_orders")
     made = {
         f"{rule.direction}_delay_alerts": alerts.delay_alerts(t[rule.orders], rule, AS_OF)
         for rule in alerts.RULES.values()
@@ -328,10 +337,11 @@ def _stream_delay_alerts(spark: SparkSession, folder: str) -> DataFrame:
     tables, root = star_tables(spark, folder), run_folder(spark, "alert-stream")
     found = []
     for rule in alerts.RULES.values():
-        orders, feed = tables[rule.orders], f"{root}/{rule.direction}/changes"
-        opened = orders.withColumn("status", F.lit("pending")).withColumn("change_seq", F.lit(1).cast("bigint"))
-        opened.write.mode("append").parquet(feed)
-        orders.withColumn("change_seq", F.lit(2).cast("bigint")).write.mode("append").parquet(feed)
+        feed = f"{root}/{rule.direction}/changes"
+        versions = F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))
+        changes = tables[rule.orders].withColumn("change_seq", versions)
+        first = F.col("change_seq") == 1
+        changes.withColumn("status", F.when(first, "pending").otherwise(F.col("status"))).write.parquet(feed)
         target = f"{root}/{rule.direction}/alerts"
         alert_stream.stream_delay_alerts(
             spark, rule.direction, feed, target, f"{root}/{rule.direction}/state", AS_OF
@@ -346,11 +356,11 @@ def _stream_delay_alerts(spark: SparkSession, folder: str) -> DataFrame:
 def _stream_location_utilization(spark: SparkSession, folder: str) -> DataFrame:
     """Lots arrive, ship what is available, and held ones are removed."""
     tables, root = star_tables(spark, folder), run_folder(spark, "space-stream")
-    lots, side = tables["inventory"], space_stream.lot_side()
+    lots, side = landed(tables["inventory"], "inventory"), space_stream.lot_side()
     nothing = F.lit(None).cast(space_stream.LOT_CHANGES["before"].dataType)
     shipped = lots.withColumn("before", side).withColumn("total_quantity", F.col("locked_quantity"))
     held = F.col("inventory_status") == "hold"
-    changes = [
+    changes = [  # one set of files per step
         lots.select("inventory_id", nothing.alias("before"), side.alias("after")),
         shipped.select("inventory_id", "before", side.alias("after")),
         shipped.filter(held).select("inventory_id", side.alias("before"), nothing.alias("after")),

@@ -27,7 +27,8 @@ def _latest(changes: DataFrame, key: str) -> DataFrame:
 
 def alert_changes(changes: DataFrame, rule: DelayRule, as_of: dt.datetime | str) -> DataFrame:
     """Per changed order its alert, or a row without level that clears an earlier alert."""
-    latest = _latest(changes, rule.order_id)
+    needed = [rule.order_id, "change_seq", rule.order_type, "warehouse_id", "product_id", "status", "created_time"]
+    latest = _latest(changes.select(*needed), rule.order_id)
     raised = delay_alerts(latest, rule, as_of)
     return latest.select(rule.order_id, "change_seq").join(raised, rule.order_id, "left")
 
