@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.functions.columns import day, stamp
@@ -59,13 +59,17 @@ OUTBOUND = DelayRule(
 RULES = {"inbound": INBOUND, "outbound": OUTBOUND}
 
 
-def delay_alerts(orders: DataFrame, rule: DelayRule, as_of: dt.datetime | str) -> DataFrame:
-    """One alert per open order older than the rule's limits, counted in calendar days."""
-    # the age test is a bound on created_time itself, so it reaches the scan
+def is_late(rule: DelayRule, as_of: dt.datetime | str) -> Column:
+    """Open and older than the warning limit, in calendar days.
+
+    The age test is a bound on ``created_time`` itself, so it reaches the scan.
+    """
     latest = F.date_sub(day(as_of), rule.warning_after).cast("timestamp_ntz")
-    late = orders.filter(
-        F.col("status").isin(*rule.open_statuses) & (F.col("created_time") < latest)
-    )
+    return F.col("status").isin(*rule.open_statuses) & (F.col("created_time") < latest)
+
+
+def alert_columns(rule: DelayRule, as_of: dt.datetime | str) -> list[Column]:
+    """What the alert of a late order says."""
     days = F.datediff(day(as_of), F.col("created_time").cast("date"))
     level = F.when(days > rule.critical_after, "critical").otherwise("warning")
     reference = F.concat(F.col(rule.order_type), F.lit("-"), F.col(rule.order_id))
@@ -73,16 +77,20 @@ def delay_alerts(orders: DataFrame, rule: DelayRule, as_of: dt.datetime | str) -
     message = F.concat(
         level, F.lit(f": {rule.direction} order "), reference, F.lit(" delayed for "), days, ending
     )
-    return late.select(
-        F.col(rule.order_id),
+    return [
         reference.alias("reference_number"),
-        "warehouse_id",
-        "product_id",
+        F.col("warehouse_id"),
+        F.col("product_id"),
         days.alias("delay_days"),
         level.alias("alert_level"),
         message.alias("alert_message"),
         stamp(as_of).alias("created_at"),
-    )
+    ]
+
+
+def delay_alerts(orders: DataFrame, rule: DelayRule, as_of: dt.datetime | str) -> DataFrame:
+    """One alert per open order older than the rule's limits."""
+    return orders.filter(is_late(rule, as_of)).select(rule.order_id, *alert_columns(rule, as_of))
 
 
 def inbound_delay_alerts(tables: Tables, as_of: dt.datetime | str) -> DataFrame:

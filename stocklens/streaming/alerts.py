@@ -8,13 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stocklens.operators.alerts import RULES, DelayRule, delay_alerts
+from stocklens.operators.alerts import RULES, DelayRule, alert_columns, is_late
 from stocklens.sources.schemas import TABLES
 from stocklens.streaming.feeds import per_batch, run_available
 
-_ALERT = ["reference_number", "warehouse_id", "product_id", "delay_days", "alert_level", "alert_message", "created_at"]
-
-
 def change_schema(direction: str) -> T.StructType:
     """Order rows as they are after a change, with a rising ``change_seq``."""
     return T.StructType([T.StructField("change_seq", T.LongType())] + TABLES[f"{direction}_orders"].struct_type.fields)
@@ -26,11 +23,13 @@ def _latest(changes: DataFrame, key: str) -> DataFrame:
 
 
 def alert_changes(changes: DataFrame, rule: DelayRule, as_of: dt.datetime | str) -> DataFrame:
-    """Per changed order its alert, or a row without level that clears an earlier alert."""
+    """Per changed order its alert, or a row without alert that clears an earlier one."""
+    late = F.coalesce(is_late(rule, as_of), F.lit(False))
+    alert = F.when(late, F.struct(*alert_columns(rule, as_of)))
     needed = [rule.order_id, "change_seq", rule.order_type, "warehouse_id", "product_id", "status", "created_time"]
-    latest = _latest(changes.select(*needed), rule.order_id)
-    raised = delay_alerts(latest, rule, as_of)
-    return latest.select(rule.order_id, "change_seq").join(raised, rule.order_id, "left")
+    return _latest(changes.select(*needed), rule.order_id).select(
+        rule.order_id, "change_seq", alert.alias("alert")
+    )
 
 
 def stream_delay_alerts(
@@ -56,4 +55,4 @@ def current_alerts(spark: SparkSession, direction: str, alerts: str) -> DataFram
     """The alert table: the latest alert per order that has not been cleared."""
     key = RULES[direction].order_id
     rows = spark.read.option("basePath", alerts).parquet(alerts).drop("batch")
-    return _latest(rows, key).filter(F.col("alert_level").isNotNull()).select(key, *_ALERT)
+    return _latest(rows, key).filter(F.col("alert").isNotNull()).select(key, "alert.*")
