@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocklens.session import landed
 from stocklens.sources.schemas import ALERT_TABLES, TABLES, Reference
 
 Tables = Mapping[str, DataFrame]
@@ -24,33 +25,61 @@ def _as_child(parent_keys: DataFrame, reference: Reference) -> DataFrame:
     return parent_keys.select(*[F.col(p).alias(c) for c, p in pairs])
 
 
+def _cascades(name: str, gone: Mapping[str, DataFrame]) -> list[Reference]:
+    references = _DECLARED[name].references
+    return [r for r in references if r.on_delete == "cascade" and r.parent in gone]
+
+
+def _is_parent(name: str, tables: Tables) -> bool:
+    return any(r.parent == name for child in tables for r in _DECLARED[child].references)
+
+
 def removed_rows(tables: Tables, removed: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Keys that go, per table, when removal is passed on along every cascading reference."""
+    """Keys that go, per table others refer to, as removal is passed on along cascading references.
+
+    Keys found on the way are landed: several tables look them up.
+    """
     gone: dict[str, DataFrame] = {}
     for name, table in _DECLARED.items():  # parents come first
-        if name not in tables:
+        if name not in tables or not _is_parent(name, tables):
             continue
-        parts = [removed[name].select(*table.key)] if name in removed else []
-        for reference in table.references:
-            if reference.on_delete == "cascade" and reference.parent in gone:
-                keys = _as_child(gone[reference.parent], reference)
-                dependents = tables[name].join(keys, list(reference.columns), "left_semi")
-                parts.append(dependents.select(*table.key))
-        if parts:
-            gone[name] = reduce(DataFrame.unionByName, parts).distinct()
+        wanted = [removed[name].select(*table.key)] if name in removed else []
+        dependents = []
+        for reference in _cascades(name, gone):
+            keys = _as_child(gone[reference.parent], reference)
+            found = tables[name].join(keys, list(reference.columns), "left_semi")
+            dependents.append(found.select(*table.key))
+        if wanted or dependents:
+            keys = reduce(DataFrame.unionByName, wanted + dependents).distinct()
+            gone[name] = landed(keys, f"removed-{name}") if dependents else keys
     return gone
 
 
-def _without(tables: Tables, gone: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    return {
-        name: df.join(gone[name], list(_DECLARED[name].key), "left_anti") if name in gone else df
-        for name, df in tables.items()
-    }
+def _without(
+    tables: Tables, removed: Mapping[str, DataFrame], gone: Mapping[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """Rows neither removed themselves nor dependent on a removed row.
+
+    Tables others refer to have their own keys in ``gone``; the rest look up their parents' keys.
+    """
+    kept = {}
+    for name, df in tables.items():
+        key = list(_DECLARED[name].key)
+        if name in gone:
+            df = df.join(gone[name], key, "left_anti")
+        elif not _is_parent(name, tables):
+            if name in removed:
+                df = df.join(removed[name].select(*key), key, "left_anti")
+            for reference in _cascades(name, gone):
+                keys = _as_child(gone[reference.parent], reference)
+                df = df.join(keys, list(reference.columns), "left_anti")
+        kept[name] = df
+    return kept
 
 
 def cascade_delete(tables: Tables, removed: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables without the removed rows and everything that depends on them."""
-    return _without(tables, removed_rows(tables, removed))
+    return _without(tables, removed, removed_rows(tables, removed))
 
 
 def null_on_delete(tables: Tables, gone: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -98,7 +127,7 @@ def delete_rows(
         for name, keys in removed.items()
     }
     gone = removed_rows(tables, allowed)
-    return null_on_delete(_without(tables, gone), gone), refused
+    return null_on_delete(_without(tables, allowed, gone), gone), refused
 
 
 def cascade_rename_location(tables: Tables, renames: DataFrame) -> Tables:

@@ -5,35 +5,29 @@ from __future__ import annotations
 from collections import ChainMap
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocklens.functions.metrics import location_utilization
+from stocklens.functions.metrics import used_volume
 
 Tables = Mapping[str, DataFrame]
 
 _KEY = ["warehouse_id", "location"]
 
 
-def _replace(locations: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``locations`` with ``utilization`` taken from ``fresh`` where it has the key."""
-    columns = locations.columns
-    taken = fresh.select(*_KEY, F.col("utilization").alias("_fresh"), F.lit(True).alias("_hit"))
-    return (
-        locations.join(taken, _KEY, "left")
-        .withColumn(
-            "utilization",
-            F.when(F.col("_hit"), F.col("_fresh"))
-            .otherwise(F.col("utilization"))
-            .cast(locations.schema["utilization"].dataType),
-        )
-        .select(*columns)
-    )
+def _typed(locations: DataFrame, value: Column) -> Column:
+    return value.cast(locations.schema["utilization"].dataType)
 
 
 def recalculate_utilization(tables: Tables) -> DataFrame:
     """All locations with their utilization computed from the lots in one grouped pass."""
-    return _replace(tables["locations"], location_utilization(tables))
+    locations = tables["locations"]
+    used = used_volume(tables["inventory"], tables["products"])
+    return (
+        locations.join(used, _KEY, "left")
+        .withColumn("utilization", _typed(locations, F.coalesce("used", F.lit(0))))
+        .select(*locations.columns)
+    )
 
 
 def with_utilization(tables: Tables) -> Tables:
@@ -52,13 +46,15 @@ def touched_locations(*lots: DataFrame) -> DataFrame:
 
 def refresh_utilization(tables: Tables, touched: DataFrame) -> DataFrame:
     """``locations`` with only the ``touched`` keys recomputed from the current lots."""
-    narrowed = {
-        "locations": tables["locations"].join(touched, _KEY, "left_semi"),
-        "inventory": _lots_in(tables["inventory"], touched),
-        "products": tables["products"],
-    }
-    fresh = location_utilization(narrowed)
-    return _replace(tables["locations"], fresh)
+    locations = tables["locations"]
+    used = used_volume(_lots_in(tables["inventory"], touched), tables["products"])
+    fresh = F.when(F.col("_touched"), F.coalesce("used", F.lit(0))).otherwise(F.col("utilization"))
+    return (
+        locations.join(touched.withColumn("_touched", F.lit(True)), _KEY, "left")
+        .join(used, _KEY, "left")
+        .withColumn("utilization", _typed(locations, fresh))
+        .select(*locations.columns)
+    )
 
 
 def _lots_in(inventory: DataFrame, touched: DataFrame) -> DataFrame:
