@@ -8,5 +8,26 @@ from oracles.rules import RULES
 from oracles.views import VIEWS
 
 
+# whole numbers that may be missing are compared as text
+_AS_TEXT = {
+    "employee_details": ("warehouse_id",),
+    "outbound_operator_guard": ("picker", "packer"),
+    "create_inbound_order": ("actual_quantity",),
+    "create_outbound_order": ("picker", "packer"),
+    "complete_inbound": ("new_inventory_id",),
+    "complete_outbound": ("inventory_id",),
+    "null_on_delete": ("first_reference", "second_reference"),
+    "query_inventory": ("parent_inventory_id",),
+}
+
+
 def statements() -> dict[str, str]:
-    return {name: with_tables(body) for name, body in {**VIEWS, **COMMANDS, **RULES}.items()}
+    """The full statement per query name."""
+    result = {}
+    for name, body in {**VIEWS, **COMMANDS, **RULES}.items():
+        statement = with_tables(body)
+        if name in _AS_TEXT:
+            casts = ", ".join(f"cast({c} as varchar) as {c}" for c in _AS_TEXT[name])
+            statement = f"select * replace ({casts}) from (\n{statement}\n) shown"
+        result[name] = statement
+    return result

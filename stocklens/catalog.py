@@ -1,7 +1,7 @@
 """Every query by name, over the domain tables mapped from a folder of star-schema files.
 
-Values are shown in a portable form: decimals and doubles as doubles with four decimals, dates and
-timestamps as text.
+Values are shown in a portable form: decimals and doubles as doubles with four decimals, dates,
+timestamps and whole numbers that may be missing as text.
 """
 
 from __future__ import annotations
@@ -34,11 +34,26 @@ MONTH = "1998-03"
 EXPIRY_DAYS = 10
 
 
-def portable(df: DataFrame) -> DataFrame:
+#: Whole-number columns with missing values, per query.
+OPTIONAL_NUMBERS = {
+    "employee_details": ("warehouse_id",),
+    "outbound_operator_guard": ("picker", "packer"),
+    "create_inbound_order": ("actual_quantity",),
+    "create_outbound_order": ("picker", "packer"),
+    "complete_inbound": ("new_inventory_id",),
+    "complete_outbound": ("inventory_id",),
+    "null_on_delete": ("first_reference", "second_reference"),
+    "query_inventory": ("parent_inventory_id",),
+}
+
+
+def portable(df: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
     columns = []
     for f in df.schema:
         column = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DecimalType | T.DoubleType):
+        if f.name in optional:
+            column = column.cast("string").alias(f.name)
+        elif isinstance(f.dataType, T.DecimalType | T.DoubleType):
             column = F.round(column.cast("double"), 4).alias(f.name)
         elif isinstance(f.dataType, T.DateType | T.TimestampNTZType | T.TimestampType):
             column = column.cast("string").alias(f.name)
@@ -383,19 +398,16 @@ WITH_STORAGE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return portable(query(star_tables(spark, folder)))
-
-    run.__doc__ = query.__doc__
-    return run
+def _on_tables(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: query(star_tables(spark, folder))
 
 
 def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def stored(query):
-        return lambda spark, folder: portable(query(spark, folder))
+    """Every query as a function of (session, folder of star-schema files)."""
+    queries = {**{name: _on_tables(query) for name, query in ON_TABLES.items()}, **WITH_STORAGE}
 
-    return {
-        **{name: _bind(query) for name, query in ON_TABLES.items()},
-        **{name: stored(query) for name, query in WITH_STORAGE.items()},
-    }
+    def shown(name: str) -> Callable[[SparkSession, str], DataFrame]:
+        optional = OPTIONAL_NUMBERS.get(name, ())
+        return lambda spark, folder: portable(queries[name](spark, folder), optional)
+
+    return {name: shown(name) for name in queries}
