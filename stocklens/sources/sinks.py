@@ -14,6 +14,11 @@ from stocklens.sources.schemas import SUPPLIER_MONTHLY_REPORT, TABLES
 Tables = Mapping[str, DataFrame]
 
 
+def append_rows(rows: DataFrame, folder: str) -> None:
+    """Add rows, such as the accepted part of an ingest, to a stored table."""
+    rows.write.mode("append").parquet(folder)
+
+
 def write_monthly_report(report: DataFrame, folder: str, month: str) -> None:
     """Replace the rows of ``month`` and no other; an empty report clears the month."""
     month_bounds(month)

@@ -12,9 +12,11 @@ from stocklens.operators.alerts import RULES, DelayRule, alert_columns, is_late
 from stocklens.sources.schemas import TABLES
 from stocklens.streaming.feeds import per_batch, run_available
 
+
 def change_schema(direction: str) -> T.StructType:
     """Order rows as they are after a change, with a rising ``change_seq``."""
-    return T.StructType([T.StructField("change_seq", T.LongType())] + TABLES[f"{direction}_orders"].struct_type.fields)
+    order = TABLES[f"{direction}_orders"].struct_type
+    return T.StructType([T.StructField("change_seq", T.LongType()), *order.fields])
 
 
 def _latest(changes: DataFrame, key: str) -> DataFrame:
@@ -26,7 +28,8 @@ def alert_changes(changes: DataFrame, rule: DelayRule, as_of: dt.datetime | str)
     """Per changed order its alert, or a row without alert that clears an earlier one."""
     late = F.coalesce(is_late(rule, as_of), F.lit(False))
     alert = F.when(late, F.struct(*alert_columns(rule, as_of)))
-    needed = [rule.order_id, "change_seq", rule.order_type, "warehouse_id", "product_id", "status", "created_time"]
+    needed = [rule.order_id, "change_seq", rule.order_type]
+    needed += ["warehouse_id", "product_id", "status", "created_time"]
     return _latest(changes.select(*needed), rule.order_id).select(
         rule.order_id, "change_seq", alert.alias("alert")
     )

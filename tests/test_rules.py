@@ -11,6 +11,8 @@ from stocklens.operators import deletes, guards, rules
 from stocklens.operators.alerts import INBOUND, delay_alerts
 from stocklens.operators.ingest import ingest_batch
 from stocklens.sources.schemas import TABLES
+from stocklens.sources.sinks import append_rows
+from stocklens.sources.tables import read_tables, write_tables
 
 NOW = "2025-12-03"
 
@@ -118,7 +120,7 @@ def test_inbound_guard_null_cases(spark):
     assert [r["inbound_id"] for r in judged.filter("rejection is not null").collect()] == [2]
 
 
-def test_ingest_fills_defaults_and_judges_in_order(spark):
+def test_ingest_fills_defaults_and_judges_in_order(spark, tmp_path):
     t = small.tables(
         spark,
         warehouses=[warehouse(1)],
@@ -155,6 +157,10 @@ def test_ingest_fills_defaults_and_judges_in_order(spark):
         7: ["warehouse_id_and_storage_location_in_locations"],
         8: ["parent_inventory_id_in_inventory"],
     }
+    write_tables({"inventory": t["inventory"]}, str(tmp_path))
+    append_rows(done.accepted, f"{tmp_path}/inventory")
+    stored = read_tables(spark, str(tmp_path), names=["inventory"])["inventory"]
+    assert sorted(r["inventory_id"] for r in stored.collect()) == [1, 2, 4]
     loose = ingest_batch(t, "inventory", batch, NOW)
     assert sorted(r["inventory_id"] for r in loose.accepted.collect()) == [2, 4, 5, 6]
 
