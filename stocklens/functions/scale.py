@@ -1,4 +1,4 @@
-"""Skew-safe building blocks: frequent keys, dense positions and running values.
+"""Skew-safe building blocks: dense positions and running values.
 
 Spark's ``row_number``/``sum over`` put one window partition into one task.  The helpers here
 give the same answers while a group (or the whole table) stays spread over many tasks: rows are
@@ -15,54 +15,29 @@ from pyspark.sql import functions as F
 
 from stocklens.session import landed
 
-_BUCKETS = 4096
-_MAX_RANGES = 256
-_QUANTILE_ACCURACY = 2_500
+#: About how many rows a range holds; there are as many ranges as the rows need.
 ROWS_PER_RANGE = 200_000
-#: Marks a table that is one range as a whole, where plain windows do.
-_SINGLE = {"single": True}
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row within its partition in 33 bits
 
 
-def frequent_keys(
-    df: DataFrame, key: str, min_rows: int = 50_000, max_share: float = 1e-4
-) -> list:
-    """Keys of ``df`` holding more rows than one task should see.
-
-    A key is frequent above ``max(min_rows, max_share * rows)``, so at most ``1 / max_share`` keys
-    come back.  The first pass counts hash buckets (at most 4096 small records); a bucket bounds
-    each of its keys from above, so the second pass looks only into buckets that are themselves
-    too full, and is not run at all on evenly spread data.
-    """
-    bucket = F.pmod(F.hash(key), F.lit(_BUCKETS))
-    counted = df.filter(F.col(key).isNotNull()).groupBy(bucket.alias("bucket")).count().collect()
-    limit = max(min_rows, max_share * sum(r["count"] for r in counted))
-    full = [r["bucket"] for r in counted if r["count"] > limit]
-    if not full:
-        return []
-    found = df.filter(bucket.isin(full)).groupBy(key).count().filter(F.col("count") > limit)
-    return [r[0] for r in found.select(key).collect()]
-
-
 def in_ranges(df: DataFrame, order: str, rows_per_range: int | None = None) -> DataFrame:
-    """Land ``df`` and add ``_range``: ranges that rise with ``order`` and hold about equal rows.
+    """Land ``df`` with ``_range``: ranges that rise with ``order`` and hold about equal rows.
 
-    The bounds come from one pass over the landed ``order`` column and are constants of the plan,
-    so a row gets the same range however often a task is repeated.  No row moves.
+    The range is landed with the row, so it stays the same however often a task is repeated.  Values
+    of ``order`` must be unique: a missing or repeated one is an error.
     """
-    df = landed(df)
-    rows_per_range = rows_per_range or ROWS_PER_RANGE
-    shares = [i / _MAX_RANGES for i in range(1, _MAX_RANGES)]
-    rows, quantiles = df.agg(
-        F.count("*"), F.percentile_approx(order, shares, F.lit(_QUANTILE_ACCURACY))
-    ).first()
-    wanted = min(_MAX_RANGES, -(-rows // rows_per_range))
-    if wanted <= 1:
-        return df.withColumn("_range", F.lit(0)).withMetadata("_range", _SINGLE)
-    step = _MAX_RANGES / wanted
-    bounds = sorted({quantiles[round(i * step) - 1] for i in range(1, wanted)})
-    below = F.filter(F.lit(bounds), lambda bound: bound < F.col(order))
-    return df.withColumn("_range", F.size(below))
+    stored = landed(df, "requests")
+    rows = stored.count()
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-rows // (rows_per_range or ROWS_PER_RANGE)))
+    placed = landed(
+        stored.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    # equal values share a range, so no row has to move for this
+    repeated = placed.groupBy("_range", order).count().filter(f"count > 1 or {order} is null")
+    if not repeated.isEmpty():
+        raise ValueError(f"{order} must be given and unique")
+    return placed
 
 
 def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
@@ -82,10 +57,6 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
     )
 
 
-def _single_range(ranged: DataFrame) -> bool:
-    return bool(ranged.schema["_range"].metadata.get("single"))
-
-
 def _rows_before(ranged: DataFrame) -> DataFrame:
     """Per range how many rows the ranges before it hold; one record per range, so broadcast."""
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
@@ -98,8 +69,6 @@ def _rows_before(ranged: DataFrame) -> DataFrame:
 def position_in_ranges(ranged: DataFrame, order: str, name: str = "position") -> DataFrame:
     """Dense positions (1, 2, …) over a subset of a table from :func:`in_ranges`."""
     place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    if _single_range(ranged):
-        return ranged.withColumn(name, place)
     return (
         ranged.join(_rows_before(ranged), "_range")
         .withColumn(name, F.col("_before") + place)
@@ -116,11 +85,6 @@ def running_sums(
     first; the running total over ranges then works on one record per (key, range).
     """
     keys = list(keys)
-    if _single_range(ranged):
-        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return ranged.withColumns(
-            {n: F.coalesce(F.sum(expr).over(before), F.lit(0)) for n, expr in sums.items()}
-        )
     inner = Window.partitionBy(*keys, "_range").orderBy(order)
     inner = inner.rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,8 +108,6 @@ def running_sums(
 
 def previous_value(ranged: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
     """Per key, ``value`` of the row just before in ``order`` (NULL for the first)."""
-    if _single_range(ranged):
-        return ranged.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(order)))
     inner = Window.partitionBy(key, "_range").orderBy(order)
     outer = Window.partitionBy(key).orderBy("_range")
     last = ranged.groupBy(key, "_range").agg(F.max_by(value, order).alias("_last"))

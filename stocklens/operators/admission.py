@@ -5,18 +5,20 @@ that may exist once).  It is accepted when each limited amount still fits after
 requests before it; a rejected request takes nothing.  Whether a request fits therefore depends on
 the verdicts before it, which a running sum alone cannot express.
 
-The batch is decided in rounds.  For every undecided request two running sums bound what earlier
-requests will have taken: all undecided ones accepted, or none.  A request that fits under the first
-is accepted, one that does not fit under the second is rejected, and both verdicts are exact.  The
-earliest undecided request is always decided, most are in the first round.  What is left is
-finished by a sequential pass once it is small enough for one task, or range by range in request
-order when rounds settle too little.
+The batch is decided in rounds until nothing is open.  For every undecided request two running sums
+bound what earlier requests will have taken: all undecided ones accepted, or none.  A request that fits
+under the first is accepted, one that does not fit under the second is rejected, and both verdicts are
+exact.  The earliest undecided request of a resource is always decided, most are in the first round.
+
+Where each request asks for one resource only, resources do not depend on each other.  Then every round
+also folds the next open requests of each resource in order, a bounded number per resource.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.functions.scale import running_sums
@@ -24,14 +26,16 @@ from stocklens.session import landed
 
 #: Amounts and rooms are whole numbers; volumes are counted in ten-thousandths.
 VOLUME_UNIT = 10_000
+#: Open requests of one resource that a round folds.
+FOLDED = 512
 
 
-def admit(demands: DataFrame, sequential_rows: int = 50_000, least_progress: float = 0.5) -> DataFrame:
+def admit(demands: DataFrame, single: bool = False) -> DataFrame:
     """Verdict per request: ``request_id``, ``accepted``.
 
     ``demands`` has ``request_id`` (order of arrival), ``resource``, ``amount`` (negative gives
     back), ``room`` (left at the start; NULL means unlimited) and ``_range`` from ``in_ranges``;
-    one row per request and resource.
+    one row per request and resource.  ``single`` promises one row per request.
     """
     working = demands.select(
         "request_id",
@@ -42,38 +46,19 @@ def admit(demands: DataFrame, sequential_rows: int = 50_000, least_progress: flo
         F.lit(None).cast("boolean").alias("accepted"),
     )
     verdicts: list[DataFrame] = []
-    open_before = None
     while True:
-        judged = landed(_judge(working))
+        judged = landed(_judge(working, single), "judged")
         verdicts.append(_verdicts(judged))
         left = judged.filter(F.col("accepted").isNull())
-        # one row per range with undecided requests
-        counts = left.groupBy("_range").agg(F.count("*").alias("n")).collect()
-        per_range = {r["_range"]: r["n"] for r in counts}
-        open_now = sum(per_range.values())
-        if open_now == 0:
-            break
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, verdicts)
         newly = judged.filter("accepted")
-        if open_now <= sequential_rows:
-            verdicts.append(_sequential(_settled(left.unionByName(newly))))
-            break
-        if open_before is not None and open_now > open_before * least_progress:
-            first = min(per_range)
-            settled = landed(_settled(left.unionByName(newly)))
-            decided = landed(_sequential(settled.filter(F.col("_range") == first)))
-            verdicts.append(decided)
-            working = (
-                settled.drop("accepted")
-                .join(decided, "request_id", "left")
-                .filter(F.coalesce("accepted", F.lit(True)))
-            )
-        else:
-            working = left.unionByName(newly)
-        open_before = open_now
-    result = verdicts[0]
-    for more in verdicts[1:]:
-        result = result.unionByName(more)
-    return result
+        if single:
+            folded = landed(_folded(_settled(left.unionByName(newly))), "folded")
+            verdicts.append(folded)
+            left = left.drop("accepted").join(folded, "request_id", "left")
+            left = left.filter(F.coalesce("accepted", F.lit(True)))
+        working = left.unionByName(newly)
 
 
 def _settled(working: DataFrame) -> DataFrame:
@@ -87,7 +72,32 @@ def _settled(working: DataFrame) -> DataFrame:
     )
 
 
-def _judge(working: DataFrame) -> DataFrame:
+def _folded(settled: DataFrame) -> DataFrame:
+    """Verdicts of the next open requests of each resource, one after the other."""
+    placed = running_sums(settled, ["resource"], "request_id", {"_place": F.lit(1)})
+    waiting = (
+        placed.filter(F.col("_place") < FOLDED)
+        .groupBy("resource")
+        .agg(F.array_sort(F.collect_list(F.struct("request_id", "amount", "room"))).alias("waiting"))
+    )
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("used"),
+        F.array().cast("array<struct<request_id:bigint,accepted:boolean>>").alias("verdicts"),
+    )
+
+    def step(state: Column, request: Column) -> Column:
+        fits = request["room"].isNull() | (state["used"] + request["amount"] <= request["room"])
+        verdict = F.struct(request["request_id"].alias("request_id"), fits.alias("accepted"))
+        return F.struct(
+            (state["used"] + F.when(fits, request["amount"]).otherwise(0)).alias("used"),
+            F.concat(state["verdicts"], F.array(verdict)).alias("verdicts"),
+        )
+
+    folded = waiting.select(F.aggregate("waiting", start, step).alias("end"))
+    return folded.select(F.explode("end.verdicts").alias("v")).select("v.request_id", "v.accepted")
+
+
+def _judge(working: DataFrame, single: bool) -> DataFrame:
     """Undecided demands with the verdict of their request where this round can tell."""
     undecided = F.col("accepted").isNull()
     amount = F.col("amount")
@@ -104,18 +114,17 @@ def _judge(working: DataFrame) -> DataFrame:
     unlimited = F.col("room").isNull()
     fits = unlimited | (F.col("most") + amount <= F.col("room"))
     fails = ~unlimited & (F.col("least") + amount > F.col("room"))
-    request = Window.partitionBy("request_id")  # a handful of demands each
-    return (
-        bounded.withColumn("_fits", F.coalesce(fits, F.lit(False)))
-        .withColumn("_fails", F.coalesce(fails, F.lit(False)))
-        .withColumn(
-            "accepted",
-            F.when(F.bool_or("_fails").over(request), F.lit(False)).when(
-                F.bool_and("_fits").over(request), F.lit(True)
-            ),
-        )
-        .select("request_id", "resource", "amount", "room", "_range", "accepted")
+    marked = bounded.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn(
+        "_fails", F.coalesce(fails, F.lit(False))
     )
+    if single:
+        any_fails, all_fit = F.col("_fails"), F.col("_fits")
+    else:
+        request = Window.partitionBy("request_id")  # a handful of demands each
+        any_fails, all_fit = F.bool_or("_fails").over(request), F.bool_and("_fits").over(request)
+    return marked.withColumn(
+        "accepted", F.when(any_fails, F.lit(False)).when(all_fit, F.lit(True))
+    ).select("request_id", "resource", "amount", "room", "_range", "accepted")
 
 
 def _verdicts(judged: DataFrame) -> DataFrame:
@@ -124,36 +133,3 @@ def _verdicts(judged: DataFrame) -> DataFrame:
         .groupBy("request_id")
         .agg(F.first("accepted").alias("accepted"))
     )
-
-
-def _sequential(settled: DataFrame) -> DataFrame:
-    """Verdicts of a bounded set of demands, one request after the other in a single task."""
-    rows = settled.select("request_id", "resource", "amount", "room", F.lit(0).alias("_all"))
-    return rows.groupBy("_all").applyInPandas(_one_by_one, "request_id bigint, accepted boolean")
-
-
-def _one_by_one(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("request_id", kind="stable")
-    limited = rows["room"].notna().to_numpy()
-    rooms = rows["room"].fillna(0).astype("int64").to_numpy()
-    amounts = rows["amount"].to_numpy()
-    resources = rows["resource"].to_numpy()
-    requests = rows["request_id"].to_numpy()
-    taken: dict[str, int] = {}
-    ids, verdicts = [], []
-    start, count = 0, len(rows)
-    while start < count:
-        end = start
-        while end < count and requests[end] == requests[start]:
-            end += 1
-        accepted = all(
-            not limited[i] or taken.get(resources[i], 0) + amounts[i] <= rooms[i]
-            for i in range(start, end)
-        )
-        if accepted:
-            for i in range(start, end):
-                taken[resources[i]] = taken.get(resources[i], 0) + amounts[i]
-        ids.append(requests[start])
-        verdicts.append(accepted)
-        start = end
-    return pd.DataFrame({"request_id": ids, "accepted": verdicts})

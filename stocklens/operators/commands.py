@@ -26,6 +26,7 @@ from stocklens.operators.guards import (
     place_of,
     space_units,
 )
+from stocklens.operators.utilization import refresh_utilization, touched_locations
 from stocklens.session import landed
 from stocklens.sources import schemas
 
@@ -74,9 +75,9 @@ def _known(table: DataFrame, key: str, name: str, flag: str) -> DataFrame:
     return table.select(F.col(key).alias(name), F.lit(True).alias(flag))
 
 
-def _judged(ranged: DataFrame, demands: DataFrame, refusal: str) -> DataFrame:
+def _judged(ranged: DataFrame, demands: DataFrame, refusal: str, single: bool = False) -> DataFrame:
     """``ranged`` requests with ``accepted`` and the final ``reason``."""
-    verdicts = admit(demands).withColumnRenamed("accepted", "_verdict")
+    verdicts = admit(demands, single).withColumnRenamed("accepted", "_verdict")
     refused = F.col("reason").isNull() & ~F.coalesce("_verdict", F.lit(True))
     return landed(
         ranged.join(verdicts, "request_id", "left")
@@ -111,6 +112,12 @@ def _take_from_lots(lots: DataFrame, taken: DataFrame, touched_at: Column | None
     return changed.select(*lots.columns)
 
 
+def _with_space(tables: Tables, changed: dict[str, DataFrame], *lots: DataFrame) -> Tables:
+    """``tables`` after ``changed``, with the space use of the places of ``lots`` computed anew."""
+    after = ChainMap(changed, tables)
+    return ChainMap({"locations": refresh_utilization(after, touched_locations(*lots))}, after)
+
+
 def split_inventory(
     tables: Tables, requests: DataFrame, as_of: When, inherit_status: bool = False
 ) -> Outcome:
@@ -271,14 +278,12 @@ def split_inventory(
     results = judged.select("request_id", "source_id", "accepted", "reason").join(
         ids.select("request_id", F.col("new_id").alias("new_inventory_id")), "request_id", "left"
     )
+    changed = {
+        "inventory": remaining.unionByName(new_lots),
+        "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
+    }
     return Outcome(
-        ChainMap(
-            {
-                "inventory": remaining.unionByName(new_lots),
-                "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
-            },
-            tables,
-        ),
+        _with_space(tables, changed, new_lots, lots.join(taken, "inventory_id", "left_semi")),
         results,
         {"inventory": new_lots, "inventory_adjustments": new_log},
     )
@@ -330,14 +335,12 @@ def write_off_lots(tables: Tables, requests: DataFrame, as_of: When) -> Outcome:
     state = lots.join(emptied, "inventory_id", "left")
     for name in ("total_quantity", "locked_quantity", "available_quantity"):
         state = state.withColumn(name, F.when(F.col("_gone"), 0).otherwise(F.col(name)))
+    changed = {
+        "inventory": state.select(*lots.columns),
+        "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
+    }
     return Outcome(
-        ChainMap(
-            {
-                "inventory": state.select(*lots.columns),
-                "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
-            },
-            tables,
-        ),
+        _with_space(tables, changed, lots.join(emptied, "inventory_id", "left_semi")),
         ranged.select("request_id", "inventory_id", "accepted", "reason"),
         {"inventory_adjustments": new_log},
     )
@@ -458,7 +461,7 @@ def complete_inbound(tables: Tables, requests: DataFrame, as_of: When, strict: b
     if strict:
         demands = demands.unionByName(_once_per_order(ranged, "inbound_id"))
         refusal = f"{NO_SPACE}, or {ORDER_CLOSED}"
-    judged = _judged(ranged, demands, refusal)
+    judged = _judged(ranged, demands, refusal, single=not strict)
     accepted = judged.filter("accepted")
     numbered = position_in_ranges(accepted, "request_id").withColumn(
         "new_id", _last_id(lots, "inventory_id") + F.col("position")
@@ -491,10 +494,9 @@ def complete_inbound(tables: Tables, requests: DataFrame, as_of: When, strict: b
     results = judged.select("request_id", "inbound_id", "accepted", "reason").join(
         numbered.select("request_id", F.col("new_id").alias("new_inventory_id")), "request_id", "left"
     )
+    changed = {"inbound_orders": state, "inventory": append(tables, "inventory", new_lots)}
     return Outcome(
-        ChainMap(
-            {"inbound_orders": state, "inventory": append(tables, "inventory", new_lots)}, tables
-        ),
+        _with_space(tables, changed, new_lots),
         results,
         {"inventory": new_lots},
     )
@@ -550,7 +552,7 @@ def complete_outbound(tables: Tables, requests: DataFrame, as_of: When, strict:
     if strict:
         demands = demands.unionByName(_once_per_order(ranged, "outbound_id"))
         refusal = f"{NOT_ENOUGH_STOCK}, or {ORDER_CLOSED}"
-    judged = _judged(ranged, demands, refusal)
+    judged = _judged(ranged, demands, refusal, single=not strict)
     accepted = judged.filter("accepted")
     shipped = accepted.select("outbound_id", F.lit(True).alias("_shipped")).distinct()
     state = (
@@ -564,14 +566,9 @@ def complete_outbound(tables: Tables, requests: DataFrame, as_of: When, strict:
         .select(*orders.columns)
     )
     taken = accepted.groupBy("inventory_id").agg(F.sum("quantity").alias("_taken"))
+    changed = {"outbound_orders": state, "inventory": _take_from_lots(lots, taken, stamp(as_of))}
     return Outcome(
-        ChainMap(
-            {
-                "outbound_orders": state,
-                "inventory": _take_from_lots(lots, taken, stamp(as_of)),
-            },
-            tables,
-        ),
+        _with_space(tables, changed, lots.join(taken, "inventory_id", "left_semi")),
         judged.select("request_id", "outbound_id", "inventory_id", "accepted", "reason"),
     )
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocklens.operators.utilization import utilization_on_delete
 from stocklens.session import landed
 from stocklens.sources.schemas import ALERT_TABLES, TABLES, Reference
 
@@ -78,8 +79,19 @@ def _without(
 
 
 def cascade_delete(tables: Tables, removed: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables without the removed rows and everything that depends on them."""
-    return _without(tables, removed, removed_rows(tables, removed))
+    """The tables without the removed rows and everything that depends on them.
+
+    Places that lose lots get their space back.
+    """
+    return _freed(tables, _without(tables, removed, removed_rows(tables, removed)))
+
+
+def _freed(before: Tables, after: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``after`` with the space use of the places whose lots went computed anew."""
+    if not {"inventory", "locations", "products"} <= set(after):
+        return after
+    lost = before["inventory"].join(after["inventory"].select("inventory_id"), "inventory_id", "left_anti")
+    return {**after, "locations": utilization_on_delete(after, lost)}
 
 
 def null_on_delete(tables: Tables, gone: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -90,7 +102,7 @@ def null_on_delete(tables: Tables, gone: Mapping[str, DataFrame]) -> dict[str, D
             if name not in result or reference.on_delete != "null" or reference.parent not in gone:
                 continue
             df = result[name]
-            keys = _as_child(gone[reference.parent], reference).withColumn("_gone", F.lit(True))
+            keys = _as_child(gone[reference.parent], reference).distinct().withColumn("_gone", F.lit(True))
             column = reference.columns[0]
             result[name] = (
                 df.join(keys, column, "left")
@@ -127,15 +139,27 @@ def delete_rows(
         for name, keys in removed.items()
     }
     gone = removed_rows(tables, allowed)
-    return null_on_delete(_without(tables, allowed, gone), gone), refused
+    left = null_on_delete(_without(tables, allowed, gone), gone)
+    return _freed(tables, left), refused
 
 
 def cascade_rename_location(tables: Tables, renames: DataFrame) -> Tables:
     """Rename locations, on the locations and on their lots.
 
-    ``renames``: warehouse_id, location, new_location.
+    ``renames``: warehouse_id, location, new_location.  Two places may not end under one name: renaming
+    to the name of a place that stays, or two places to one name, is an error.
     """
     locations, lots = tables["locations"], tables["inventory"]
+    renames = renames.distinct()
+    named = (
+        locations.select("warehouse_id", "location")
+        .join(renames, ["warehouse_id", "location"], "left")
+        .groupBy("warehouse_id", F.coalesce("new_location", "location").alias("location"))
+        .count()
+    )
+    clash = named.filter("count > 1").first()
+    if clash:
+        raise ValueError(f"two locations would be named {clash['location']} at {clash['warehouse_id']}")
     moved = (
         locations.join(renames, ["warehouse_id", "location"], "left")
         .withColumn("location", F.coalesce("new_location", "location"))

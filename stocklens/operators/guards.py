@@ -56,7 +56,7 @@ def capacity_guard(tables: Tables, new_lots: DataFrame, order: str = "inventory_
         F.when(known, F.col("free_space")).alias("room"),
         "_range",
     )
-    verdicts = admit(demands)
+    verdicts = admit(demands, single=True)
     return (
         ranged.join(verdicts, "request_id", "left")
         .withColumn("rejection", F.when(~F.col("accepted"), F.lit(NO_SPACE)))

@@ -75,3 +75,10 @@ def landed(df: DataFrame, purpose: str = "step") -> DataFrame:
     path = run_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When ``path`` last changed, in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(place).getModificationTime()

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklens.functions.columns import day, stamp
-from stocklens.functions.scale import frequent_keys, with_position
-from stocklens.session import landed
+from stocklens.functions.scale import with_position
+from stocklens.session import modified
 
 #: Columns of the star-schema files; stated so that reading needs no look into the files.
 _FILES = {
@@ -43,6 +43,10 @@ _FILES = {
 
 _EPOCH = "1995-01-01 00:00:00"
 _LAST_DAY = "2001-07-31 00:00:00"
+#: Lot ids leave room for so many suppliers of a product.
+_LOT_ROOM = 1_000_000_000
+#: Numbered lines by application, file and time of change.
+_NUMBERED: dict[tuple[str, str, int], DataFrame] = {}
 
 _LINE_ORDER = [
     "l_linenumber",
@@ -61,10 +65,9 @@ _LINE_ORDER = [
 class StarTables(Mapping[str, DataFrame]):
     """Domain tables by name, each built on first use."""
 
-    def __init__(self, spark: SparkSession, folder: str, hot_order_rows: int = 50_000) -> None:
+    def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark = spark
         self._folder = folder.rstrip("/")
-        self._hot_order_rows = hot_order_rows
         self._built: dict[str, DataFrame] = {}
         self._makers: dict[str, Callable[[], DataFrame]] = {
             "warehouses": self._warehouses,
@@ -196,29 +199,36 @@ class StarTables(Mapping[str, DataFrame]):
             stamp(_EPOCH).alias("created_time"),
         )
 
-    def _lines(self) -> DataFrame:
-        """Order lines with their parties and a unique ``line_id``.
+    def _lines(self, status: str) -> DataFrame:
+        """Order lines of one status with their parties and a unique ``line_id``.
 
-        Orders meet customers before they meet the lines, so the wide lines shuffle once by
-        supplier (or not at all when suppliers are broadcast) and once by order; numbering the
-        lines of an order reuses that second partitioning.
+        The status is filtered on the stored lines before anything is joined.  Orders meet customers
+        before they meet the lines, so the wide lines shuffle once by supplier (or not at all when
+        suppliers are broadcast) and once by order.
         """
-        lines = self._read("lineitem")
+        lines = self._numbered().filter(F.col("l_linestatus") == status)
         orders = self._read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
         customers = self._read("customer").select("c_custkey", "c_nationkey")
         suppliers = self._read("supplier").select("s_suppkey", "s_nationkey")
         owned = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
-        joined = (
+        return (
             lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
             .drop("s_suppkey")
             .join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
             .drop("o_orderkey")
         )
-        hot = frequent_keys(lines, "l_orderkey", min_rows=self._hot_order_rows)
-        if not hot:
-            return _number_lines(joined)
-        usual = _number_lines(joined.filter(~F.col("l_orderkey").isin(hot)))
-        return usual.unionByName(_number_hot_lines(joined.filter(F.col("l_orderkey").isin(hot))))
+
+    def _numbered(self) -> DataFrame:
+        """All lines with their place in the order of orders and lines, which is unique for any data.
+
+        The numbering sorts by range, so an order may hold any number of lines.  It is stored once per
+        application and state of the file, and read by all queries that follow.
+        """
+        source = f"{self._folder}/lineitem.parquet"
+        key = (self._spark.sparkContext.applicationId, source, modified(self._spark, source))
+        if key not in _NUMBERED:
+            _NUMBERED[key] = with_position(self._read("lineitem"), ["l_orderkey", *_LINE_ORDER], "line_id")
+        return _NUMBERED[key]
 
     def _inbound_orders(self) -> DataFrame:
         quantity = F.col("l_quantity").cast("int")
@@ -226,8 +236,7 @@ class StarTables(Mapping[str, DataFrame]):
         done = F.col("o_orderstatus") == "F"
         partial = (F.col("o_orderstatus") == "P") & (F.col("l_linenumber") % 2 == 0)
         return (
-            self._numbered()
-            .filter(F.col("l_linestatus") == "F")
+            self._lines("F")
             .select(
                 F.col("line_id").alias("inbound_id"),
                 F.col("l_partkey").cast("int").alias("product_id"),
@@ -259,8 +268,7 @@ class StarTables(Mapping[str, DataFrame]):
         status, even = F.col("o_orderstatus"), F.col("l_linenumber") % 2 == 0
         customer = F.col("o_custkey")
         return (
-            self._numbered()
-            .filter(F.col("l_linestatus") == "O")
+            self._lines("O")
             .select(
                 F.col("line_id").alias("outbound_id"),
                 F.col("l_partkey").cast("int").alias("product_id"),
@@ -288,11 +296,6 @@ class StarTables(Mapping[str, DataFrame]):
             )
         )
 
-    def _numbered(self) -> DataFrame:
-        if "lines" not in self._built:
-            self._built["lines"] = self._lines()
-        return self._built["lines"]
-
     def _inventory(self) -> DataFrame:
         part, supp, units = F.col("l_partkey"), F.col("l_suppkey"), F.col("units")
         stocked = (
@@ -307,7 +310,7 @@ class StarTables(Mapping[str, DataFrame]):
             stocked.join(suppliers, supp == F.col("s_suppkey"))
             .join(parts, part == F.col("p_partkey"))
             .select(
-                (part * 1000000 + supp).alias("inventory_id"),
+                (part * _LOT_ROOM + supp).alias("inventory_id"),
                 part.cast("int").alias("product_id"),
                 F.col("s_nationkey").alias("warehouse_id"),
                 _location_code().alias("storage_location"),
@@ -345,7 +348,7 @@ class StarTables(Mapping[str, DataFrame]):
             .alias("adjustment_type"),
             (F.col("user_id") % 25).cast("int").alias("warehouse_id"),
             product.cast("int").alias("product_id"),
-            (product * 1000000 + F.col("user_id") % 10).alias("inventory_id"),
+            (product * _LOT_ROOM + F.col("user_id") % 10).alias("inventory_id"),
             before.alias("before_quantity"),
             (before + change).alias("after_quantity"),
             change.alias("quantity_change"),
@@ -378,26 +381,3 @@ def _created() -> Column:
 
 def _handled() -> Column:
     return F.col("o_orderdate") + F.make_dt_interval(hours=F.col("l_linenumber") * 10)
-
-
-def _number_lines(joined: DataFrame) -> DataFrame:
-    window = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
-    return joined.withColumn("line_id", F.col("l_orderkey") * 1000 + F.row_number().over(window))
-
-
-def _number_hot_lines(joined: DataFrame) -> DataFrame:
-    """The same numbering for orders too large for one task.
-
-    Lines are placed in one global order; the number within an order is the distance to the
-    order's first line.  The tie-break keeps equal lines spread as well; it is landed so that
-    a lost executor cannot change it.
-    """
-    tied = landed(joined.withColumn("_tie", F.monotonically_increasing_id()))
-    placed = with_position(tied, ["l_orderkey", *_LINE_ORDER, "_tie"], "_position")
-    # at most as many records as there are hot orders, which frequent_keys bounds
-    first = placed.groupBy("l_orderkey").agg(F.min("_position").alias("_first"))
-    return (
-        placed.join(F.broadcast(first), "l_orderkey")
-        .withColumn("line_id", F.col("l_orderkey") * 1000 + F.col("_position") - F.col("_first") + 1)
-        .drop("_tie", "_position", "_first")
-    )

@@ -14,9 +14,16 @@ from stocklens.functions.scale import (
     running_sums,
     with_position,
 )
+from stocklens.operators import admission
 from stocklens.operators.admission import admit
 
 SCHEMA = "request_id bigint, resource string, amount bigint, room bigint"
+KEYED = f"row bigint, {SCHEMA}"
+
+
+def keyed(rows):
+    """Demands in request order with a number of their own; requests may hold two."""
+    return [(i, *row) for i, row in enumerate(rows)]
 
 
 def one_after_the_other(rows):
@@ -47,33 +54,46 @@ def batch(seed, requests, resources, hot=False):
     return rows
 
 
-@pytest.mark.parametrize(
-    "limit, progress, rows_per_range",
-    [(50_000, 0.5, 200_000), (50_000, 0.5, 40), (0, 1.0, 40), (10, 0.0, 40)],
-    ids=["one-range", "one-task", "rounds", "range-by-range"],
-)
-def test_same_as_sequential(spark, limit, progress, rows_per_range):
+@pytest.mark.parametrize("rows_per_range", [200_000, 40, 3])
+def test_same_as_sequential(spark, rows_per_range):
     rows = batch(7, 160, 12, hot=True)
+    demands = in_ranges(spark.createDataFrame(keyed(rows), KEYED), "row", rows_per_range)
+    got = {r[0]: r[1] for r in admit(demands).collect()}
+    assert got == one_after_the_other(rows)
+
+
+@pytest.mark.parametrize("folded", [512, 2])
+@pytest.mark.parametrize("rows_per_range", [200_000, 40])
+def test_single_demands_same_as_sequential(spark, monkeypatch, folded, rows_per_range):
+    monkeypatch.setattr(admission, "FOLDED", folded)
+    rows = list({r[0]: r for r in reversed(batch(11, 220, 6, hot=True))}.values())
     demands = in_ranges(spark.createDataFrame(rows, SCHEMA), "request_id", rows_per_range)
-    got = {r[0]: r[1] for r in admit(demands, limit, progress).collect()}
+    got = {r[0]: r[1] for r in admit(demands, single=True).collect()}
     assert got == one_after_the_other(rows)
 
 
 def test_later_small_request_fits_after_a_rejected_one(spark):
     rows = [(1, "a", 5, 10), (2, "a", 9, 10), (3, "a", 4, 10)]
     demands = in_ranges(spark.createDataFrame(rows, SCHEMA), "request_id", 40)
-    for limit in (50_000, 0):
-        got = {r[0]: r[1] for r in admit(demands, limit).collect()}
+    for single in (True, False):
+        got = {r[0]: r[1] for r in admit(demands, single).collect()}
         assert got == {1: True, 2: False, 3: True}
 
 
+@pytest.mark.parametrize("ids", [(1, 2, 2), (1, None, 3)])
+def test_request_ids_must_be_unique(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids], "request_id bigint")
+    with pytest.raises(ValueError, match="unique"):
+        in_ranges(df, "request_id")
+
+
 def test_positions_and_running_values(spark):
     rows = [(i * 7 % 101, "hot" if i % 3 else "cold", i) for i in range(101)]
     df = spark.createDataFrame(rows, "id bigint, key string, value bigint")
     placed = {r["id"]: r["position"] for r in with_position(df, ["id"]).collect()}
     assert placed == {key: place for place, key in enumerate(sorted(placed), 1)}
     ranged = in_ranges(df, "id", 10)
-    assert ranged.select("_range").distinct().count() == 11
+    assert ranged.select("_range").distinct().count() > 8
     some = ranged.filter("key = 'hot'")
     numbered = {r["id"]: r["position"] for r in position_in_ranges(some, "id").collect()}
     assert numbered == {key: place for place, key in enumerate(sorted(numbered), 1)}
