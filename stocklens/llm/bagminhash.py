@@ -8,10 +8,11 @@ probability of exactly their weighted Jaccard similarity.  Points are drawn in o
 the time by which all slots are surely taken, so a text costs one draw per shingle and a few hundred more.
 
 Slots are joined in bands.  Texts that share a band are compared by their true multisets, and pairs of a
-similarity of ``THRESHOLD`` or more are linked.  Nothing is compared all against all: the smallest text of
-a band is compared with its others first; where texts of a band are still in different components, further
-centres follow, a few times as many each round, until every two texts of a band are in one component or
-have been compared.  Equal texts are one class from the start and are never compared.
+similarity of ``THRESHOLD`` or more are linked.  Nothing is compared all against all: a band's others are
+first compared with the text that stands in the most and largest bands, which lies in the middle of its
+group.  Where texts of a band are still in different components, further centres follow, until every two
+texts of a band are in one component, have been compared, or differ in too many rare shingles to be
+linked.  Equal texts are one class from the start and are never compared.
 
 Texts without a word are never linked; a repeated row of an id counts once; a missing id gives no row; an
 empty table gives an empty result; other columns of the input are not read.
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.llm.components import components
@@ -36,6 +37,11 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares none of the bands with a probability of (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
+#: A shingle is rare if only this share of the largest band of its texts has it; a text's rare ones are
+#: kept up to ``MOST_RARE``.
+RARE, MOST_RARE = 0.25, 256
+#: Bands of so many texts are compared without looking for rare shingles.
+OUTRIGHT = 24
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 #: Bits of a shingle's hash, which leaves the others for the number of a text in its batch.
@@ -251,9 +257,11 @@ def near_duplicates(
     members = landed(keyed.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "head").distinct(), "members")
     heads = members.filter("doc_id = head").select("doc_id")
     rows = sign.join(heads, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band")).distinct()
-    shared = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).filter("n > 1")
-    # bands with two texts or more, with the first centre of each
-    banded = landed(rows.join(shared.select("band", "centre"), "band"), "bands")
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members_of = landed(rows.join(shared, "band"), "bands")  # bands with two texts or more
+    # what stands in many large bands is near the middle of its group of near copies
+    weight = members_of.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    banded = landed(members_of.drop("n").join(weight, "doc_id"), "bands")
     candidates = banded.select("doc_id").distinct()
     texts = text_rows(docs, id_column, text_column).filter(F.col("doc_id").isNotNull())
     stored = landed(
@@ -263,42 +271,135 @@ def near_duplicates(
     return _labelled(ids, members, _classes(banded, stored, threshold))
 
 
+def _rare_shingles(texts: DataFrame) -> DataFrame:
+    """``doc_id``, ``size`` (shingles, with repetition) and ``rare``: those that few of these texts have.
+
+    ``texts`` has the size of each text's largest band as ``largest``.
+
+    The n-th repetition of a shingle is an element of its own, so sets of elements intersect as the
+    multisets do.  A text with too many rare ones gets none, which only means less is known of it.
+    """
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        owner, shingle = shingles([unpack(t) for t in rows["packed"]])
+        first = np.ones(len(owner), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
+        at = np.flatnonzero(first)
+        repetition = np.arange(len(owner)) - np.repeat(at, np.diff(np.append(at, len(owner))))
+        element = _mix(shingle + repetition.astype(np.uint64) * _GOLD)
+        sizes = np.bincount(owner, minlength=len(rows["doc_id"])).astype(np.int64)
+        return {
+            "doc_id": np.array(rows["doc_id"])[owner],
+            "size": sizes[owner],
+            "largest": np.array(rows["largest"])[owner],
+            "element": element.view(np.int64),
+        }
+
+    schema = f"doc_id {kind}, size bigint, largest bigint, element bigint"
+    elements = landed(by_batches(texts, run, schema), "elements")
+    counted = elements.groupBy("element").agg(F.count("*").alias("n"), F.max("largest").alias("largest"))
+    few = counted.filter(F.col("n") <= RARE * F.col("largest")).select("element")
+    rare = (
+        elements.join(few, "element")
+        .groupBy("doc_id")
+        .agg(F.max("size").alias("size"), F.collect_list("element").alias("rare"))
+    )
+    return rare.filter(F.size("rare") <= MOST_RARE)
+
+
+def _may_link(threshold: float) -> Column:
+    """Whether two texts may reach the threshold, by what is known of their rare shingles.
+
+    They share at most the others of either, and the rare ones that both have.
+    """
+    other = F.least(F.col("size") - F.size("rare"), F.col("a_size") - F.size("a_rare"))
+
+    def enough(shared: Column) -> Column:
+        return shared >= threshold * (F.col("size") + F.col("a_size") - shared)
+
+    surely = other + F.least(F.size("rare"), F.size("a_rare"))
+    exactly = other + F.size(F.array_intersect("rare", "a_rare"))
+    unknown = F.col("rare").isNull() | F.col("a_rare").isNull()
+    return unknown | (enough(surely) & enough(exactly))
+
+
+def _with_rare(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of still divided bands, with ``size`` and ``rare`` for the texts of the large ones."""
+    large = placed.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > OUTRIGHT)
+    docs = placed.join(large, "band").groupBy("doc_id").agg(F.max("n").alias("largest"))
+    rare = landed(_rare_shingles(texts.join(docs, "doc_id")), "rare")
+    rows = placed.select("band", "doc_id", "weight").join(rare, "doc_id", "left")
+    return landed(rows.select("band", "doc_id", "weight", "size", "rare"), "bands")
+
+
 def _classes(banded: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``node`` and ``component`` of the texts that are linked with another."""
-    members = banded.select("band", "doc_id")
-    used = banded.select("band", F.col("centre").alias("doc_id")).distinct()
-    pairs = banded.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-    known = None
-    slots = 4
+    """``node`` and ``component`` of the texts that are linked with another.
+
+    ``banded`` has a row per band and text, with the text's ``weight``.
+    """
+    heaviest = F.max(F.struct("weight", F.col("doc_id").alias("id")))["id"]
+    used = landed(banded.groupBy("band").agg(heaviest.alias("a")), "centres")
+    pairs = banded.join(used, "band").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    known, tested = None, None
+    wave = 0
     while True:
-        found = landed(_verified(landed(pairs.distinct(), "pairs"), texts, threshold), "verified")
-        known = _joined(known, found)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = landed(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        known = _joined(known, landed(_verified(pairs, texts, threshold), "verified"))
         # texts of a band that have not been its centre, and lie in different components
-        placed = members.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "band", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        )
-        open_ = placed.join(used, ["band", "doc_id"], "left_anti")
-        split = open_.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        split = landed(split.filter("least <> most"), "split")
-        if split.isEmpty():
+        placed, open_ = _divided(banded, known, used)
+        if wave == 0:
+            banded = _with_rare(placed, texts)
+            placed, open_ = _divided(banded, known, used)
+        if open_.isEmpty():
             return known
-        placed = landed(placed.join(split.select("band", "least"), "band"), "placed")
-        slot = F.pmod(F.xxhash64("doc_id", "band"), F.lit(slots))
-        centres = landed(
-            placed.filter(F.col("component") != F.col("least"))
-            .join(used, ["band", "doc_id"], "left_anti")
-            .groupBy("band", slot.alias("slot"))
-            .agg(F.min(F.struct("doc_id", "component")).alias("centre"))
-            .select("band", F.col("centre.doc_id").alias("a"), F.col("centre.component").alias("of")),
-            "centres",
-        )
-        pairs = (
-            placed.join(centres, "band")
-            .filter(F.col("component") != F.col("of"))
-            .select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+        main = open_.groupBy("band").agg(F.max(F.struct("weight", F.col("component").alias("of")))["of"].alias("main"))
+        centres = landed(_next_centres(open_.join(main, "band"), wave), "centres")
+        met = (placed["band"] == centres["band"]) & (F.col("component") != F.col("of")) & _may_link(threshold)
+        pairs = placed.join(centres, met).select("a", F.col("doc_id").alias("b"))
+        used = used.unionByName(centres.select("band", "a"))
+        wave += 1
+
+
+def _divided(banded: DataFrame, known: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of bands that may still hold unknown links, with ``component``: all, and those never a centre."""
+    placed = banded.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+        "component", F.coalesce("component", "doc_id")
+    )
+    been = used.withColumnRenamed("a", "doc_id")
+    open_ = placed.join(been, ["band", "doc_id"], "left_anti")
+    split = open_.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    split = landed(split.filter("least <> most").select("band"), "split")
+    placed = landed(placed.join(split, "band"), "placed")
+    return placed, placed.join(been, ["band", "doc_id"], "left_anti")
+
+
+def _next_centres(open_: DataFrame, wave: int) -> DataFrame:
+    """``band``, ``a`` and its component ``of``: the texts a band's others are compared with next.
+
+    First a few of the main component's heaviest, which most of the others are near to; then the texts
+    outside it themselves, more of them in each wave.
+    """
+    inside = F.col("component") == F.col("main")
+    slots = 8 if wave == 0 else 16 ** (wave + 1)
+    chosen = open_.filter(inside if wave == 0 else ~inside)
+    slot = F.pmod(F.xxhash64("doc_id", "band"), F.lit(slots))
+    best = F.max(
+        F.struct(
+            "weight",
+            F.col("doc_id").alias("a"),
+            F.col("component").alias("of"),
+            F.col("size").alias("a_size"),
+            F.col("rare").alias("a_rare"),
         )
-        used = used.unionByName(centres.select("band", F.col("a").alias("doc_id")))
-        slots *= 4
+    )
+    found = chosen.groupBy("band", slot.alias("slot")).agg(best.alias("c"))
+    return found.select("band", "c.a", "c.of", "c.a_size", "c.a_rare")
 
 
 def _joined(known: DataFrame | None, found: DataFrame) -> DataFrame:

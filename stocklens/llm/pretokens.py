@@ -131,7 +131,7 @@ def boundaries(symbols: np.ndarray, state: int = _START) -> np.ndarray:
         found, state = _scan(symbols[begin : begin + BLOCK], state)
         starts = (found & _HERE).astype(bool)
         starts[:-1] |= (found[1:] & _BEFORE).astype(bool)
-        if begin and found[0] & _BEFORE and parts[-1][-1:] != begin - 1:
+        if begin and found[0] & _BEFORE and begin - 1 not in parts[-1][-1:]:
             parts.append(np.array([begin - 1]))
         parts.append(np.flatnonzero(starts) + begin)
     return np.concatenate(parts) if parts else np.empty(0, np.int64)

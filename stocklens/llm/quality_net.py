@@ -49,9 +49,12 @@ class Network:
 
 
 def laid_out(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes with each text padded by zeros to whole blocks, blocks by text, bytes by text."""
+    """All bytes with each text padded by zeros to whole blocks, blocks by text, bytes by text.
+
+    There are always so many zeros that a filter or a lag never sees the text before.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    blocks = -(-(sizes + _LAGS + _TAPS) // BLOCK)
     padded = b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, blocks, strict=True))
     return np.frombuffer(padded, np.uint8), blocks, sizes
 
@@ -70,11 +73,13 @@ def _repeats(data: np.ndarray) -> np.ndarray:
     return found.reshape(-1, BLOCK).mean(1, dtype=np.float32)
 
 
-def _responses(data: np.ndarray, network: Network) -> np.ndarray:
+def _responses(data: np.ndarray, begin: int, end: int, network: Network) -> np.ndarray:
+    """The filters over the four bytes that end at each position from ``begin`` to ``end``."""
     first, second = network.prepared().pairs if network.pairs is None else network.pairs
-    following = np.concatenate([data, np.zeros(_TAPS, np.uint8)]).astype(np.int32)
-    two = (following[:-1] << 8) | following[1:]
-    count = len(data)
+    missing = np.zeros(max(0, _TAPS - 1 - begin), np.uint8)
+    seen = np.concatenate([missing, data[max(0, begin - _TAPS + 1) : end]]).astype(np.int32)
+    two = (seen[:-1] << 8) | seen[1:]
+    count = end - begin
     response = first[two[:count]]
     response += second[two[2 : count + 2]]
     return response
@@ -131,8 +136,8 @@ def score(texts: Sequence[str], network: Network) -> np.ndarray:
             margin = min(part, BLOCK)
             stop = min(part + _GROUP, len(data))
             repeats.append(_repeats(data[part - margin : stop])[margin // BLOCK :])
-            ahead = _responses(data[part : stop + _TAPS], network)[: stop - part]
-            pooled.append(ahead.reshape(-1, BLOCK, ahead.shape[1]).max(1))
+            response = _responses(data, part, stop, network)
+            pooled.append(response.reshape(-1, BLOCK, response.shape[1]).max(1))
         z = np.maximum(np.concatenate(pooled), 0)
         x = _features(z, np.concatenate(repeats), blocks, sizes)
         hidden = np.tanh(x @ network.inner + network.inner_bias)
@@ -186,7 +191,7 @@ def fitted(
 
 def _gradients(raw: list[bytes], y: np.ndarray, network: Network) -> dict[str, np.ndarray]:
     data, blocks, sizes = laid_out(raw)
-    padded = np.concatenate([data, np.zeros(_TAPS, np.uint8)])
+    padded = np.concatenate([np.zeros(_TAPS - 1, np.uint8), data])
     response = network.bias + sum(network.taps[j][padded[j : j + len(data)]] for j in range(_TAPS))
     by_block = response.reshape(-1, BLOCK, _FILTERS)
     at = by_block.argmax(1)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from stocklens.session import ship_package
 
 #: Rows, and about how many bytes of text, a function sees at once.
-ROWS, BYTES = 2_000, 8 << 20
+ROWS, BYTES = 2_000, 2 << 20
 
 
 def by_batches(
