@@ -1,0 +1,87 @@
+"""Every stage of the pipeline does its work on all that the one before has kept."""
+
+from __future__ import annotations
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from test_pairs import classes_of
+
+import corpus_pipeline
+from stocklens.llm import bpe, queries, secrets, toxicity
+from stocklens.session import landed
+
+
+@pytest.fixture(scope="module")
+def stages(spark, data):
+    docs = queries.table(spark, data, "documents")
+    found = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        found.append(landed(stage(spark, found[-1], data)))
+    return found
+
+
+def ids(df):
+    return [r["doc_id"] for r in df.select("doc_id").collect()]
+
+
+def test_columns_are_kept_until_the_last(stages):
+    for df in stages[:-1]:
+        assert df.dtypes == stages[0].dtypes
+
+
+def test_toxic_documents_go(spark, data, stages):
+    model = toxicity.fit(stages[0], queries.table(spark, data, "labels"))
+    scored = toxicity.scored(stages[0], model).filter(F.col("score") < queries.TOXIC_LEAST)
+    assert sorted(ids(stages[1])) == sorted(ids(scored))
+
+
+def test_one_of_each_group_stays(stages):
+    before = {r["doc_id"]: r["text"] or "" for r in stages[1].collect()}
+    assert sorted(ids(stages[2])) == sorted(set(classes_of(before).values()))
+
+
+def test_secrets_are_gone(stages):
+    before, after = ({r["doc_id"]: r for r in df.collect()} for df in stages[2:4])
+    assert before.keys() == after.keys()
+    scan = secrets.scanner()
+    found = secrets.spans([r["text"] for r in after.values()], scan)
+    assert not any(found)
+    assert any(before[i]["text"] != after[i]["text"] for i in before)
+    assert all(r["n_chars"] == len(r["text"]) for r in after.values())
+
+
+def test_mixing_repeats_and_loses_nothing(stages):
+    before, after = ids(stages[3]), ids(stages[4])
+    assert set(before) == set(after) and len(after) > len(before)
+
+
+def test_ids_are_those_of_the_library(stages):
+    path = public_tokenizers.path(queries.MULTI_VOCABULARY)
+    ranks = bpe.read_vocabulary(path).ranks
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+    text = {r["doc_id"]: r["text"] for r in stages[4].collect()}
+    rows = stages[5].collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(ids(stages[4]))
+    for r in rows:
+        assert np.frombuffer(r["token_ids"], "<u4").tolist() == library.encode_ordinary(text[r["doc_id"]])
+
+
+def test_run(spark, data, stages):
+    rows = corpus_pipeline.run(spark, data)
+    assert rows.columns == stages[5].columns and rows.count() == stages[5].count()
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_documents_pass_every_stage(spark, data, odd_docs, no_docs):
+    for docs, least in ((odd_docs, 5), (no_docs, 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, data)
+            assert after.count() >= least, name
+            if name != "byte_bpe":
+                assert after.columns == docs.columns
+                docs = landed(after)
