@@ -29,6 +29,31 @@ served as (
   from served s join wanted w on w.inventory_id = s.inventory_id and w.k = s.k + 1)
 """
 
+#: Receipts of the open orders, ``{batches}`` times over, at each place in order.
+_RECEIVING = """
+with recursive wanted as materialized (
+  select b.batch, o.inbound_id, o.warehouse_id, f.location, o.expected_quantity,
+         o.expected_quantity * p.volume as v, f.capacity - f.utilization as room,
+         row_number() over (partition by o.warehouse_id, f.location order by b.batch, o.inbound_id) as k
+  from inbound_orders o join products p on o.product_id = p.product_id
+  join filled_locations f on f.warehouse_id = o.warehouse_id
+    and f.location = 'Z-' || lpad(cast(cast(p.weight as int) as varchar), 2, '0')
+  cross join (select unnest(range({batches})) as batch) b
+  where o.status in ('pending', 'receiving')),
+served as (
+  select batch, inbound_id, warehouse_id, location, k, expected_quantity, v <= room as ok,
+         cast(case when v <= room then v else 0 end as decimal(28,4)) as used
+  from wanted where k = 1
+  union all
+  select w.batch, w.inbound_id, w.warehouse_id, w.location, w.k, w.expected_quantity, s.used + w.v <= w.room,
+         cast(s.used + case when s.used + w.v <= w.room then w.v else 0 end as decimal(28,4))
+  from served s join wanted w
+    on w.warehouse_id = s.warehouse_id and w.location = s.location and w.k = s.k + 1)
+"""
+
+_KNOWN_EXPIRED = """i.expiry_date < date '2001-08-01'
+    and exists (select 1 from employees e where e.employee_id = i.product_id)"""
+
 _REQUEST_LOTS = """
 lots as (
   select i.*, f.capacity - f.utilization as room,
@@ -262,5 +287,72 @@ union all select 'inbound_orders', count(*), cast(sum(inbound_id) as double) fro
 union all select 'outbound_orders', count(*), cast(sum(outbound_id) as double) from outbound_orders
 union all select 'inventory_adjustments', count(*), cast(sum(adjustment_id) as double)
 from inventory_adjustments
+""",
+    "inbound_orders_after_receipt": f"""
+{_RECEIVING.format(batches=1)}
+select o.inbound_id, case when s.ok then 'completed' else o.status end as status,
+       case when s.ok then s.expected_quantity else o.actual_quantity end as actual_quantity,
+       case when s.ok then {_AS_OF} else strftime(o.received_time, '%Y-%m-%d %H:%M:%S') end as received_time
+from inbound_orders o left join served s on o.inbound_id = s.inbound_id
+""",
+    "complete_inbound_twice": f"""
+{_RECEIVING.format(batches=2)}
+select f.warehouse_id, f.location,
+       round(cast(f.utilization + coalesce(max(s.used), 0) as double), 4) as utilization
+from filled_locations f left join served s on f.warehouse_id = s.warehouse_id and f.location = s.location
+group by f.warehouse_id, f.location, f.utilization
+""",
+    "locations_after_outbound": f"""
+{_SHIPPING},
+taken as (
+  select s.inventory_id, sum(w.q) as q from served s join wanted w on s.outbound_id = w.outbound_id
+  where s.ok group by s.inventory_id),
+fresh as (
+  select i.warehouse_id, i.storage_location as location,
+         sum((i.total_quantity - coalesce(t.q, 0)) * p.volume) as used
+  from inventory i join products p on i.product_id = p.product_id
+  left join taken t on i.inventory_id = t.inventory_id
+  group by i.warehouse_id, i.storage_location)
+select l.warehouse_id, l.location, round(cast(coalesce(f.used, 0) as double), 4) as utilization
+from locations l left join fresh f on l.warehouse_id = f.warehouse_id and l.location = f.location
+""",
+    "locations_after_split": """
+select warehouse_id, location, round(cast(utilization as double), 4) as utilization from filled_locations
+""",
+    "locations_after_write_off": f"""
+with fresh as (
+  select i.warehouse_id, i.storage_location as location, sum(i.total_quantity * p.volume) as used
+  from inventory i join products p on i.product_id = p.product_id
+  where not ({_KNOWN_EXPIRED}) group by i.warehouse_id, i.storage_location)
+select l.warehouse_id, l.location, round(cast(coalesce(f.used, 0) as double), 4) as utilization
+from locations l left join fresh f on l.warehouse_id = f.warehouse_id and l.location = f.location
+""",
+    "lots_after_write_off": f"""
+select i.inventory_id, case when {_KNOWN_EXPIRED} then 0 else total_quantity end as total_quantity,
+       case when {_KNOWN_EXPIRED} then 0 else locked_quantity end as locked_quantity,
+       case when {_KNOWN_EXPIRED} then 0 else available_quantity end as available_quantity
+from inventory i
+""",
+    "staff_after_status_changes": """
+with asked as (
+  select operator, arg_max(case adjustment_type when 'write_off' then 'leave' when 'split' then 'active'
+                           else 'terminated' end, adjustment_id) as status
+  from inventory_adjustments where adjustment_type in ('write_off', 'split', 'transfer') group by operator)
+select e.employee_id, coalesce(a.status, e.employment_status) as employment_status
+from employees e left join asked a on e.employee_id = a.operator
+""",
+    "lots_after_cascade": """
+select i.inventory_id, i.product_id, i.warehouse_id from inventory i
+where i.warehouse_id not in (select warehouse_id from warehouses where status = 'inactive')
+  and i.product_id not in (select product_id from products where status = 'discontinued')
+""",
+    "locations_after_cascade": """
+with fresh as (
+  select i.warehouse_id, i.storage_location as location, sum(i.total_quantity * p.volume) as used
+  from inventory i join products p on i.product_id = p.product_id
+  where p.status <> 'discontinued' group by i.warehouse_id, i.storage_location)
+select l.warehouse_id, l.location, round(cast(coalesce(f.used, 0) as double), 4) as utilization
+from locations l left join fresh f on l.warehouse_id = f.warehouse_id and l.location = f.location
+where l.warehouse_id not in (select warehouse_id from warehouses where status = 'inactive')
 """,
 }

@@ -32,6 +32,8 @@ Tables = Mapping[str, DataFrame]
 AS_OF = "2001-08-01 00:00:00"
 MONTH = "1998-03"
 EXPIRY_DAYS = 10
+#: What the queries for a single warehouse, product, ... ask for.
+ONE = {"warehouse": 3, "product": 7, "supplier": 5, "employee": 11, "category": "ECONOMY"}
 
 
 #: Whole-number columns with missing values, per query.
@@ -44,6 +46,8 @@ OPTIONAL_NUMBERS = {
     "complete_outbound": ("inventory_id",),
     "null_on_delete": ("first_reference", "second_reference"),
     "query_inventory": ("parent_inventory_id",),
+    "inbound_orders_after_receipt": ("actual_quantity",),
+    "details_of_one_employee": ("warehouse_id",),
 }
 
 
@@ -134,6 +138,57 @@ def _capacity_guard(t: Tables) -> DataFrame:
     return guards.capacity_guard(t, t["inventory"]).select("inventory_id", "rejection")
 
 
+def _inbound_orders_after(t: Tables) -> DataFrame:
+    """All inbound orders after the open ones were received."""
+    t = with_utilization(_stored(t, "inbound_orders"))
+    after = commands.complete_inbound(t, requests.receive_open_orders(t), AS_OF).tables
+    return after["inbound_orders"].select("inbound_id", "status", "actual_quantity", "received_time")
+
+
+def _complete_inbound_twice(t: Tables) -> DataFrame:
+    """Space after the open orders were received and delivered once more, into what is left."""
+    t = with_utilization(_stored(t, "inbound_orders"))
+    asked = requests.receive_open_orders(t)
+    once = commands.complete_inbound(t, asked, AS_OF).tables
+    return _space(commands.complete_inbound(once, asked, AS_OF).tables["locations"])
+
+
+def _space_after_outbound(t: Tables) -> DataFrame:
+    t = with_utilization(_stored(t, "outbound_orders", "inventory"))
+    return _space(commands.complete_outbound(t, requests.ship_open_orders(t), AS_OF).tables["locations"])
+
+
+def _space_after_split(t: Tables) -> DataFrame:
+    """Splitting within a place changes nothing there."""
+    t = with_utilization(_stored(t, "inventory"))
+    return _space(commands.split_inventory(t, requests.split_every_lot(t), AS_OF).tables["locations"])
+
+
+def _after_write_off(t: Tables) -> Tables:
+    t = with_utilization(t)
+    return commands.write_off_lots(t, requests.drop_expired_lots(t, AS_OF), AS_OF).tables
+
+
+def _lots_after_write_off(t: Tables) -> DataFrame:
+    return _after_write_off(t)["inventory"].select(
+        "inventory_id", "total_quantity", "locked_quantity", "available_quantity"
+    )
+
+
+def _staff_after_status(t: Tables) -> DataFrame:
+    after = commands.update_employee_status(t, requests.status_after_each_adjustment(t)).tables
+    return after["employees"].select("employee_id", "employment_status")
+
+
+def _space_after_cascade(t: Tables) -> DataFrame:
+    t = with_utilization(t)
+    return _space(deletes.cascade_delete(t, _retired(t))["locations"])
+
+
+def _kept_lots_after_cascade(t: Tables) -> DataFrame:
+    return deletes.cascade_delete(t, _retired(t))["inventory"].select("inventory_id", "product_id", "warehouse_id")
+
+
 def _on_insert(t: Tables) -> DataFrame:
     """Held lots are the new ones; untouched locations keep their stored 0."""
     return _space(utilization.utilization_on_insert(t, t["inventory"].filter("inventory_status = 'hold'")))
@@ -296,6 +351,22 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "null_on_delete": _null_on_delete,
     "restrict_delete": _restrict_delete,
     "cascade_rename_location": _rename_location,
+    "inbound_orders_after_receipt": _inbound_orders_after,
+    "complete_inbound_twice": _complete_inbound_twice,
+    "locations_after_outbound": _space_after_outbound,
+    "locations_after_split": _space_after_split,
+    "locations_after_write_off": lambda t: _space(_after_write_off(t)["locations"]),
+    "lots_after_write_off": _lots_after_write_off,
+    "staff_after_status_changes": _staff_after_status,
+    "locations_after_cascade": _space_after_cascade,
+    "lots_after_cascade": _kept_lots_after_cascade,
+    "inventory_of_one_warehouse": lambda t: stock.warehouse_inventory_overview(t, ONE["warehouse"]),
+    "suppliers_of_one_product": lambda t: suppliers.product_suppliers(t, ONE["product"]),
+    "products_of_one_supplier": lambda t: suppliers.supplier_products_detail(t, ONE["supplier"]),
+    "details_of_one_employee": lambda t: workforce.employee_details(t, ONE["employee"]),
+    "operations_of_one_employee": lambda t: workforce.employee_operation_stats(t, ONE["employee"]),
+    "staff_of_one_warehouse": lambda t: workforce.warehouse_employee_distribution(t, ONE["warehouse"]),
+    "stock_of_one_category": lambda t: stock.category_inventory_overview(t, ONE["category"]),
 }
 
 

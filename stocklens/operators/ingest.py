@@ -57,7 +57,9 @@ def ingest_batch(
     space at their location.  A rejected row neither holds its key nor takes space.
     """
     table = schemas.TABLES[name]
-    rows = with_defaults(batch, table, as_of).withColumn("violations", violations(table))
+    no_key = [F.when(F.col(c).isNull(), F.lit(f"{c}_required")) for c in table.key]
+    broken = F.array_union(violations(table), F.array_compact(F.array(*no_key)))
+    rows = with_defaults(batch, table, as_of).withColumn("violations", broken)
     rows = _guarded(tables, name, rows)
     if check_references:
         rows = _with_orphans(tables, table, rows)

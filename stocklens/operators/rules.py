@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.functions.columns import not_false
+from stocklens.session import landed
 from stocklens.sources.schemas import ALERT_TABLES, TABLES, Reference, Table
 
 Tables = Mapping[str, DataFrame]
@@ -151,18 +152,44 @@ def audit_unique(tables: Tables) -> DataFrame:
     return _all(parts)
 
 
-def with_orphan_rules(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> DataFrame:
+def parent_keys(tables: Tables) -> dict[tuple[str, tuple[str, ...]], DataFrame]:
+    """The distinct keys of every table that others refer to, landed once for all its children."""
+    wanted = {
+        (r.parent, tuple(r.parent_columns))
+        for name, table in {**TABLES, **ALERT_TABLES}.items()
+        if name in tables
+        for r in table.references
+        if r.parent in tables
+    }
+    return {
+        (parent, columns): landed(tables[parent].select(*columns).distinct(), f"keys-{parent}")
+        for parent, columns in sorted(wanted)
+    }
+
+
+def with_orphan_rules(
+    df: DataFrame,
+    table: Table,
+    parents: Mapping[str, DataFrame],
+    known: Mapping[tuple[str, tuple[str, ...]], DataFrame] | None = None,
+) -> DataFrame:
     """``df`` plus ``broken_references``: names of complete references that find no parent.
 
     All references of a row are looked up in one pass over the table; an incomplete reference
-    passes.  Parent keys are made distinct first, so a repeated parent does not repeat rows.
+    passes.  Parent keys are made distinct first, so a repeated parent does not repeat rows; ``known``
+    holds those from :func:`parent_keys`.
     """
     marks = []
     for number, reference in enumerate(table.references):
         if reference.parent not in parents:
             continue
         pairs = zip(reference.columns, reference.parent_columns, strict=True)
-        keys = parents[reference.parent].select(*[F.col(p).alias(c) for c, p in pairs]).distinct()
+        renamed = [F.col(p).alias(c) for c, p in pairs]
+        key = (reference.parent, tuple(reference.parent_columns))
+        if known and key in known:
+            keys = known[key].select(*renamed)
+        else:
+            keys = parents[reference.parent].select(*renamed).distinct()
         found = f"_parent_{number}"
         df = df.join(keys.withColumn(found, F.lit(True)), list(reference.columns), "left")
         complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in reference.columns])
@@ -177,13 +204,14 @@ def reference_rule(reference: Reference) -> str:
 
 def audit_foreign_keys(tables: Tables) -> DataFrame:
     """Orphans of every reference of the base tables and, when given, the alert tables."""
+    known = parent_keys(tables)
     parts = []
     for name, df in _present(tables, {**TABLES, **ALERT_TABLES}):
         table = {**TABLES, **ALERT_TABLES}[name]
         used = dict.fromkeys([*table.key, *[c for r in table.references for c in r.columns]])
         if any(r.parent in tables for r in table.references):
             parts.append(
-                with_orphan_rules(df.select(*used), table, tables).select(
+                with_orphan_rules(df.select(*used), table, tables, known).select(
                     F.lit(name).alias("table_name"),
                     key_text(table).alias("row_key"),
                     F.explode("broken_references").alias("rule"),

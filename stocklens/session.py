@@ -10,6 +10,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Landed steps by application, for :func:`discard_steps`.
+_STEPS: dict[str, list[str]] = {}
+
+
 def local_session(cores: int | str = "*", app: str = "stocklens", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own session."""
     builder = (
@@ -70,10 +74,12 @@ def landed(df: DataFrame, purpose: str = "step") -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage for good: later stages read columns of files, an executor lost meanwhile costs
-    nothing that was written, and the planner knows the size.
+    nothing that was written, and the planner knows the size.  The step stays until
+    :func:`discard_steps`.
     """
     path = run_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    _STEPS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -82,3 +88,20 @@ def modified(spark: SparkSession, path: str) -> int:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
     return system.getFileStatus(place).getModificationTime()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def discard_steps(spark: SparkSession) -> None:
+    """Delete what this application has landed below the shared folder.
+
+    Tables of an outcome are read from landed steps, so call this once they are written elsewhere.
+    """
+    taken = _STEPS.pop(spark.sparkContext.applicationId, [])
+    for path in taken:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

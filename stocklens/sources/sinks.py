@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stocklens.functions.columns import month_bounds, stamp
 from stocklens.sources.schemas import SUPPLIER_MONTHLY_REPORT, TABLES
 
 Tables = Mapping[str, DataFrame]
 
+_NOTICE = "run string, described string, published_at timestamp"
+
 
 def append_rows(rows: DataFrame, folder: str) -> None:
     """Add rows, such as the accepted part of an ingest, to a stored table."""
@@ -31,12 +36,27 @@ def read_monthly_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_alerts(alerts: DataFrame, folder: str) -> None:
-    """Replace the alert table by a fresh evaluation: one row per late order, closed ones gone."""
-    alerts.write.mode("overwrite").partitionBy("direction").parquet(folder)
+    """Publish a fresh evaluation of the alert table: one row per late order, closed ones gone.
+
+    It is written to a folder of its own and then announced with its schema, so readers always find a
+    whole table, before, during and after.
+    """
+    session, run = alerts.sparkSession, uuid.uuid4().hex
+    alerts.write.partitionBy("direction").parquet(f"{folder}/runs/{run}")
+    notice = session.range(1).select(
+        F.lit(run).alias("run"),
+        F.lit(alerts.schema.json()).alias("described"),
+        F.current_timestamp().alias("published_at"),
+    )
+    notice.write.mode("append").parquet(f"{folder}/published")
 
 
 def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
+    """The alert table announced last, also when it holds no alert."""
+    published = spark.read.schema(_NOTICE).parquet(f"{folder}/published")
+    last = published.agg(F.max_by(F.struct("run", "described"), F.struct("published_at", "run"))).first()[0]
+    schema = T.StructType.fromJson(json.loads(last["described"]))
+    return spark.read.schema(schema).parquet(f"{folder}/runs/{last['run']}")
 
 
 def publish_snapshot(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from stocklens.operators.alerts import RULES, DelayRule, alert_columns, is_late
 from stocklens.sources.schemas import TABLES
-from stocklens.streaming.feeds import per_batch, run_available
+from stocklens.streaming.feeds import compact, per_batch, run_available, written
 
 
 def change_schema(direction: str) -> T.StructType:
@@ -54,8 +54,19 @@ def stream_delay_alerts(
     run_available(feed, per_batch(lambda b: alert_changes(b, rule, as_of), alerts), state, "append")
 
 
+def _alert_feed(spark: SparkSession, direction: str) -> T.StructType:
+    nothing = spark.createDataFrame([], change_schema(direction))
+    return alert_changes(nothing, RULES[direction], "2000-01-01").schema
+
+
 def current_alerts(spark: SparkSession, direction: str, alerts: str) -> DataFrame:
     """The alert table: the latest alert per order that has not been cleared."""
     key = RULES[direction].order_id
-    rows = spark.read.option("basePath", alerts).parquet(alerts).drop("batch")
+    rows = written(spark, alerts, _alert_feed(spark, direction))
     return _latest(rows, key).filter(F.col("alert").isNotNull()).select(key, "alert.*")
+
+
+def compact_alerts(spark: SparkSession, direction: str, alerts: str) -> None:
+    """Fold the feed so far into one row per order; a cleared order keeps its row, as changes may be late."""
+    key = RULES[direction].order_id
+    compact(spark, alerts, _alert_feed(spark, direction), lambda rows: _latest(rows, key))

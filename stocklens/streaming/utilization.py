@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stocklens.streaming.feeds import per_batch, run_available
+from stocklens.streaming.feeds import compact, per_batch, run_available, written
 
 _SIDE = T.StructType(
     [
@@ -27,6 +27,15 @@ LOT_CHANGES = T.StructType(
 )
 
 
+_TOTALS = T.StructType(
+    [
+        T.StructField("warehouse_id", T.IntegerType()),
+        T.StructField("location", T.StringType()),
+        T.StructField("space", T.DecimalType(28, 4)),
+    ]
+)
+
+
 def lot_side(present: Column | None = None) -> Column:
     """The lot columns of a row as one side of a change."""
     side = F.struct(*[f.name for f in _SIDE])
@@ -78,8 +87,8 @@ def stream_location_utilization(
 
 def current_utilization(spark: SparkSession, locations: DataFrame, totals: str) -> DataFrame:
     """Used space of every location after all batches, 0 where no lot ever was."""
-    written = spark.read.option("basePath", totals).parquet(totals)
-    used = written.groupBy("warehouse_id", "location").agg(F.sum("space").alias("utilization"))
+    used = written(spark, totals, _TOTALS).groupBy("warehouse_id", "location")
+    used = used.agg(F.sum("space").alias("utilization"))
     return (
         locations.select("warehouse_id", "location")
         .join(used, ["warehouse_id", "location"], "left")
@@ -87,3 +96,13 @@ def current_utilization(spark: SparkSession, locations: DataFrame, totals: str)
             "utilization", F.coalesce("utilization", F.lit(0)).cast("decimal(28,4)")
         )
     )
+
+
+def compact_utilization(spark: SparkSession, totals: str) -> None:
+    """Fold the batches so far into one record per location."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        summed = rows.groupBy("warehouse_id", "location").agg(F.sum("space").alias("space"))
+        return summed.withColumn("space", F.col("space").cast("decimal(28,4)"))
+
+    compact(spark, totals, _TOTALS, fold)
