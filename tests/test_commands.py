@@ -328,3 +328,37 @@ def test_status_changes_name_old_and_new(spark, ranges):
     assert said[102] == said[103] == "unknown status"
     state = by_id(outcome.tables["employees"], "employee_id")
     assert (state[1]["employment_status"], state[2]["employment_status"]) == ("active", "active")
+
+
+def test_chained_receipts_do_not_overfill(spark):
+    t = small.tables(
+        spark,
+        warehouses=[warehouse(1)],
+        locations=[place(1, "A", 10)],
+        products=[product(1)],
+        employees=[person(1, 1)],
+        inbound_orders=[inbound(1, quantity=8), inbound(2, quantity=8)],
+    )
+    once = commands.complete_inbound(t, spark.createDataFrame([(1, 1, 8, "A")], RECEIPTS), AS_OF)
+    assert [float(r["utilization"]) for r in once.tables["locations"].collect()] == [8.0]
+    again = commands.complete_inbound(once.tables, spark.createDataFrame([(2, 2, 8, "A")], RECEIPTS), AS_OF)
+    assert [r["accepted"] for r in again.results.collect()] == [False]
+    assert [float(r["utilization"]) for r in again.tables["locations"].collect()] == [8.0]
+
+
+def test_split_moves_space_between_places(spark):
+    t = small.tables(
+        spark,
+        warehouses=[warehouse(1)],
+        locations=[place(1, "A", 20, 10), place(1, "B", 7, 3)],
+        products=[product(1)],
+        employees=[person(1, 1)],
+        inventory=[lot(1, total=10), lot(2, where="B", total=3)],
+    )
+    asked = [(1, 1, 4, 1, 1, "B"), (2, 1, 1, 1, 1, "B"), (3, 2, 2, 1, 1, "A"), (4, 1, 2, 1, 1, "B")]
+    done = commands.split_inventory(t, spark.createDataFrame(asked, SPLITS), AS_OF)
+    verdicts = {r["request_id"]: r["accepted"] for r in done.results.collect()}
+    assert verdicts == {1: True, 2: False, 3: True, 4: True}
+    space = {r["location"]: float(r["utilization"]) for r in done.tables["locations"].collect()}
+    assert space == {"A": 6.0, "B": 7.0}
+

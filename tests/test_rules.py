@@ -228,3 +228,43 @@ def test_rename_location_reaches_its_lots(spark):
     assert {(r[0], r[1]) for r in after["locations"].select("warehouse_id", "location").collect()} == {(1, "Z"), (2, "A")}
     got = {r["inventory_id"]: r["storage_location"] for r in after["inventory"].collect()}
     assert got == {1: "Z", 2: "A", 3: None}
+
+
+def test_rename_may_not_take_a_name_in_use(spark):
+    t = small.tables(spark, warehouses=[warehouse(1)], locations=[place(1, n, 10) for n in "ABC"])
+    schema = "warehouse_id int, location string, new_location string"
+    for renames in ([(1, "A", "B")], [(1, "A", "X"), (1, "B", "X")]):
+        with pytest.raises(ValueError, match="would be named"):
+            deletes.cascade_rename_location(t, spark.createDataFrame(renames, schema))
+    swapped = deletes.cascade_rename_location(t, spark.createDataFrame([(1, "A", "B"), (1, "B", "A"), (1, "A", "B")], schema))
+    assert sorted(r["location"] for r in swapped["locations"].collect()) == ["A", "B", "C"]
+
+
+def test_repeated_keys_do_not_repeat_rows(spark):
+    t = small.tables(spark, warehouses=[warehouse(1)], employees=[person(1, 1)])
+    gone = spark.createDataFrame([(1,), (1,)], "warehouse_id int")
+    assert deletes.null_on_delete(t, {"warehouses": gone})["employees"].count() == 1
+
+
+def test_deleted_lots_free_their_place(spark):
+    t = small.tables(
+        spark,
+        warehouses=[warehouse(1)],
+        locations=[place(1, "A", 50, 30), place(1, "B", 50, 7)],
+        products=[product(1), product(2)],
+        inventory=[lot(1, 1, total=10), lot(2, 2, total=20), lot(3, 2, where="B", total=7)],
+    )
+    gone = spark.createDataFrame([(1,)], "product_id int")
+    left = deletes.cascade_delete(t, {"products": gone})["locations"]
+    assert {r["location"]: float(r["utilization"]) for r in left.collect()} == {"A": 20.0, "B": 7.0}
+
+
+def test_ingest_refuses_incomplete_keys(spark):
+    t = small.tables(spark)
+    rows = [(1, None, 1), (2, 1, None), (3, 1, 1)]
+    batch = spark.createDataFrame(rows, "row_order bigint, supplier_id int, product_id int")
+    done = ingest_batch(t, "supplier_products", batch, NOW)
+    refused = {r["row_order"]: r["violations"] for r in done.rejected.collect()}
+    assert "supplier_id_required" in refused[1] and "product_id_required" in refused[2]
+    assert rules.audit_primary_keys({**t, "supplier_products": done.accepted}).count() == 0
+

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 import small
 from pyspark.sql import functions as F
 from small import inbound, lot, place, product, warehouse
 
+from stocklens import session
 from stocklens.functions.metrics import location_utilization
-from stocklens.operators.alerts import INBOUND, delay_alerts
+from stocklens.operators.alerts import INBOUND, delay_alerts, sweep_delay_alerts
 from stocklens.plans import suppliers
 from stocklens.session import landed, shared_folder
 from stocklens.sources import sinks
@@ -138,6 +140,14 @@ def test_alert_stream_ends_at_the_batch_result(spark, tmp_path):
     want = delay_alerts(last, INBOUND, NOW)
     assert rows(alert_stream.current_alerts(spark, "inbound", target)) == rows(want)
     assert {r["inbound_id"] for r in want.collect()} == {2, 4}
+    alert_stream.compact_alerts(spark, "inbound", target)
+    assert rows(alert_stream.current_alerts(spark, "inbound", target)) == rows(want)
+    late = small.table(spark, "inbound_orders", [inbound(2, created_time=old, status="completed")])
+    late.withColumn("change_seq", F.lit(20).cast("bigint")).coalesce(1).write.mode("append").parquet(feed)
+    alert_stream.stream_delay_alerts(spark, "inbound", feed, target, state, NOW)
+    alert_stream.compact_alerts(spark, "inbound", target)
+    assert {r["inbound_id"] for r in alert_stream.current_alerts(spark, "inbound", target).collect()} == {4}
+    assert alert_stream.current_alerts(spark, "inbound", str(tmp_path / "nothing")).count() == 0
 
 
 def test_space_stream_ends_at_the_batch_result(spark, tmp_path):
@@ -172,3 +182,33 @@ def test_space_stream_ends_at_the_batch_result(spark, tmp_path):
     got = space_stream.current_utilization(spark, t["locations"], totals)
     assert rows(got) == rows(want)
     assert {r["location"]: float(r["utilization"]) for r in got.collect()} == {"A": 0.0, "B": 15.0, "C": 0.0}
+    space_stream.compact_utilization(spark, totals)
+    assert rows(space_stream.current_utilization(spark, t["locations"], totals)) == rows(want)
+
+
+def test_alert_table_is_whole_throughout(spark, tmp_path):
+    target = str(tmp_path / "alerts")
+    old = "2025-11-01T00:00:00"
+    orders = small.tables(spark, inbound_orders=[inbound(1, created_time=old)])
+    sinks.write_alerts(sweep_delay_alerts(orders, NOW), target)
+    before = sinks.read_alerts(spark, target)
+    closed = small.tables(spark, inbound_orders=[inbound(1, created_time=old, status="completed")])
+    sinks.write_alerts(sweep_delay_alerts(closed, NOW), target)
+    assert before.count() == 1  # a reader that began earlier still finds its table
+    after = sinks.read_alerts(spark, target)
+    assert after.count() == 0 and sorted(after.columns) == sorted(before.columns)
+
+
+def test_shared_folder_is_demanded_and_cleared(spark, monkeypatch):
+    kept = landed(spark.range(3))
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    other = session._STEPS.pop(spark.sparkContext.applicationId)
+    session._STEPS[spark.sparkContext.applicationId] = [path]
+    session.discard_steps(spark)
+    assert not os.path.exists(path)
+    session._STEPS[spark.sparkContext.applicationId] = [p for p in other if p != path]
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(spark)
