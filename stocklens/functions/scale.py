@@ -40,12 +40,16 @@ def in_ranges(df: DataFrame, order: str, rows_per_range: int | None = None) -> D
     return placed
 
 
-def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+def with_position(
+    df: DataFrame, order: Sequence[str], name: str = "position", lasting: bool = False
+) -> DataFrame:
     """Add the dense position (1, 2, …) of each row in ``order`` over the whole table."""
     placed = landed(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "positions",
+        lasting,
     )
     split = placed.withColumn("_range", F.shiftright("_at", _ROW_BITS)).withColumn(
         "_row", F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))

@@ -70,16 +70,17 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_folder(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
-def landed(df: DataFrame, purpose: str = "step") -> DataFrame:
+def landed(df: DataFrame, purpose: str = "step", lasting: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage for good: later stages read columns of files, an executor lost meanwhile costs
     nothing that was written, and the planner knows the size.  The step stays until
-    :func:`discard_steps`.
+    :func:`discard_steps`, a ``lasting`` one beyond.
     """
     path = run_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    _STEPS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    if not lasting:
+        _STEPS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

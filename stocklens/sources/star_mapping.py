@@ -227,7 +227,8 @@ class StarTables(Mapping[str, DataFrame]):
         source = f"{self._folder}/lineitem.parquet"
         key = (self._spark.sparkContext.applicationId, source, modified(self._spark, source))
         if key not in _NUMBERED:
-            _NUMBERED[key] = with_position(self._read("lineitem"), ["l_orderkey", *_LINE_ORDER], "line_id")
+            order = ["l_orderkey", *_LINE_ORDER]
+            _NUMBERED[key] = with_position(self._read("lineitem"), order, "line_id", lasting=True)
         return _NUMBERED[key]
 
     def _inbound_orders(self) -> DataFrame:
