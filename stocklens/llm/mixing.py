@@ -197,8 +197,12 @@ def fitted_rate(
     present = _totals(member, F.lit(1.0), count)
     wanted = _targets(model.domains, present, weights, only_more)
     rate: Column = F.lit(max(1.0, floor))
+    before = None
     for _ in range(STEPS):
         totals = _totals(member, rate, count)
+        if before and all(abs(a - b) <= TOLERANCE * t for a, b, t in zip(totals, before, present, strict=True)):
+            break  # as near as the floor lets it come
+        before = totals
         error = [(totals[k] - wanted[k]) / present[k] if present[k] > 0 else 0.0 for k in range(count)]
         if max(map(abs, error), default=0.0) < TOLERANCE:
             break

@@ -119,22 +119,37 @@ class LanguageModel:
     __hash__ = object.__hash__
 
 
-def language_model(words: Counter) -> LanguageModel:
-    letters = Counter()
-    for word, n in words.items():
-        for c in word:
-            letters[c] += n
-    known = {c: i for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: _LETTERS - 1], 1)}
-    counts = np.zeros((_LETTERS,) * 3)
-    for word, n in words.items():
-        codes = [0, 0, *(known.get(c, 0) for c in word), 0]
-        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
-            counts[a, b, c] += n
+def language_model(texts: Sequence[str]) -> LanguageModel:
+    """Counted over the words of lower-case texts, a few texts at a time."""
+    letters: Counter = Counter()
+    for codes in _codes(texts):
+        found, n = np.unique(codes[_kinds()[codes] == _LETTER], return_counts=True)
+        letters.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
+    ranked = sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: _LETTERS - 1]
+    index = np.zeros(0x110000, np.int64)
+    for i, (code, _) in enumerate(ranked, 1):
+        index[code] = i
+    counts = np.zeros(_LETTERS**3)
+    for codes in _codes(texts):
+        inside = np.concatenate([[False, False], _kinds()[codes] == _LETTER, [False]])
+        c = np.where(inside, np.concatenate([[0, 0], index[codes], [0]]), 0)
+        before = np.where(inside[1:-1], c[:-2], 0)  # nothing of the word before stands before its edge
+        of_word = inside[2:] | inside[1:-1]
+        triple = (before * _LETTERS + c[1:-1]) * _LETTERS + c[2:]
+        counts += np.bincount(triple[of_word], minlength=_LETTERS**3)
+    counts = counts.reshape((_LETTERS,) * 3)
     two, one = counts.sum(0), counts.sum((0, 1))
     base = (one + 1) / (one.sum() + _LETTERS)
     mid = (two + 5 * base) / (two.sum(1, keepdims=True) + 5)
     full = (counts + 5 * mid) / (counts.sum(2, keepdims=True) + 5)
-    return LanguageModel(known, np.log(full))
+    return LanguageModel({chr(code): i for i, (code, _) in enumerate(ranked, 1)}, np.log(full))
+
+
+def _codes(texts: Sequence[str]):
+    for begin in range(0, len(texts), 200):
+        joined = "\n".join(texts[begin : begin + 200]).lower()
+        if joined:
+            yield np.frombuffer(joined.encode("utf-32-le"), np.uint32)
 
 
 def _readings(c: str) -> list[tuple[str, float]]:
@@ -307,10 +322,7 @@ def _sigmoid(x):
 def fitted(texts: Sequence[str], labels: Sequence[int], share: float) -> Model:
     """``share``: the toxic share of all labelled rows, as the sample holds both labels about evenly."""
     y = np.asarray(labels, int)
-    plain = Counter()
-    for text in texts:
-        plain.update(w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) > 1)
-    language = language_model(plain)
+    language = language_model(texts)
     sizes = (int((y == 1).sum()), int((y == 0).sum()))
     empty = np.empty(0, np.uint64)
     if not all(sizes):
