@@ -3,13 +3,15 @@
 Equal vectors are one node from the start.  Nodes are sorted by the signs of random projections, several
 times, and each node takes its best neighbours among those next to it.  Then every node introduces its
 neighbours, in either direction, to each other; whoever is nearer than a list's last entry enters it.
-Very many reverse neighbours are dealt out in blocks.  Rounds go on until an audit finds what it should:
-a bounded number of vectors is compared with all by brute force, linearly in the data.
+Very many reverse neighbours are dealt out in blocks.  Rounds go on until one changes almost no list, counted
+over all nodes; a bounded number of vectors is then compared with all by brute force, linearly in the data.
 
 Edges of at least the threshold, computed again in double precision, are the links.  A list whose entries
-all reach the threshold is saturated: there may be more links than it holds.  It is enlarged to all that
-neighbours of neighbours over links can reach, its component, which is compared tile by tile; only counts
-leave the tiles.
+all reach the threshold is saturated: there may be more links than it holds.  Those inside its component
+are found by comparing the component tile by tile; only counts leave the tiles.  Those that leave it have
+a saturated list at both ends, as any other list holds all its links.  So nodes with saturated lists
+get further lists, of the best nodes in other components, refined in the same way.  What reaches the
+threshold joins components, and the search goes on until the outward lists hold no link.
 
 Vectors that are missing, zero, or hold missing or non-finite components link with nothing, and vectors of
 different lengths do not link; a repeated id counts once, with its first vector by value; an empty table
@@ -34,9 +36,10 @@ NEIGHBOURS = 12
 TABLES = 8
 #: Neighbours that meet at once, vectors side by side at the start, and vectors of a tile.
 BLOCK, CHUNK, TILE = 48, 256, 2_048
-#: Vectors of the audit, the share of their links that must be known, and the most rounds.
-AUDITED, RECALL, ROUNDS = 256, 0.995, 8
-LEAST_RECALL = 0.9
+#: A round that changes at most this share of all lists is the last one.
+STILL = 0.001
+#: Vectors of the audit and the share of their links that must be known.
+AUDITED, LEAST_RECALL = 256, 0.9
 _SLACK = 1e-6
 
 
@@ -74,8 +77,11 @@ def usable(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str
     return plain.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def _started(nodes: DataFrame, count: int, neighbours: int) -> DataFrame:
-    """First lists: the best among nodes that sort near each other by signs of projections."""
+def _started(nodes: DataFrame, count: int, neighbours: int, seed: int = 0) -> DataFrame:
+    """First lists: the best among nodes that sort near each other by signs of projections.
+
+    No list holds a node of the same ``kin``, here and in :func:`_introduced`.
+    """
     bits = int(np.clip(np.ceil(np.log2(max(count, 2) / 16)), 3, 30))
 
     def keys(rows: dict[str, list]) -> dict[str, list]:
@@ -83,14 +89,16 @@ def _started(nodes: DataFrame, count: int, neighbours: int) -> DataFrame:
         for members in _by_length(rows["vector"]):
             unit = _matrix([rows["vector"][i] for i in members])
             for table in range(TABLES):
-                random = np.random.default_rng(1_000 * table + unit.shape[1])
+                random = np.random.default_rng([seed, 1_000 * table + unit.shape[1]] if seed else 1_000 * table + unit.shape[1])
                 signs = unit @ random.normal(size=(unit.shape[1], bits)) > 0
                 found[members, table] = signs @ (1 << np.arange(bits - 1, -1, -1))
         return {**rows, "keys": found.tolist()}
 
     kind = nodes.schema["node"].dataType.simpleString()
-    keyed = by_batches(nodes.select("node", "vector"), keys, f"node {kind}, vector binary, keys array<bigint>")
-    spread = keyed.select("node", "vector", F.posexplode("keys").alias("table", "key"))
+    keyed = by_batches(
+        nodes.select("node", "kin", "vector"), keys, f"node {kind}, kin {kind}, vector binary, keys array<bigint>"
+    )
+    spread = keyed.select("node", "kin", "vector", F.posexplode("keys").alias("table", "key"))
     # the vector breaks ties, so that a key of very many nodes is spread as well
     ordered = spread.repartitionByRange("table", "key", "vector").sortWithinPartitions("table", "key", "vector")
 
@@ -98,13 +106,13 @@ def _started(nodes: DataFrame, count: int, neighbours: int) -> DataFrame:
         found = _Pairs()
         for begin in range(0, max(1, len(rows["node"]) - CHUNK // 2), CHUNK // 2):
             chunk = slice(begin, begin + CHUNK)
-            nodes_, raw = np.array(rows["node"][chunk]), rows["vector"][chunk]
+            nodes_, kin, raw = np.array(rows["node"][chunk]), np.array(rows["kin"][chunk]), rows["vector"][chunk]
             for members in _by_length(raw):
                 unit = _matrix([raw[i] for i in members])
-                found.best(nodes_[members], unit @ unit.T, neighbours)
+                found.best(nodes_[members], kin[members], unit @ unit.T, neighbours)
         return found.rows()
 
-    pairs = by_batches(ordered.select("node", "vector"), near, f"node {kind}, other {kind}, similarity double")
+    pairs = by_batches(ordered.select("node", "kin", "vector"), near, f"node {kind}, other {kind}, similarity double")
     return _shortened(pairs.withColumn("fresh", F.lit(True)), neighbours)
 
 
@@ -114,12 +122,14 @@ class _Pairs:
     def __init__(self) -> None:
         self.node, self.other, self.similarity = [], [], []
 
-    def best(self, nodes: np.ndarray, similar: np.ndarray, most: int, least: np.ndarray | float = -2.0) -> None:
-        """For each node the best ``most`` of the others that lie above its ``least``."""
+    def best(
+        self, nodes: np.ndarray, kin: np.ndarray, similar: np.ndarray, most: int, least: np.ndarray | float = -2.0
+    ) -> None:
+        """For each node the best ``most`` of those not of its ``kin`` that lie above its ``least``."""
         count = len(nodes)
         if count < 2:
             return
-        similar = np.where(nodes[:, None] == nodes[None, :], -2.0, similar)
+        similar = np.where(kin[:, None] == kin[None, :], -2.0, similar)
         take = min(most, count - 1)
         at = np.argpartition(-similar, take - 1, axis=1)[:, :take]
         values = np.take_along_axis(similar, at, 1)
@@ -148,15 +158,21 @@ def _shortened(pairs: DataFrame, neighbours: int) -> DataFrame:
     return entries.select("node", "e.other", (-F.col("e.far")).alias("similarity"), "e.fresh")
 
 
-def _introduced(lists: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
-    """Pairs among the neighbours of each node, in either direction, that improve a list."""
+def _introduced(lists: DataFrame, nodes: DataFrame, neighbours: int, beside: DataFrame | None = None) -> DataFrame:
+    """Pairs among the neighbours of each node, in either direction, that improve a list.
+
+    Entries of ``beside`` are neighbours as well, of lists that stay as they are.
+    """
     last = lists.groupBy("node").agg(F.count("*").alias("n"), F.min("similarity").alias("least"))
     least = F.when(F.col("n") < neighbours, -2.0).otherwise(F.col("least"))
     known = nodes.join(last, "node", "left").select(
-        F.col("node").alias("guest"), "vector", F.coalesce(least, F.lit(-2.0)).alias("least")
+        F.col("node").alias("guest"), "kin", "vector", F.coalesce(least, F.lit(-2.0)).alias("least")
     )
-    forward = lists.select(F.col("node").alias("host"), F.col("other").alias("guest"), "fresh")
-    back = lists.select(F.col("other").alias("host"), F.col("node").alias("guest"), "fresh")
+    met = lists.select("node", "other", "fresh")
+    if beside is not None:
+        met = met.unionByName(beside.select("node", "other", F.lit(False).alias("fresh")))
+    forward = met.select(F.col("node").alias("host"), F.col("other").alias("guest"), "fresh")
+    back = met.select(F.col("other").alias("host"), F.col("node").alias("guest"), "fresh")
     blocks = back.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # reverse neighbours are dealt out; the few forward ones go to every block
     dealt = back.join(blocks, "host").withColumn("block", F.pmod(F.xxhash64("guest"), F.col("blocks")).cast("int"))
@@ -171,7 +187,7 @@ def _introduced(lists: DataFrame, nodes: DataFrame, neighbours: int) -> DataFram
     )
     guests = meetings.join(known, "guest")
     together = guests.groupBy("host", "block").agg(
-        F.max("fresh").alias("fresh"), F.collect_list(F.struct("guest", "vector", "least", "fresh")).alias("guests")
+        F.max("fresh").alias("fresh"), F.collect_list(F.struct("guest", "kin", "vector", "least", "fresh")).alias("guests")
     )
     kind = nodes.schema["node"].dataType.simpleString()
 
@@ -180,9 +196,10 @@ def _introduced(lists: DataFrame, nodes: DataFrame, neighbours: int) -> DataFram
         for guests in rows["guests"]:
             names = np.array([g["guest"] for g in guests])
             unit = _matrix([g["vector"] for g in guests])
+            kin = np.array([g["kin"] for g in guests])
             fresh = np.array([g["fresh"] for g in guests])
             similar = np.where(fresh[:, None] | fresh[None, :], unit @ unit.T, -2.0)
-            found.best(names, similar, neighbours, np.array([g["least"] for g in guests]))
+            found.best(names, kin, similar, neighbours, np.array([g["least"] for g in guests]))
         return found.rows()
 
     return by_batches(
@@ -214,52 +231,72 @@ def _audit(nodes: DataFrame, threshold: float) -> DataFrame:
     return by_batches(nodes.select("node", "vector"), run, f"node {kind}, other {kind}")
 
 
-def neighbour_lists(
-    nodes: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS
-) -> tuple[DataFrame, list[float]]:
-    """``node``, ``other``, ``similarity`` of the refined lists, and the audited recall of each round.
-
-    A link counts as known when either end lists the other, or when both ends are in one component with a
-    saturated list, which is enlarged to that component.  Too low a recall after the last round is an error.
-    """
+def _descended(lists: DataFrame, nodes: DataFrame, neighbours: int, beside: DataFrame | None = None) -> DataFrame:
+    """The lists after rounds of introductions: the last round changed almost none of all lists."""
     count = nodes.count()
-    lists = landed(_started(nodes, count, neighbours), "lists")
-    wanted = landed(_audit(nodes, threshold), "audit")
-    recalls = []
-    for _ in range(ROUNDS):
-        found = _introduced(lists, nodes, neighbours).withColumn("fresh", F.lit(True))
+    while True:
+        found = _introduced(lists, nodes, neighbours, beside).withColumn("fresh", F.lit(True))
         old = lists.withColumn("fresh", F.lit(False))
         lists = landed(_shortened(old.unionByName(found), neighbours), "lists")
-        recalls.append(_known_share(wanted, lists, threshold, neighbours))
-        if recalls[-1] >= RECALL:
-            break
-    if recalls[-1] < LEAST_RECALL:
-        raise RuntimeError(f"audited recall is {recalls[-1]:.3f}: allow more rounds or longer lists")
-    return lists, recalls
-
-
-def _known_share(wanted: DataFrame, lists: DataFrame, threshold: float, neighbours: int) -> float:
-    """The share of audited links that either end lists or that lie in an enlarged component."""
+        if lists.filter("fresh").select("node").distinct().count() <= STILL * count:
+            return lists
+
+
+def _near(lists: DataFrame, threshold: float) -> DataFrame:
+    return lists.filter(F.col("similarity") >= threshold - _SLACK)
+
+
+def _pairs_of(near: DataFrame) -> DataFrame:
+    return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _joined(
+    lists: DataFrame, nodes: DataFrame, threshold: float, neighbours: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links that were listed, components over all links, and those ``in_full``: of components with a saturated list."""
+    near = _near(lists, threshold)
+    links = landed(_exact(_pairs_of(near), nodes, threshold), "links")
+    full = landed(near.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= neighbours), "saturated")
+    seed = 0
+    while True:
+        labels = landed(components(links), "components")
+        crowd = labels.join(full, "node", "left_semi")
+        in_full = labels.join(crowd.select("component").distinct(), "component", "left_semi")
+        if crowd.select("component").distinct().limit(2).count() < 2:
+            return links, labels, in_full
+        seed += 1
+        kin = landed(nodes.join(crowd.withColumnRenamed("component", "kin"), "node").select("node", "kin", "vector"), "kin")
+        first = landed(_started(kin, kin.count(), neighbours, seed), "outward")
+        outward = _descended(first, kin, neighbours, lists)
+        across = landed(_exact(_pairs_of(_near(outward, threshold)), nodes, threshold), "across")
+        if across.isEmpty():
+            return links, labels, in_full
+        links = landed(links.unionByName(across), "links")
+
+
+def _known_share(wanted: DataFrame, links: DataFrame, in_full: DataFrame) -> float | None:
+    """The share of audited links that are listed or lie in a component compared in full; None without any."""
     total = wanted.count()
     if not total:
-        return 1.0
-    links = lists.filter(F.col("similarity") >= threshold - _SLACK)
-    listed = links.select("node", "other").unionByName(
-        links.select(F.col("other").alias("node"), F.col("node").alias("other"))
-    )
-    labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    enlarged = labels.join(_saturated(links, labels, neighbours), "component", "left_semi")
-    first = enlarged.select("node", F.col("component").alias("one"))
-    second = enlarged.select(F.col("node").alias("other"), F.col("component").alias("two"))
+        return None
+    listed = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    listed = listed.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    first = in_full.select("node", F.col("component").alias("one"))
+    second = in_full.select(F.col("node").alias("other"), F.col("component").alias("two"))
     together = wanted.join(first, "node").join(second, "other").filter("one = two").select("node", "other")
     by_list = wanted.join(listed, ["node", "other"], "left_semi")
     return together.unionByName(by_list).distinct().count() / total
 
 
-def _saturated(near: DataFrame, labels: DataFrame, neighbours: int) -> DataFrame:
-    """The components with a list whose entries all reach the threshold."""
-    full = near.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= neighbours)
-    return labels.join(full, "node", "left_semi").select("component").distinct()
+def _searched(nodes: DataFrame, threshold: float, neighbours: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`_joined`, over refined lists whose links an audit confirms."""
+    own = nodes.select("node", F.col("node").alias("kin"), "vector")
+    lists = _descended(landed(_started(own, nodes.count(), neighbours), "lists"), own, neighbours)
+    found = _joined(lists, nodes, threshold, neighbours)
+    recall = _known_share(landed(_audit(nodes, threshold), "audit"), found[0], found[2])
+    if recall is not None and recall < LEAST_RECALL:
+        raise RuntimeError(f"audited recall is {recall:.3f}: allow longer lists")
+    return found
 
 
 def linked(
@@ -273,12 +310,7 @@ def linked(
     classes = vectors.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = landed(classes, "nodes")
     members = vectors.join(nodes, "vector").select("vec_id", "node", "copies")
-    lists, _ = neighbour_lists(nodes, threshold)
-    near = lists.filter(F.col("similarity") >= threshold - _SLACK)
-    pairs = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = landed(_exact(pairs, nodes, threshold), "links")
-    labels = landed(components(links), "components")
-    in_full = labels.join(_saturated(near, labels, NEIGHBOURS), "component", "left_semi")
+    links, labels, in_full = _searched(nodes, threshold, NEIGHBOURS)
     counted = _counted_in_tiles(in_full.join(nodes, "node"), threshold)
     open_links = links.join(in_full.select(F.col("node").alias("a")), "a", "left_anti")
     both = open_links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(

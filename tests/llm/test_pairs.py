@@ -165,3 +165,22 @@ def test_no_vectors(spark):
     assert nn_descent.linked(df).count() == 0
     alone = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in nn_descent.linked(alone).collect()] == [(1, 0, 1, True)]
+
+
+def tight_groups(rng, groups, size, across, inside=0.999, dim=24):
+    """Groups of vectors whose cosine is about ``inside`` in a group and ``across`` between groups."""
+    axes = np.linalg.qr(rng.normal(size=(dim, groups + 1)))[0].T
+    rows = []
+    for k in range(groups):
+        centre = np.sqrt(across) * axes[-1] + np.sqrt(1 - across) * axes[k]
+        for _ in range(size):
+            noise = rng.normal(size=dim)
+            rows.append(centre + noise / np.linalg.norm(noise) * np.sqrt(1 / inside - 1))
+    return rows
+
+
+@pytest.mark.parametrize("groups, size, across", [(2, 13, 0.96), (6, 40, 0.955), (5, 20, 0.945)])
+def test_links_between_tight_groups(spark, groups, size, across):
+    rng = np.random.default_rng(groups)
+    rows = tight_groups(rng, groups, size, across) + list(rng.normal(size=(60, 24)))
+    check_vectors(spark, {i: rows[k].tolist() for i, k in enumerate(rng.permutation(len(rows)))})
