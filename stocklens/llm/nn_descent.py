@@ -4,7 +4,9 @@ Equal vectors are one node from the start.  Nodes are sorted by the signs of ran
 times, and each node takes its best neighbours among those next to it.  Then every node introduces its
 neighbours, in either direction, to each other; whoever is nearer than a list's last entry enters it.
 Very many reverse neighbours are dealt out in blocks.  Rounds go on until one changes almost no list, counted
-over all nodes; a bounded number of vectors is then compared with all by brute force, linearly in the data.
+over all nodes.  An audit then compares a bounded number of vectors with all by brute force, linearly in the
+data: as many as it takes to hold enough links.  Where that bound holds too few, it logs that it could not
+measure; where it misses links, the search goes on with further projections.
 
 Edges of at least the threshold, computed again in double precision, are the links.  A list whose entries
 all reach the threshold is saturated: there may be more links than it holds.  Those inside its component
@@ -20,6 +22,7 @@ gives an empty result; other columns, labels among them, are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +41,11 @@ TABLES = 8
 BLOCK, CHUNK, TILE = 48, 256, 2_048
 #: A round that changes at most this share of all lists is the last one.
 STILL = 0.001
-#: Vectors of the audit and the share of their links that must be known.
-AUDITED, LEAST_RECALL = 256, 0.9
+#: Vectors of the audit at first and at most, the links it should hold, the share of them that must be
+#: known, and how often the search starts anew before too low a share is an error.
+AUDITED, AUDITED_MOST, AUDITED_LINKS, RECALL, RESTARTS = 256, 4_096, 256, 0.995, 4
 _SLACK = 1e-6
+_LOG = logging.getLogger(__name__)
 
 
 def _matrix(raw: list[bytes]) -> np.ndarray:
@@ -207,28 +212,34 @@ def _introduced(lists: DataFrame, nodes: DataFrame, neighbours: int, beside: Dat
     )
 
 
-def _audit(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links of a bounded number of nodes, by brute force: ``node`` and ``other``."""
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).collect()
-    shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["vector"])) for r in rows])
+def _audit(nodes: DataFrame, threshold: float, count: int) -> DataFrame:
+    """Links of some nodes by brute force, ``node`` and ``other``: of more and more nodes, until there are enough."""
     kind = nodes.schema["node"].dataType.simpleString()
-
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        found = {"node": [], "other": []}
-        for members in _by_length(rows["vector"]):
-            raw = [rows["vector"][i] for i in members]
-            asked = [(n, v) for n, v in shared.value if len(v) == len(raw[0])]
-            if not asked:
-                continue
-            similar = _matrix([v for _, v in asked]) @ _matrix(raw).T
-            for i, j in zip(*np.nonzero(similar >= threshold), strict=True):
-                node, other = asked[i][0], rows["node"][members[j]]
-                if node != other:
-                    found["node"].append(node)
-                    found["other"].append(other)
-        return found
-
-    return by_batches(nodes.select("node", "vector"), run, f"node {kind}, other {kind}")
+    wanted, begin, end = None, 0, AUDITED
+    while True:
+        rows = nodes.orderBy(F.xxhash64("node"), "node").limit(end).collect()[begin:]
+        shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["vector"])) for r in rows])
+
+        def run(rows: dict[str, list], shared=shared) -> dict[str, list]:
+            found = {"node": [], "other": []}
+            for members in _by_length(rows["vector"]):
+                raw = [rows["vector"][i] for i in members]
+                asked = [(n, v) for n, v in shared.value if len(v) == len(raw[0])]
+                if not asked:
+                    continue
+                similar = _matrix([v for _, v in asked]) @ _matrix(raw).T
+                for i, j in zip(*np.nonzero(similar >= threshold), strict=True):
+                    node, other = asked[i][0], rows["node"][members[j]]
+                    if node != other:
+                        found["node"].append(node)
+                        found["other"].append(other)
+            return found
+
+        some = landed(by_batches(nodes.select("node", "vector"), run, f"node {kind}, other {kind}"), "audit")
+        wanted = some if wanted is None else wanted.unionByName(some)
+        if end >= min(count, AUDITED_MOST) or wanted.count() >= AUDITED_LINKS:
+            return wanted
+        begin, end = end, 4 * end
 
 
 def _descended(lists: DataFrame, nodes: DataFrame, neighbours: int, beside: DataFrame | None = None) -> DataFrame:
@@ -289,14 +300,29 @@ def _known_share(wanted: DataFrame, links: DataFrame, in_full: DataFrame) -> flo
 
 
 def _searched(nodes: DataFrame, threshold: float, neighbours: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As :func:`_joined`, over refined lists whose links an audit confirms."""
+    """As :func:`_joined`, over lists that hardly change any more and whose links an audit confirms.
+
+    Where the audit misses links, further projections are sorted by, and the search goes on from there.
+    """
     own = nodes.select("node", F.col("node").alias("kin"), "vector")
-    lists = _descended(landed(_started(own, nodes.count(), neighbours), "lists"), own, neighbours)
-    found = _joined(lists, nodes, threshold, neighbours)
-    recall = _known_share(landed(_audit(nodes, threshold), "audit"), found[0], found[2])
-    if recall is not None and recall < LEAST_RECALL:
-        raise RuntimeError(f"audited recall is {recall:.3f}: allow longer lists")
-    return found
+    count = nodes.count()
+    lists = _descended(landed(_started(own, count, neighbours), "lists"), own, neighbours)
+    wanted = _audit(nodes, threshold, count)
+    enough = wanted.count() >= AUDITED_LINKS or count <= AUDITED_MOST
+    seed = 0
+    while True:
+        found = _joined(lists, nodes, threshold, neighbours)
+        recall = _known_share(wanted, found[0], found[2])
+        if not enough:
+            _LOG.warning("recall not measured: %d vectors have fewer than %d links", AUDITED_MOST, AUDITED_LINKS)
+        if recall is None or recall >= RECALL:
+            return found
+        seed += 1
+        if seed > RESTARTS:
+            raise RuntimeError(f"audited recall is {recall:.3f}: sort by more projections or allow longer lists")
+        again = _started(own, count, neighbours, 1_000 + seed)
+        lists = landed(_shortened(lists.withColumn("fresh", F.lit(False)).unionByName(again), neighbours), "lists")
+        lists = _descended(lists, own, neighbours)
 
 
 def linked(

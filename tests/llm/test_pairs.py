@@ -184,3 +184,17 @@ def test_links_between_tight_groups(spark, groups, size, across):
     rng = np.random.default_rng(groups)
     rows = tight_groups(rng, groups, size, across) + list(rng.normal(size=(60, 24)))
     check_vectors(spark, {i: rows[k].tolist() for i, k in enumerate(rng.permutation(len(rows)))})
+
+
+def test_audit_grows_until_it_holds_enough_links(spark, monkeypatch, caplog):
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(3_000, 24))
+    rows[1:120:2] = rows[0:120:2] + rng.normal(size=(60, 24)) * 0.05  # sixty pairs among 3,000
+    table = [(i, rows[k].astype("<f8").tobytes()) for i, k in enumerate(rng.permutation(3_000))]
+    nodes = spark.createDataFrame(table, "node bigint, vector binary")
+    monkeypatch.setattr(nn_descent, "AUDITED_LINKS", 40)
+    assert nn_descent._audit(nodes, 0.95, 3_000).count() >= 40
+    monkeypatch.setattr(nn_descent, "AUDITED_LINKS", 400)
+    monkeypatch.setattr(nn_descent, "AUDITED_MOST", 1_024)
+    links, _, _ = nn_descent._searched(nodes, 0.95, nn_descent.NEIGHBOURS)
+    assert links.count() == 60 and "recall not measured" in caplog.text
