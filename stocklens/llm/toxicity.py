@@ -39,6 +39,8 @@ _LETTERS = 64
 _WHOLE = 14
 _SIEVE = 42
 _PREFIXES = (3, 4, 5, 6)
+#: More different signs, in more places, than a disguised word has.
+_MANY_SIGNS = 8
 _SPACE_COST, _SIGN_COST, _REPEAT_COST, _KEEP_COST = 0.2, 0.7, 0.4, 4.0
 
 #: The letters a sign may stand for.
@@ -178,11 +180,15 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def restored_word(token: str, model: LanguageModel) -> str:
-    """The likeliest reading of a disguised word."""
-    best = {("", ""): (0.0, "")}
+    """The likeliest reading of a disguised word, or of a stretch of any length.
+
+    A state is the last two letters, so the work grows with the length alone; each state points back at
+    the reading before.
+    """
+    best: dict[tuple[str, str], tuple[float, tuple]] = {("", ""): (0.0, ())}
     for readings in _lattice(token):
-        reached: dict[tuple[str, str], tuple[float, str]] = {}
-        for (first, second), (score, text) in best.items():
+        reached: dict[tuple[str, str], tuple[float, tuple]] = {}
+        for (first, second), (score, before) in best.items():
             for reading, cost in readings:
                 value, a, b = score - cost, first, second
                 for c in reading:
@@ -191,13 +197,28 @@ def restored_word(token: str, model: LanguageModel) -> str:
                     else:
                         value, a, b = value + model.after(a, b, c), b, c
                 if (a, b) not in reached or value > reached[a, b][0]:
-                    reached[a, b] = value, text + reading
+                    reached[a, b] = value, (before, reading)
         best = reached
-    return max((score + model.after(a, b, ""), text) for (a, b), (score, text) in best.items())[1]
+    _, back = max(((score + model.after(a, b, ""), back) for (a, b), (score, back) in best.items()), key=lambda x: x[0])
+    parts = []
+    while back:
+        back, reading = back
+        parts.append(reading)
+    return "".join(reversed(parts))
+
+
+def _is_identifier(token: str) -> bool:
+    """A key, digest or number in other digits: digits and letters change places all along, as in no word.
+
+    Of a disguised word most characters are letters, or each sign stands for one of few letters.
+    """
+    plain = re.sub(r"(.)\1+", r"\1", token, flags=re.DOTALL)
+    pieces = len(re.findall(rf"[{_SIGNS}]+", plain))
+    return len(set(plain) & set(LOOKS_LIKE)) >= _MANY_SIGNS and pieces >= _MANY_SIGNS
 
 
-#: Disguised words whose reading one task remembers.
-_CACHED = 50_000
+#: Disguised words whose reading one task remembers, and their characters; longer ones are read each time.
+_CACHED, _CACHED_CHARS = 50_000, 64
 
 
 def restored(texts: Sequence[str], model: LanguageModel, cache: dict[str, str]) -> list[str]:
@@ -208,15 +229,18 @@ def restored(texts: Sequence[str], model: LanguageModel, cache: dict[str, str])
     changes: dict[int, list[tuple[int, int, str]]] = {}
     for begin, end in _suspects(np.frombuffer(joined.encode("utf-32-le"), np.uint32)):
         token = joined[begin:end]
-        if len(token) > 64 or not (token[1] in _BETWEEN or _HIDES.search(token)):
+        if token[1] not in _BETWEEN and (not _HIDES.search(token) or _is_identifier(token)):
             continue  # an identifier or a line of signs, which hides no word
-        if token not in cache:
-            if len(cache) >= _CACHED:
-                cache.clear()
-            cache[token] = restored_word(token, model)
+        word = cache.get(token)
+        if word is None:
+            word = restored_word(token, model)
+            if len(token) <= _CACHED_CHARS:
+                if len(cache) >= _CACHED:
+                    cache.clear()
+                cache[token] = word
         number = int(np.searchsorted(ends, begin, side="right"))
         first = int(ends[number]) - len(lower[number]) - 1
-        changes.setdefault(number, []).append((begin - first, end - first, cache[token]))
+        changes.setdefault(number, []).append((begin - first, end - first, word))
     for number, found in changes.items():
         parts, after = [], 0
         for begin, end, word in found:

@@ -139,3 +139,22 @@ def test_rules_on_held_out_rows(spark):
     rows = decision_list.judged(docs, rules).join(unseen, "doc_id").toPandas()
     good, bad = rows[rows["quality"] == 1], rows[rows["quality"] == 0]
     assert (good["kept"] | good["base_failed"]).mean() > 0.95 and bad["kept"].mean() < 0.2
+
+
+def restoring_model():
+    words = "idiot worthless pathetic stupid scum moron loser trash ass shit you are a the of and thing letter hello good"
+    return toxicity.fitted([words] * 12 + ["the of and thing letter hello good"] * 12, [1] * 12 + [0] * 12, 0.5)
+
+
+@pytest.mark.parametrize("gap", [" ", ".", "*"])
+def test_stretches_of_any_length_are_restored(gap):
+    model = restoring_model()
+    sentence = "you are a worthless stupid pathetic idiot and a loser " * 5
+    spread = gap.join(sentence.replace(" ", ""))
+    read, stretched, thrice = toxicity.restored(
+        [f"the {spread} of", f"the idi{'o' * 200}t of", f"the {'s' * 40}tup{'i' * 40}d"], model.language, {}
+    )
+    assert "worthless" in read and "stupid" in read and "idiot" in stretched.split() and "stupid" in thrice.split()
+    assert toxicity.score([f"the {spread} of"], model, {})[0] > 0.5
+    key = "9f8a6c1e0b7d5a3f2e4c" * 5
+    assert toxicity.restored([key], model.language, {}) == [key]
