@@ -1,7 +1,7 @@
 """Toxicity: disguised words are restored by a noisy-channel decoder, then the restored text is scored.
 
-*Restoring.*  Three disguises open a lattice of readings: digits and signs that look like letters inside a
-word (``1d10t``), letters set apart (``i d i o t``), and letters repeated three times or more
+*Restoring.*  Three disguises open a lattice of readings: digits and signs that look like letters, anywhere in a
+word or as all of it (``1d10t``, ``a55``, ``@$$``; numbers are none), letters set apart (``i d i o t``), and letters repeated three times or more
 (``idiiiot``).  Viterbi finds the reading that is likeliest under a trigram model of characters and the
 cost of each disguise.  A word without a disguise has one reading, itself.
 
@@ -42,6 +42,8 @@ _PREFIXES = (3, 4, 5, 6)
 #: More different signs, in more places, than a disguised word has.
 _MANY_SIGNS = 8
 _SPACE_COST, _SIGN_COST, _REPEAT_COST, _KEEP_COST = 0.2, 0.7, 0.4, 4.0
+#: Numbers and exclamation marks are usual after a word (``mp3``), so that they stay costs less there.
+_USUAL_ENDS, _END_COST = "0123456789!", 2.0
 
 #: The letters a sign may stand for.
 LOOKS_LIKE = {
@@ -64,8 +66,6 @@ LOOKS_LIKE = {
 }
 
 _SIGNS = re.escape("".join(LOOKS_LIKE))
-#: A run of letters and signs that hides something: a sign between letters, a letter three times, a sign first.
-_HIDES = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|([^\W\d_])\1\1|^[{_SIGNS}][^\W\d_]{{2,}}[{_SIGNS}]*$")
 #: What may stand between letters set apart.
 _BETWEEN = " .-_*"
 _NEITHER, _LETTER, _SIGN, _GAP = range(4)
@@ -93,9 +93,17 @@ def _suspects(codes: np.ndarray) -> list[tuple[int, int]]:
     letter = kinds == _LETTER
     in_run = letter | (kinds == _SIGN)
     begin, end = _runs(in_run)
-    sign_then_letter = np.flatnonzero((kinds[:-1] == _SIGN) & letter[1:])
     thrice = np.flatnonzero(letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:]))
-    marked = np.unique(np.searchsorted(begin, np.concatenate([sign_then_letter, thrice]), side="right")) - 1
+    stretched = np.zeros(len(begin), bool)
+    stretched[np.searchsorted(begin, thrice, side="right") - 1] = True
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    letters = letters[end] - letters[begin]
+    marked = stretched | ((letters > 0) & (letters < end - begin))
+    # signs alone: neither a number nor one sign repeated
+    other_signs = np.concatenate([[0], np.cumsum(in_run & ~letter & ((codes < 48) | (codes > 57)))])
+    changes = np.concatenate([[0, 0], np.cumsum(codes[1:] != codes[:-1])])
+    bare = (letters == 0) & (end - begin >= 3) & (other_signs[end] > other_signs[begin])
+    marked |= bare & (changes[end] > changes[begin + 1])
     found = list(zip(begin[marked].tolist(), end[marked].tolist(), strict=True))
     alone = begin[end - begin == 1]  # single characters set apart by one gap each
     near = (np.diff(alone) == 2) & (kinds[alone[:-1] + 1] == _GAP) if len(alone) > 1 else np.zeros(0, bool)
@@ -154,9 +162,9 @@ def _codes(texts: Sequence[str]):
             yield np.frombuffer(joined.encode("utf-32-le"), np.uint32)
 
 
-def _readings(c: str) -> list[tuple[str, float]]:
+def _readings(c: str, keep: float = _KEEP_COST) -> list[tuple[str, float]]:
     if c in LOOKS_LIKE:
-        return [(c, _KEEP_COST), *((x, _SIGN_COST) for x in LOOKS_LIKE[c])]
+        return [(c, keep), *((x, _SIGN_COST) for x in LOOKS_LIKE[c])]
     return [(c, 0.0)]
 
 
@@ -167,9 +175,10 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
         gap = [("", _SPACE_COST), (" ", 2.0)]
         return [gap if i % 2 else _readings(c) for i, c in enumerate(token)]
     steps: list[list[tuple[str, float]]] = []
+    tail = len(token.rstrip(_USUAL_ENDS))
     for run in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = run[1], len(run[0])
-        readings = _readings(c)
+        readings = _readings(c, _END_COST if run.start() >= tail else _KEEP_COST)
         if n == 1:
             steps.append(readings)
         elif n == 2:
@@ -192,14 +201,15 @@ def restored_word(token: str, model: LanguageModel) -> str:
             for reading, cost in readings:
                 value, a, b = score - cost, first, second
                 for c in reading:
-                    if c == " ":  # a word ends and another begins
-                        value, a, b = value + model.after(a, b, ""), "", ""
+                    if c == " " or c in LOOKS_LIKE:  # a word ends, or a sign stays as it is and ends it
+                        value, a, b = value + (model.after(a, b, "") if b else 0.0), "", ""
                     else:
                         value, a, b = value + model.after(a, b, c), b, c
                 if (a, b) not in reached or value > reached[a, b][0]:
                     reached[a, b] = value, (before, reading)
         best = reached
-    _, back = max(((score + model.after(a, b, ""), back) for (a, b), (score, back) in best.items()), key=lambda x: x[0])
+    ended = ((score + (model.after(a, b, "") if b else 0.0), back) for (a, b), (score, back) in best.items())
+    _, back = max(ended, key=lambda x: x[0])
     parts = []
     while back:
         back, reading = back
@@ -229,8 +239,8 @@ def restored(texts: Sequence[str], model: LanguageModel, cache: dict[str, str])
     changes: dict[int, list[tuple[int, int, str]]] = {}
     for begin, end in _suspects(np.frombuffer(joined.encode("utf-32-le"), np.uint32)):
         token = joined[begin:end]
-        if token[1] not in _BETWEEN and (not _HIDES.search(token) or _is_identifier(token)):
-            continue  # an identifier or a line of signs, which hides no word
+        if token[1] not in _BETWEEN and _is_identifier(token):
+            continue  # which hides no word
         word = cache.get(token)
         if word is None:
             word = restored_word(token, model)

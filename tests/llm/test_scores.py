@@ -158,3 +158,16 @@ def test_stretches_of_any_length_are_restored(gap):
     assert toxicity.score([f"the {spread} of"], model, {})[0] > 0.5
     key = "9f8a6c1e0b7d5a3f2e4c" * 5
     assert toxicity.restored([key], model.language, {}) == [key]
+
+
+def test_signs_at_the_end_and_words_of_signs_are_restored():
+    model = restoring_model()
+    disguised = {
+        "a55": "ass", "a$$": "ass", "@55": "ass", "@$$": "ass", "sh17": "shit", "5h17": "shit", "5h!7": "shit",
+        "idio7": "idiot", "7r45h": "trash", "tr@$h": "trash", "mp3": "mp3", "v2": "v2", "2024": "2024",
+        "$100": "$100", "hello!": "hello!", "!!!": "!!!",
+    }
+    for (d, word), read in zip(
+        disguised.items(), toxicity.restored([f"the {d} of" for d in disguised], model.language, {}), strict=True
+    ):
+        assert word in read.split(), (d, read)
