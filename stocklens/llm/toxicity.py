@@ -9,7 +9,7 @@ cost of each disguise.  A word without a disguise has one reading, itself.
 log odds of standing in toxic rather than other labelled texts; a word counts its strongest feature.  The
 three strongest different words and the length of the text go through a logistic model.
 
-Language model, odds and weights are fitted on a bounded sample of labelled rows (``FIT_ROWS``, texts up
+The language model is counted over all texts.  Odds and weights are fitted on a bounded sample of labelled rows (``FIT_ROWS``, texts up
 to ``FIT_CHARS``); when a label is given to a text, its own occurrence is taken out of the odds.  Missing
 and empty texts have no words and still get a score; repeated texts get equal scores; an empty table
 gives an empty result; without labels of both kinds every score is the labels' mean, or 0.  Other columns
@@ -20,22 +20,25 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.llm.labelled import sample_of, usable_labels
-from stocklens.llm.tasks import by_batches, each_text, text_rows
+from stocklens.llm.tasks import BYTES, ROWS, by_batches, each_text, text_rows
+from stocklens.session import ship_package
 
 #: Rows of each label, and characters of a text, that the fit may see.
 FIT_ROWS, FIT_CHARS = 5_000, 40_000
 #: A feature needs so many toxic texts of the sample.
 _LEAST = 3
-_LETTERS = 64
+_LETTERS = 96
+_OTHER = _LETTERS - 1
 _WHOLE = 14
 _SIEVE = 42
 _PREFIXES = (3, 4, 5, 6)
@@ -116,43 +119,96 @@ def _suspects(codes: np.ndarray) -> list[tuple[int, int]]:
 
 @dataclass
 class LanguageModel:
-    """Log probabilities of a letter after two others; 0 stands for the edge of a word and all other letters."""
+    """Log probabilities of a letter after two others; 0 stands for the edge of a word, ``_OTHER`` for all rarer letters."""
 
     letters: dict[str, int]
     log_odds: np.ndarray
 
     @lru_cache(maxsize=200_000)  # noqa: B019  one model lives as long as its process
     def after(self, first: str, second: str, third: str) -> float:
-        code = self.letters.get
-        return float(self.log_odds[code(first, 0), code(second, 0), code(third, 0)])
+        return float(self.log_odds[self._code(first), self._code(second), self._code(third)])
+
+    def _code(self, letter: str) -> int:
+        return self.letters.get(letter, _OTHER if letter.isalpha() else 0)
 
     __hash__ = object.__hash__
 
 
-def language_model(texts: Sequence[str]) -> LanguageModel:
-    """Counted over the words of lower-case texts, a few texts at a time."""
+def _letters_of(texts: Sequence[str]) -> Counter:
+    """How often each letter (a code point) stands in lower-case texts."""
     letters: Counter = Counter()
     for codes in _codes(texts):
         found, n = np.unique(codes[_kinds()[codes] == _LETTER], return_counts=True)
         letters.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
-    ranked = sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: _LETTERS - 1]
-    index = np.zeros(0x110000, np.int64)
-    for i, (code, _) in enumerate(ranked, 1):
-        index[code] = i
-    counts = np.zeros(_LETTERS**3)
+    return letters
+
+
+def _ranked(letters: Mapping[int, int]) -> list[int]:
+    return [code for code, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: _OTHER - 1]]
+
+
+def _triples_of(texts: Sequence[str], ranked: Sequence[int]) -> np.ndarray:
+    """Counts of letter triples over the words of lower-case texts, a few texts at a time."""
+    index = np.full(0x110000, _OTHER, np.int64)
+    index[list(ranked)] = np.arange(1, len(ranked) + 1)
+    counts = np.zeros(_LETTERS**3, np.int64)
     for codes in _codes(texts):
         inside = np.concatenate([[False, False], _kinds()[codes] == _LETTER, [False]])
         c = np.where(inside, np.concatenate([[0, 0], index[codes], [0]]), 0)
         before = np.where(inside[1:-1], c[:-2], 0)  # nothing of the word before stands before its edge
         of_word = inside[2:] | inside[1:-1]
         triple = (before * _LETTERS + c[1:-1]) * _LETTERS + c[2:]
-        counts += np.bincount(triple[of_word], minlength=_LETTERS**3)
-    counts = counts.reshape((_LETTERS,) * 3)
+        found, n = np.unique(triple[of_word], return_counts=True)
+        counts[found] += n
+    return counts
+
+
+def _smoothed(ranked: Sequence[int], counts: np.ndarray) -> LanguageModel:
+    counts = counts.reshape((_LETTERS,) * 3).astype(float)
     two, one = counts.sum(0), counts.sum((0, 1))
     base = (one + 1) / (one.sum() + _LETTERS)
     mid = (two + 5 * base) / (two.sum(1, keepdims=True) + 5)
     full = (counts + 5 * mid) / (counts.sum(2, keepdims=True) + 5)
-    return LanguageModel({chr(code): i for i, (code, _) in enumerate(ranked, 1)}, np.log(full))
+    return LanguageModel({chr(code): i for i, code in enumerate(ranked, 1)}, np.log(full))
+
+
+def language_model(texts: Sequence[str]) -> LanguageModel:
+    """Counted over texts that are at hand."""
+    ranked = _ranked(_letters_of(texts))
+    return _smoothed(ranked, _triples_of(texts, ranked))
+
+
+def counted_language(docs: DataFrame, text_column: str = "text") -> LanguageModel:
+    """Counted over all texts of ``docs``: each partition sums up its own; only a table of fixed size comes back."""
+    ship_package(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+
+    def summed(part: Callable[[Sequence[str]], Iterable[tuple[int, int]]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for batch in batches:
+                step = max(1, min(ROWS, batch.num_rows * BYTES // max(1, batch.nbytes)))
+                for begin in range(0, batch.num_rows, step):
+                    for key, n in part(batch.column(0).slice(begin, step).to_pylist()):
+                        total[key] += n
+            columns = [pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n"])
+
+        return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+    # the table holds no more letters than these
+    letters = summed(lambda some: _letters_of(some).items()).orderBy(F.desc("n"), "key").limit(_OTHER - 1)
+    ranked = _ranked({r["key"]: r["n"] for r in letters.collect()})
+
+    def triples(some: Sequence[str]) -> Iterable[tuple[int, int]]:
+        counts = _triples_of(some, ranked)
+        found = np.flatnonzero(counts)
+        return zip(found.tolist(), counts[found].tolist(), strict=True)
+
+    counts = np.zeros(_LETTERS**3, np.int64)
+    for r in summed(triples).toLocalIterator():
+        counts[r["key"]] = r["n"]
+    return _smoothed(ranked, counts)
 
 
 def _codes(texts: Sequence[str]):
@@ -353,10 +409,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fitted(texts: Sequence[str], labels: Sequence[int], share: float) -> Model:
-    """``share``: the toxic share of all labelled rows, as the sample holds both labels about evenly."""
+def fitted(
+    texts: Sequence[str], labels: Sequence[int], share: float, language: LanguageModel | None = None
+) -> Model:
+    """``share``: the toxic share of all labelled rows, as the sample holds both labels about evenly.
+
+    Without ``language`` letters are counted over the sample.
+    """
     y = np.asarray(labels, int)
-    language = language_model(texts)
+    language = language or language_model(texts)
     sizes = (int((y == 1).sum()), int((y == 0).sum()))
     empty = np.empty(0, np.uint64)
     if not all(sizes):
@@ -435,7 +496,7 @@ def score(texts: Sequence[str], model: Model, cache: dict[str, str]) -> np.ndarr
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, left_out: int = 2
 ) -> Model:
-    """A model fitted on the bounded sample; ids whose remainder is ``left_out`` stay unseen."""
+    """A model of all letters, fitted on the bounded sample; ids whose remainder is ``left_out`` stay unseen."""
     usable = usable_labels(labels, label, divisor, left_out)
     share = usable.agg(F.avg("label")).first()[0]
     texts = text_rows(docs)
@@ -446,7 +507,7 @@ def fit(
         for value in (1, 0)
     ]
     rows = [r for s in sample for r in s.sort_values(["doc_id", "text"]).itertuples(index=False)]
-    return fitted([r.text for r in rows], [r.label for r in rows], share or 0.0)
+    return fitted([r.text for r in rows], [r.label for r in rows], share or 0.0, counted_language(docs))
 
 
 def scored(

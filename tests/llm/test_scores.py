@@ -171,3 +171,17 @@ def test_signs_at_the_end_and_words_of_signs_are_restored():
         disguised.items(), toxicity.restored([f"the {d} of" for d in disguised], model.language, {}), strict=True
     ):
         assert word in read.split(), (d, read)
+
+
+def test_letters_are_counted_over_all_documents(spark, odd_docs, no_docs):
+    docs = spark.createDataFrame([(i, "you idiot" if i % 2 else "plain words") for i in range(40)], "doc_id int, text string")
+    more = docs.unionByName(spark.createDataFrame([(i, "жизнь schtroumpf " * 9) for i in range(40, 80)], docs.schema))
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
+    sample = {r["text"] for r in docs.collect()}
+    fitted = toxicity.fit(more, labels)
+    assert "ж" not in " ".join(sample) and fitted.language.letters["ж"] > 0
+    assert toxicity.restored(["the schtr0umpf"], fitted.language, {}) == ["the schtroumpf"]
+    texts = [r["text"] or "" for r in odd_docs.collect()]
+    whole, counted = toxicity.language_model(texts), toxicity.counted_language(odd_docs.repartition(3))
+    assert whole.letters == counted.letters and np.allclose(whole.log_odds, counted.log_odds)
+    assert toxicity.counted_language(no_docs).letters == {}
