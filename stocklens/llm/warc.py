@@ -35,6 +35,7 @@ from stocklens.session import landed, run_folder, ship_package
 LEAST = 1_000
 #: Bytes after which a task begins another archive, bytes of the dictionary, and pages it is made from.
 ARCHIVE, DICTIONARY, SAMPLE, SAMPLE_CHARS = 32 << 20, 64 << 10, 400, 50_000
+LEAST_DICTIONARY = 1 << 10
 _SKIPPABLE, _DICTIONARY_MAGIC = 0x184D2A5D, b"\x37\xa4\x30\xec"
 _FRAME = b"\x28\xb5\x2f\xfd"
 _DATE = "2000-01-01T00:00:00Z"
@@ -165,18 +166,19 @@ def records(file: BinaryIO, chunk: int = 1 << 20) -> Iterator[bytes]:
 def trained_dictionary(pages: DataFrame, payload_column: str = "html") -> bytes:
     """A dictionary made from a bounded number of bounded pages; empty where they are too few or alike."""
     text = F.col(f"`{payload_column}`")
-    chosen = (
-        pages.select(text.alias("payload"), F.xxhash64(text).alias("place"))
-        .filter(F.length("payload").between(1, SAMPLE_CHARS))
-        .filter(F.pmod("place", F.lit(64)) == 0)  # one hash class of pages is enough to sample from
-        .orderBy("place")
-        .limit(SAMPLE)
-    )
-    samples = [r["payload"].encode() for r in chosen.select("payload").collect()]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 16 else b""
-    except zstandard.ZstdError:
-        return b""
+    rows = pages.select(text.alias("payload"), F.xxhash64(text).alias("place"))
+    rows = rows.filter(F.length("payload").between(1, SAMPLE_CHARS))
+    # different payloads, the smallest by hash: copies count once, and few enough to broadcast
+    places = rows.groupBy("place").agg(F.count("*").alias("copies")).orderBy("place").limit(SAMPLE).select("place")
+    chosen = rows.join(F.broadcast(places), "place").groupBy("place").agg(F.min("payload").alias("payload"))
+    samples = [r["payload"].encode() for r in chosen.orderBy("place").select("payload").collect()]
+    size = DICTIONARY
+    while len(samples) >= 16 and size >= LEAST_DICTIONARY:
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:
+            size //= 4  # too large for what the samples have in common
+    return b""
 
 
 def _opened(folder: str) -> tuple[pa.fs.FileSystem, str]:

@@ -89,3 +89,18 @@ def test_a_large_group_of_equal_pages(spark):
     )
     rows = warc.archived(pages).groupBy("record_type", "refers_to").count().collect()
     assert {(r[0], r[1], r[2]) for r in rows} == {("response", None, 1), ("revisit", 2_999, 2_999)}
+
+
+def test_small_and_copied_tables_get_a_dictionary(spark, monkeypatch):
+    def page(i):
+        return f"<html><head><title>page {i}</title></head><body><p>text {i * 7} of a site</p></body></html>" * 9
+
+    rows = [(i, "http://a/", page(i)) for i in range(60)] + [(i, "http://a/", page(0)) for i in range(60, 600)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    dictionary = warc.trained_dictionary(pages)
+    assert dictionary.startswith(b"\x37\xa4\x30\xec")
+    given = []
+    write = warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda r, f, d: given.append(d) or write(r, f, d))
+    assert warc.archived(pages).count() == 600 and given == [dictionary]
+    assert warc.trained_dictionary(pages.limit(15)) == b""
