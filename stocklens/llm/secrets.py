@@ -4,7 +4,8 @@ The rules become one automaton (:mod:`stocklens.llm.automaton`).  Where it says
 rule's own backward automaton finds the begin and its forward one the end of the longest match, after
 the end of the rule's match before: leftmost matches that do not overlap, per rule.  The earliest end of
 a rule must belong to its leftmost match, which holds as no match of these rules nests in the beginning
-of another.  A match that is too short for its rule is dropped after it has used up its text.
+of another.  A private key goes on over its body, up to the END line or, where there is none, over the
+lines of base64 that follow.  A match that is too short for its rule is dropped after it has used up its text.
 
 Missing and empty texts have no spans; repeated rows each give their row; an empty table gives an empty
 result; other columns of the input are not read by :func:`find_secrets` and kept by :func:`redact`.
@@ -26,16 +27,26 @@ from stocklens.llm.tasks import by_batches, each_text, text_rows
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` of a kind of secret; after ``head`` at least ``least`` bytes must follow."""
+    """``pattern`` of a kind of secret; after ``head`` at least ``least`` bytes must follow.
+
+    ``sign``, where given, is the beginning that every match has and by which matches are found.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     head: str = ""
     ignore_case: bool = False
+    sign: str = ""
 
 
 _KEYS = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+_PEM = "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"
+#: Lines may be broken, also by an escaped line feed, or stand in one line.
+_BREAK = r"([\x20\t\r\n]|\\n|\\r)+"
+_PEM_BODY = r"([A-Za-z0-9+/=:,.\\\x20\t\r\n]|-[A-Za-z0-9])*-----END ([A-Z]+ )*PRIVATE KEY-----"
+#: Without an END line: lines of headers, then whole lines of base64 and what may be the last one.
+_PEM_LINES = rf"({_BREAK}[A-Za-z]+-[A-Za-z]+: [A-Za-z0-9,-]+)*({_BREAK}[A-Za-z0-9+/=]{{16,}})+([\r\n]+[A-Za-z0-9+/=]+)?"
 #: The base kinds first, then formats of well-known issuers.
 RULES = (
     Rule("assign", _KEYS + "[A-Za-z0-9+/_.=-]+", 8, _KEYS, True),
@@ -45,7 +56,7 @@ RULES = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", "AIza[A-Za-z0-9_-]+", 39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
-    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", f"{_PEM}({_PEM_BODY}|{_PEM_LINES})?", sign=_PEM),
 )
 
 
@@ -60,11 +71,12 @@ class Scanner:
 
 def scanner(rules: Sequence[Rule] = RULES) -> Scanner:
     alone = [[(r.pattern, r.ignore_case)] for r in rules]
+    signs = [[(r.sign or r.pattern, r.ignore_case)] for r in rules]
     return Scanner(
         tuple(rules),
-        compiled([a[0] for a in alone], anywhere=True),
+        compiled([a[0] for a in signs], anywhere=True),
         tuple(compiled(a, anywhere=False) for a in alone),
-        tuple(compiled(a, anywhere=False, backward=True) for a in alone),
+        tuple(compiled(a, anywhere=False, backward=True) for a in signs),
         tuple(compiled([(r.head, r.ignore_case)], anywhere=False) if r.head else None for r in rules),
     )
 

@@ -100,3 +100,21 @@ def test_minimal_automaton_is_small():
     assert one.longest(b"xaab", 1, 4) == 4 and one.longest(b"xaab", 0, 4) == -1
     back = automaton.compiled([("a+b", False)], anywhere=False, backward=True)
     assert back.longest_back(b"xaab", 4, 0) == 1
+
+
+BODY = ["MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7", "x9Q2bVt0/+Kf3sZpLw8yHn5uRd1cEj6mTa4gXi7oWq0PvBkNhJlU", "Qw8="]
+
+
+@pytest.mark.parametrize("line_break", ["\n", "\r\n", "\\n", " "])
+@pytest.mark.parametrize("name", ["", "RSA "])
+def test_no_line_of_a_private_key_is_left(spark, scan, line_break, name):
+    begin, end = f"-----BEGIN {name}PRIVATE KEY-----", f"-----END {name}PRIVATE KEY-----"
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123ABCD", ""]
+    whole = [line_break.join([begin, *some, *BODY, end]) for some in ([], headers)]
+    for key in whole:
+        text = f"before {key} between {key} after"
+        found = [(b, e) for k, b, e in secrets.spans([text], scan)[0] if scan.rules[k].kind == "pem"]
+        assert [text[b:e] for b, e in found] == [key, key]
+    cut = "\n".join([begin, *BODY])
+    docs = spark.createDataFrame([(1, f"a {whole[0]} b"), (2, f"a {whole[1]} b"), (3, f"a {cut}"), (4, f"a {begin} b")], "doc_id int, text string")
+    assert [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()] == ["a [secret] b"] * 2 + ["a [secret]", "a [secret] b"]
