@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracles.build import with_tables
 from oracles.commands import COMMANDS
+from oracles.moves import MOVES
 from oracles.rules import RULES
 from oracles.views import VIEWS
 
@@ -20,6 +21,10 @@ _AS_TEXT = {
     "query_inventory": ("parent_inventory_id",),
     "inbound_orders_after_receipt": ("actual_quantity",),
     "details_of_one_employee": ("warehouse_id",),
+    "split_parts_of_parts": ("source_id", "new_inventory_id"),
+    "alerts_cleared_by_shipping": ("delay_days_before", "delay_days_after"),
+    "alert_changes_by_sweep": ("delay_days_before", "delay_days_after"),
+    "lots_after_parts_of_parts": ("parent_inventory_id",),
 }
 
 # the forms for one warehouse, product, ...: the whole query and what they keep of it
@@ -37,7 +42,7 @@ _ONE = {
 def statements() -> dict[str, str]:
     """The full statement per query name."""
     result = {}
-    whole = {**VIEWS, **COMMANDS, **RULES}
+    whole = {**VIEWS, **COMMANDS, **MOVES, **RULES}
     single = {
         name: f"select * from (\n{with_tables(whole[of])}\n) everything where {kept}" for name, (of, kept) in _ONE.items()
     }

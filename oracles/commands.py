@@ -6,6 +6,9 @@ location, so each step sees what the earlier ones took.
 
 from __future__ import annotations
 
+from oracles.views import VIEWS
+from stocklens.sources.schemas import TABLES
+
 _NO_SPACE = "Error: Location capacity is not enough, insertion rejected"
 _WRONG_SITE = "Error: Operator does not belong to this warehouse"
 
@@ -66,7 +69,84 @@ numbered as (
   where q >= 0 and known and q <= available_quantity and room >= 0)
 """
 
+#: Lots of every fourth product put away in order into places that hold the others' lots.
+_DELIVERY = """
+with recursive good_products as (
+  select * from products where product_id % 4 = 0 and status <> 'discontinued'),
+held as (
+  select i.warehouse_id, i.storage_location as location, sum(i.total_quantity * p.volume) as used
+  from inventory i join products p on i.product_id = p.product_id
+  where i.product_id % 4 <> 0 group by i.warehouse_id, i.storage_location),
+wanted as materialized (
+  select i.inventory_id, i.warehouse_id, i.storage_location as location, i.total_quantity * p.volume as v,
+         l.capacity - cast(coalesce(h.used, 0) as decimal(22,4)) as room,
+         row_number() over (partition by i.warehouse_id, i.storage_location order by i.inventory_id) as k
+  from inventory i join good_products p on i.product_id = p.product_id
+  join locations l on l.warehouse_id = i.warehouse_id and l.location = i.storage_location
+  left join held h on h.warehouse_id = i.warehouse_id and h.location = i.storage_location
+  where i.inventory_status <> 'hold'),
+served as (
+  select inventory_id, warehouse_id, location, k, v <= room as ok,
+         cast(case when v <= room then v else 0 end as decimal(28,4)) as used
+  from wanted where k = 1
+  union all
+  select w.inventory_id, w.warehouse_id, w.location, w.k, s.used + w.v <= w.room,
+         cast(s.used + case when s.used + w.v <= w.room then w.v else 0 end as decimal(28,4))
+  from served s join wanted w
+    on w.warehouse_id = s.warehouse_id and w.location = s.location and w.k = s.k + 1)
+"""
+
+#: Late outbound orders on the day, and what was stored of them.
+_LATE_OUTBOUND = VIEWS["outbound_delay_alerts"]
+
 COMMANDS: dict[str, str] = {
+    "tables_after_ingest": f"""
+{_DELIVERY}
+select 'products' as table_name, cast(product_id as bigint) as row_id,
+       case when product_id % 4 = 0 and status = 'discontinued' then 'product_name_required' else '' end as violations
+from products
+union all
+select 'inventory', i.inventory_id,
+       case when i.product_id % 4 <> 0 then ''
+            when p.product_id is null or i.inventory_status = 'hold'
+            then concat_ws(',', case when p.product_id is null then 'product_id_in_products' end,
+                           case when i.inventory_status = 'hold' then 'warehouse_id_and_storage_location_in_locations' end)
+            when s.ok then '' else 'key_or_unique_value_taken_or_no_space' end
+from inventory i left join good_products p on i.product_id = p.product_id
+left join served s on s.inventory_id = i.inventory_id
+""",
+    "locations_after_ingest": f"""
+{_DELIVERY},
+added as (select warehouse_id, location, max(used) as used from served group by warehouse_id, location)
+select l.warehouse_id, l.location,
+       round(cast(coalesce(h.used, 0) + coalesce(a.used, 0) as double), 4) as utilization
+from locations l left join held h on h.warehouse_id = l.warehouse_id and h.location = l.location
+left join added a on a.warehouse_id = l.warehouse_id and a.location = l.location
+""",
+    "alerts_after_receipt": f"""
+{_RECEIVING.format(batches=1)}
+select a.* from ({VIEWS["inbound_delay_alerts"]}) a
+where a.inbound_id not in (select inbound_id from served where ok)
+""",
+    "alerts_after_shipping": f"""
+{_SHIPPING}
+select a.* from ({_LATE_OUTBOUND}) a where a.outbound_id not in (select outbound_id from served where ok)
+""",
+    "alerts_cleared_by_shipping": f"""
+{_SHIPPING}
+select a.outbound_id, 'cleared' as change, a.alert_level as alert_level_before, a.delay_days as delay_days_before,
+       cast(null as varchar) as alert_level_after, cast(null as varchar) as delay_days_after
+from ({_LATE_OUTBOUND}) a where a.outbound_id in (select outbound_id from served where ok)
+""",
+    "stream_lot_states": """
+with fresh as (
+  select i.warehouse_id, i.storage_location as location, sum(i.locked_quantity * p.volume) as used
+  from inventory i join products p on i.product_id = p.product_id
+  where i.inventory_status <> 'hold' group by i.warehouse_id, i.storage_location)
+select l.warehouse_id, l.location, round(cast(coalesce(f.used, 0) as double), 4) as utilization
+from locations l
+left join fresh f on l.warehouse_id = f.warehouse_id and l.location = f.location
+""",
     "split_inventory": f"""
 with {_REQUEST_LOTS},
 ids as (
@@ -356,3 +436,28 @@ from locations l left join fresh f on l.warehouse_id = f.warehouse_id and l.loca
 where l.warehouse_id not in (select warehouse_id from warehouses where status = 'inactive')
 """,
 }
+
+COMMANDS["publish_changes"] = COMMANDS["publish_snapshot"]
+COMMANDS["lots_of_earlier_run"] = """
+select inventory_id, total_quantity, locked_quantity, available_quantity, '2001-07-31 00:00:00' as last_updated
+from inventory
+"""
+COMMANDS["load_with_rejects"] = " union all ".join(
+    f"""
+select '{name}' as table_name, case when {key} % 50 = 0 then 'no-' else '' end || {key} as row_key, {key} % 50 = 0 as rejected
+from {name}
+"""
+    for name, key in (("products", "product_id"), ("suppliers", "supplier_id"))
+)
+
+
+def _row_digest(name: str) -> str:
+    shown = ", ".join(f"coalesce(cast({c} as varchar), '?')" for c in TABLES[name].names)
+    return f"""
+select '{name}' as table_name, count(*) as row_count,
+       cast(sum(cast('0x' || substr(md5(concat_ws('|', {shown})), 1, 8) as bigint)) as bigint) as row_digest
+from {name}
+"""
+
+
+COMMANDS["read_whole_rows"] = " union all ".join(_row_digest(name) for name in TABLES)

@@ -17,19 +17,24 @@ from stocklens import requests
 from stocklens.functions import metrics
 from stocklens.functions.columns import day
 from stocklens.operators import alerts, commands, deletes, guards, rules, utilization
-from stocklens.operators.ingest import ingest_batch
+from stocklens.operators.ingest import IngestedTables, ingest_batch, ingest_tables
 from stocklens.operators.utilization import with_utilization
 from stocklens.plans import alert_reports, stock, suppliers, workforce
 from stocklens.session import landed, run_folder
-from stocklens.sources import sinks
+from stocklens.sources import sinks, snapshots
 from stocklens.sources.star_mapping import star_tables
-from stocklens.sources.tables import read_tables, write_tables
+from stocklens.sources.tables import load_tables, read_tables, write_tables
 from stocklens.streaming import alerts as alert_stream
+from stocklens.streaming import due_orders
+from stocklens.streaming import lots as lot_stream
 from stocklens.streaming import utilization as space_stream
 
 Tables = Mapping[str, DataFrame]
 
 AS_OF = "2001-08-01 00:00:00"
+#: A day before it, and the days on which due alerts are read.
+EARLIER = "2001-07-27 00:00:00"
+DUE_DAYS = ("2001-07-20", "2001-07-27", "2001-08-06")
 MONTH = "1998-03"
 EXPIRY_DAYS = 10
 #: What the queries for a single warehouse, product, ... ask for.
@@ -48,6 +53,10 @@ OPTIONAL_NUMBERS = {
     "query_inventory": ("parent_inventory_id",),
     "inbound_orders_after_receipt": ("actual_quantity",),
     "details_of_one_employee": ("warehouse_id",),
+    "split_parts_of_parts": ("source_id", "new_inventory_id"),
+    "alerts_cleared_by_shipping": ("delay_days_before", "delay_days_after"),
+    "alert_changes_by_sweep": ("delay_days_before", "delay_days_after"),
+    "lots_after_parts_of_parts": ("parent_inventory_id",),
 }
 
 
@@ -103,6 +112,57 @@ def _split(t: Tables) -> DataFrame:
     return outcome.added["inventory_adjustments"]
 
 
+def _move(t: Tables) -> commands.Outcome:
+    """Lots pushed one place on through a ring of partly full places."""
+    t = with_utilization(_stored(t, "inventory"))
+    return commands.split_inventory(t, requests.move_every_lot(t), AS_OF)
+
+
+def _moved(t: Tables) -> DataFrame:
+    return _move(t).added["inventory_adjustments"].select(
+        "adjustment_id", "warehouse_id", "inventory_id", "before_quantity", "after_quantity", "adjustment_reason"
+    )
+
+
+def _parts_of_parts(t: Tables) -> commands.Outcome:
+    t = with_utilization(_stored(t, "inventory"))
+    return commands.split_inventory(t, requests.move_parts_of_parts(t), AS_OF)
+
+
+def _lots_after_parts(t: Tables) -> DataFrame:
+    """Where every lot is, what it holds and what it came from, after parts of new lots moved on."""
+    return _parts_of_parts(t).tables["inventory"].select(
+        "inventory_id", "warehouse_id", "storage_location", "total_quantity", "available_quantity", "parent_inventory_id"
+    )
+
+
+def _with_stored_alerts(t: Tables, as_of: str) -> Tables:
+    """The tables with both alert tables as they stood on a day."""
+    stored = {rule.alerts: alerts.delay_alerts(t[rule.orders], rule, as_of) for rule in alerts.RULES.values()}
+    return ChainMap({name: landed(df, name) for name, df in stored.items()}, t)
+
+
+def _receipt_with_alerts(t: Tables) -> commands.Outcome:
+    t = _with_stored_alerts(with_utilization(_stored(t, "inbound_orders")), AS_OF)
+    return commands.complete_inbound(t, requests.receive_open_orders(t), AS_OF)
+
+
+def _shipping_with_alerts(t: Tables) -> commands.Outcome:
+    t = _with_stored_alerts(_stored(t, "outbound_orders", "inventory"), AS_OF)
+    return commands.complete_outbound(t, requests.ship_open_orders(t), AS_OF)
+
+
+def _changes_by_sweep(t: Tables) -> DataFrame:
+    """What a sweep changes in the alerts of five days before."""
+    t = _with_stored_alerts(_stored(t, "inbound_orders", "outbound_orders"), EARLIER)
+    found = alerts.sweep_changes(t, AS_OF)
+    parts = [
+        found[rule.alerts].changes.withColumnRenamed(rule.order_id, "order_id").withColumn("direction", F.lit(rule.direction))
+        for rule in alerts.RULES.values()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _write_off(t: Tables) -> DataFrame:
     outcome = commands.write_off_lots(t, requests.drop_expired_lots(t, AS_OF), AS_OF)
     return outcome.added["inventory_adjustments"]
@@ -133,6 +193,22 @@ def _ingest(t: Tables) -> DataFrame:
     )
 
 
+def _delivered(t: Tables) -> IngestedTables:
+    """Products and their lots delivered together into tables that lack them."""
+    stored, batches = requests.new_products_with_lots(_stored(t, "inventory"))
+    return ingest_tables(with_utilization(stored), batches, AS_OF)
+
+
+def _tables_after_ingest(t: Tables) -> DataFrame:
+    """Every row of the delivery with what is wrong with it, and every lot and product there is afterwards."""
+    done, parts = _delivered(t), []
+    for name, key in (("products", "product_id"), ("inventory", "inventory_id")):
+        row = [F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("row_id")]
+        parts.append(done.tables[name].select(*row, F.lit("").alias("violations")))
+        parts.append(done.rejected[name].select(*row, F.concat_ws(",", "violations").alias("violations")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def _capacity_guard(t: Tables) -> DataFrame:
     """All lots put away again, in id order, into empty locations."""
     return guards.capacity_guard(t, t["inventory"]).select("inventory_id", "rejection")
@@ -333,6 +409,15 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
         t, t["outbound_orders"]
     ).select("outbound_id", "picker", "packer", "warehouse_id", "rejection"),
     "split_inventory": _split,
+    "move_lots": _moved,
+    "locations_after_moves": lambda t: _space(_move(t).tables["locations"]),
+    "split_parts_of_parts": lambda t: _parts_of_parts(t).results,
+    "lots_after_parts_of_parts": _lots_after_parts,
+    "locations_after_parts_of_parts": lambda t: _space(_parts_of_parts(t).tables["locations"]),
+    "alerts_after_receipt": lambda t: _receipt_with_alerts(t).tables["inbound_delay_alerts"],
+    "alerts_after_shipping": lambda t: _shipping_with_alerts(t).tables["outbound_delay_alerts"],
+    "alerts_cleared_by_shipping": lambda t: _shipping_with_alerts(t).alert_changes["outbound_delay_alerts"],
+    "alert_changes_by_sweep": _changes_by_sweep,
     "write_off_lot": _write_off,
     "create_inbound_order": _create_inbound,
     "complete_inbound": _complete_inbound,
@@ -340,6 +425,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "complete_outbound": _complete_outbound,
     "update_employee_status": _employee_status,
     "ingest_batch": _ingest,
+    "tables_after_ingest": _tables_after_ingest,
+    "locations_after_ingest": lambda t: _space(_delivered(t).tables["locations"]),
     "audit_primary_keys": _careless(rules.audit_primary_keys),
     "audit_unique": _careless(rules.audit_unique),
     "audit_not_null": _careless(rules.audit_not_null),
@@ -389,6 +476,42 @@ def _read_tables(spark: SparkSession, folder: str) -> DataFrame:
     return result
 
 
+def _read_whole_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Land the mapped tables and read them back: a digest over all columns of all rows of each table."""
+    place = run_folder(spark, "tables")
+    write_tables(dict(star_tables(spark, folder)), place)
+    parts = []
+    for name, df in read_tables(spark, place).items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in df.columns])
+        number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+        parts.append(
+            df.agg(F.count("*").alias("row_count"), F.sum(number).alias("row_digest")).withColumn("table_name", F.lit(name))
+        )
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _load_with_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Products and suppliers as text in which every fiftieth key is no number."""
+    tables, place = star_tables(spark, folder), run_folder(spark, "text")
+    keys = {"products": "product_id", "suppliers": "supplier_id"}
+    for name, key in keys.items():
+        spoiled = F.when(F.col(key) % 50 == 0, F.concat(F.lit("no-"), F.col(key))).otherwise(F.col(key).cast("string"))
+        write_tables({name: tables[name].withColumn(key, spoiled)}, place, "csv")
+    done = load_tables(spark, place, "csv", keys)
+    rejected = done.rejects.select(
+        "table_name", F.substring_index("record", ",", 1).alias("row_key"), F.lit(True).alias("rejected")
+    )
+    for name, key in keys.items():
+        kept = done.tables[name].select(
+            F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.lit(False).alias("rejected")
+        )
+        rejected = rejected.unionByName(kept)
+    return rejected
+
+
 def _write_monthly_report(spark: SparkSession, folder: str) -> DataFrame:
     """The month written twice, next to another month, and read back."""
     tables, target = star_tables(spark, folder), run_folder(spark, "report")
@@ -418,6 +541,25 @@ def _publish_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return lots.select("inventory_id", "total_quantity", "locked_quantity", "available_quantity", "last_updated")
 
 
+def _published_changes(spark: SparkSession, folder: str) -> str:
+    """Lots and orders published before and after the open orders were shipped; what did not change is not written."""
+    tables, target = star_tables(spark, folder), run_folder(spark, "changes")
+    names = ["inventory", "outbound_orders"]
+    snapshots.publish_changes({n: tables[n] for n in names}, target, "before", "2001-07-31 00:00:00")
+    before = ChainMap(snapshots.read_run(spark, target, names), tables)
+    after = commands.complete_outbound(before, requests.ship_open_orders(before), AS_OF).tables
+    snapshots.publish_changes({n: after[n] for n in names}, target, "after", AS_OF)
+    return target
+
+
+def _lots_of(run: str | None) -> Callable[[SparkSession, str], DataFrame]:
+    def read(spark: SparkSession, folder: str) -> DataFrame:
+        lots = snapshots.read_run(spark, _published_changes(spark, folder), ["inventory"], run)["inventory"]
+        return lots.select("inventory_id", "total_quantity", "locked_quantity", "available_quantity", "last_updated")
+
+    return read
+
+
 def _stream_delay_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """A feed that opens every order and then brings it to its real state."""
     tables, root = star_tables(spark, folder), run_folder(spark, "alert-stream")
@@ -439,6 +581,44 @@ def _stream_delay_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _stream_due_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Alert tables of three days, from one feed of orders that open, change, close and go; each delivered twice."""
+    tables, root = star_tables(spark, folder), run_folder(spark, "due-stream")
+    found = []
+    for rule in alerts.RULES.values():
+        name = f"{root}/{rule.direction}"
+        orders = landed(tables[rule.orders], rule.orders)
+        first = orders.withColumns({"change_seq": F.lit(1).cast("bigint"), "status": F.lit("pending")})
+        last = orders.withColumn("change_seq", F.lit(2).cast("bigint"))
+        # every seventh order is removed: all that is left of it is its key
+        gone = F.col(rule.order_id) % 7 == 0
+        gone_rows = orders.filter(gone).select(rule.order_id, F.lit(3).cast("bigint").alias("change_seq"))
+        removed = first.limit(0).unionByName(gone_rows, allowMissingColumns=True)
+        for part in (removed, last, first, last):  # out of order, one of them twice
+            part.write.mode("append").parquet(f"{name}/changes")
+        due_orders.stream_open_orders(spark, rule.direction, f"{name}/changes", f"{name}/orders", f"{name}/state")
+        for as_of in DUE_DAYS:
+            due = due_orders.due_alerts(spark, rule.direction, f"{name}/orders", as_of)
+            found.append(due.withColumnRenamed(rule.order_id, "order_id").withColumn("direction", F.lit(rule.direction)))
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _stream_lot_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Space from a feed of lots that arrive, ship what is available and go, delivered twice and backwards."""
+    tables, root = star_tables(spark, folder), run_folder(spark, "lot-stream")
+    lots = landed(tables["inventory"], "inventory")
+    held = lots.filter("inventory_status = 'hold'")
+    shipped = lots.withColumn("total_quantity", F.col("locked_quantity"))
+    steps = [lot_stream.lot_states(lots, 1), lot_stream.lot_states(shipped, 2), lot_stream.removed_lots(held, 3)]
+    for step in [*reversed(steps), *steps]:
+        step.write.mode("append").parquet(f"{root}/changes")
+    lot_stream.stream_lot_states(spark, f"{root}/changes", f"{root}/lots", f"{root}/state", files_per_batch=8)
+    return lot_stream.space_of_lots(spark, tables["locations"], tables["products"], f"{root}/lots")
+
+
 def _stream_location_utilization(spark: SparkSession, folder: str) -> DataFrame:
     """Lots arrive, ship what is available, and held ones are removed."""
     tables, root = star_tables(spark, folder), run_folder(spark, "space-stream")
@@ -466,6 +646,12 @@ WITH_STORAGE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "publish_snapshot": _publish_snapshot,
     "stream_delay_alerts": _stream_delay_alerts,
     "stream_location_utilization": _stream_location_utilization,
+    "read_whole_rows": _read_whole_rows,
+    "load_with_rejects": _load_with_rejects,
+    "publish_changes": _lots_of(None),
+    "lots_of_earlier_run": _lots_of("before"),
+    "stream_due_alerts": _stream_due_alerts,
+    "stream_lot_states": _stream_lot_states,
 }
 
 

@@ -23,21 +23,20 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row within its partition
 def in_ranges(df: DataFrame, order: str, rows_per_range: int | None = None) -> DataFrame:
     """Land ``df`` with ``_range``: ranges that rise with ``order`` and hold about equal rows.
 
-    The range is landed with the row, so it stays the same however often a task is repeated.  Values
-    of ``order`` must be unique: a missing or repeated one is an error.
+    The range is landed with the row, so it stays the same however often a task is repeated.  What fits one
+    range is landed once.  Values of ``order`` must be unique: a missing or repeated one is an error.
     """
     stored = landed(df, "requests")
-    rows = stored.count()
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(least, -(-rows // (rows_per_range or ROWS_PER_RANGE)))
-    placed = landed(
+    # one pass counts the rows and the values of ``order``, which leave out missing and repeated ones
+    rows, given = stored.agg(F.count("*"), F.count_distinct(order)).first()
+    if rows != given:
+        raise ValueError(f"{order} must be given and unique")
+    ranges = -(-rows // (rows_per_range or ROWS_PER_RANGE))
+    if ranges <= 1:
+        return stored.withColumn("_range", F.lit(0))
+    return landed(
         stored.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges"
     )
-    # equal values share a range, so no row has to move for this
-    repeated = placed.groupBy("_range", order).count().filter(f"count > 1 or {order} is null")
-    if not repeated.isEmpty():
-        raise ValueError(f"{order} must be given and unique")
-    return placed
 
 
 def with_position(

@@ -5,64 +5,72 @@ that may exist once).  It is accepted when each limited amount still fits after
 requests before it; a rejected request takes nothing.  Whether a request fits therefore depends on
 the verdicts before it, which a running sum alone cannot express.
 
-The batch is decided in rounds until nothing is open.  For every undecided request two running sums
-bound what earlier requests will have taken: all undecided ones accepted, or none.  A request that fits
-under the first is accepted, one that does not fit under the second is rejected, and both verdicts are
-exact.  The earliest undecided request of a resource is always decided, most are in the first round.
-
-Where each request asks for one resource only, resources do not depend on each other.  Then every round
-also folds the next open requests of each resource in order, a bounded number per resource.
+Most requests are decided by bounds.  For every undecided request two running sums bound what earlier
+requests will have taken: all undecided ones accepted, or none.  A request that fits under the first is
+accepted, one that does not fit under the second is rejected, and both verdicts are exact.  Rounds of
+bounds go on while each leaves at most half of the open requests open.
+
+What is left depends on each other, like goods that move on along a chain of full places.  Resources are
+contested if an open request may fail there; requests that meet at contested resources, directly or through
+others, form a connected component, and no verdict depends on another component.  Every component is
+folded once, in order of arrival, as a sorted stream: a task holds what is taken of one component's
+resources, not its requests.  So the number of rounds does not follow the length of a chain.  Only the requests of
+one component that bounds cannot decide are handled one after the other, as their verdicts are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stocklens.functions.components import components
 from stocklens.functions.scale import running_sums
-from stocklens.session import landed
+from stocklens.session import landed, ship_package
 
 #: Amounts and rooms are whole numbers; volumes are counted in ten-thousandths.
 VOLUME_UNIT = 10_000
-#: Open requests of one resource that a round folds.
-FOLDED = 512
+#: So few open demands are folded in one stream, without looking for their components.
+AT_ONCE = 50_000
 
 
 def admit(demands: DataFrame, single: bool = False) -> DataFrame:
     """Verdict per request: ``request_id``, ``accepted``.
 
     ``demands`` has ``request_id`` (order of arrival), ``resource``, ``amount`` (negative gives
-    back), ``room`` (left at the start; NULL means unlimited) and ``_range`` from ``in_ranges``;
-    one row per request and resource.  ``single`` promises one row per request.
+    back, NULL takes nothing), ``room`` (left at the start; NULL means unlimited) and ``_range`` from
+    ``in_ranges``; one row per request and resource.  ``single`` promises one row per request.
     """
     working = demands.select(
         "request_id",
         "resource",
-        F.col("amount").cast("bigint"),
+        F.coalesce(F.col("amount").cast("bigint"), F.lit(0).cast("bigint")).alias("amount"),
         F.col("room").cast("bigint"),
         "_range",
         F.lit(None).cast("boolean").alias("accepted"),
     )
     verdicts: list[DataFrame] = []
+    before = None
     while True:
         judged = landed(_judge(working, single), "judged")
         verdicts.append(_verdicts(judged))
-        left = judged.filter(F.col("accepted").isNull())
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, verdicts)
-        newly = judged.filter("accepted")
-        if single:
-            folded = landed(_folded(_settled(left.unionByName(newly))), "folded")
-            verdicts.append(folded)
-            left = left.drop("accepted").join(folded, "request_id", "left")
-            left = left.filter(F.coalesce("accepted", F.lit(True)))
-        working = left.unionByName(newly)
-
-
-def _settled(working: DataFrame) -> DataFrame:
+        open_ = judged.filter(F.col("accepted").isNull()).count()
+        if not open_:
+            break
+        if open_ <= AT_ONCE or (before is not None and open_ > before / 2):
+            verdicts.append(_folded(_settled(judged), open_, single))
+            break
+        before = open_
+        working = judged.filter(F.coalesce("accepted", F.lit(True))).drop("_fits")
+    return reduce(DataFrame.unionByName, verdicts)
+
+
+def _settled(judged: DataFrame) -> DataFrame:
     """Undecided demands whose ``room`` no longer contains what accepted requests before them took."""
+    working = judged.filter(F.coalesce("accepted", F.lit(True)))
     taken = F.when(F.col("accepted"), F.col("amount")).otherwise(0)
     return (
         running_sums(working, ["resource"], "request_id", {"taken": taken})
@@ -72,33 +80,74 @@ def _settled(working: DataFrame) -> DataFrame:
     )
 
 
-def _folded(settled: DataFrame) -> DataFrame:
-    """Verdicts of the next open requests of each resource, one after the other."""
-    placed = running_sums(settled, ["resource"], "request_id", {"_place": F.lit(1)})
-    waiting = (
-        placed.filter(F.col("_place") < FOLDED)
-        .groupBy("resource")
-        .agg(F.array_sort(F.collect_list(F.struct("request_id", "amount", "room"))).alias("waiting"))
-    )
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("used"),
-        F.array().cast("array<struct<request_id:bigint,accepted:boolean>>").alias("verdicts"),
-    )
-
-    def step(state: Column, request: Column) -> Column:
-        fits = request["room"].isNull() | (state["used"] + request["amount"] <= request["room"])
-        verdict = F.struct(request["request_id"].alias("request_id"), fits.alias("accepted"))
-        return F.struct(
-            (state["used"] + F.when(fits, request["amount"]).otherwise(0)).alias("used"),
-            F.concat(state["verdicts"], F.array(verdict)).alias("verdicts"),
-        )
-
-    folded = waiting.select(F.aggregate("waiting", start, step).alias("end"))
-    return folded.select(F.explode("end.verdicts").alias("v")).select("v.request_id", "v.accepted")
+def _folded(settled: DataFrame, open_: int, single: bool) -> DataFrame:
+    """Verdicts of the open requests, one component at a time in order of arrival."""
+    settled = landed(settled, "settled")
+    # where no open request can fail, none depends on another
+    contested = settled.filter("not _fits").select("resource").distinct()
+    meeting = settled.join(contested, "resource", "left_semi")
+    if single:
+        placed = meeting.withColumn("component", F.col("resource"))
+    elif open_ <= AT_ONCE:
+        placed = meeting.withColumn("component", F.lit(""))
+    else:
+        placed = _by_component(landed(meeting, "meeting"))
+    # everything of a component is one sorted stream, whatever its request ids
+    streams = placed.select("component", "request_id", "resource", "amount", "room")
+    streams = streams.repartition("component").sortWithinPartitions("component", "request_id")
+    ship_package(settled.sparkSession)
+    return landed(streams.mapInArrow(_one_by_one, "request_id bigint, accepted boolean"), "folded")
+
+
+def _by_component(meeting: DataFrame) -> DataFrame:
+    """Open demands with the component of their resource: resources of one request are linked in a chain."""
+    own = Window.partitionBy("request_id").orderBy("resource")  # a handful of demands each
+    links = meeting.select(F.col("resource").alias("a"), F.lead("resource").over(own).alias("b"))
+    found = components(links.filter("b is not null")).withColumnRenamed("node", "resource")
+    return meeting.join(found, "resource", "left").withColumn("component", F.coalesce("component", "resource"))
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests of sorted components, each judged by what the accepted ones before it have taken."""
+    used: dict[str, int] = {}
+    component, request, wants = None, None, []
+    ids, verdicts = [], []
+
+    def judge() -> None:
+        fits = all(room is None or used.get(resource, 0) + amount <= room for resource, amount, room in wants)
+        if fits:
+            for resource, amount, _ in wants:
+                used[resource] = used.get(resource, 0) + amount
+        ids.append(request)
+        verdicts.append(fits)
+
+    for batch in batches:
+        for place, asked, *want in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if wants and (place, asked) != (component, request):
+                judge()
+                wants = []
+            if place != component:
+                used.clear()
+            component, request = place, asked
+            wants.append(want)
+        yield _verdict_rows(ids, verdicts)
+        ids, verdicts = [], []
+    if wants:
+        judge()
+        yield _verdict_rows(ids, verdicts)
+
+
+def _verdict_rows(ids: list[int], verdicts: list[bool]) -> pa.RecordBatch:
+    columns = [pa.array(ids, pa.int64()), pa.array(verdicts, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, ["request_id", "accepted"])
 
 
 def _judge(working: DataFrame, single: bool) -> DataFrame:
-    """Undecided demands with the verdict of their request where this round can tell."""
+    """Undecided demands with the verdict of their request where this round can tell.
+
+    Their ``room`` no longer contains what requests accepted in earlier rounds took before them.  ``_fits`` marks
+    demands that fit whatever the open requests before them get.
+    """
     undecided = F.col("accepted").isNull()
     amount = F.col("amount")
     sums = {
@@ -111,12 +160,9 @@ def _judge(working: DataFrame, single: bool) -> DataFrame:
         .filter(undecided)
         .withColumn("room", F.col("room") - F.col("taken"))
     )
-    unlimited = F.col("room").isNull()
-    fits = unlimited | (F.col("most") + amount <= F.col("room"))
-    fails = ~unlimited & (F.col("least") + amount > F.col("room"))
-    marked = bounded.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn(
-        "_fails", F.coalesce(fails, F.lit(False))
-    )
+    fits = F.coalesce(F.col("most") + amount <= F.col("room"), F.lit(True))
+    fails = F.coalesce(F.col("least") + amount > F.col("room"), F.lit(False))
+    marked = bounded.withColumns({"_fits": fits, "_fails": fails})
     if single:
         any_fails, all_fit = F.col("_fails"), F.col("_fits")
     else:
@@ -124,7 +170,7 @@ def _judge(working: DataFrame, single: bool) -> DataFrame:
         any_fails, all_fit = F.bool_or("_fails").over(request), F.bool_and("_fits").over(request)
     return marked.withColumn(
         "accepted", F.when(any_fails, F.lit(False)).when(all_fit, F.lit(True))
-    ).select("request_id", "resource", "amount", "room", "_range", "accepted")
+    ).select("request_id", "resource", "amount", "room", "_range", "_fits", "accepted")
 
 
 def _verdicts(judged: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Commands applied to a whole batch of requests.
 
 A command takes the tables, a DataFrame of requests with a unique ``request_id`` and the time of the
-run.  It returns an :class:`Outcome`: the new state of the tables, the rows it added, and one result
-row per request.  Requests take effect in ``request_id`` order, each entirely or not at all.
+run.  It returns an :class:`Outcome`: the new state of the tables, the rows it added, one result
+row per request, and what happened to stored alerts where the tables hold any.  Requests take effect in
+``request_id`` order, each entirely or not at all.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from stocklens.functions.columns import stamp
 from stocklens.functions.scale import in_ranges, position_in_ranges, previous_value, running_sums
 from stocklens.operators.admission import admit
+from stocklens.operators.alerts import INBOUND, OUTBOUND, DelayRule, alerts_after
 from stocklens.operators.guards import (
     NO_SPACE,
     free_space,
@@ -35,6 +37,7 @@ When = dt.datetime | dt.date | str
 
 NOT_ENOUGH_STOCK = "not enough available stock"
 ORDER_CLOSED = "order is already closed"
+NO_SOURCE = "source lot not found"
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,8 @@ class Outcome:
     tables: Tables
     results: DataFrame
     added: dict[str, DataFrame] = field(default_factory=dict)
+    #: by alert table, where one is stored: the alerts that the command opened, raised, updated or cleared
+    alert_changes: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def first_reason(*cases: tuple[Column, str]) -> Column:
@@ -118,17 +123,83 @@ def _with_space(tables: Tables, changed: dict[str, DataFrame], *lots: DataFrame)
     return ChainMap({"locations": refresh_utilization(after, touched_locations(*lots))}, after)
 
 
+def _traced(requests: DataFrame) -> DataFrame:
+    """Split requests with the stored lot (``root_id``) that their source comes from.
+
+    ``source_request`` names an earlier request whose new lot is the source.  Such references form trees; each round
+    jumps twice as far towards the root, so rounds follow the logarithm of their depth.  A reference that
+    is unknown, or not to an earlier request, leads to no lot.
+    """
+    asked = landed(requests, "splits")
+    earlier = asked.select(
+        F.col("request_id").alias("source_request"),
+        F.col("target_warehouse").alias("made_warehouse"),
+        F.col("target_location").alias("made_location"),
+        F.col("quantity").alias("made_quantity"),
+    )
+    hops = asked.select(
+        "request_id",
+        F.when(F.col("source_request") < F.col("request_id"), F.col("source_request")).alias("up"),
+        F.when(F.col("source_request").isNull(), F.col("source_id")).alias("root_id"),
+    )
+    while True:
+        hops = landed(hops, "hops")
+        if hops.filter("up is not null").isEmpty():
+            break
+        further = hops.select(F.col("request_id").alias("up"), F.col("up").alias("_up"), F.col("root_id").alias("_root"))
+        hops = hops.join(further, "up", "left").select(
+            "request_id", F.col("_up").alias("up"), F.coalesce("root_id", "_root").alias("root_id")
+        )
+    roots = hops.select("request_id", "root_id")
+    return asked.join(roots, "request_id", "left").join(earlier, "source_request", "left")
+
+
+def _without_source(judged: DataFrame) -> DataFrame:
+    """Refused requests whose source was never made say so."""
+    verdicts = judged.select(F.col("request_id").alias("source_request"), F.col("accepted").alias("_made"))
+    lost = F.col("source_request").isNotNull() & ~F.col("accepted") & ~F.coalesce("_made", F.lit(False))
+    return landed(
+        judged.join(verdicts, "source_request", "left")
+        .withColumn("reason", F.when(lost, F.lit(NO_SOURCE)).otherwise(F.col("reason")))
+        .drop("_made")
+    )
+
+
+def _updated(orders: DataFrame, status: DataFrame, key: str) -> DataFrame:
+    """The orders that a command updated, with their new ``status``."""
+    return orders.drop("status").join(status, key)
+
+
+def _with_alerts(
+    tables: Tables, changed: dict[str, DataFrame], updated: DataFrame, rule: DelayRule, as_of: When
+) -> dict[str, DataFrame]:
+    """Puts the alert table into ``changed`` as the ``updated`` orders leave it; returns its changes."""
+    if rule.alerts not in tables:
+        return {}
+    after = alerts_after(tables[rule.alerts], updated, rule, as_of)
+    changed[rule.alerts] = after.table
+    return {rule.alerts: after.changes}
+
+
 def split_inventory(
     tables: Tables, requests: DataFrame, as_of: When, inherit_status: bool = False
 ) -> Outcome:
     """Move part of a lot to a new lot at another place.
 
-    Requests: request_id, source_id, quantity, operator_id, target_warehouse, target_location.
+    Requests: request_id, source_id, quantity, operator_id, target_warehouse, target_location, and
+    perhaps source_request: the earlier request of the batch whose new lot is the source, instead of source_id, which
+    names a stored lot.
     Taking from the lot frees space at its place before the target's space is checked.
     """
     lots = tables["inventory"]
+    chained = "source_request" in requests.columns
+    made = F.col("source_request").isNotNull() if chained else F.lit(False)
+    if chained:
+        requests = _traced(requests)
+    else:
+        requests = requests.withColumn("root_id", F.col("source_id"))
     source = lots.select(
-        F.col("inventory_id").alias("source_id"),
+        F.col("inventory_id").alias("root_id"),
         "product_id",
         F.col("warehouse_id").alias("source_warehouse"),
         F.col("storage_location").alias("source_location"),
@@ -145,16 +216,27 @@ def split_inventory(
         F.col("free_space").alias("target_space"),
         F.lit(True).alias("_target"),
     )
+    found = requests.join(source, "root_id", "left")
+    if chained:
+        # the source is where the earlier request puts it, and holds what that one takes; 0 before it
+        lost = F.col("source_warehouse").isNull()
+        found = found.withColumns(
+            {
+                "source_warehouse": F.when(made & ~lost, F.col("made_warehouse")).otherwise(F.col("source_warehouse")),
+                "source_location": F.when(made, F.col("made_location")).otherwise(F.col("source_location")),
+                "source_total": F.when(made, F.col("made_quantity")).otherwise(F.col("source_total")),
+                "source_available": F.when(made, 0).otherwise(F.col("source_available")),
+            }
+        )
     enriched = (
-        requests.join(source, "source_id", "left")
-        .join(tables["products"].select("product_id", "volume"), "product_id", "left")
+        found.join(tables["products"].select("product_id", "volume"), "product_id", "left")
         .join(_known(tables["warehouses"], "warehouse_id", "target_warehouse", "_site"), "target_warehouse", "left")
         .join(target, ["target_warehouse", "target_location"], "left")
         .join(_known(tables["employees"], "employee_id", "operator_id", "_person"), "operator_id", "left")
         .withColumn(
             "reason",
             first_reason(
-                (F.col("source_warehouse").isNull(), "source lot not found"),
+                (F.col("source_warehouse").isNull(), NO_SOURCE),
                 (F.col("quantity").isNull() | (F.col("quantity") < 0), "quantity missing or negative"),
                 (F.col("target_warehouse") == -1, "dropping a lot is a write-off request"),
                 (F.col("_site").isNull(), "target warehouse not found"),
@@ -171,38 +253,47 @@ def split_inventory(
     to_place = place_of("target_warehouse", "target_location")
     same = F.coalesce(from_place == to_place, F.lit(False))
     demand = "struct<resource:string,amount:bigint,room:bigint>"
-    wanted = F.array_compact(
-        F.array(
-            F.struct(
-                F.concat(F.lit("lot/"), F.col("source_id")).alias("resource"),
-                F.col("quantity").cast("bigint").alias("amount"),
-                F.col("source_available").cast("bigint").alias("room"),
-            ).cast(demand),
-            # moving within one place changes nothing there, but the place must not be over-full
-            F.when(
-                F.col("target_location").isNotNull(),
-                F.struct(
-                    to_place.alias("resource"),
-                    F.when(same, 0).otherwise(space).alias("amount"),
-                    F.when(sized, F.col("target_space")).alias("room"),
-                ).cast(demand),
-            ),
-            F.when(
-                F.col("source_location").isNotNull() & ~same,
-                F.struct(
-                    from_place.alias("resource"), (-space).alias("amount"), F.lit(None).alias("room")
-                ).cast(demand),
-            ),
-        )
-    )
+    quantity = F.col("quantity").cast("bigint")
+    nothing = F.lit(None).cast("bigint")
+
+    def need(resource: Column, amount: Column, room: Column) -> Column:
+        return F.struct(resource.alias("resource"), amount.alias("amount"), room.alias("room")).cast(demand)
+
+    lot = F.concat(F.lit("lot/"), F.col("source_id"))
+    if chained:
+        by_request = F.concat(F.lit("made/"), F.col("source_request"))
+        lot = F.when(made, by_request).otherwise(lot)
+        used_later = requests.select(F.col("source_request").alias("request_id"), F.lit(True).alias("_used")).distinct()
+        valid = valid.join(used_later, "request_id", "left")
+    needs = [
+        need(lot, quantity, F.col("source_available").cast("bigint")),
+        # moving within one place changes nothing there, but the place must not be over-full
+        F.when(
+            F.col("target_location").isNotNull(),
+            need(to_place, F.when(same, 0).otherwise(space), F.when(sized, F.col("target_space"))),
+        ),
+        F.when(F.col("source_location").isNotNull() & ~same, need(from_place, -space, nothing)),
+    ]
+    if chained:
+        # a lot of the batch is there once its request was accepted, and then holds what that one took
+        there, own = F.lit("there/"), F.col("request_id")
+        given, none = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
+        needs += [
+            F.when(made, need(F.concat(there, F.col("source_request")), none, given)),
+            F.when(F.col("_used"), need(F.concat(there, own), given, nothing)),
+            F.when(F.col("_used"), need(F.concat(F.lit("made/"), own), -quantity, nothing)),
+        ]
+    wanted = F.array_compact(F.array(*needs))
     demands = valid.select("request_id", F.explode(wanted).alias("w"), "_range").select(
         "request_id", "w.*", "_range"
     )
     judged = _judged(ranged, demands, f"{NOT_ENOUGH_STOCK} or no space at the target")
 
+    if chained:
+        judged = _without_source(judged)
     moved = {"_moved": F.col("quantity")}
     accepted = position_in_ranges(
-        running_sums(judged.filter("accepted"), ["source_id"], "request_id", moved), "request_id"
+        running_sums(judged.filter("accepted").withColumn("_lot", lot), ["_lot"], "request_id", moved), "request_id"
     )
     old_total = F.col("source_total") - F.col("_moved")
     log = tables["inventory_adjustments"]
@@ -210,16 +301,32 @@ def split_inventory(
         {
             "new_id": _last_id(lots, "inventory_id") + F.col("position"),
             "log_id": _last_id(log, "adjustment_id") + F.col("position") * 2 - 1,
+            "_left": F.col("quantity"),
         }
     )
+    if chained:
+        # sources of the batch by their new ids, and what is left of them after later requests
+        ids = landed(ids, "numbered")
+        made_ids = ids.select(F.col("request_id").alias("source_request"), F.col("new_id").alias("_made_id"))
+        onward = (
+            ids.filter(made)
+            .groupBy(F.col("source_request").alias("request_id"))
+            .agg(F.sum("quantity").alias("_onward"))
+        )
+        ids = (
+            ids.join(made_ids, "source_request", "left")
+            .join(onward, "request_id", "left")
+            .withColumn("source_id", F.when(made, F.col("_made_id")).otherwise(F.col("source_id")))
+            .withColumn("_left", F.col("quantity") - F.coalesce("_onward", F.lit(0)))
+        )
     new_lots = conform(
         ids.select(
             F.col("new_id").alias("inventory_id"),
             "product_id",
             F.col("target_warehouse").alias("warehouse_id"),
             F.col("target_location").alias("storage_location"),
-            F.col("quantity").alias("total_quantity"),
-            F.col("quantity").alias("available_quantity"),
+            F.col("_left").alias("total_quantity"),
+            F.col("_left").alias("available_quantity"),
             "unit",
             "production_date",
             "expiry_date",
@@ -245,7 +352,6 @@ def split_inventory(
             F.col("operator_id").alias("operator"),
         )
 
-    quantity = F.col("quantity")
     entries = F.array(
         entry(
             F.col("log_id"),
@@ -270,11 +376,15 @@ def split_inventory(
         ids.select(F.explode(entries).alias("e")).select("e.*"), schemas.INVENTORY_ADJUSTMENTS, as_of
     )
     taken = (
-        judged.filter("accepted")
+        judged.filter(F.col("accepted") & ~made)
         .groupBy(F.col("source_id").alias("inventory_id"))
         .agg(F.sum("quantity").alias("_taken"))
     )
     remaining = _take_from_lots(lots, taken, None)
+    if chained:
+        judged = judged.join(made_ids, "source_request", "left").withColumn(
+            "source_id", F.when(made, F.col("_made_id")).otherwise(F.col("source_id"))
+        )
     results = judged.select("request_id", "source_id", "accepted", "reason").join(
         ids.select("request_id", F.col("new_id").alias("new_inventory_id")), "request_id", "left"
     )
@@ -495,10 +605,13 @@ def complete_inbound(tables: Tables, requests: DataFrame, as_of: When, strict: b
         numbered.select("request_id", F.col("new_id").alias("new_inventory_id")), "request_id", "left"
     )
     changed = {"inbound_orders": state, "inventory": append(tables, "inventory", new_lots)}
+    closed = last.select("inbound_id", F.lit("completed").alias("status"))
+    alert_changes = _with_alerts(tables, changed, _updated(orders, closed, "inbound_id"), INBOUND, as_of)
     return Outcome(
         _with_space(tables, changed, new_lots),
         results,
         {"inventory": new_lots},
+        alert_changes,
     )
 
 
@@ -567,9 +680,12 @@ def complete_outbound(tables: Tables, requests: DataFrame, as_of: When, strict:
     )
     taken = accepted.groupBy("inventory_id").agg(F.sum("quantity").alias("_taken"))
     changed = {"outbound_orders": state, "inventory": _take_from_lots(lots, taken, stamp(as_of))}
+    closed = shipped.select("outbound_id", F.lit("shipped").alias("status"))
+    alert_changes = _with_alerts(tables, changed, _updated(orders, closed, "outbound_id"), OUTBOUND, as_of)
     return Outcome(
         _with_space(tables, changed, lots.join(taken, "inventory_id", "left_semi")),
         judged.select("request_id", "outbound_id", "inventory_id", "accepted", "reason"),
+        alert_changes=alert_changes,
     )
 
 

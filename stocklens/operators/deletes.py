@@ -83,14 +83,15 @@ def cascade_delete(tables: Tables, removed: Mapping[str, DataFrame]) -> dict[str
 
     Places that lose lots get their space back.
     """
-    return _freed(tables, _without(tables, removed, removed_rows(tables, removed)))
+    gone = removed_rows(tables, removed)
+    return _freed(tables, _without(tables, removed, gone), gone)
 
 
-def _freed(before: Tables, after: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """``after`` with the space use of the places whose lots went computed anew."""
-    if not {"inventory", "locations", "products"} <= set(after):
+def _freed(before: Tables, after: dict[str, DataFrame], gone: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """``after`` with the space use of the places whose lots went computed anew; lots are in ``gone`` by key."""
+    if "inventory" not in gone or not {"inventory", "locations", "products"} <= set(after):
         return after
-    lost = before["inventory"].join(after["inventory"].select("inventory_id"), "inventory_id", "left_anti")
+    lost = before["inventory"].join(gone["inventory"], "inventory_id", "left_semi")
     return {**after, "locations": utilization_on_delete(after, lost)}
 
 
@@ -140,17 +141,20 @@ def delete_rows(
     }
     gone = removed_rows(tables, allowed)
     left = null_on_delete(_without(tables, allowed, gone), gone)
-    return _freed(tables, left), refused
+    return _freed(tables, left, gone), refused
 
 
 def cascade_rename_location(tables: Tables, renames: DataFrame) -> Tables:
     """Rename locations, on the locations and on their lots.
 
     ``renames``: warehouse_id, location, new_location.  Two places may not end under one name: renaming
-    to the name of a place that stays, or two places to one name, is an error.
+    to the name of a place that stays, or two places to one name, is an error.  So are two new names for one place.
     """
     locations, lots = tables["locations"], tables["inventory"]
     renames = renames.distinct()
+    twice = renames.groupBy("warehouse_id", "location").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"{twice['location']} at {twice['warehouse_id']} has two new names")
     named = (
         locations.select("warehouse_id", "location")
         .join(renames, ["warehouse_id", "location"], "left")

@@ -152,44 +152,18 @@ def audit_unique(tables: Tables) -> DataFrame:
     return _all(parts)
 
 
-def parent_keys(tables: Tables) -> dict[tuple[str, tuple[str, ...]], DataFrame]:
-    """The distinct keys of every table that others refer to, landed once for all its children."""
-    wanted = {
-        (r.parent, tuple(r.parent_columns))
-        for name, table in {**TABLES, **ALERT_TABLES}.items()
-        if name in tables
-        for r in table.references
-        if r.parent in tables
-    }
-    return {
-        (parent, columns): landed(tables[parent].select(*columns).distinct(), f"keys-{parent}")
-        for parent, columns in sorted(wanted)
-    }
-
-
-def with_orphan_rules(
-    df: DataFrame,
-    table: Table,
-    parents: Mapping[str, DataFrame],
-    known: Mapping[tuple[str, tuple[str, ...]], DataFrame] | None = None,
-) -> DataFrame:
+def with_orphan_rules(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> DataFrame:
     """``df`` plus ``broken_references``: names of complete references that find no parent.
 
     All references of a row are looked up in one pass over the table; an incomplete reference
-    passes.  Parent keys are made distinct first, so a repeated parent does not repeat rows; ``known``
-    holds those from :func:`parent_keys`.
+    passes.  Parent keys are made distinct first, so a repeated parent does not repeat rows.
     """
     marks = []
     for number, reference in enumerate(table.references):
         if reference.parent not in parents:
             continue
         pairs = zip(reference.columns, reference.parent_columns, strict=True)
-        renamed = [F.col(p).alias(c) for c, p in pairs]
-        key = (reference.parent, tuple(reference.parent_columns))
-        if known and key in known:
-            keys = known[key].select(*renamed)
-        else:
-            keys = parents[reference.parent].select(*renamed).distinct()
+        keys = parents[reference.parent].select(*[F.col(p).alias(c) for c, p in pairs]).distinct()
         found = f"_parent_{number}"
         df = df.join(keys.withColumn(found, F.lit(True)), list(reference.columns), "left")
         complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in reference.columns])
@@ -202,19 +176,56 @@ def reference_rule(reference: Reference) -> str:
     return f"{'_and_'.join(reference.columns)}_in_{reference.parent}"
 
 
+def _target(reference: Reference) -> str:
+    return f"{reference.parent}.{'/'.join(reference.parent_columns)}"
+
+
+def _link(target: str, columns: Iterable[str], rule: str | None = None) -> Column:
+    """What a complete key refers to, as text; NULL where a part of it is missing."""
+    names = list(columns)
+    text = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in names])
+    parts = [F.lit(target).alias("target"), text.alias("reference")]
+    if rule:
+        parts.append(F.lit(rule).alias("rule"))
+    return F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in names]), F.struct(*parts))
+
+
+def orphan_keys(tables: Tables) -> DataFrame:
+    """Every key that some row refers to and no parent has: ``target`` (table and columns) and ``reference``.
+
+    Children are reduced to the distinct keys they use, all references in one scan of each table, and parents
+    give their keys: rows themselves meet nothing.
+    """
+    used, given = [], {}
+    for name, df in _present(tables, {**TABLES, **ALERT_TABLES}):
+        found = [r for r in {**TABLES, **ALERT_TABLES}[name].references if r.parent in tables]
+        for r in found:
+            given[_target(r)] = tables[r.parent].select(_link(_target(r), r.parent_columns).alias("k")).select("k.*")
+        if found:
+            links = F.array_compact(F.array(*[_link(_target(r), r.columns) for r in found]))
+            # distinct within each table first: that much is summed up before anything is shuffled
+            used.append(df.select(F.explode(links).alias("k")).select("k.*").distinct())
+    return _all(used).distinct().join(_all(list(given.values())), ["target", "reference"], "left_anti")
+
+
 def audit_foreign_keys(tables: Tables) -> DataFrame:
-    """Orphans of every reference of the base tables and, when given, the alert tables."""
-    known = parent_keys(tables)
+    """Orphans of every reference of the base tables and, when given, the alert tables.
+
+    Orphan keys are found first; only references that have any are looked at by row, so a clean table is
+    scanned once for its keys and no more.
+    """
+    orphans = landed(orphan_keys(tables), "orphan-keys")
+    # one row for each kind of parent key
+    targets = {r["target"] for r in orphans.select("target").distinct().collect()}
     parts = []
     for name, df in _present(tables, {**TABLES, **ALERT_TABLES}):
         table = {**TABLES, **ALERT_TABLES}[name]
-        used = dict.fromkeys([*table.key, *[c for r in table.references for c in r.columns]])
-        if any(r.parent in tables for r in table.references):
-            parts.append(
-                with_orphan_rules(df.select(*used), table, tables, known).select(
-                    F.lit(name).alias("table_name"),
-                    key_text(table).alias("row_key"),
-                    F.explode("broken_references").alias("rule"),
-                )
-            )
+        broken = [r for r in table.references if r.parent in tables and _target(r) in targets]
+        if broken:
+            links = [_link(_target(r), r.columns, reference_rule(r)) for r in broken]
+            rows = df.select(key_text(table).alias("row_key"), F.explode(F.array_compact(F.array(*links))).alias("k"))
+            met = rows.select("row_key", "k.*").join(orphans, ["target", "reference"])
+            parts.append(met.select(F.lit(name).alias("table_name"), "row_key", "rule"))
+    if not parts:
+        return orphans.select(F.lit("").alias("table_name"), F.lit("").alias("row_key"), F.lit("").alias("rule")).limit(0)
     return _all(parts)

@@ -6,7 +6,7 @@ import datetime as dt
 from collections import ChainMap
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.functions.columns import day
@@ -44,16 +44,47 @@ def ship_open_orders(t: Tables) -> DataFrame:
 
 def split_every_lot(t: Tables) -> DataFrame:
     """Set all but three units of every lot apart at the same place."""
+    return _parts_of_lots(t, F.col("storage_location"))
+
+
+def move_every_lot(t: Tables) -> DataFrame:
+    """Move all but three units of every lot to the next place of its site, the last place's to the first."""
+    return _parts_of_lots(t, _places_on(1))
+
+
+def move_parts_of_parts(t: Tables) -> DataFrame:
+    """Move all but three units of every lot one place on, and half of each new lot one place further."""
+    whole, lot = move_every_lot(t), F.col("source_id")
+    first = whole.withColumns({"request_id": lot * 2, "source_request": F.lit(None).cast("bigint")})
+    onward = _parts_of_lots(t, _places_on(2))
+    second = onward.withColumns(
+        {
+            "request_id": lot * 2 + 1,
+            "quantity": F.floor(F.col("quantity") / 2).cast("int"),
+            "source_request": lot * 2,
+            "source_id": F.lit(None).cast("bigint"),
+        }
+    )
+    return first.unionByName(second)
+
+
+def _parts_of_lots(t: Tables, target: Column) -> DataFrame:
     return t["inventory"].select(
         F.col("inventory_id").alias("request_id"),
         F.col("inventory_id").alias("source_id"),
         (F.col("total_quantity") - 3).alias("quantity"),
         F.col("product_id").alias("operator_id"),
         F.col("warehouse_id").alias("target_warehouse"),
-        F.col("storage_location").alias("target_location"),
+        target.alias("target_location"),
     )
 
 
+def _places_on(steps: int) -> Column:
+    """The name of the place so many steps after a lot's, in a ring of fifty."""
+    number = (F.substring("storage_location", 3, 2).cast("int") + steps - 1) % 50 + 1
+    return F.concat(F.lit("Z-"), F.lpad(number.cast("string"), 2, "0"))
+
+
 def drop_expired_lots(t: Tables, as_of: dt.date | str) -> DataFrame:
     return (
         t["inventory"]
@@ -128,6 +159,27 @@ def redelivered_inbound(t: Tables) -> tuple[Tables, DataFrame]:
     return stored, batch
 
 
+def new_products_with_lots(t: Tables) -> tuple[Tables, dict[str, DataFrame]]:
+    """Tables without every fourth product and its lots, and these as one careless delivery.
+
+    Discontinued products come without a name.  Lots on hold are delivered for a place that is not there.
+    """
+    fourth = F.col("product_id") % 4 == 0
+    products, lots = t["products"], t["inventory"]
+    stored = ChainMap({"products": products.filter(~fourth), "inventory": lots.filter(~fourth)}, t)
+    named = F.when(F.col("status") != "discontinued", F.col("product_name"))
+    place = F.when(F.col("inventory_status") == "hold", "nowhere").otherwise(F.col("storage_location"))
+    batches = {
+        "inventory": lots.filter(fourth)
+        .withColumn("row_order", F.col("inventory_id"))
+        .withColumn("storage_location", place),
+        "products": products.filter(fourth)
+        .withColumn("row_order", F.col("product_id").cast("bigint"))
+        .withColumn("product_name", named),
+    }
+    return stored, batches
+
+
 def careless_tables(t: Tables) -> Tables:
     """The tables with typical entry mistakes, for the audits."""
     department, status = F.col("department"), F.col("employment_status")

@@ -97,6 +97,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard_steps(spark: SparkSession) -> None:
     """Delete what this application has landed below the shared folder.
 
@@ -104,5 +110,4 @@ def discard_steps(spark: SparkSession) -> None:
     """
     taken = _STEPS.pop(spark.sparkContext.applicationId, [])
     for path in taken:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        remove(spark, path)

@@ -6,7 +6,9 @@ A table is a tuple of :class:`Column`.  ``struct_type`` turns it into the
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from graphlib import TopologicalSorter
 
 from pyspark.sql import types as T
 
@@ -314,6 +316,15 @@ TABLES: dict[str, Table] = {
     )
 }
 
+
+
+def parents_first(names: Iterable[str]) -> list[str]:
+    """Names of tables in an order in which every table comes after those it refers to."""
+    wanted = set(names)
+    graph = {n: {r.parent for r in TABLES[n].references if r.parent != n} for n in TABLES}
+    return [n for n in TopologicalSorter(graph).static_order() if n in wanted]
+
+
 SUPPLIER_MONTHLY_REPORT = Table(
     "supplier_monthly_report",
     ("report_month", "supplier_id"),

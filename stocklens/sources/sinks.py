@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stocklens.functions.columns import month_bounds, stamp
+from stocklens.session import exists, remove
 from stocklens.sources.schemas import SUPPLIER_MONTHLY_REPORT, TABLES
 
 Tables = Mapping[str, DataFrame]
@@ -51,6 +52,16 @@ def write_alerts(alerts: DataFrame, folder: str) -> None:
     notice.write.mode("append").parquet(f"{folder}/published")
 
 
+def retire_alerts(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Remove all but the last ``keep`` announced evaluations; the last one always stays.  Gives the removed ones."""
+    published = spark.read.schema(_NOTICE).parquet(f"{folder}/published").select("run", "published_at").collect()
+    ordered = [r["run"] for r in sorted(published, key=lambda r: (r["published_at"], r["run"]), reverse=True)]
+    gone = [run for run in ordered[max(1, keep) :] if exists(spark, f"{folder}/runs/{run}")]
+    for run in gone:
+        remove(spark, f"{folder}/runs/{run}")
+    return gone
+
+
 def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """The alert table announced last, also when it holds no alert."""
     published = spark.read.schema(_NOTICE).parquet(f"{folder}/published")

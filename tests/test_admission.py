@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stocklens.functions import components as component_functions
 from stocklens.functions.scale import (
     in_ranges,
     position_in_ranges,
@@ -54,18 +55,76 @@ def batch(seed, requests, resources, hot=False):
     return rows
 
 
+@pytest.fixture(params=[50_000, 0], ids=["at-once", "by-component"])
+def folding(request, monkeypatch):
+    monkeypatch.setattr(admission, "AT_ONCE", request.param)
+
+
 @pytest.mark.parametrize("rows_per_range", [200_000, 40, 3])
-def test_same_as_sequential(spark, rows_per_range):
+def test_same_as_sequential(spark, folding, rows_per_range):
     rows = batch(7, 160, 12, hot=True)
     demands = in_ranges(spark.createDataFrame(keyed(rows), KEYED), "row", rows_per_range)
     got = {r[0]: r[1] for r in admit(demands).collect()}
     assert got == one_after_the_other(rows)
 
 
-@pytest.mark.parametrize("folded", [512, 2])
+def test_many_components_same_as_sequential(spark, folding):
+    rows = batch(3, 500, 150)
+    got = {r[0]: r[1] for r in admit(in_ranges(spark.createDataFrame(keyed(rows), KEYED), "row")).collect()}
+    assert got == one_after_the_other(rows)
+
+
+def moves(places, ring):
+    """Every place is full; each request moves one unit on to the next place, in the order that works or not."""
+    rows = []
+    for i in range(places if ring else places - 1):
+        to, came_from = f"p{i}", f"p{(i + 1) % places}"
+        rows += [(2 * i + 1, to, 1, 0), (2 * i + 1, came_from, -1, None)]
+    # a first request makes room at p0 (in a chain), the last ones find no room
+    return [(0, "p0", -1, None), *rows, (9_000_000, "p5", 1, 0)]
+
+
+@pytest.mark.parametrize("ring", [False, True], ids=["chain", "ring"])
+def test_rounds_do_not_follow_the_length_of_a_chain(spark, folding, monkeypatch, ring):
+    rounds = {}
+    judge, fold = admission._judge, admission._folded
+    for places in (30, 1_000):
+        count = rounds[places] = []
+        monkeypatch.setattr(admission, "_judge", lambda *a, c=count: c.append("bounds") or judge(*a))
+        monkeypatch.setattr(admission, "_folded", lambda *a, c=count: c.append("fold") or fold(*a))
+        rows = moves(places, ring)
+        demands = in_ranges(spark.createDataFrame(keyed(rows), KEYED), "row")
+        got = {r[0]: r[1] for r in admit(demands).collect()}
+        assert got == one_after_the_other(rows)
+        assert sum(got.values()) == len(got) - 1
+    assert rounds[30] == rounds[1_000] and len(rounds[30]) <= 3
+
+
+@pytest.mark.parametrize("order", ["in order", "random", "in halves"])
+def test_components_of_paths(spark, monkeypatch, order):
+    """Stars around the smallest node, in about log2 of a path's length rounds whatever the order of ids."""
+    size = 600
+    ids = list(range(size))
+    if order == "random":
+        random.Random(2).shuffle(ids)
+    elif order == "in halves":
+        ids = [i // 2 + (size // 2) * (i % 2) for i in range(size)]
+    links = [(ids[i], ids[i + 1]) for i in range(size - 1) if i != 400]
+    links += [(7_000 + i, 9_999) for i in range(50)] + [(3, 3), (None, 4), (8_000, 8_000)]
+    landings = []
+    land = component_functions.landed
+    monkeypatch.setattr(component_functions, "landed", lambda df, name: landings.append(name) or land(df, name))
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in component_functions.components(df).collect()}
+    first, second = ids[:401], ids[401:]
+    want = {i: min(first) for i in first} | {i: min(second) for i in second}
+    assert got == want | {i: 7_000 for i in [*range(7_000, 7_050), 9_999]}
+    assert landings.count("small-stars") <= 11
+    assert component_functions.components(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("rows_per_range", [200_000, 40])
-def test_single_demands_same_as_sequential(spark, monkeypatch, folded, rows_per_range):
-    monkeypatch.setattr(admission, "FOLDED", folded)
+def test_single_demands_same_as_sequential(spark, folding, rows_per_range):
     rows = list({r[0]: r for r in reversed(batch(11, 220, 6, hot=True))}.values())
     demands = in_ranges(spark.createDataFrame(rows, SCHEMA), "request_id", rows_per_range)
     got = {r[0]: r[1] for r in admit(demands, single=True).collect()}

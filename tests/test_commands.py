@@ -11,7 +11,7 @@ from small import inbound, lot, outbound, person, place, product, warehouse
 
 from stocklens.functions import scale
 from stocklens.functions.metrics import location_utilization
-from stocklens.operators import commands
+from stocklens.operators import admission, commands
 from stocklens.operators.utilization import with_utilization
 
 AS_OF = "2025-12-03"
@@ -56,9 +56,10 @@ def simulate_splits(tables, requests):
     volume = {r["product_id"]: r["volume"] for r in tables["products"].collect()}
     staff = {r["employee_id"] for r in tables["employees"].collect()}
     next_lot = max(lots) + 1
-    log, verdicts = [], {}
-    for request, source, quantity, operator, target, where in sorted(requests):
+    log, verdicts, made = [], {}, {}
+    for request, source, quantity, operator, target, where, *earlier in sorted(requests, key=lambda r: r[0]):
         verdicts[request] = False
+        source = made.get(earlier[0]) if earlier and earlier[0] is not None else source
         old = lots.get(source)
         if old is None or quantity is None or quantity < 0 or operator not in staff | {None}:
             continue
@@ -69,7 +70,8 @@ def simulate_splits(tables, requests):
         size = (volume[old["product_id"]] or 0) * quantity
         here = (old["warehouse_id"], old["storage_location"])
         after = dict(used)
-        after[here] -= size
+        if here in after:
+            after[here] -= size
         if where is not None:
             full = after[target, where] + size > places[target, where]["capacity"]
             if full and volume[old["product_id"]] is not None:
@@ -80,7 +82,15 @@ def simulate_splits(tables, requests):
         before = old["total_quantity"]
         old["total_quantity"] -= quantity
         old["available_quantity"] -= quantity
-        lots[next_lot] = {"total_quantity": quantity, "available_quantity": quantity}
+        made[request] = next_lot
+        lots[next_lot] = {
+            "product_id": old["product_id"],
+            "warehouse_id": target,
+            "storage_location": where,
+            "total_quantity": quantity,
+            "available_quantity": quantity,
+            "parent_inventory_id": source,
+        }
         log.append((next_lot, 0, quantity, f"split from {source}"))
         log.append((source, before, before - quantity, f"split to {next_lot}"))
         next_lot += 1
@@ -115,6 +125,94 @@ def test_splits_equal_the_sequential_run(spark, ranges):
     assert ids == list(range(1, len(log) + 1))
 
 
+CHAINED = f"{SPLITS}, source_request bigint"
+
+
+def chained_requests(seed, count=140):
+    """Splits of stored lots, of parts of them, of parts of parts, and of what never was."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        earlier = rng.choice([None, 2 * rng.randrange(i + 1) - 2 if i else None, 2 * i - 2, 2 * i + 2 if rng.random() < 0.1 else None])
+        where = rng.choice(["A", "B", "C", "C", None, "nowhere" if rng.random() < 0.1 else "A"])
+        quantity = rng.choice([0, 1, 1, 1, 2, 3, -1 if rng.random() < 0.3 else 2, None if rng.random() < 0.2 else 1])
+        source = rng.choice([*range(1, 13), 99]) if earlier is None else None
+        rows.append((2 * i, source, quantity, rng.choice([1, 2, None]), rng.choice([1, 2, 2, 2]), where, earlier))
+    return rows
+
+
+@pytest.mark.parametrize("seed, at_once, per_range", [(1, 50_000, 200_000), (2, 0, 40)], ids=["at-once", "by-component"])
+def test_splits_of_lots_made_in_the_batch(spark, monkeypatch, seed, at_once, per_range):
+    monkeypatch.setattr(admission, "AT_ONCE", at_once)
+    monkeypatch.setattr(scale, "ROWS_PER_RANGE", per_range)
+    tables, requests = with_utilization(site(spark)), chained_requests(seed)
+    outcome = commands.split_inventory(tables, spark.createDataFrame(requests, CHAINED), AS_OF)
+    verdicts, lots, log = simulate_splits(tables, requests)
+    results = by_id(outcome.results, "request_id")
+    assert {i: r["accepted"] for i, r in results.items()} == verdicts
+    accepted_parts = [r for r in requests if r[6] is not None and verdicts[r[0]]]
+    assert len(accepted_parts) > 10
+    names = ["total_quantity", "available_quantity", "warehouse_id", "storage_location", "product_id", "parent_inventory_id"]
+    state = by_id(outcome.tables["inventory"], "inventory_id")
+    assert {k: [v[n] for n in names] for k, v in state.items()} == {
+        k: [v.get(n) for n in names] for k, v in lots.items()
+    }
+    columns = ["inventory_id", "before_quantity", "after_quantity", "adjustment_reason"]
+    added = outcome.added["inventory_adjustments"].orderBy("adjustment_id")
+    assert [tuple(r) for r in added.select(*columns).collect()] == log
+    made = {i: r["new_inventory_id"] for i, r in results.items() if r["accepted"]}
+    for request in requests:
+        result, earlier = results[request[0]], request[6]
+        if result["accepted"]:
+            assert result["source_id"] == (made[earlier] if earlier is not None else request[1])
+        elif earlier is not None and earlier not in made:
+            assert result["reason"] == commands.NO_SOURCE
+    assert_space(outcome.tables)
+
+
+def test_a_part_of_a_part_equals_two_calls(spark):
+    tables = with_utilization(site(spark))
+    batch = [(1, 3, 2, 1, 2, "C", None), (2, None, 1, 1, 1, "A", 1), (3, None, 1, 1, 1, "A", 7), (4, None, 0, 1, 1, "A", 4)]
+    once = commands.split_inventory(tables, spark.createDataFrame(batch, CHAINED), AS_OF)
+    first = commands.split_inventory(tables, spark.createDataFrame([batch[0][:6]], SPLITS), AS_OF)
+    new_lot = first.results.collect()[0]["new_inventory_id"]
+    second = commands.split_inventory(
+        first.tables, spark.createDataFrame([(2, new_lot, 1, 1, 1, "A")], SPLITS), AS_OF
+    )
+    for name in ("inventory", "inventory_adjustments", "locations"):
+        assert sorted(once.tables[name].collect()) == sorted(second.tables[name].collect())
+    reasons = {r["request_id"]: r["reason"] for r in once.results.collect()}
+    assert reasons == {1: None, 2: None, 3: commands.NO_SOURCE, 4: commands.NO_SOURCE}
+
+
+def test_deep_split_trees_take_few_rounds(spark, monkeypatch):
+    tables = with_utilization(small.tables(
+        spark,
+        warehouses=[warehouse(1)],
+        locations=[place(1, n, 5_000) for n in "AB"],
+        products=[product(1)],
+        employees=[person(1, 1)],
+        inventory=[lot(1, where="A", total=300)],
+    ))
+    rows = [(i, 1 if i == 0 else None, 300 - i, 1, 1, "AB"[i % 2], i - 1 if i else None) for i in range(200)]
+    landings = []
+    land = commands.landed
+    monkeypatch.setattr(commands, "landed", lambda df, *name: landings.append(name) or land(df, *name))
+    outcome = commands.split_inventory(tables, spark.createDataFrame(rows, CHAINED), AS_OF)
+    assert outcome.results.filter("accepted").count() == 200
+    assert landings.count(("hops",)) <= 9
+    left = by_id(outcome.tables["inventory"], "inventory_id")
+    assert sum(v["total_quantity"] for v in left.values()) == 300
+    assert left[201]["total_quantity"] == 101 and left[200]["total_quantity"] == 1
+
+
+def assert_space(tables):
+    """Stored space use is that of the lots."""
+    stored = {(r["warehouse_id"], r["location"]): float(r["utilization"]) for r in tables["locations"].collect()}
+    found = {(r["warehouse_id"], r["location"]): float(r["utilization"]) for r in with_utilization(tables)["locations"].collect()}
+    assert stored == found
+
+
 def test_split_invariants(spark, ranges):
     tables = with_utilization(site(spark))
     requests = spark.createDataFrame(split_requests(), SPLITS)

@@ -85,6 +85,19 @@ def test_foreign_keys_with_composite_self_and_alert_references(spark):
     assert ("inbound_delay_alerts", "1", "inbound_id_in_inbound_orders") in found(rules.audit_foreign_keys(gone))
 
 
+def test_clean_tables_have_no_orphans(spark):
+    t = small.tables(spark, warehouses=[warehouse(1)], locations=[place(1, "A", 5)], products=[product(1)], inventory=[lot(1)])
+    audit = rules.audit_foreign_keys(t)
+    assert audit.columns == ["table_name", "row_key", "rule"] and audit.count() == 0
+    assert rules.orphan_keys(t).count() == 0
+    # a key of two parts is not taken for another with the same letters
+    t["locations"] = small.table(spark, "locations", [place(1, "1/A", 5), place(11, "A", 5)])
+    assert found(rules.audit_foreign_keys(t)) == {
+        ("inventory", "1", "warehouse_id_and_storage_location_in_locations"),
+        ("locations", "11/A", "warehouse_id_in_warehouses"),
+    }
+
+
 def test_reference_counts():
     assert sum(len(t.references) for t in TABLES.values()) == 19
     assert sum(1 for t in TABLES.values() for c in t.columns if c.allowed) == 12
@@ -236,6 +249,8 @@ def test_rename_may_not_take_a_name_in_use(spark):
     for renames in ([(1, "A", "B")], [(1, "A", "X"), (1, "B", "X")]):
         with pytest.raises(ValueError, match="would be named"):
             deletes.cascade_rename_location(t, spark.createDataFrame(renames, schema))
+    with pytest.raises(ValueError, match="two new names"):
+        deletes.cascade_rename_location(t, spark.createDataFrame([(1, "A", "X"), (1, "A", "Y")], schema))
     swapped = deletes.cascade_rename_location(t, spark.createDataFrame([(1, "A", "B"), (1, "B", "A"), (1, "A", "B")], schema))
     assert sorted(r["location"] for r in swapped["locations"].collect()) == ["A", "B", "C"]
 

@@ -8,16 +8,16 @@ import os
 import pytest
 import small
 from pyspark.sql import functions as F
-from small import inbound, lot, place, product, warehouse
+from small import inbound, lot, outbound, place, product, warehouse
 
 from stocklens import session
 from stocklens.functions.metrics import location_utilization
 from stocklens.operators.alerts import INBOUND, delay_alerts, sweep_delay_alerts
 from stocklens.plans import suppliers
 from stocklens.session import landed, shared_folder
-from stocklens.sources import sinks
+from stocklens.sources import sinks, snapshots
 from stocklens.sources.schemas import TABLES
-from stocklens.sources.tables import read_tables, register_views, write_tables
+from stocklens.sources.tables import load_tables, read_tables, register_views, write_tables
 from stocklens.streaming import alerts as alert_stream
 from stocklens.streaming import utilization as space_stream
 
@@ -100,6 +100,89 @@ def test_snapshots_leave_earlier_runs_alone(spark, tmp_path):
         sinks.publish_snapshot(second, folder, "a", "2025-12-03")
 
 
+def files_below(folder):
+    return {os.path.join(d, n) for d, _, names in os.walk(folder) for n in names if n.endswith(".parquet")}
+
+
+def test_only_changed_buckets_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "ROWS_PER_BUCKET", 20)
+    folder = str(tmp_path / "runs")
+    whole = [lot(i, total=i % 9, parent_inventory_id=i - 1 if i % 5 == 0 else None) for i in range(400)]
+    orders = small.table(spark, "outbound_orders", [outbound(i) for i in range(30)])
+    states = {
+        "a": whole,
+        "b": [*whole[:7], lot(7, total=99), *whole[8:]],  # one row differs
+        "c": [*whole[:7], lot(7, total=99), *whole[8:100], *whole[101:], lot(400)],  # one gone, one new
+        "d": [],
+        "e": whole,
+    }
+    written, last = {}, set()
+    for day_, (run, rows_) in enumerate(states.items(), 1):
+        tables = {"inventory": small.table(spark, "inventory", rows_)}
+        if run in "ac":
+            tables["outbound_orders"] = orders
+        snapshots.publish_changes(tables, folder, run, f"2025-12-0{day_}")
+        now = files_below(f"{folder}/data")
+        written[run], last = len(now - last), now
+
+    def read(run=None):
+        return snapshots.read_run(spark, folder, ["inventory", "outbound_orders"], run)
+
+    assert written["a"] >= 20 and written["b"] == 1 and written["c"] <= 2 and written["d"] == 0 and written["e"] >= 18
+    for run, rows_ in states.items():
+        got = read(run)
+        assert rows(got["inventory"]) == rows(small.table(spark, "inventory", rows_)), run
+        assert rows(got["outbound_orders"]) == rows(orders)
+    assert snapshots.last_run(spark, folder) == "e"
+    with pytest.raises(ValueError, match="published already"):
+        snapshots.publish_changes({"inventory": small.table(spark, "inventory", whole)}, folder, "b", "2025-12-09")
+
+    assert sorted(snapshots.retire_runs(spark, folder, 2)) == ["a", "b", "c"]
+    assert rows(read()["inventory"]) == rows(small.table(spark, "inventory", whole))
+    assert read("d")["inventory"].count() == 0 and rows(read("d")["outbound_orders"]) == rows(orders)
+    with pytest.raises(ValueError, match="not there"):
+        read("a")
+    left = {os.path.basename(os.path.dirname(os.path.dirname(f))) for f in files_below(f"{folder}/data/inventory")}
+    assert left == {"e"}  # orders of run a are still needed, lots are not
+    assert files_below(f"{folder}/data/outbound_orders")
+    assert snapshots.retire_runs(spark, folder, 2) == []
+
+
+def test_missing_values_change_a_digest(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    for run, row in (("a", lot(1, unit=None, where="pcs")), ("b", lot(1, unit="pcs", where=None))):
+        snapshots.publish_changes({"inventory": small.table(spark, "inventory", [row])}, folder, run, "2025-12-01")
+    got = snapshots.read_run(spark, folder, ["inventory"], "b")["inventory"].first()
+    assert (got["unit"], got["storage_location"]) == ("pcs", None)
+
+
+def test_broken_records_are_set_aside(spark, tmp_path):
+    good = small.tables(spark, suppliers=[{"supplier_id": i, "supplier_name": f"S, {i}", "supply_cycle": i} for i in (1, 2)])
+    for fmt in ("csv", "json"):
+        write_tables({"suppliers": good["suppliers"]}, str(tmp_path / fmt), fmt)
+    header = ",".join(TABLES["suppliers"].names)
+    broken = ["x1,Name,info,3,active", "4,Name,info,soon,active", "5,Name", "6,Name,info,3,active,more"]
+    (tmp_path / "csv" / "suppliers" / "more.csv").write_text("\n".join([header, *broken, "7,Good,info,3,active"]) + "\n")
+    (tmp_path / "json" / "suppliers" / "more.json").write_text('{"supplier_id": 7}\n{"supplier_id": "x"}\n{not json\n')
+    for fmt, records in (("csv", broken), ("json", ['{"supplier_id": "x"}', "{not json"])):
+        done = load_tables(spark, str(tmp_path / fmt), fmt, ["suppliers"])
+        assert sorted(r["supplier_id"] for r in done.tables["suppliers"].collect()) == [1, 2, 7]
+        assert done.tables["suppliers"].schema == TABLES["suppliers"].struct_type
+        assert sorted(r["record"] for r in done.rejects.collect()) == sorted(records)
+        assert done.rejects.count() == len(records) and done.tables["suppliers"].count() == 3
+        assert {(r["table_name"], os.path.basename(r["file"]).split(".")[0]) for r in done.rejects.collect()} == {("suppliers", "more")}
+
+
+def test_old_alert_evaluations_are_removed(spark, tmp_path):
+    target = str(tmp_path / "alerts")
+    orders = small.tables(spark, inbound_orders=[inbound(1, created_time="2025-11-01T00:00:00")])
+    for _ in range(3):
+        sinks.write_alerts(sweep_delay_alerts(orders, NOW), target)
+    assert len(sinks.retire_alerts(spark, target, 1)) == 2
+    assert sinks.read_alerts(spark, target).count() == 1
+    assert sinks.retire_alerts(spark, target, 0) == [] and len(os.listdir(f"{target}/runs")) == 1
+
+
 def test_alert_stream_ends_at_the_batch_result(spark, tmp_path):
     feed, target, state = (str(tmp_path / n) for n in ("changes", "alerts", "state"))
     old = "2025-11-01T00:00:00"
