@@ -390,7 +390,7 @@ def _recall(state: DataFrame, vectors: DataFrame, most: int) -> float:
 
 def nearest(
     embeddings: DataFrame,
-    asked: Column,
+    asked: Column | str,
     most: int = NEAREST,
     confidence: float = CONFIDENCE,
     id_column: str = "vec_id",
