@@ -25,11 +25,26 @@ def usable_labels(labels: DataFrame, label: str, divisor: int, left_out: int) ->
     )
 
 
+#: Parts that a text too long to fit on is cut down to.
+PARTS = 16
+
+
+def spread(text: Column, most: int) -> Column:
+    """``text``, or ``PARTS`` parts evenly spread over it, together ``most`` characters, where it is longer."""
+    size = most // PARTS
+    gap = (F.length(text) - size) / (PARTS - 1)
+    parts = [F.substring(text, (gap * k + 1).cast("int"), F.lit(size)) for k in range(PARTS)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(*parts))
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, rows: int, max_chars: int) -> DataFrame:
     """Texts with ``label`` of at most ``rows`` labelled ids, taken in order of a hash of the id.
 
-    ``docs`` has ``doc_id`` and ``text``.  Only texts of at most ``max_chars`` are fitted on, so the
-    sample's size is bounded by the two parameters; the chosen ids are few enough to broadcast.
+    ``docs`` has ``doc_id`` and ``text``.  Each id gives one row, the first of its texts in order; of a longer
+    text than ``max_chars`` it gives parts from all over it.  So the two parameters bound the sample's size, and the
+    chosen ids are few enough to broadcast.
     """
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    single = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return single.withColumn("text", spread(F.col("text"), max_chars))

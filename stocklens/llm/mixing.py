@@ -7,9 +7,14 @@ at most ``EVIDENCE`` words.
 
 *Rates.*  Each text gets a rate of at least ``floor``.  The rates minimise the squared distance between
 the expected tokens of each domain (sum of rate x tokens x posterior) and its target, each domain in units
-of its own tokens, by projected gradient steps.  A step needs only one total per domain, which is all that
-comes back to the driver; a text's rate is a chain of ``greatest(floor, rate - step)`` over these numbers,
-so nothing is stored per step.
+of its own tokens, by projected gradient steps.  A gradient is a mix of a text's posteriors, so all steps together
+move it along one line per domain, and its rate stays ``greatest(floor, 1 - sum of posterior x lever)``: nothing is stored
+per step.  Among rates that are equally near the targets the ones nearest to 1 are wanted, so staying there counts
+with a weight of ``STAY``; that makes the optimum unique.  A step is scaled by the products of posteriors summed
+over the texts above the floor, which ends at the optimum unless texts reach the floor on the way, and is shortened
+where it does not gain enough.  One pass over the texts gives the totals and products, a few numbers per
+pair of domains, which is all that comes back to the driver.  Steps end where the targets are met to ``TOLERANCE``, or
+where the gradient is gone, as targets may be out of reach above the floor; what is left is logged then.
 
 A missing or empty text has no tokens and the prior as posterior.  Missing domains are not learned from;
 domains without tokens have no target; repeated rows are texts of their own; an empty table gives an empty
@@ -19,19 +24,24 @@ result; without labelled rows every domain of the targets is equally likely.  Ot
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stocklens.llm.labelled import spread
 from stocklens.session import landed
 
 #: Labelled texts to learn from, words kept per domain, and texts that a word must stand in.
 FIT_ROWS, FIT_CHARS, WORDS_PER_DOMAIN, LEAST_TEXTS = 4_000, 40_000, 64, 3
 EVIDENCE = 50
-STEPS, TOLERANCE = 40, 1e-3
+#: Passes at most, the distance to each target that ends them, and the weight of rates staying near 1.
+STEPS, TOLERANCE, STAY = 60, 1e-4, 1e-6
+_LOG = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -73,7 +83,9 @@ def learned(
         .limit(FIT_ROWS)
     )
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    sample = texts.filter(F.length("text") <= FIT_CHARS).join(F.broadcast(marks), "id")
+    # one row of each id, and of a very long text parts from all over it
+    rows = texts.join(F.broadcast(marks), "id").groupBy("id", "domain").agg(F.min("text").alias("text"))
+    sample = rows.withColumn("text", spread(F.col("text"), FIT_CHARS))
     sample = landed(sample.select("domain", _words(F.col("text")).alias("words")), "domain-sample")
     per_domain = {
         r["domain"]: (r["texts"], r["tokens"])
@@ -194,25 +206,51 @@ def fitted_rate(
     total stays as it is, or with ``only_more`` becomes just so large that no domain has to shrink.
     """
     count = len(model.domains)
-    present = _totals(member, F.lit(1.0), count)
-    wanted = _targets(model.domains, present, weights, only_more)
-    rate: Column = F.lit(max(1.0, floor))
-    before = None
-    for _ in range(STEPS):
-        totals = _totals(member, rate, count)
-        if before and all(abs(a - b) <= TOLERANCE * t for a, b, t in zip(totals, before, present, strict=True)):
-            break  # as near as the floor lets it come
-        before = totals
-        error = [(totals[k] - wanted[k]) / present[k] if present[k] > 0 else 0.0 for k in range(count)]
-        if max(map(abs, error), default=0.0) < TOLERANCE:
+    base = max(1.0, floor)
+    present, _, _ = _passed(member, [0.0] * count, 1.0, 0.0)
+    wanted = np.array(_targets(model.domains, present.tolist(), weights, only_more))
+    unit = np.where(present > 0, present, 1.0)
+    stay = STAY * unit * unit / max(1.0, unit.sum())
+
+    def looked(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """What the steps make small, its gradient, and its curvature."""
+        totals, products, held = _passed(member, at.tolist(), base, floor)
+        return held + wanted @ at + at @ (stay * at) / 2, wanted - totals + stay * at, products + np.diag(stay)
+
+    levers = np.zeros(count)
+    value, slope, curve = looked(levers)
+    passes = 1
+    while count and passes < STEPS:
+        error = np.abs((slope - stay * levers) / unit).max()
+        if error < TOLERANCE or np.abs(slope / unit).max() < TOLERANCE / 10:
             break
-        move = F.lit(0.0)
-        for k in range(count):
-            move = move + F.col(f"p{k}") * F.lit(error[k])
-        rate = F.greatest(F.lit(float(floor)), rate - move)
+        step = -np.linalg.solve(curve, slope)
+        length = 1.0
+        while True:
+            found = looked(levers + length * step)
+            passes += 1
+            if found[0] <= value + 1e-4 * length * (slope @ step) or passes >= STEPS:
+                break
+            length /= 4
+        levers = levers + length * step
+        value, slope, curve = found
+    left = float(np.abs((slope - stay * levers) / unit).max(initial=0.0))
+    if left >= 10 * TOLERANCE:
+        _LOG.warning("targets are out of reach: up to %.4f of a domain's tokens are left", left)
+    return _rate(levers.tolist(), base, floor)
+
+
+def _raw_rate(levers: Sequence[float], base: float) -> Column:
+    rate = F.lit(float(base))
+    for k, lever in enumerate(levers):
+        rate = rate - F.col(f"p{k}") * F.lit(float(lever))
     return rate
 
 
+def _rate(levers: Sequence[float], base: float, floor: float) -> Column:
+    return F.greatest(F.lit(float(floor)), _raw_rate(levers, base))
+
+
 def likeliest(model: DomainModel) -> Column:
     """The domain of the highest probability, the first of equal ones."""
     columns = [F.col(f"p{k}") for k in range(len(model.domains))]
@@ -223,11 +261,24 @@ def likeliest(model: DomainModel) -> Column:
     return domain
 
 
-def _totals(member: DataFrame, rate: Column, count: int) -> list[float]:
-    """Expected tokens of each domain: one number per domain comes back."""
-    sums = [F.sum(rate * F.col("n_tokens") * F.col(f"p{k}")).alias(f"t{k}") for k in range(count)]
-    row = member.agg(*sums).first() if sums else ()
-    return [float(x or 0.0) for x in row]
+def _passed(
+    member: DataFrame, levers: Sequence[float], base: float, floor: float
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected tokens of each domain; tokens times both posteriors for each two, over texts not held at the floor;
+    and the sum whose gradient the totals are."""
+    count = len(levers)
+    raw, tokens = _raw_rate(levers, base), F.col("n_tokens")
+    free = raw >= floor
+    rate = F.when(free, raw).otherwise(F.lit(float(floor)))
+    pairs = [(k, j) for k in range(count) for j in range(k, count)]
+    sums = [F.sum(tokens * F.when(free, raw * raw / 2).otherwise(floor * raw - floor * floor / 2)).alias("held")]
+    sums += [F.sum(rate * tokens * F.col(f"p{k}")).alias(f"t{k}") for k in range(count)]
+    sums += [F.sum(F.when(free, tokens * F.col(f"p{k}") * F.col(f"p{j}"))).alias(f"m{k}x{j}") for k, j in pairs]
+    held, *found = [float(x or 0.0) for x in member.agg(*sums).first()]
+    products = np.zeros((count, count))
+    for (k, j), value in zip(pairs, found[count:], strict=True):
+        products[k, j] = products[j, k] = value
+    return np.array(found[:count]), products, held
 
 
 def _targets(
