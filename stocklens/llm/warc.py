@@ -207,13 +207,12 @@ def planned(
         .select("page_id", "content")
         .join(shared, "content")
         .filter("page_id <> largest")
-        .select(F.col("page_id").alias("revisit_id"), "largest")
         .distinct(),
         "revisits",
     )
-    joined = rows.join(revisits, rows["page_id"] == revisits["revisit_id"], "left")
-    same = F.col("content").isNotNull()
-    return joined.select("page_id", "url", "payload", F.when(same, F.col("largest")).alias("refers_to"))
+    # a page id may stand in several rows with payloads of their own
+    joined = rows.join(revisits, ["page_id", "content"], "left")
+    return joined.select("page_id", "url", "payload", F.col("largest").alias("refers_to"))
 
 
 def write_archives(records_: DataFrame, folder: str, dictionary: bytes) -> DataFrame:

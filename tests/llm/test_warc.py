@@ -104,3 +104,18 @@ def test_small_and_copied_tables_get_a_dictionary(spark, monkeypatch):
     monkeypatch.setattr(warc, "write_archives", lambda r, f, d: given.append(d) or write(r, f, d))
     assert warc.archived(pages).count() == 600 and given == [dictionary]
     assert warc.trained_dictionary(pages.limit(15)) == b""
+
+
+def test_one_page_with_several_payloads(spark, tmp_path):
+    """Rows of one id are records of their own: each refers to the response of its own payload, if any."""
+    long_a, long_b, long_c = "a" * 1_200, "b" * 1_300, "c" * 1_400
+    rows = [(1, long_a), (1, long_b), (1, long_c), (2, long_a), (3, long_b)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in rows], "page_id bigint, url string, html string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived(pages).collect())
+    assert got == [
+        (1, 1_200, "revisit", 2),
+        (1, 1_300, "revisit", 3),
+        (1, 1_400, "response", None),
+        (2, 1_200, "response", None),
+        (3, 1_300, "response", None),
+    ]
