@@ -14,8 +14,9 @@ group.  Where texts of a band are still in different components, further centres
 texts of a band are in one component, have been compared, or differ in too many rare shingles to be
 linked.  Equal texts are one class from the start and are never compared.
 
-Texts without a word are never linked; a repeated row of an id counts once; a missing id gives no row; an
-empty table gives an empty result; other columns of the input are not read.
+Texts without a word are never linked; of an id with several rows the one with the smallest text counts; a missing
+id gives no row; an empty table gives an empty result; other columns of the input are not read.  Equal weights
+are ordered by id.  Very long texts are signed and compared whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.llm.components import components
-from stocklens.llm.tasks import by_batches, text_rows
+from stocklens.llm.tasks import by_batches, one_row_per_id, text_rows
 from stocklens.session import landed
 
 WORDS = 5
@@ -250,6 +251,8 @@ def near_duplicates(
     text_column: str = "text",
 ) -> DataFrame:
     """``doc_id``, ``class_id`` (smallest id of the group of near duplicates) and ``kept`` (is that id)."""
+    needed = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+    docs = one_row_per_id(needed, id_column, text_column)
     sign = landed(signed(docs, id_column, text_column), "signed")
     keyed = sign.filter(F.col("text_key").isNotNull())
     # equal texts: one class each, known by its smallest id
@@ -264,9 +267,7 @@ def near_duplicates(
     banded = landed(members_of.drop("n").join(weight, "doc_id"), "bands")
     candidates = banded.select("doc_id").distinct()
     texts = text_rows(docs, id_column, text_column).filter(F.col("doc_id").isNotNull())
-    stored = landed(
-        packed(texts).join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
-    )
+    stored = landed(packed(texts).join(candidates, "doc_id", "left_semi"), "texts")
     ids = docs.select(F.col(f"`{id_column}`").alias("doc_id")).filter("doc_id is not null").distinct()
     return _labelled(ids, members, _classes(banded, stored, threshold))
 
@@ -435,8 +436,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Rows without an id are of no group and stay.
     """
+    docs = one_row_per_id(docs, id_column, text_column)
     found = near_duplicates(docs, id_column=id_column, text_column=text_column)
     dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias(id_column))
-    known = docs.filter(F.col(f"`{id_column}`").isNotNull())
-    single = known.join(dropped, id_column, "left_anti").dropDuplicates([id_column])
-    return single.unionByName(docs.filter(F.col(f"`{id_column}`").isNull()))
+    return docs.join(dropped, id_column, "left_anti").select(*docs.columns)

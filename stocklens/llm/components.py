@@ -1,46 +1,7 @@
-"""Connected components of a graph that is spread over the cluster."""
+"""Connected components, as the library's own functions find them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from stocklens.functions.components import components
 
-from stocklens.session import landed
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (its smallest node) of every node in ``links`` (columns ``a`` and ``b``).
-
-    Labels are the smallest node known so far.  Each round takes the smallest label among the
-    neighbours and then the label's own label, until nothing changes.  Rounds are joins and partial
-    aggregates, a node with very many links is pre-aggregated or split by the adaptive planner, and
-    each round is landed, so only a count returns to the driver.
-    """
-    both = landed(
-        links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        .unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        .filter("node <> other")
-        .distinct(),
-        "links",
-    )
-    labels = landed(
-        both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "labels"
-    )
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other")
-        smallest = near.groupBy("node").agg(F.min("component").alias("near"))
-        reached = labels.join(smallest, "node").select(
-            "node", "component", F.least("component", "near").alias("reached")
-        )
-        jump = labels.select(F.col("node").alias("reached"), F.col("component").alias("further"))
-        settled = landed(
-            reached.join(jump, "reached", "left").select(
-                "node",
-                F.coalesce(F.least("reached", "further"), "reached").alias("component"),
-                (F.coalesce(F.least("reached", "further"), "reached") != F.col("component")).alias("moved"),
-            ),
-            "labels",
-        )
-        labels = settled.select("node", "component")
-        if settled.filter("moved").isEmpty():
-            return labels
+__all__ = ["components"]

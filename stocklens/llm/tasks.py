@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stocklens.session import ship_package
+from stocklens.session import landed, ship_package
 
 #: Rows, and about how many bytes of text, a function sees at once.
 ROWS, BYTES = 2_000, 2 << 20
@@ -52,6 +52,26 @@ def text_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     )
 
 
+def one_row_per_id(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each id: the one with the smallest text, then the smallest row as JSON.
+
+    Only rows of ids that repeat are aggregated, and they are landed; rows without an id are all kept.
+    """
+    ident = F.col(f"`{id_column}`")
+    again = docs.filter(ident.isNotNull()).groupBy(ident.alias("_again")).count().filter("count > 1")
+    again = landed(again.select("_again"), "repeated-ids")
+    if again.isEmpty():
+        return docs
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    key, text = (names[docs.columns.index(c)] for c in (id_column, text_column))
+    row = F.struct(*names)
+    met = plain.join(again, plain[key] == again["_again"], "left_semi")
+    single = met.groupBy(key).agg(F.min_by(row, F.struct(F.coalesce(F.col(text), F.lit("")), F.to_json(row))).alias("row"))
+    others = plain.join(again, plain[key] == again["_again"], "left_anti")
+    return others.unionByName(landed(single.select("row.*"), "single-rows")).toDF(*docs.columns)
+
+
 def each_text(
     docs: DataFrame,
     function: Callable[[list[str]], tuple[list[str | None] | None, list[bool] | None]],

@@ -113,6 +113,18 @@ def test_odd_documents(odd_docs, no_docs):
     assert single.columns == odd_docs.columns and single.count() == 7
 
 
+def test_one_id_with_several_texts_counts_once(spark):
+    """The row with the smallest text stands for its id, wherever it lies."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, c, "z"), (1, a, "y"), (1, b, "x"), (2, a, "x"), (3, b, "x"), (4, c, "x"), (4, c, "w"), (5, None, "v"), (5, c, "u")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs.repartition(4)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    single = sorted(tuple(r) for r in bagminhash.one_of_each(docs.repartition(3)).collect())
+    assert [r[0] for r in single] == [1, 3, 4, 5]
+    assert single[0] == (1, a, "y") and single[2] == (4, c, "w") and single[3] == (5, None, "v")
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
