@@ -11,8 +11,10 @@ Slots are joined in bands.  Texts that share a band are compared by their true m
 similarity of ``THRESHOLD`` or more are linked.  Nothing is compared all against all: a band's others are
 first compared with the text that stands in the most and largest bands, which lies in the middle of its
 group.  Where texts of a band are still in different components, further centres follow, until every two
-texts of a band are in one component, have been compared, or differ in too many rare shingles to be
-linked.  Equal texts are one class from the start and are never compared.
+texts of a band are in one component, have been compared, or cannot be linked: because their sizes differ too
+much, or because their signatures agree in fewer than ``AGREE`` slots, which a pair at the threshold does with a
+probability of 1e-6.  For that a text keeps a byte of every slot, whatever its length.  Equal texts are one
+class from the start and are never compared.
 
 Texts without a word are never linked; of an id with several rows the one with the smallest text counts; a missing
 id gives no row; an empty table gives an empty result; other columns of the input are not read.  Equal weights
@@ -38,11 +40,8 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares none of the bands with a probability of (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
-#: A shingle is rare if only this share of the largest band of its texts has it; a text's rare ones are
-#: kept up to ``MOST_RARE``.
-RARE, MOST_RARE = 0.25, 256
-#: Bands of so many texts are compared without looking for rare shingles.
-OUTRIGHT = 24
+#: Slots that two texts have to agree in before they are compared once more.
+AGREE = 46
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 #: Bits of a shingle's hash, which leaves the others for the number of a text in its batch.
@@ -169,25 +168,31 @@ def _bands(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``text_key`` (equal for equal words in order) and ``bands`` of every text.
+    """``doc_id``, ``text_key`` (equal for equal words in order), ``bands``, ``size`` and ``sketch`` of every text.
 
-    A text without a word has neither.
+    The size is the number of shingles with repetition, the sketch a byte of every slot, eight to a number.  A text
+    without a word has no key and no band.
     """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         raw = [t.encode() for t in rows["text"]]
         owner, shingle = shingles(raw)
-        bands = _bands(signatures(owner, shingle, len(raw)))
+        signature = signatures(owner, shingle, len(raw))
+        bands = _bands(signature)
+        sketches = np.ascontiguousarray(signature >> np.uint64(8)).astype(np.uint8).view("<i8")
         keys = [b" ".join(t.split()) for t in raw]
         return {
             "doc_id": rows["doc_id"],
             "text_key": [hashlib.blake2b(k, digest_size=16).digest() if k else None for k in keys],
             "bands": [b.tolist() if k else [] for b, k in zip(bands, keys, strict=True)],
+            "size": np.bincount(owner, minlength=len(raw)),
+            "sketch": sketches.tolist(),
         }
 
     rows = text_rows(docs, id_column, text_column).filter(F.col("doc_id").isNotNull())
     kind = docs.schema[id_column].dataType.simpleString()
-    return by_batches(rows, run, f"doc_id {kind}, text_key binary, bands array<bigint>")
+    schema = f"doc_id {kind}, text_key binary, bands array<bigint>, size bigint, sketch array<bigint>"
+    return by_batches(rows, run, schema)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -269,76 +274,28 @@ def near_duplicates(
     texts = text_rows(docs, id_column, text_column).filter(F.col("doc_id").isNotNull())
     stored = landed(packed(texts).join(candidates, "doc_id", "left_semi"), "texts")
     ids = docs.select(F.col(f"`{id_column}`").alias("doc_id")).filter("doc_id is not null").distinct()
-    return _labelled(ids, members, _classes(banded, stored, threshold))
-
-
-def _rare_shingles(texts: DataFrame) -> DataFrame:
-    """``doc_id``, ``size`` (shingles, with repetition) and ``rare``: those that few of these texts have.
-
-    ``texts`` has the size of each text's largest band as ``largest``.
-
-    The n-th repetition of a shingle is an element of its own, so sets of elements intersect as the
-    multisets do.  A text with too many rare ones gets none, which only means less is known of it.
-    """
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        owner, shingle = shingles([unpack(t) for t in rows["packed"]])
-        first = np.ones(len(owner), bool)
-        first[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
-        at = np.flatnonzero(first)
-        repetition = np.arange(len(owner)) - np.repeat(at, np.diff(np.append(at, len(owner))))
-        element = _mix(shingle + repetition.astype(np.uint64) * _GOLD)
-        sizes = np.bincount(owner, minlength=len(rows["doc_id"])).astype(np.int64)
-        return {
-            "doc_id": np.array(rows["doc_id"])[owner],
-            "size": sizes[owner],
-            "largest": np.array(rows["largest"])[owner],
-            "element": element.view(np.int64),
-        }
-
-    schema = f"doc_id {kind}, size bigint, largest bigint, element bigint"
-    elements = landed(by_batches(texts, run, schema), "elements")
-    counted = elements.groupBy("element").agg(F.count("*").alias("n"), F.max("largest").alias("largest"))
-    few = counted.filter(F.col("n") <= RARE * F.col("largest")).select("element")
-    rare = (
-        elements.join(few, "element")
-        .groupBy("doc_id")
-        .agg(F.max("size").alias("size"), F.collect_list("element").alias("rare"))
-    )
-    return rare.filter(F.size("rare") <= MOST_RARE)
+    sketches = sign.select("doc_id", "size", "sketch").join(candidates, "doc_id", "left_semi")
+    return _labelled(ids, members, _classes(banded, sketches, stored, threshold))
 
 
 def _may_link(threshold: float) -> Column:
-    """Whether two texts may reach the threshold, by what is known of their rare shingles.
-
-    They share at most the others of either, and the rare ones that both have.
-    """
-    other = F.least(F.col("size") - F.size("rare"), F.col("a_size") - F.size("a_rare"))
-
-    def enough(shared: Column) -> Column:
-        return shared >= threshold * (F.col("size") + F.col("a_size") - shared)
-
-    surely = other + F.least(F.size("rare"), F.size("a_rare"))
-    exactly = other + F.size(F.array_intersect("rare", "a_rare"))
-    unknown = F.col("rare").isNull() | F.col("a_rare").isNull()
-    return unknown | (enough(surely) & enough(exactly))
-
-
-def _with_rare(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of still divided bands, with ``size`` and ``rare`` for the texts of the large ones."""
-    large = placed.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > OUTRIGHT)
-    docs = placed.join(large, "band").groupBy("doc_id").agg(F.max("n").alias("largest"))
-    rare = landed(_rare_shingles(texts.join(docs, "doc_id")), "rare")
-    rows = placed.select("band", "doc_id", "weight").join(rare, "doc_id", "left")
-    return landed(rows.select("band", "doc_id", "weight", "size", "rare"), "bands")
-
-
-def _classes(banded: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Whether two texts may reach the threshold, by their sizes and by how many slots agree."""
+    smaller, larger = F.least("size", "a_size"), F.greatest("size", "a_size")
+    differ = F.lit(0)
+    for k in range(SLOTS // 8):
+        # a bit for each byte that is not zero
+        x = F.col("sketch")[k].bitwiseXOR(F.col("a_sketch")[k])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return (smaller >= threshold * larger) & (differ <= SLOTS - AGREE)
+
+
+def _classes(banded: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """``node`` and ``component`` of the texts that are linked with another.
 
-    ``banded`` has a row per band and text, with the text's ``weight``.
+    ``banded`` has a row per band and text, with the text's ``weight``; ``sketches`` are joined to the bands that
+    one centre leaves divided.
     """
     heaviest = F.max(F.struct("weight", F.col("doc_id").alias("id")))["id"]
     used = landed(banded.groupBy("band").agg(heaviest.alias("a")), "centres")
@@ -355,7 +312,8 @@ def _classes(banded: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         # texts of a band that have not been its centre, and lie in different components
         placed, open_ = _divided(banded, known, used)
         if wave == 0:
-            banded = _with_rare(placed, texts)
+            rows = placed.select("band", "doc_id", "weight")
+            banded = landed(rows.join(sketches, "doc_id"), "bands")
             placed, open_ = _divided(banded, known, used)
         if open_.isEmpty():
             return known
@@ -396,11 +354,11 @@ def _next_centres(open_: DataFrame, wave: int) -> DataFrame:
             F.col("doc_id").alias("a"),
             F.col("component").alias("of"),
             F.col("size").alias("a_size"),
-            F.col("rare").alias("a_rare"),
+            F.col("sketch").alias("a_sketch"),
         )
     )
     found = chosen.groupBy("band", slot.alias("slot")).agg(best.alias("c"))
-    return found.select("band", "c.a", "c.of", "c.a_size", "c.a_rare")
+    return found.select("band", "c.a", "c.of", "c.a_size", "c.a_sketch")
 
 
 def _joined(known: DataFrame | None, found: DataFrame) -> DataFrame:
