@@ -69,8 +69,9 @@ LOOKS_LIKE = {
 }
 
 _SIGNS = re.escape("".join(LOOKS_LIKE))
-#: What may stand between letters set apart.
-_BETWEEN = " .-_*"
+#: What may stand between letters set apart, and how much of it.
+_BETWEEN, _GAP_MOST = " \t.-_*/", 3
+_GAPS = re.compile(rf"([{re.escape(_BETWEEN)}]+)")
 _NEITHER, _LETTER, _SIGN, _GAP = range(4)
 
 
@@ -108,8 +109,10 @@ def _suspects(codes: np.ndarray) -> list[tuple[int, int]]:
     bare = (letters == 0) & (end - begin >= 3) & (other_signs[end] > other_signs[begin])
     marked |= bare & (changes[end] > changes[begin + 1])
     found = list(zip(begin[marked].tolist(), end[marked].tolist(), strict=True))
-    alone = begin[end - begin == 1]  # single characters set apart by one gap each
-    near = (np.diff(alone) == 2) & (kinds[alone[:-1] + 1] == _GAP) if len(alone) > 1 else np.zeros(0, bool)
+    alone = begin[end - begin == 1]  # single characters with nothing but a short gap in between
+    gaps = np.concatenate([[0], np.cumsum(kinds == _GAP)])
+    apart = np.diff(alone) - 1
+    near = (apart >= 1) & (apart <= _GAP_MOST) & (gaps[alone[1:]] - gaps[alone[:-1] + 1] == apart)
     first, last = _runs(near)
     for i, j in zip(alone[first].tolist(), (alone[last] + 1).tolist(), strict=True):
         if j - i >= 5 and letter[i:j].sum() >= 2:
@@ -144,7 +147,12 @@ def _letters_of(texts: Sequence[str]) -> Counter:
 
 
 def _ranked(letters: Mapping[int, int]) -> list[int]:
-    return [code for code, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: _OTHER - 1]]
+    """The letters that get a code of their own: those that signs stand for, and the most frequent others."""
+    if not letters:
+        return []
+    read = sorted({ord(c) for readings in LOOKS_LIKE.values() for c in readings})
+    others = [code for code, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0])) if code not in read]
+    return [*read, *others[: _OTHER - 1 - len(read)]]
 
 
 def _triples_of(texts: Sequence[str], ranked: Sequence[int]) -> np.ndarray:
@@ -226,10 +234,10 @@ def _readings(c: str, keep: float = _KEEP_COST) -> list[tuple[str, float]]:
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
     """Per step the readings and their costs; an empty reading leaves the step out."""
-    if len(token) >= 5 and all(c in _BETWEEN for c in token[1::2]):
+    if _GAPS.search(token):
         # a gap between letters is the disguise; two words set apart so are left to the model
         gap = [("", _SPACE_COST), (" ", 2.0)]
-        return [gap if i % 2 else _readings(c) for i, c in enumerate(token)]
+        return [gap if i % 2 else _readings(c) for i, c in enumerate(_GAPS.split(token))]
     steps: list[list[tuple[str, float]]] = []
     tail = len(token.rstrip(_USUAL_ENDS))
     for run in re.finditer(r"(.)\1*", token, re.DOTALL):

@@ -76,7 +76,8 @@ def test_disguised_words_are_restored():
     disguised = {
         "1d10t": "idiot", "i d i o t": "idiot", "idiiiot": "idiot", "w0rthl3ss": "worthless", "p@thet1c": "pathetic",
         "$tupid": "stupid", "s.c.u.m": "scum", "mooorooon": "moron", "l-o-s-e-r": "loser", "hello": "hello",
-        "letter": "letter", "1 d 1 0 t": "idiot",
+        "letter": "letter", "1 d 1 0 t": "idiot", "i  d  i  o  t": "idiot", "i. d. i. o. t": "idiot",
+        "s - c - u - m": "scum", "m\to\tr\to\tn": "moron", "l/o/s/e/r": "loser", "1 . d . 1 . 0 . t": "idiot",
     }
     texts = [f"the {d} of" for d in disguised]
     for (d, word), read in zip(disguised.items(), toxicity.restored(texts, model.language, {}), strict=True):
@@ -85,6 +86,43 @@ def test_disguised_words_are_restored():
     assert scores[0] == pytest.approx(scores[1]) and scores[0] > 0.5 > scores[2]
 
 
+def all_readings(token):
+    """Every way through a token's lattice with its cost."""
+    ways = [("", 0.0)]
+    for step in toxicity._lattice(token):
+        ways = [(text + reading, cost + more) for text, cost in ways for reading, more in step]
+    return ways
+
+
+def path_score(text, model):
+    """Log probability of a reading's letters, word by word; signs end a word."""
+    total = 0.0
+    for word in re.split(rf"[ {toxicity._SIGNS}]", text):
+        if word:
+            edged = ["", "", *word, ""]
+            total += sum(model.after(*edged[i : i + 3]) for i in range(len(word) + 1))
+    return total
+
+
+def test_the_likeliest_of_all_readings_is_taken():
+    """Brute force over short lattices of signs, gaps and repetition."""
+    words = "idiot worthless pathetic stupid scum moron loser trash the of and thing letter hello good".split()
+    model = toxicity.language_model([" ".join(words)] * 20)
+    tokens = ["1d10t", "$tup1d", "s.c.u.m", "i  d  i  o  t", "mooorooon", "7r45h", "a55", "mp3", "1 d 1", "l/o/s/e/r", "thiiing!"]
+    for token in tokens:
+        best = max(path_score(text, model) - cost for text, cost in all_readings(token))
+        read = toxicity.restored_word(token, model)
+        found = [path_score(text, model) - cost for text, cost in all_readings(token) if text == read]
+        assert max(found) == pytest.approx(best), token
+
+
+def test_signs_can_be_read_in_a_corpus_of_another_script():
+    cyrillic = "".join(chr(c) for c in range(0x430, 0x500))
+    model = toxicity.language_model([f"{cyrillic} " * 50 + "the worthless idiot " * 3])
+    assert {c for readings in toxicity.LOOKS_LIKE.values() for c in readings} <= set(model.letters)
+    assert len(model.letters) < toxicity._LETTERS and "а" in model.letters
+
+
 def brute_numbers(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = {}
