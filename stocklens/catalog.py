@@ -21,7 +21,7 @@ from stocklens.operators.ingest import IngestedTables, ingest_batch, ingest_tabl
 from stocklens.operators.utilization import with_utilization
 from stocklens.plans import alert_reports, stock, suppliers, workforce
 from stocklens.session import landed, run_folder
-from stocklens.sources import sinks, snapshots
+from stocklens.sources import layout, sinks, snapshots
 from stocklens.sources.star_mapping import star_tables
 from stocklens.sources.tables import load_tables, read_tables, write_tables
 from stocklens.streaming import alerts as alert_stream
@@ -541,6 +541,19 @@ def _publish_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return lots.select("inventory_id", "total_quantity", "locked_quantity", "available_quantity", "last_updated")
 
 
+def _from_layout(
+    query: Callable[[Tables], DataFrame], closed_from: str, closed_until: str | None = None
+) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over stored tables, of whose closed orders it needs some months."""
+
+    def read(spark: SparkSession, folder: str) -> DataFrame:
+        place = run_folder(spark, "layout")
+        layout.write_layout(dict(star_tables(spark, folder)), place, buckets=4)
+        return query(layout.open_layout(spark, place, closed_from, closed_until))
+
+    return read
+
+
 def _published_changes(spark: SparkSession, folder: str) -> str:
     """Lots and orders published before and after the open orders were shipped; what did not change is not written."""
     tables, target = star_tables(spark, folder), run_folder(spark, "changes")
@@ -648,6 +661,10 @@ WITH_STORAGE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_location_utilization": _stream_location_utilization,
     "read_whole_rows": _read_whole_rows,
     "load_with_rejects": _load_with_rejects,
+    "poor_selling_from_layout": _from_layout(lambda t: stock.high_value_poor_selling(t, AS_OF), "2001-05"),
+    "monthly_report_from_layout": _from_layout(
+        lambda t: suppliers.supplier_monthly_report(t, MONTH, AS_OF), MONTH, MONTH
+    ),
     "publish_changes": _lots_of(None),
     "lots_of_earlier_run": _lots_of("before"),
     "stream_due_alerts": _stream_due_alerts,

@@ -13,9 +13,9 @@ from small import inbound, lot, outbound, place, product, warehouse
 from stocklens import session
 from stocklens.functions.metrics import location_utilization
 from stocklens.operators.alerts import INBOUND, delay_alerts, sweep_delay_alerts
-from stocklens.plans import suppliers
+from stocklens.plans import stock, suppliers
 from stocklens.session import landed, shared_folder
-from stocklens.sources import sinks, snapshots
+from stocklens.sources import layout, sinks, snapshots
 from stocklens.sources.schemas import TABLES
 from stocklens.sources.tables import load_tables, read_tables, register_views, write_tables
 from stocklens.streaming import alerts as alert_stream
@@ -100,6 +100,46 @@ def test_snapshots_leave_earlier_runs_alone(spark, tmp_path):
         sinks.publish_snapshot(second, folder, "a", "2025-12-03")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layout_prunes_and_needs_no_shuffle_by_product(spark, tmp_path):
+    folder = str(tmp_path / "layout")
+    times = [f"2025-{m:02d}-10T00:00:00" for m in (7, 8, 9, 10, 11)]
+    t = small.tables(
+        spark,
+        warehouses=[warehouse(1)],
+        suppliers=[{"supplier_id": 1, "supplier_name": "S"}],
+        supplier_products=[{"supplier_id": 1, "product_id": p} for p in range(9)],
+        products=[product(p, category="c", value=p) for p in range(9)],
+        inventory=[lot(p, p) for p in range(9)],
+        inbound_orders=[inbound(i, i % 9, status="completed", quantity=i, received_time=times[i % 5]) for i in range(40)]
+        + [inbound(100 + i, i % 9, created_time="2025-11-01T00:00:00") for i in range(5)],
+        outbound_orders=[outbound(i, i % 3, status="shipped", shipped_time=times[i % 5]) for i in range(20)],
+    )
+    layout.write_layout(t, folder, buckets=3)
+    whole = layout.open_layout(spark, folder)
+    for name in TABLES:
+        assert whole[name].columns == t[name].columns and rows(whole[name]) == rows(t[name]), name
+    spark.sql(f"drop table {layout._registered(folder, 'inbound_orders')}")  # as another session finds it
+    some = layout.open_layout(spark, folder, "2025-09", "2025-10")
+    months = {(r["status"], r["received_time"] and r["received_time"].month) for r in some["inbound_orders"].collect()}
+    assert months == {("completed", 9), ("completed", 10), ("pending", None)}
+
+    report = suppliers.supplier_monthly_report(some, "2025-10", NOW)
+    assert rows(report) == rows(suppliers.supplier_monthly_report(t, "2025-10", NOW)) and report.count() == 1
+    selling = stock.high_value_poor_selling(layout.open_layout(spark, folder, "2025-09"), NOW)
+    assert rows(selling) == rows(stock.high_value_poor_selling(t, NOW)) and selling.count()
+    late = delay_alerts(whole["inbound_orders"], INBOUND, NOW)
+    assert rows(late) == rows(delay_alerts(t["inbound_orders"], INBOUND, NOW)) and late.count() == 5
+    for df, column in ((report, "closed_month"), (selling, "closed_month"), (late, "status")):
+        filters = [line for line in plan_of(df).split("PartitionFilters: [")[1:] if column in line.split("]")[0]]
+        assert filters, plan_of(df)
+    units = whole["inbound_orders"].groupBy("product_id").agg(F.sum("actual_quantity"))
+    assert "Exchange" not in plan_of(units) and "Bucketed: true" in plan_of(units)
+
+
 def files_below(folder):
     return {os.path.join(d, n) for d, _, names in os.walk(folder) for n in names if n.endswith(".parquet")}
 
