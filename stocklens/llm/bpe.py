@@ -4,8 +4,9 @@ Pieces come from :mod:`stocklens.llm.pretokens`; each distinct piece is merged o
 taken from a bounded cache.  Ids travel as little-endian unsigned 32-bit integers.  The vocabulary is
 one byte string with the offset of each token, which is what decoding slices from.
 
-Missing and empty texts give no ids and decode to no bytes; repeated rows each give their row; an
-empty table gives an empty result; other columns of the input are not read.
+Missing and empty texts give no ids and decode to no bytes; very long texts are encoded whole; of merges of one
+rank the leftmost comes first; repeated rows each give their row; an empty table gives an empty result; other
+columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ time: a rule is grown on two thirds of the rows by the threshold that gains most
 the other third, kept if precise enough there, and its rows are set aside.  :func:`expression` writes the
 list as one conditional Spark expression, in order, which runs without Python.
 
-Missing and empty texts have no words and all numbers 0; repeated rows each give their row; an empty table
+Missing and empty texts have no words and all numbers 0; very long texts are counted whole, and learned from up to
+``FIT_CHARS``, above it by parts from all over them; of conditions that gain alike the first counts; repeated rows each give their row; an empty table
 gives an empty result; without labels of both kinds the list is empty and keeps everything.  Other
 columns of the input are not read.
 """

@@ -16,7 +16,8 @@ where it does not gain enough.  One pass over the texts gives the totals and pro
 pair of domains, which is all that comes back to the driver.  Steps end where the targets are met to ``TOLERANCE``, or
 where the gradient is gone, as targets may be out of reach above the floor; what is left is logged then.
 
-A missing or empty text has no tokens and the prior as posterior.  Missing domains are not learned from;
+A missing or empty text has no tokens and the prior as posterior; very long texts are counted whole, and learned from
+by parts from all over them above ``FIT_CHARS``; of equal posteriors the first domain is the likeliest.  Missing domains are not learned from;
 domains without tokens have no target; repeated rows are texts of their own; an empty table gives an empty
 result; without labelled rows every domain of the targets is equally likely.  Other columns are kept by
 :func:`repeated` and not read by :func:`rates`.

@@ -16,7 +16,8 @@ get further lists, of the best nodes in other components, refined in the same wa
 threshold joins components, and the search goes on until the outward lists hold no link.
 
 Vectors that are missing, zero, or hold missing or non-finite components link with nothing, and vectors of
-different lengths do not link; a repeated id counts once, with its first vector by value; an empty table
+different lengths do not link; of equally near neighbours a list keeps those with the smaller id, which changes no
+link; a repeated id counts once, with its first vector by value; an empty table
 gives an empty result; other columns, labels among them, are not read.
 """
 

@@ -5,8 +5,8 @@ blocks, two neighbouring blocks make a chunk, so chunks overlap by half and cove
 more channel marks bytes inside a stretch of four that also stood up to 32 bytes before.  The mean and
 the maximum of the chunks, and the length, go through a small hidden layer to the probability.
 
-The network is fitted on a bounded sample of labelled rows (``FIT_ROWS``, texts up to ``FIT_CHARS``).
-Missing and empty texts are one empty chunk and get a score too; repeated texts get equal scores; an
+The network is fitted on a bounded sample of labelled rows (``FIT_ROWS``; of texts above ``FIT_CHARS`` parts from
+all over them); very long texts are scored whole.  Missing and empty texts are one empty chunk and get a score too; repeated texts get equal scores; an
 empty table gives an empty result; without labels of both kinds the score is the labels' mean, or 0.5
 without any.  Other columns of the input are not read.
 """

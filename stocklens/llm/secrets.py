@@ -7,7 +7,8 @@ a rule must belong to its leftmost match, which holds as no match of these rules
 of another.  A private key goes on over its body, up to the END line or, where there is none, over the
 lines of base64 that follow.  A match that is too short for its rule is dropped after it has used up its text.
 
-Missing and empty texts have no spans; repeated rows each give their row; an empty table gives an empty
+Missing and empty texts have no spans; very long texts are scanned whole; spans that begin together come in the order
+of the rules; repeated rows each give their row; an empty table gives an empty
 result; other columns of the input are not read by :func:`find_secrets` and kept by :func:`redact`.
 """
 

@@ -5,7 +5,8 @@ them under the file's own merge rules.  A piece of the text that is such a strin
 rest is merged, once per distinct piece and task.  Added special strings inside a text count one each
 and split the text, as the library does by default.
 
-Missing and empty texts have no bytes and no tokens; repeated rows each give their row; an empty table
+Missing and empty texts have no bytes and no tokens; very long texts are counted whole; of merges of one rank the
+leftmost comes first; repeated rows each give their row; an empty table
 gives an empty result; other columns of the input are not read.
 """
 

@@ -9,8 +9,9 @@ cost of each disguise.  A word without a disguise has one reading, itself.
 log odds of standing in toxic rather than other labelled texts; a word counts its strongest feature.  The
 three strongest different words and the length of the text go through a logistic model.
 
-The language model is counted over all texts.  Odds and weights are fitted on a bounded sample of labelled rows (``FIT_ROWS``, texts up
-to ``FIT_CHARS``); when a label is given to a text, its own occurrence is taken out of the odds.  Missing
+The language model is counted over all texts.  Odds and weights are fitted on a bounded sample of labelled rows (``FIT_ROWS``; of
+texts above ``FIT_CHARS`` parts from all over them); very long texts are scored whole, and of equally likely readings the first
+one met is taken; when a label is given to a text, its own occurrence is taken out of the odds.  Missing
 and empty texts have no words and still get a score; repeated texts get equal scores; an empty table
 gives an empty result; without labels of both kinds every score is the labels' mean, or 0.  Other columns
 of the input are not read.

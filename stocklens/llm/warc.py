@@ -8,7 +8,8 @@ become revisits of that record.
 :func:`read_archives` loads the dictionary, decodes frame by frame, checks header, lengths, record end
 and digests, and gives one row per record.  A broken record raises an error that names its place.
 
-A missing payload is an empty one; repeated rows of a page are records of their own; a missing page id
+A missing payload is an empty one; very long ones are one record each; repeated rows of a page are records of their
+own, whatever their payloads; a missing page id
 is written as an empty field and read as missing; an empty table gives no archive; other columns of the
 input are not read.
 """

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stocklens.llm import decision_list, quality_net, queries, toxicity
+from stocklens.llm import decision_list, labelled, quality_net, queries, toxicity
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -86,6 +86,15 @@ def test_disguised_words_are_restored():
     assert scores[0] == pytest.approx(scores[1]) and scores[0] > 0.5 > scores[2]
 
 
+def test_sample_is_bounded_and_sees_all_of_long_texts(spark):
+    rows = [(1, "b"), (1, "a"), *[(1, "c")] * 50, (2, None), (3, "x" * 500 + "y" * 500), (4, "not chosen")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id bigint, label int")
+    got = {r["doc_id"]: (r["text"], r["label"]) for r in labelled.sample_of(docs, labels, 10, 160).collect()}
+    assert got == {1: ("a", 1), 2: (None, 0), 3: ("x" * 80 + "y" * 80, 1)}
+    assert labelled.sample_of(docs, labels, 2, 160).count() == 2
+
+
 def all_readings(token):
     """Every way through a token's lattice with its cost."""
     ways = [("", 0.0)]
