@@ -55,20 +55,21 @@ def batch(seed, requests, resources, hot=False):
     return rows
 
 
-@pytest.fixture(params=[50_000, 0], ids=["at-once", "by-component"])
-def folding(request, monkeypatch):
-    monkeypatch.setattr(admission, "AT_ONCE", request.param)
+#: So few open demands are folded in one stream; with none every component is found.
+AT_ONCE, BY_COMPONENT = 50_000, 0
 
 
-@pytest.mark.parametrize("rows_per_range", [200_000, 40, 3])
-def test_same_as_sequential(spark, folding, rows_per_range):
+@pytest.mark.parametrize("rows_per_range, at_once", [(200_000, AT_ONCE), (40, BY_COMPONENT), (3, AT_ONCE)])
+def test_same_as_sequential(spark, monkeypatch, rows_per_range, at_once):
+    monkeypatch.setattr(admission, "AT_ONCE", at_once)
     rows = batch(7, 160, 12, hot=True)
     demands = in_ranges(spark.createDataFrame(keyed(rows), KEYED), "row", rows_per_range)
     got = {r[0]: r[1] for r in admit(demands).collect()}
     assert got == one_after_the_other(rows)
 
 
-def test_many_components_same_as_sequential(spark, folding):
+def test_many_components_same_as_sequential(spark, monkeypatch):
+    monkeypatch.setattr(admission, "AT_ONCE", BY_COMPONENT)
     rows = batch(3, 500, 150)
     got = {r[0]: r[1] for r in admit(in_ranges(spark.createDataFrame(keyed(rows), KEYED), "row")).collect()}
     assert got == one_after_the_other(rows)
@@ -84,8 +85,9 @@ def moves(places, ring):
     return [(0, "p0", -1, None), *rows, (9_000_000, "p5", 1, 0)]
 
 
-@pytest.mark.parametrize("ring", [False, True], ids=["chain", "ring"])
-def test_rounds_do_not_follow_the_length_of_a_chain(spark, folding, monkeypatch, ring):
+@pytest.mark.parametrize("ring, at_once", [(False, BY_COMPONENT), (True, AT_ONCE)], ids=["chain", "ring"])
+def test_rounds_do_not_follow_the_length_of_a_chain(spark, monkeypatch, ring, at_once):
+    monkeypatch.setattr(admission, "AT_ONCE", at_once)
     rounds = {}
     judge, fold = admission._judge, admission._folded
     for places in (30, 1_000):
@@ -100,7 +102,7 @@ def test_rounds_do_not_follow_the_length_of_a_chain(spark, folding, monkeypatch,
     assert rounds[30] == rounds[1_000] and len(rounds[30]) <= 3
 
 
-@pytest.mark.parametrize("order", ["in order", "random", "in halves"])
+@pytest.mark.parametrize("order", ["random", "in halves"])
 def test_components_of_paths(spark, monkeypatch, order):
     """Stars around the smallest node, in about log2 of a path's length rounds whatever the order of ids."""
     size = 600
@@ -123,8 +125,9 @@ def test_components_of_paths(spark, monkeypatch, order):
     assert component_functions.components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rows_per_range", [200_000, 40])
-def test_single_demands_same_as_sequential(spark, folding, rows_per_range):
+@pytest.mark.parametrize("rows_per_range, at_once", [(200_000, AT_ONCE), (40, BY_COMPONENT)])
+def test_single_demands_same_as_sequential(spark, monkeypatch, rows_per_range, at_once):
+    monkeypatch.setattr(admission, "AT_ONCE", at_once)
     rows = list({r[0]: r for r in reversed(batch(11, 220, 6, hot=True))}.values())
     demands = in_ranges(spark.createDataFrame(rows, SCHEMA), "request_id", rows_per_range)
     got = {r[0]: r[1] for r in admit(demands, single=True).collect()}
