@@ -8,7 +8,6 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import assert_same
-from pyspark.sql import functions as F
 
 from stocklens.llm import bagminhash, components, nn_descent, queries
 
@@ -98,26 +97,6 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 4 * np.std(errors) / len(errors) ** 0.5
 
 
-def test_sketches_rule_out_only_what_is_far(spark):
-    """Agreement counted by bits is that of the bytes, and no pair at the threshold falls below the bound."""
-    texts = dict(enumerate(family(21, 60, most=12) + family(22, 20, size=40, most=9)))
-    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    sign = bagminhash.signed(docs)
-    rows = {r["doc_id"]: r for r in sign.collect()}
-    counted = {i: runs(t) for i, t in texts.items()}
-    assert all(rows[i]["size"] == sum(c.values()) for i, c in counted.items())
-    other = sign.select(F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("sketch").alias("a_sketch"))
-    met = sign.join(other, F.col("doc_id") < F.col("a")).filter(bagminhash._may_link(0.8))
-    got = {(r["doc_id"], r["a"]) for r in met.select("doc_id", "a").collect()}
-    for i in texts:
-        for j in range(i + 1, len(texts)):
-            x, y = (np.array(rows[k]["sketch"], "<i8").view(np.uint8) for k in (i, j))
-            sizes = sorted((rows[i]["size"], rows[j]["size"]))
-            assert ((i, j) in got) == ((x == y).sum() >= bagminhash.AGREE and sizes[0] >= 0.8 * sizes[1])
-            assert similar(counted[i], counted[j]) < 0.8 or (i, j) in got
-    assert len(got) < len(texts) * (len(texts) - 1) / 2
-
-
 def test_shingles_of_many_texts_in_parts(monkeypatch):
     texts = [t.encode() for t in family(3, 30)]
     whole = bagminhash.shingles(texts)
