@@ -95,8 +95,13 @@ def _stored(t: Tables, *names: str) -> Tables:
     return ChainMap({name: landed(t[name], name) for name in names}, t)
 
 
+def _sized(t: Tables) -> Tables:
+    """Stored tables with the space use of their places, which is stored as well."""
+    return _stored(with_utilization(t), "locations")
+
+
 def _complete_inbound(t: Tables) -> DataFrame:
-    t = with_utilization(_stored(t, "inbound_orders"))
+    t = _sized(_stored(t, "inbound_orders"))
     return commands.complete_inbound(t, requests.receive_open_orders(t), AS_OF).results
 
 
@@ -107,14 +112,14 @@ def _complete_outbound(t: Tables) -> DataFrame:
 
 def _split(t: Tables) -> DataFrame:
     """The log rows of splitting every lot: new lots, what they came from, and quantities."""
-    t = with_utilization(_stored(t, "inventory"))
+    t = _sized(_stored(t, "inventory"))
     outcome = commands.split_inventory(t, requests.split_every_lot(t), AS_OF)
     return outcome.added["inventory_adjustments"]
 
 
 def _move(t: Tables) -> commands.Outcome:
     """Lots pushed one place on through a ring of partly full places."""
-    t = with_utilization(_stored(t, "inventory"))
+    t = _sized(_stored(t, "inventory"))
     return commands.split_inventory(t, requests.move_every_lot(t), AS_OF)
 
 
@@ -125,7 +130,7 @@ def _moved(t: Tables) -> DataFrame:
 
 
 def _parts_of_parts(t: Tables) -> commands.Outcome:
-    t = with_utilization(_stored(t, "inventory"))
+    t = _sized(_stored(t, "inventory"))
     return commands.split_inventory(t, requests.move_parts_of_parts(t), AS_OF)
 
 
@@ -143,7 +148,7 @@ def _with_stored_alerts(t: Tables, as_of: str) -> Tables:
 
 
 def _receipt_with_alerts(t: Tables) -> commands.Outcome:
-    t = _with_stored_alerts(with_utilization(_stored(t, "inbound_orders")), AS_OF)
+    t = _with_stored_alerts(_sized(_stored(t, "inbound_orders")), AS_OF)
     return commands.complete_inbound(t, requests.receive_open_orders(t), AS_OF)
 
 
@@ -196,7 +201,7 @@ def _ingest(t: Tables) -> DataFrame:
 def _delivered(t: Tables) -> IngestedTables:
     """Products and their lots delivered together into tables that lack them."""
     stored, batches = requests.new_products_with_lots(_stored(t, "inventory"))
-    return ingest_tables(with_utilization(stored), batches, AS_OF)
+    return ingest_tables(_sized(stored), batches, AS_OF)
 
 
 def _tables_after_ingest(t: Tables) -> DataFrame:
@@ -216,27 +221,28 @@ def _capacity_guard(t: Tables) -> DataFrame:
 
 def _inbound_orders_after(t: Tables) -> DataFrame:
     """All inbound orders after the open ones were received."""
-    t = with_utilization(_stored(t, "inbound_orders"))
+    t = _sized(_stored(t, "inbound_orders"))
     after = commands.complete_inbound(t, requests.receive_open_orders(t), AS_OF).tables
     return after["inbound_orders"].select("inbound_id", "status", "actual_quantity", "received_time")
 
 
 def _complete_inbound_twice(t: Tables) -> DataFrame:
     """Space after the open orders were received and delivered once more, into what is left."""
-    t = with_utilization(_stored(t, "inbound_orders"))
+    t = _sized(_stored(t, "inbound_orders"))
     asked = requests.receive_open_orders(t)
     once = commands.complete_inbound(t, asked, AS_OF).tables
+    once = _stored(once, "inventory", "inbound_orders", "locations")
     return _space(commands.complete_inbound(once, asked, AS_OF).tables["locations"])
 
 
 def _space_after_outbound(t: Tables) -> DataFrame:
-    t = with_utilization(_stored(t, "outbound_orders", "inventory"))
+    t = _sized(_stored(t, "outbound_orders", "inventory"))
     return _space(commands.complete_outbound(t, requests.ship_open_orders(t), AS_OF).tables["locations"])
 
 
 def _space_after_split(t: Tables) -> DataFrame:
     """Splitting within a place changes nothing there."""
-    t = with_utilization(_stored(t, "inventory"))
+    t = _sized(_stored(t, "inventory"))
     return _space(commands.split_inventory(t, requests.split_every_lot(t), AS_OF).tables["locations"])
 
 

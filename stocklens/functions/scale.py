@@ -17,14 +17,17 @@ from stocklens.session import landed
 
 #: About how many rows a range holds; there are as many ranges as the rows need.
 ROWS_PER_RANGE = 200_000
+#: Keys are counted by so many slots of their hash, to find those with many rows.
+SLOTS = 1 << 16
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row within its partition in 33 bits
 
 
 def in_ranges(df: DataFrame, order: str, rows_per_range: int | None = None) -> DataFrame:
     """Land ``df`` with ``_range``: ranges that rise with ``order`` and hold about equal rows.
 
-    The range is landed with the row, so it stays the same however often a task is repeated.  What fits one
-    range is landed once.  Values of ``order`` must be unique: a missing or repeated one is an error.
+    Ranges are told by bounds on ``order``, which one pass over the landed rows estimates; so rows are landed once
+    and not moved, and a row's range stays the same however often a task is repeated.  Values of
+    ``order`` must be unique: a missing or repeated one is an error.
     """
     stored = landed(df, "requests")
     # one pass counts the rows and the values of ``order``, which leave out missing and repeated ones
@@ -34,9 +37,21 @@ def in_ranges(df: DataFrame, order: str, rows_per_range: int | None = None) -> D
     ranges = -(-rows // (rows_per_range or ROWS_PER_RANGE))
     if ranges <= 1:
         return stored.withColumn("_range", F.lit(0))
-    return landed(
-        stored.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges"
-    )
+    # one bound for each range; an estimate moves a bound by a quarter of a range at most
+    shares = [n / ranges for n in range(1, ranges)]
+    bounds = sorted({int(b) for b in stored.approxQuantile(order, shares, 1 / (4 * ranges))})
+    return stored.withColumn("_range", _bounds_passed(F.col(order), bounds))
+
+
+def _bounds_passed(value: Column, bounds: Sequence[int], before: int = 0) -> Column:
+    """How many of the sorted ``bounds`` lie below ``value``, found by halving them."""
+    if not bounds:
+        return F.lit(before)
+    middle = len(bounds) // 2
+    return F.when(
+        value > F.lit(bounds[middle]).cast("bigint"),
+        _bounds_passed(value, bounds[middle + 1 :], before + middle + 1),
+    ).otherwise(_bounds_passed(value, bounds[:middle], before))
 
 
 def with_position(
@@ -84,29 +99,45 @@ def running_sums(
 ) -> DataFrame:
     """Per key, sums over the rows strictly before each row in ``order``.
 
-    ``ranged`` carries ``_range`` from :func:`in_ranges`.  A key's rows are summed per range
-    first; the running total over ranges then works on one record per (key, range).
+    ``ranged`` carries ``_range`` from :func:`in_ranges`.  A key with few rows is one sorted group, so its rows move
+    once.  A key with many is summed per range; the running total over ranges then works on one record
+    per (key, range).
     """
     keys = list(keys)
-    inner = Window.partitionBy(*keys, "_range").orderBy(order)
-    inner = inner.rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    hot = _in_hot_slots(ranged, keys)
+    group = keys if hot is None else [*keys, "_part"]
+    inner = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
-    totals = ranged.groupBy(*keys, "_range").agg(
+    parted = ranged if hot is None else ranged.withColumn("_part", F.when(hot, F.col("_range")).otherwise(0))
+    # dealt out before the summed values are computed, so these are not moved
+    within = parted.repartition(*group).select(
+        "*", *[F.coalesce(F.sum(expr).over(inner), zero).alias(n if hot is None else f"_w_{n}") for n, expr in sums.items()]
+    )
+    if hot is None:
+        return within
+    outer = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parted.filter(hot).groupBy(*keys, "_part").agg(
         *[F.sum(expr).alias(f"_t_{name}") for name, expr in sums.items()]
     )
     carried = totals.select(
-        *keys,
-        "_range",
-        *[F.coalesce(F.sum(f"_t_{n}").over(outer), zero).alias(f"_c_{n}") for n in sums],
-    )
-    within = ranged.select(
-        "*", *[F.coalesce(F.sum(expr).over(inner), zero).alias(f"_w_{n}") for n, expr in sums.items()]
+        *keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(outer), zero).alias(f"_c_{n}") for n in sums]
     )
-    joined = within.join(carried, [*keys, "_range"])
+    joined = within.join(carried, [*keys, "_part"], "left")
     for name in sums:
-        joined = joined.withColumn(name, F.col(f"_w_{name}") + F.col(f"_c_{name}"))
-    return joined.drop(*[f"_{kind}_{n}" for n in sums for kind in ("w", "c")])
+        joined = joined.withColumn(name, F.col(f"_w_{name}") + F.coalesce(f"_c_{name}", zero))
+    return joined.drop("_part", *[f"_{kind}_{n}" for n in sums for kind in ("w", "c")])
+
+
+def _in_hot_slots(ranged: DataFrame, keys: Sequence[str]) -> Column | None:
+    """Which rows may have a key with more than a range of rows; None if there is no such key.
+
+    Keys are counted by slots of their hash, so a count moves at most one record per slot and task.  A key with many
+    rows always fills its slot; the few others in a full slot are only handled like it.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+    # at most one slot for each range of rows
+    full = ranged.groupBy(slot.alias("slot")).count().filter(F.col("count") > ROWS_PER_RANGE).collect()
+    return slot.isin([r["slot"] for r in full]) if full else None
 
 
 def previous_value(ranged: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:

@@ -78,7 +78,7 @@ def landed(df: DataFrame, purpose: str = "step", lasting: bool = False) -> DataF
     :func:`discard_steps`, a ``lasting`` one beyond.
     """
     path = run_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not lasting:
         _STEPS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stocklens.functions import components as component_functions
+from stocklens.functions import scale
 from stocklens.functions.scale import (
     in_ranges,
     position_in_ranges,
@@ -165,3 +166,29 @@ def test_positions_and_running_values(spark):
         earlier = sorted((x[0], x[2]) for x in rows if x[1] == r["key"] and x[0] < r["id"])
         assert r["before"] == sum(v for _, v in earlier)
         assert r["last"] == (earlier[-1][1] if earlier else None)
+
+
+@pytest.mark.parametrize("rows_per_range", [200_000, 7], ids=["cold", "hot"])
+def test_running_sums_move_rows_of_small_keys_once(spark, monkeypatch, rows_per_range):
+    monkeypatch.setattr(scale, "ROWS_PER_RANGE", rows_per_range)
+    monkeypatch.setattr(scale, "SLOTS", 5)
+    rng = random.Random(5)
+    rows = [(i, "a" if rng.random() < 0.5 else f"k{rng.randrange(40)}", rng.randint(-9, 9)) for i in range(300)]
+    ranged = in_ranges(spark.createDataFrame(rows, "id bigint, key string, n bigint"), "id", 30)
+    summed = running_sums(ranged, ["key"], "id", {"before": F.col("n")})
+    assert {r["id"]: r["before"] for r in summed.collect()} == {
+        i: sum(n for j, other, n in rows if j < i and other == key) for i, key, _ in rows
+    }
+    if rows_per_range == 200_000:
+        plan = summed._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_ranges_are_told_without_moving_rows(spark):
+    rows = spark.range(0, 40_000, 1, 8).select((F.col("id") * F.col("id")).alias("id"))
+    ranged = in_ranges(rows, "id", 4_000)
+    assert "Exchange" not in ranged._jdf.queryExecution().executedPlan().toString()
+    found = ranged.groupBy("_range").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
+    found = sorted(found.collect(), key=lambda r: r["_range"])
+    assert all(before["b"] < after["a"] for before, after in zip(found, found[1:]))
+    assert len(found) == 10 and max(r["n"] for r in found) <= 8_000
