@@ -16,6 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocklens.session import landed
 from stocklens.sources.schemas import TABLES
 
 Tables = Mapping[str, DataFrame]
@@ -23,24 +24,29 @@ Tables = Mapping[str, DataFrame]
 #: Tables bucketed by product, and the time at which an order of a table was closed.
 BY_PRODUCT = ("inventory", "inbound_orders", "outbound_orders", "supplier_products", "inventory_adjustments")
 CLOSED_AT = {"inbound_orders": "received_time", "outbound_orders": "shipped_time"}
-#: Buckets of a table; a bucket of the largest table should fit an executor core.
-BUCKETS = 64
+#: About how many rows a bucket of the largest table holds, so that it fits an executor core.
+ROWS_PER_BUCKET = 1_000_000
 #: The month of orders that were not closed.
 NOT_CLOSED = "none"
 _NOTICE = "buckets int"
 
 
-def write_layout(tables: Tables, folder: str, buckets: int = BUCKETS) -> None:
-    """Write ``tables`` below ``folder``, which must be new.
+def write_layout(tables: Tables, folder: str, buckets: int = 1) -> None:
+    """Write ``tables`` below ``folder``, which must be new, in ``buckets`` or more, as the rows need.
 
-    Rows are dealt to buckets before they are written, so every bucket of a partition is one file.
+    Rows are dealt to buckets before they are written, so every bucket of a partition is one file.  Buckets grow in
+    number, not in size: all tables have as many as the largest needs, and a table is landed to be counted.
     """
     session = next(iter(tables.values())).sparkSession
+    dealt = {name: landed(df, f"layout-{name}") for name, df in tables.items() if name in BY_PRODUCT}
+    most = max([df.count() for df in dealt.values()], default=0)
+    buckets = max(buckets, -(-most // ROWS_PER_BUCKET))
     for name, df in tables.items():
         path = f"{folder}/{name}"
         if name not in BY_PRODUCT:
             df.write.parquet(path)
             continue
+        df = dealt[name]
         if name in CLOSED_AT:
             df = df.withColumn("closed_month", _month(F.col(CLOSED_AT[name])))
         writer = df.repartition(buckets, "product_id").write.bucketBy(buckets, "product_id").sortBy("product_id")
