@@ -43,6 +43,7 @@ def publish_changes(tables: Tables, folder: str, run: str, published_at: dt.date
     counts = {r["table"]: r["buckets"] for r in before.select("table", "buckets").distinct().collect()}
     parts = [before.filter(~F.col("table").isin(list(tables)))]
     for name, df in tables.items():
+        df = landed(df, f"state-{name}")  # counted, digested and written from there
         buckets = counts.get(name) or max(LEAST_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
         placed = df.withColumn("bucket", _bucket(name, buckets))
         digests = placed.groupBy("bucket").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from stocklens.operators.alerts import RULES, DelayRule, alert_columns, is_late
 from stocklens.sources.schemas import TABLES
-from stocklens.streaming.feeds import compact, per_batch, run_available, written
+from stocklens.streaming.feeds import by_key, compact, per_batch, run_available, written
 
 
 def change_schema(direction: str) -> T.StructType:
@@ -21,7 +21,7 @@ def change_schema(direction: str) -> T.StructType:
 
 def _latest(changes: DataFrame, key: str) -> DataFrame:
     row = F.struct(*[c for c in changes.columns if c != key])
-    return changes.groupBy(key).agg(F.max_by(row, "change_seq").alias("_row")).select(key, "_row.*")
+    return by_key(changes, key).groupBy(key).agg(F.max_by(row, "change_seq").alias("_row")).select(key, "_row.*")
 
 
 def alert_changes(changes: DataFrame, rule: DelayRule, as_of: dt.datetime | str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from stocklens.functions.columns import day
 from stocklens.operators.alerts import RULES, DelayRule, delay_alerts
 from stocklens.streaming.alerts import change_schema
-from stocklens.streaming.feeds import compact, per_batch, run_available, written
+from stocklens.streaming.feeds import by_key, compact, per_batch, run_available, written
 
 _ABOUT = ("product_id", "warehouse_id", "status", "created_time")
 
@@ -41,7 +41,7 @@ def open_orders(changes: DataFrame, rule: DelayRule) -> DataFrame:
 
 def _latest(rows: DataFrame, key: str) -> DataFrame:
     about = F.struct(*[c for c in rows.columns if c != key])
-    return rows.groupBy(key).agg(F.max_by(about, "change_seq").alias("_row")).select(key, "_row.*")
+    return by_key(rows, key).groupBy(key).agg(F.max_by(about, "change_seq").alias("_row")).select(key, "_row.*")
 
 
 def stream_open_orders(

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from stocklens.session import exists
 
+#: About how many changes a task sorts by key.
+ROWS_PER_PART = 250_000
+
 
 def per_batch(transform: Callable[[DataFrame], DataFrame], folder: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes ``transform(batch)``."""
@@ -64,6 +67,15 @@ def compact(
     spark.range(1).select(F.lit(last).alias("upto")).write.mode("append").parquet(f"{folder}/folded")
 
 
+def by_key(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by ``key`` in as many parts as they need, so a part grows in number, not in size.
+
+    For latest rows per key, which are sorted in a task's memory; the rows are counted, so they should be stored.
+    """
+    parts = -(-rows.count() // ROWS_PER_PART)
+    return rows.repartition(parts, key) if parts > 1 else rows
+
+
 def _folded_upto(spark: SparkSession, folder: str) -> int:
     if not exists(spark, f"{folder}/folded"):
         return -1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stocklens.functions.metrics import used_volume
-from stocklens.streaming.feeds import compact, per_batch, run_available, written
+from stocklens.streaming.feeds import by_key, compact, per_batch, run_available, written
 from stocklens.streaming.utilization import lot_side
 
 #: ``lot`` is missing where the lot was removed.
@@ -50,7 +50,7 @@ def removed_lots(lots: DataFrame, seq: int) -> DataFrame:
 
 def latest_states(changes: DataFrame) -> DataFrame:
     """One row per lot: its latest change."""
-    return changes.groupBy("inventory_id").agg(
+    return by_key(changes, "inventory_id").groupBy("inventory_id").agg(
         F.max("change_seq").alias("change_seq"), F.max_by("lot", "change_seq").alias("lot")
     )
 

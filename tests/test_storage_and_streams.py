@@ -19,6 +19,7 @@ from stocklens.sources import layout, sinks, snapshots
 from stocklens.sources.schemas import TABLES
 from stocklens.sources.tables import load_tables, read_tables, register_views, write_tables
 from stocklens.streaming import alerts as alert_stream
+from stocklens.streaming import due_orders, feeds
 from stocklens.streaming import utilization as space_stream
 
 NOW = "2025-12-03"
@@ -335,3 +336,37 @@ def test_shared_folder_is_demanded_and_cleared(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(spark)
+
+
+def test_buckets_of_a_layout_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "ROWS_PER_BUCKET", 10)
+    t = small.tables(spark, inventory=[lot(p, p) for p in range(45)], outbound_orders=[outbound(i) for i in range(12)])
+    folder = str(tmp_path / "grown")
+    layout.write_layout(t, folder, buckets=2)
+    assert spark.read.parquet(f"{folder}/_about").first()["buckets"] == 5
+    opened = layout.open_layout(spark, folder)
+    for name in ("inventory", "outbound_orders"):
+        assert rows(opened[name]) == rows(t[name]), name
+
+
+def test_latest_rows_are_sorted_in_parts_that_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(feeds, "ROWS_PER_PART", 10)
+    changes = spark.range(90).selectExpr("id % 30 as id", "id as change_seq", "id * 2 as what")
+    found = due_orders._latest(changes, "id")
+    assert "REPARTITION_BY_NUM" in plan_of(found) and "hashpartitioning(id" in plan_of(found) and ", 9)" in plan_of(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, 60 + i, 120 + 2 * i) for i in range(30)]
+
+
+def test_a_published_table_is_computed_once(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    lots = small.tables(spark, inventory=[lot(i) for i in range(20)])["inventory"]
+    state = lots.mapInArrow(seen, lots.schema)
+    snapshots.publish_changes({"inventory": state}, str(tmp_path / "once"), "first", NOW)
+    assert computed.value == 20
+    assert rows(snapshots.read_run(spark, str(tmp_path / "once"), ["inventory"])["inventory"]) == rows(lots)
