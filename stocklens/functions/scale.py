@@ -8,7 +8,7 @@ range travels to combine them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,12 +55,22 @@ def _bounds_passed(value: Column, bounds: Sequence[int], before: int = 0) -> Col
 
 
 def with_position(
-    df: DataFrame, order: Sequence[str], name: str = "position", lasting: bool = False
+    df: DataFrame,
+    order: Sequence[str],
+    name: str = "position",
+    lasting: bool = False,
+    together: Sequence[str] = (),
+    marks: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add the dense position (1, 2, …) of each row in ``order`` over the whole table."""
+    """Add the dense position (1, 2, …) of each row in ``order`` over the whole table.
+
+    Rows alike in ``together``, the first columns of ``order``, stay in one range, so ``marks``, windows over
+    them, move no rows.
+    """
     placed = landed(
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*(together or order))
         .sortWithinPartitions(*order)
+        .withColumns(dict(marks or {}))
         .withColumn("_at", F.monotonically_increasing_id()),
         "positions",
         lasting,

@@ -590,14 +590,25 @@ def complete_inbound(tables: Tables, requests: DataFrame, as_of: When, strict: b
         .join(products, "product_id", "left")
         .join(_known(tables["warehouses"], "warehouse_id", "warehouse_id", "_site"), "warehouse_id", "left")
         .join(places, ["warehouse_id", "location"], "left")
-        .withColumn("reason", first_reason(*problems))
+        # what only the reasons look at is neither moved nor landed
+        .select(
+            "request_id",
+            "inbound_id",
+            "product_id",
+            "warehouse_id",
+            "location",
+            "quantity",
+            space_units(F.col("volume") * F.col("quantity")).alias("_space"),
+            F.when(F.col("volume").isNotNull(), F.col("free_space")).alias("_room"),
+            first_reason(*problems).alias("reason"),
+        )
     )
     ranged = in_ranges(enriched, "request_id")
     demands = ranged.filter(F.col("reason").isNull() & F.col("location").isNotNull()).select(
         "request_id",
         place_of("warehouse_id", "location").alias("resource"),
-        space_units(F.col("volume") * F.col("quantity")).alias("amount"),
-        F.when(F.col("volume").isNotNull(), F.col("free_space")).alias("room"),
+        F.col("_space").alias("amount"),
+        F.col("_room").alias("room"),
         "_range",
     )
     refusal = NO_SPACE
@@ -685,7 +696,10 @@ def complete_outbound(tables: Tables, requests: DataFrame, as_of: When, strict:
     enriched = (
         requests.join(order, "outbound_id", "left")
         .join(lot, "inventory_id", "left")
-        .withColumn("reason", first_reason(*problems))
+        # what only the reasons look at is neither moved nor landed
+        .select(
+            "request_id", "outbound_id", "inventory_id", "quantity", "_available", first_reason(*problems).alias("reason")
+        )
     )
     ranged = in_ranges(enriched, "request_id")
     demands = ranged.filter(F.col("reason").isNull()).select(

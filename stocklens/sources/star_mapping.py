@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stocklens.functions.columns import day, stamp
 from stocklens.functions.scale import with_position
-from stocklens.session import modified
+from stocklens.session import landed, modified
 
 #: Columns of the star-schema files; stated so that reading needs no look into the files.
 _FILES = {
@@ -48,10 +48,9 @@ _LOT_ROOM = 1_000_000_000
 #: Numbered lines by application, file and time of change.
 _NUMBERED: dict[tuple[str, str, int], DataFrame] = {}
 
-_LINE_ORDER = [
-    "l_linenumber",
-    "l_partkey",
-    "l_suppkey",
+#: Lines are ordered by the columns that tell nearly all of them apart, then by the others.
+_LINE_HEAD = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_LINE_TAIL = [
     "l_quantity",
     "l_extendedprice",
     "l_discount",
@@ -60,6 +59,8 @@ _LINE_ORDER = [
     "l_returnflag",
     "l_linestatus",
 ]
+#: What the mapping reads of the others.
+_LINE_READ = ["l_quantity", "l_returnflag", "l_linestatus"]
 
 
 class StarTables(Mapping[str, DataFrame]):
@@ -222,13 +223,21 @@ class StarTables(Mapping[str, DataFrame]):
         """All lines with their place in the order of orders and lines, which is unique for any data.
 
         The numbering sorts by range, so an order may hold any number of lines.  It is stored once per
-        application and state of the file, and read by all queries that follow.
+        application and state of the file, and read by all queries that follow.  Columns that only order lines
+        alike in all of ``_LINE_HEAD`` are not moved: such lines, if what is read of them differs, are ordered apart.
         """
         source = f"{self._folder}/lineitem.parquet"
         key = (self._spark.sparkContext.applicationId, source, modified(self._spark, source))
         if key not in _NUMBERED:
-            order = ["l_orderkey", *_LINE_ORDER]
-            _NUMBERED[key] = with_position(self._read("lineitem"), order, "line_id", lasting=True)
+            alike, others = Window.partitionBy(*_LINE_HEAD), F.struct(*_LINE_READ)
+            differ = ~F.min(others).over(alike).eqNullSafe(F.max(others).over(alike))
+            lines = self._read("lineitem")
+            order = [*_LINE_HEAD, *_LINE_READ]
+            placed = with_position(lines.select(*order), order, "line_id", True, _LINE_HEAD, {"_tied": differ})
+            tied, placed = placed.filter("_tied"), placed.filter("not _tied").drop("_tied")
+            if not tied.isEmpty():
+                placed = placed.unionByName(landed(_untied(lines, tied).select(*placed.columns), "tied", lasting=True))
+            _NUMBERED[key] = placed
         return _NUMBERED[key]
 
     def _inbound_orders(self) -> DataFrame:
@@ -364,6 +373,14 @@ def star_tables(spark: SparkSession, folder: str, **options: int) -> StarTables:
     return StarTables(spark, folder, **options)
 
 
+def _untied(lines: DataFrame, tied: DataFrame) -> DataFrame:
+    """``tied`` lines, which fill the right places together, each in its own place by all columns."""
+    heads = tied.groupBy(*[F.col(c).alias(f"_{c}") for c in _LINE_HEAD]).agg(F.min("line_id").alias("_first"))
+    alike = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _LINE_HEAD]
+    place = F.row_number().over(Window.partitionBy(*_LINE_HEAD).orderBy(*_LINE_TAIL))
+    return lines.join(heads, alike).withColumn("line_id", F.col("_first") + place - 1)
+
+
 def _location_code() -> Column:
     return F.concat(F.lit("Z-"), F.lpad(F.col("p_size").cast("string"), 2, "0"))
 

@@ -9,10 +9,12 @@ import small
 from pyspark.sql import functions as F
 from small import inbound, lot, outbound, person, place, product, warehouse
 
+from stocklens import requests
 from stocklens.functions import scale
 from stocklens.functions.metrics import location_utilization
 from stocklens.operators import admission, commands
 from stocklens.operators.utilization import with_utilization
+from stocklens.sources.star_mapping import star_tables
 
 AS_OF = "2025-12-03"
 SPLITS = (
@@ -460,3 +462,17 @@ def test_split_moves_space_between_places(spark):
     space = {r["location"]: float(r["utilization"]) for r in done.tables["locations"].collect()}
     assert space == {"A": 6.0, "B": 7.0}
 
+
+
+def test_requests_are_landed_without_what_only_reasons_look_at(spark, data, monkeypatch):
+    landed_columns = []
+
+    def noted(df, order):
+        landed_columns.append(set(df.columns))
+        return scale.in_ranges(df, order)
+
+    monkeypatch.setattr(commands, "in_ranges", noted)
+    t = star_tables(spark, data)
+    commands.complete_inbound(t, requests.receive_open_orders(t), AS_OF)
+    commands.complete_outbound(t, requests.ship_open_orders(t), AS_OF)
+    assert not {"_status", "_order_product", "_lot_site", "_product", "_site", "_place"} & set.union(*landed_columns)
