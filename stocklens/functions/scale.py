@@ -17,6 +17,8 @@ from stocklens.session import landed
 
 #: About how many rows a range holds; there are as many ranges as the rows need.
 ROWS_PER_RANGE = 200_000
+#: About how many rows of a whole table a task sorts.
+ROWS_PER_SORT = 500_000
 #: Keys are counted by so many slots of their hash, to find those with many rows.
 SLOTS = 1 << 16
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row within its partition in 33 bits
@@ -67,8 +69,9 @@ def with_position(
     Rows alike in ``together``, the first columns of ``order``, stay in one range, so ``marks``, windows over
     them, move no rows.
     """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_SORT))
     placed = landed(
-        df.repartitionByRange(*(together or order))
+        df.repartitionByRange(tasks, *(together or order))
         .sortWithinPartitions(*order)
         .withColumns(dict(marks or {}))
         .withColumn("_at", F.monotonically_increasing_id()),

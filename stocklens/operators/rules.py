@@ -17,6 +17,9 @@ from stocklens.sources.schemas import ALERT_TABLES, TABLES, Reference, Table
 
 Tables = Mapping[str, DataFrame]
 
+#: About how many keys a task counts.
+KEYS_PER_TASK = 500_000
+
 
 def key_text(table: Table, columns: Iterable[str] | None = None) -> Column:
     """The key of a row as text; parts joined by ``/``, unknown parts as ``?``."""
@@ -124,21 +127,25 @@ def _repeated(df: DataFrame, table: Table, columns: tuple[str, ...], rule: str)
 
 
 def audit_primary_keys(tables: Tables) -> DataFrame:
-    """Keys that occur more than once or are not complete, with how often they occur."""
+    """Keys that occur more than once or are not complete, with how often they occur.
+
+    Keys are landed and counted first, so that there are as many tasks as they need.
+    """
     parts = []
     for name, df in _present(tables, TABLES):
         table = TABLES[name]
         missing = reduce(Column.__or__, [F.col(c).isNull() for c in table.key])
-        counted = df.groupBy(*table.key).agg(F.count("*").alias("occurrences"))
-        rule = F.when(missing, "key_missing").when(F.col("occurrences") > 1, "key_repeated")
-        parts.append(
-            counted.select(
-                F.lit(name).alias("table_name"),
-                key_text(table).alias("row_key"),
-                rule.alias("rule"),
-                "occurrences",
-            ).filter(F.col("rule").isNotNull())
-        )
+        keys = landed(df.select(*table.key), "keys")
+        tasks = -(-keys.filter(~missing).count() // KEYS_PER_TASK)
+        # many rows may lack the same part: these are summed up before they are moved
+        spread = keys.filter(~missing).repartition(max(1, tasks), *table.key)
+        for rows, rule, least in ((keys.filter(missing), "key_missing", 1), (spread, "key_repeated", 2)):
+            counted = rows.groupBy(*table.key).agg(F.count("*").alias("occurrences"))
+            parts.append(
+                counted.filter(F.col("occurrences") >= least).select(
+                    F.lit(name).alias("table_name"), key_text(table).alias("row_key"), F.lit(rule).alias("rule"), "occurrences"
+                )
+            )
     return _all(parts)
 
 

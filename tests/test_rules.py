@@ -283,3 +283,21 @@ def test_ingest_refuses_incomplete_keys(spark):
     assert "supplier_id_required" in refused[1] and "product_id_required" in refused[2]
     assert rules.audit_primary_keys({**t, "supplier_products": done.accepted}).count() == 0
 
+
+
+def test_keys_are_counted_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    spread = []
+
+    def noted(df, columns, *rest):
+        spread.append(columns)
+        return repartition(df, columns, *rest)
+
+    kind = type(spark.range(1))
+    repartition = kind.repartition
+    rows = [(i // 2 if i < 4 else None if i < 7 else i, f"name {i}") for i in range(100)]
+    staff = spark.createDataFrame(rows, "employee_id int, employee_name string")
+    monkeypatch.setattr(rules, "KEYS_PER_TASK", 10)
+    monkeypatch.setattr(kind, "repartition", noted)
+    found = rules.audit_primary_keys({"employees": staff})
+    assert spread == [10]
+    assert {tuple(r)[1:] for r in found.collect()} == {("0", "key_repeated", 2), ("1", "key_repeated", 2), ("?", "key_missing", 3)}
