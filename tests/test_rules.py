@@ -6,12 +6,14 @@ import pytest
 import small
 from small import inbound, lot, outbound, person, place, product, warehouse
 
+from stocklens import requests
 from stocklens.functions import scale
-from stocklens.operators import deletes, guards, rules
+from stocklens.operators import deletes, guards, ingest, rules
 from stocklens.operators.alerts import INBOUND, delay_alerts
 from stocklens.operators.ingest import ingest_batch
 from stocklens.sources.schemas import TABLES
 from stocklens.sources.sinks import append_rows
+from stocklens.sources.star_mapping import star_tables
 from stocklens.sources.tables import read_tables, write_tables
 
 NOW = "2025-12-03"
@@ -301,3 +303,16 @@ def test_keys_are_counted_in_as_many_tasks_as_they_need(spark, monkeypatch):
     found = rules.audit_primary_keys({"employees": staff})
     assert spread == [10]
     assert {tuple(r)[1:] for r in found.collect()} == {("0", "key_repeated", 2), ("1", "key_repeated", 2), ("?", "key_missing", 3)}
+
+
+def test_rows_of_a_batch_do_not_meet_the_stored_keys(spark, data, monkeypatch):
+    landed_columns = []
+
+    def noted(df, order):
+        landed_columns.extend(df.columns)
+        return scale.in_ranges(df, order)
+
+    monkeypatch.setattr(ingest, "in_ranges", noted)
+    stored, batch = requests.redelivered_inbound(star_tables(spark, data))
+    ingest.ingest_batch(stored, "inbound_orders", batch, "2001-08-01 00:00:00")
+    assert not [c for c in landed_columns if c.startswith("_taken")]
