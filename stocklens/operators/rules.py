@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stocklens.functions.columns import not_false
 from stocklens.session import landed
@@ -187,32 +188,52 @@ def _target(reference: Reference) -> str:
     return f"{reference.parent}.{'/'.join(reference.parent_columns)}"
 
 
-def _link(target: str, columns: Iterable[str], rule: str | None = None) -> Column:
-    """What a complete key refers to, as text; NULL where a part of it is missing."""
-    names = list(columns)
-    text = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in names])
-    parts = [F.lit(target).alias("target"), text.alias("reference")]
+#: What tells keys apart: the place of what they refer to, and the key as a number or, if it is none, as text.
+_KEY = ["place", "number", "text"]
+
+
+def _places(tables: Tables) -> dict[str, tuple[int, bool]]:
+    """Everything referred to, with a number for it and whether all its keys, here and there, are whole numbers."""
+    found: dict[str, bool] = {}
+    for name, df in _present(tables, {**TABLES, **ALERT_TABLES}):
+        for r in {**TABLES, **ALERT_TABLES}[name].references:
+            if r.parent in tables:
+                sides = [df.schema[c] for c in r.columns] + [tables[r.parent].schema[c] for c in r.parent_columns]
+                whole = len(r.columns) == 1 and all(isinstance(f.dataType, T.IntegerType | T.LongType) for f in sides)
+                found[_target(r)] = found.get(_target(r), True) and whole
+    return {target: (place, found[target]) for place, target in enumerate(sorted(found))}
+
+
+def _link(place: tuple[int, bool], columns: Iterable[str], rule: str | None = None) -> Column:
+    """What a complete key refers to; NULL where a part of it is missing."""
+    names, (number, whole) = list(columns), place
+    parts = [
+        F.lit(number).alias("place"),
+        (F.col(names[0]).cast("bigint") if whole else F.lit(0).cast("bigint")).alias("number"),
+        (F.lit("") if whole else F.concat_ws("\x1f", *[F.col(c).cast("string") for c in names])).alias("text"),
+    ]
     if rule:
         parts.append(F.lit(rule).alias("rule"))
     return F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in names]), F.struct(*parts))
 
 
 def orphan_keys(tables: Tables) -> DataFrame:
-    """Every key that some row refers to and no parent has: ``target`` (table and columns) and ``reference``.
+    """Every key that some row refers to and no parent has: ``place`` (of :func:`_places`), ``number`` and ``text``.
 
     Children are reduced to the distinct keys they use, all references in one scan of each table, and parents
     give their keys: rows themselves meet nothing.
     """
-    used, given = [], {}
+    used, given, places = [], {}, _places(tables)
     for name, df in _present(tables, {**TABLES, **ALERT_TABLES}):
         found = [r for r in {**TABLES, **ALERT_TABLES}[name].references if r.parent in tables]
         for r in found:
-            given[_target(r)] = tables[r.parent].select(_link(_target(r), r.parent_columns).alias("k")).select("k.*")
+            link = _link(places[_target(r)], r.parent_columns)
+            given[_target(r)] = tables[r.parent].select(link.alias("k")).filter("k is not null").select("k.*")
         if found:
-            links = F.array_compact(F.array(*[_link(_target(r), r.columns) for r in found]))
+            links = F.array_compact(F.array(*[_link(places[_target(r)], r.columns) for r in found]))
             # distinct within each table first: that much is summed up before anything is shuffled
             used.append(df.select(F.explode(links).alias("k")).select("k.*").distinct())
-    return _all(used).distinct().join(_all(list(given.values())), ["target", "reference"], "left_anti")
+    return _all(used).distinct().join(_all(list(given.values())), _KEY, "left_anti")
 
 
 def audit_foreign_keys(tables: Tables) -> DataFrame:
@@ -221,17 +242,17 @@ def audit_foreign_keys(tables: Tables) -> DataFrame:
     Orphan keys are found first; only references that have any are looked at by row, so a clean table is
     scanned once for its keys and no more.
     """
-    orphans = landed(orphan_keys(tables), "orphan-keys")
+    orphans, places = landed(orphan_keys(tables), "orphan-keys"), _places(tables)
     # one row for each kind of parent key
-    targets = {r["target"] for r in orphans.select("target").distinct().collect()}
+    missed = {r["place"] for r in orphans.select("place").distinct().collect()}
     parts = []
     for name, df in _present(tables, {**TABLES, **ALERT_TABLES}):
         table = {**TABLES, **ALERT_TABLES}[name]
-        broken = [r for r in table.references if r.parent in tables and _target(r) in targets]
+        broken = [r for r in table.references if r.parent in tables and places[_target(r)][0] in missed]
         if broken:
-            links = [_link(_target(r), r.columns, reference_rule(r)) for r in broken]
+            links = [_link(places[_target(r)], r.columns, reference_rule(r)) for r in broken]
             rows = df.select(key_text(table).alias("row_key"), F.explode(F.array_compact(F.array(*links))).alias("k"))
-            met = rows.select("row_key", "k.*").join(orphans, ["target", "reference"])
+            met = rows.select("row_key", "k.*").join(orphans, _KEY)
             parts.append(met.select(F.lit(name).alias("table_name"), "row_key", "rule"))
     if not parts:
         return orphans.select(F.lit("").alias("table_name"), F.lit("").alias("row_key"), F.lit("").alias("rule")).limit(0)

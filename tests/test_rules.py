@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
+
 import pytest
 import small
+from pyspark.sql import functions as F
 from small import inbound, lot, outbound, person, place, product, warehouse
 
 from stocklens import requests
@@ -316,3 +319,15 @@ def test_rows_of_a_batch_do_not_meet_the_stored_keys(spark, data, monkeypatch):
     stored, batch = requests.redelivered_inbound(star_tables(spark, data))
     ingest.ingest_batch(stored, "inbound_orders", batch, "2001-08-01 00:00:00")
     assert not [c for c in landed_columns if c.startswith("_taken")]
+
+
+def test_whole_number_keys_are_met_as_numbers_and_others_as_text(spark):
+    t = small.tables(spark, products=[product(7), product(8)], warehouses=[warehouse(1)], inventory=[lot(1, 7)])
+    places = rules._places(t)
+    assert places["products.product_id"][1] and not places["locations.warehouse_id/location"][1]
+    asked = F.when(F.col("inventory_id") == 1, "9").otherwise("7")
+    t = ChainMap({"inventory": t["inventory"].withColumn("product_id", asked)}, t)
+    assert not rules._places(t)["products.product_id"][1]
+    assert ("inventory", "1", "product_id_in_products") in found(rules.audit_foreign_keys(t))
+    t = ChainMap({"inventory": t["inventory"].withColumn("product_id", F.lit("7"))}, t)
+    assert ("inventory", "1", "product_id_in_products") not in found(rules.audit_foreign_keys(t))
