@@ -26,7 +26,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.llm.components import components
@@ -43,6 +43,9 @@ SLOTS = BANDS * ROWS
 RARE, MOST_RARE = 0.25, 256
 #: Bands of so many texts are compared without looking for rare shingles.
 OUTRIGHT = 24
+#: Bits for each wanted id, and in all, by which other texts are left out: 16 MB are sent to the executors at most.
+BITS_PER_ID, MOST_BITS = 16, 1 << 27
+_CHUNK = 15  # a bitmap of Spark has 2**15 bits
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 #: Bits of a shingle's hash, which leaves the others for the number of a text in its batch.
@@ -201,6 +204,22 @@ def packed(docs: DataFrame) -> DataFrame:
     return by_batches(docs, run, f"doc_id {kind}, packed binary")
 
 
+def _about(texts: DataFrame, wanted: DataFrame, ids: int) -> DataFrame:
+    """The rows of ``texts`` whose ``doc_id`` is in ``wanted``, and a few others; no text is moved.
+
+    Ids, about ``ids`` different ones, are marked in bits by their hash.  An id whose bit another one has set stays,
+    which costs only space.
+    """
+    bits = min(MOST_BITS, 1 << max(_CHUNK, (BITS_PER_ID * ids).bit_length()))
+    bit = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
+    chunk, place = F.shiftright(bit, _CHUNK), bit.bitwiseAND(F.lit((1 << _CHUNK) - 1))
+    marks = wanted.groupBy(chunk.alias("_chunk")).agg(F.bitmap_construct_agg(place).alias("_marks"))
+    byte = F.substring("_marks", F.shiftright("_place", 3).cast("int") + 1, F.lit(1))
+    marked = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(_place & 7 as int))")) != 0
+    met = texts.withColumns({"_chunk": chunk, "_place": place}).join(F.broadcast(marks), "_chunk")
+    return met.filter(marked).select(*texts.columns)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted arrays of hashes."""
     if not len(a) or not len(b):
@@ -217,10 +236,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(in_a, in_b).sum() / np.maximum(in_a, in_b).sum())
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, ids: int) -> DataFrame:
     """The pairs whose texts have a similarity of at least ``threshold``."""
-    first = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a"))
-    second = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b"))
+    first, second = (
+        _about(texts, pairs.select(F.col(side).alias("doc_id")), ids).select(
+            F.col("doc_id").alias(side), F.col("packed").alias(f"text_{side}")
+        )
+        for side in ("a", "b")
+    )
     joined = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
 
     def run(rows: dict[str, list]) -> dict[str, list]:
@@ -265,11 +288,12 @@ def near_duplicates(
     # what stands in many large bands is near the middle of its group of near copies
     weight = members_of.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     banded = landed(members_of.drop("n").join(weight, "doc_id"), "bands")
-    candidates = banded.select("doc_id").distinct()
+    candidates = landed(banded.select("doc_id").distinct(), "candidates")
+    wanted = candidates.count()
     texts = text_rows(docs, id_column, text_column).filter(F.col("doc_id").isNotNull())
-    stored = landed(packed(texts).join(candidates, "doc_id", "left_semi"), "texts")
+    stored = landed(packed(_about(texts, candidates, wanted)), "texts")
     ids = docs.select(F.col(f"`{id_column}`").alias("doc_id")).filter("doc_id is not null").distinct()
-    return _labelled(ids, members, _classes(banded, stored, threshold))
+    return _labelled(ids, members, _classes(banded, stored, threshold, wanted))
 
 
 def _rare_shingles(texts: DataFrame) -> DataFrame:
@@ -331,18 +355,19 @@ def _with_rare(placed: DataFrame, texts: DataFrame) -> DataFrame:
     large = placed.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > OUTRIGHT)
     docs = placed.join(large, "band").groupBy("doc_id").agg(F.max("n").alias("largest"))
     rare = landed(_rare_shingles(texts.join(docs, "doc_id")), "rare")
-    rows = placed.select("band", "doc_id", "weight").join(rare, "doc_id", "left")
-    return landed(rows.select("band", "doc_id", "weight", "size", "rare"), "bands")
+    return landed(placed.join(rare, "doc_id", "left"), "bands")
 
 
-def _classes(banded: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _classes(banded: DataFrame, texts: DataFrame, threshold: float, ids: int) -> DataFrame:
     """``node`` and ``component`` of the texts that are linked with another.
 
-    ``banded`` has a row per band and text, with the text's ``weight``.
+    ``banded`` has a row per band and text, with the text's ``weight``, for about ``ids`` texts.
     """
     heaviest = F.max(F.struct("weight", F.col("doc_id").alias("id")))["id"]
-    used = landed(banded.groupBy("band").agg(heaviest.alias("a")), "centres")
-    pairs = banded.join(used, "band").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    first = banded.groupBy("band").agg(heaviest.alias("a"))
+    met = landed(banded.join(first, "band").withColumn("centre", F.col("doc_id") == F.col("a")), "centres")
+    pairs = met.filter("not centre").select("a", F.col("doc_id").alias("b"))
+    rows = met.drop("a")
     known, tested = None, None
     wave = 0
     while True:
@@ -351,33 +376,51 @@ def _classes(banded: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        known = _joined(known, landed(_verified(pairs, texts, threshold), "verified"))
-        # texts of a band that have not been its centre, and lie in different components
-        placed, open_ = _divided(banded, known, used)
-        if wave == 0:
-            banded = _with_rare(placed, texts)
-            placed, open_ = _divided(banded, known, used)
-        if open_.isEmpty():
+        known = _joined(known, landed(_verified(pairs, texts, threshold, ids), "verified"))
+        placed = _divided(rows, known)
+        if placed.isEmpty():
             return known
+        if wave == 0:
+            placed = _with_rare(placed, texts)
+        # texts of a band that have not been its centre, and lie in different components
+        open_ = placed.filter("not centre")
         main = open_.groupBy("band").agg(F.max(F.struct("weight", F.col("component").alias("of")))["of"].alias("main"))
         centres = landed(_next_centres(open_.join(main, "band"), wave), "centres")
-        met = (placed["band"] == centres["band"]) & (F.col("component") != F.col("of")) & _may_link(threshold)
-        pairs = placed.join(centres, met).select("a", F.col("doc_id").alias("b"))
-        used = used.unionByName(centres.select("band", "a"))
+        pairs = _met(placed, centres, threshold)
+        now = centres.select("band", F.col("a").alias("doc_id"), F.lit(True).alias("_now"))
+        been = F.col("centre") | F.coalesce("_now", F.lit(False))
+        rows = placed.drop("component").join(now, ["band", "doc_id"], "left").withColumn("centre", been).drop("_now")
         wave += 1
 
 
-def _divided(banded: DataFrame, known: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of bands that may still hold unknown links, with ``component``: all, and those never a centre."""
-    placed = banded.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")
+def _met(placed: DataFrame, centres: DataFrame, threshold: float) -> DataFrame:
+    """Centres (``a``) and the texts of their bands (``b``) that they may be linked with, from other components.
+
+    Near copies share many bands; a centre and a text meet in the least of them only.
+    """
+    by_text, by_centre = Window.partitionBy("doc_id"), Window.partitionBy("a")  # no more rows each than bands
+    placed = placed.withColumn("bands", F.collect_list("band").over(by_text))
+    centres = centres.withColumn("a_bands", F.collect_list("band").over(by_centre))
+    apart = (placed["band"] == centres["band"]) & (F.col("component") != F.col("of"))
+    least = F.array_min(F.array_intersect("bands", "a_bands")) == placed["band"]
+    met = placed.join(centres, apart & least & _may_link(threshold))
+    return met.select("a", F.col("doc_id").alias("b"))
+
+
+def _divided(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of bands that may still hold unknown links, with ``component``.
+
+    ``rows`` has ``centre``: whether a text has been a centre of the band.  Components only grow together and a centre
+    remains one, so a band that is not divided any more never will be, and later waves go on with these rows.
+    """
+    placed = landed(
+        rows.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+            "component", F.coalesce("component", "doc_id")
+        ),
+        "placed",
     )
-    been = used.withColumnRenamed("a", "doc_id")
-    open_ = placed.join(been, ["band", "doc_id"], "left_anti")
-    split = open_.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    split = landed(split.filter("least <> most").select("band"), "split")
-    placed = landed(placed.join(split, "band"), "placed")
-    return placed, placed.join(been, ["band", "doc_id"], "left_anti")
+    split = placed.filter("not centre").groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return landed(placed.join(split.filter("least <> most").select("band"), "band", "left_semi"), "divided")
 
 
 def _next_centres(open_: DataFrame, wave: int) -> DataFrame:
@@ -407,6 +450,8 @@ def _joined(known: DataFrame | None, found: DataFrame) -> DataFrame:
     """Components after further links; only the components themselves are joined anew."""
     if known is None:
         return components(found)
+    if found.isEmpty():
+        return known
     first = known.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
     second = known.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
     raised = found.join(first, "a", "left").join(second, "b", "left")

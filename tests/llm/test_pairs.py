@@ -125,6 +125,42 @@ def test_one_id_with_several_texts_counts_once(spark):
     assert single[0] == (1, a, "y") and single[2] == (4, c, "w") and single[3] == (5, None, "v")
 
 
+def test_only_texts_that_share_a_band_are_packed(spark, monkeypatch):
+    """Texts without a band in common with another are left out where they lie; those with one are all there."""
+    rng = random.Random(6)
+    texts = dict(enumerate(family(7, 20) + [" ".join(f"u{rng.random()}" for _ in range(30)) for _ in range(400)]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    packed, seen = bagminhash.packed, []
+    monkeypatch.setattr(bagminhash, "packed", lambda rows: seen.append(rows) or packed(rows))
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs).collect()}
+    assert got == classes_of(texts)
+    assert sum(rows.count() for rows in seen) < 60
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_texts_of_wanted_ids_are_never_left_out(spark, monkeypatch, bits):
+    monkeypatch.setattr(bagminhash, "MOST_BITS", bits)
+    texts = spark.range(60_000).selectExpr("id - 30000 as doc_id", "cast(id as string) as text")
+    wanted = texts.filter("doc_id % 7 = 3 or doc_id % 7 = -3").select("doc_id")
+    left = bagminhash._about(texts, wanted, 8_571)
+    assert left.columns == texts.columns
+    assert left.join(wanted, "doc_id").count() == wanted.count() and wanted.count() <= left.count() <= texts.count()
+    if bits > 1 << 15:
+        assert left.count() < 1.2 * wanted.count()
+    assert bagminhash._about(texts, wanted.limit(0), 0).count() == 0
+
+
+def test_a_centre_meets_a_text_once(spark):
+    """Whatever the number of bands they share, and only in another component."""
+    rows = [(band, i, i % 3, 0, None) for band in range(20) for i in range(band % 2, 9)]
+    placed = spark.createDataFrame(rows, "band bigint, doc_id bigint, component bigint, size bigint, rare array<bigint>")
+    some = [(band, a, a % 3, 0, None) for band, a in [(0, 0), (2, 0), (3, 1), (5, 1), (6, 1), (7, 2)]]
+    centres = spark.createDataFrame(some, "band bigint, a bigint, of bigint, a_size bigint, a_rare array<bigint>")
+    got = [tuple(r) for r in bagminhash._met(placed, centres, 0.8).collect()]
+    want = {(a, i) for band, a, of, *_ in some for other, i, component, *_ in rows if band == other and component != of}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
