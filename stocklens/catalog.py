@@ -228,7 +228,7 @@ def _inbound_orders_after(t: Tables) -> DataFrame:
 
 def _complete_inbound_twice(t: Tables) -> DataFrame:
     """Space after the open orders were received and delivered once more, into what is left."""
-    t = _sized(_stored(t, "inbound_orders"))
+    t = _sized(_stored(t, "inbound_orders", "inventory"))
     asked = requests.receive_open_orders(t)
     once = commands.complete_inbound(t, asked, AS_OF).tables
     once = _stored(once, "inventory", "inbound_orders", "locations")

@@ -9,6 +9,7 @@ import small
 from pyspark.sql import functions as F
 from small import inbound, lot, outbound, person, place, product, warehouse
 
+from stocklens.catalog import catalog
 from stocklens.functions.metrics import location_utilization
 from stocklens.operators import alerts, commands
 from stocklens.operators.ingest import ingest_tables
@@ -262,3 +263,16 @@ def test_lot_feed_delivered_twice_and_shuffled(spark, tmp_path):
         space = lot_stream.space_of_lots(spark, t["locations"], t["products"], target)
         assert rows(space) == rows(location_utilization({**t, "inventory": final}))
         lot_stream.compact_lots(spark, target)
+
+
+def test_repeated_receipts_compute_lots_once(spark, data, monkeypatch):
+    """Both deliveries find lots in stored steps; nothing derives them from the order lines again."""
+    read, complete = [], commands.complete_inbound
+
+    def spied(tables, *rest):
+        read.append(tables["inventory"].inputFiles())
+        return complete(tables, *rest)
+
+    monkeypatch.setattr(commands, "complete_inbound", spied)
+    assert catalog()["complete_inbound_twice"](spark, data).count()
+    assert len(read) == 2 and not any("lineitem" in file for files in read for file in files)
