@@ -11,8 +11,10 @@ Slots are joined in bands.  Texts that share a band are compared by their true m
 similarity of ``THRESHOLD`` or more are linked.  Nothing is compared all against all: a band's others are
 first compared with the text that stands in the most and largest bands, which lies in the middle of its
 group.  Where texts of a band are still in different components, further centres follow, until every two
-texts of a band are in one component, have been compared, or differ in too many rare shingles to be
-linked.  Equal texts are one class from the start and are never compared.
+texts of a band are in one component, have been compared, or surely differ in too many shingles to be
+linked: a sketch of fixed size holds, of each of ``SKETCH`` classes of shingles, whether a text has an odd number of
+them, and two texts differ in a shingle at least of each class in which their sketches differ.  Equal texts are one
+class from the start and are never compared.
 
 Texts without a word are never linked; of an id with several rows the one with the smallest text counts; a missing
 id gives no row; an empty table gives an empty result; other columns of the input are not read.  Equal weights
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import zstandard
@@ -38,10 +42,9 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares none of the bands with a probability of (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
-#: A shingle is rare if only this share of the largest band of its texts has it; a text's rare ones are
-#: kept up to ``MOST_RARE``.
-RARE, MOST_RARE = 0.25, 256
-#: Bands of so many texts are compared without looking for rare shingles.
+#: Bits of a sketch.  Texts of more than about twice as many shingles are always compared by their multisets.
+SKETCH = 2048
+#: Bands of so many texts are compared without sketches.
 OUTRIGHT = 24
 #: Bits for each wanted id, and in all, by which other texts are left out: 16 MB are sent to the executors at most.
 BITS_PER_ID, MOST_BITS = 16, 1 << 27
@@ -296,66 +299,62 @@ def near_duplicates(
     return _labelled(ids, members, _classes(banded, stored, threshold, wanted))
 
 
-def _rare_shingles(texts: DataFrame) -> DataFrame:
-    """``doc_id``, ``size`` (shingles, with repetition) and ``rare``: those that few of these texts have.
+def sketches(owner: np.ndarray, shingle: np.ndarray, texts: int) -> np.ndarray:
+    """The sketch of each text [text, 64 bits of it], of what ``shingles`` returns.
 
-    ``texts`` has the size of each text's largest band as ``largest``.
-
-    The n-th repetition of a shingle is an element of its own, so sets of elements intersect as the
-    multisets do.  A text with too many rare ones gets none, which only means less is known of it.
+    The n-th repetition of a shingle is an element of its own, so sets of elements differ as the
+    multisets do.
     """
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
+    at = np.flatnonzero(first)
+    repetition = np.arange(len(owner)) - np.repeat(at, np.diff(np.append(at, len(owner))))
+    element = _mix(shingle + repetition.astype(np.uint64) * _GOLD)
+    place, n = np.unique(owner * SKETCH + (element % np.uint64(SKETCH)).astype(np.int64), return_counts=True)
+    odd = np.zeros((texts, SKETCH), bool)
+    odd.ravel()[place[n % 2 == 1]] = True
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """``doc_id``, ``size`` (shingles, with repetition) and ``sketch`` of packed texts."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         unpack = zstandard.ZstdDecompressor().decompress
         owner, shingle = shingles([unpack(t) for t in rows["packed"]])
-        first = np.ones(len(owner), bool)
-        first[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
-        at = np.flatnonzero(first)
-        repetition = np.arange(len(owner)) - np.repeat(at, np.diff(np.append(at, len(owner))))
-        element = _mix(shingle + repetition.astype(np.uint64) * _GOLD)
-        sizes = np.bincount(owner, minlength=len(rows["doc_id"])).astype(np.int64)
-        return {
-            "doc_id": np.array(rows["doc_id"])[owner],
-            "size": sizes[owner],
-            "largest": np.array(rows["largest"])[owner],
-            "element": element.view(np.int64),
-        }
+        n = len(rows["doc_id"])
+        sizes = np.bincount(owner, minlength=n).astype(np.int64)
+        return {"doc_id": rows["doc_id"], "size": sizes, "sketch": sketches(owner, shingle, n).tolist()}
 
-    schema = f"doc_id {kind}, size bigint, largest bigint, element bigint"
-    elements = landed(by_batches(texts, run, schema), "elements")
-    counted = elements.groupBy("element").agg(F.count("*").alias("n"), F.max("largest").alias("largest"))
-    few = counted.filter(F.col("n") <= RARE * F.col("largest")).select("element")
-    rare = (
-        elements.join(few, "element")
-        .groupBy("doc_id")
-        .agg(F.max("size").alias("size"), F.collect_list("element").alias("rare"))
-    )
-    return rare.filter(F.size("rare") <= MOST_RARE)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return by_batches(texts, run, f"doc_id {kind}, size bigint, sketch array<bigint>")
 
 
 def _may_link(threshold: float) -> Column:
-    """Whether two texts may reach the threshold, by what is known of their rare shingles.
+    """Whether two texts may reach the threshold, by what is known of the elements that only one of them has.
 
-    They share at most the others of either, and the rare ones that both have.
+    A few words of the sketches tell most pairs apart; more of them written out are too much code for one compiled method.
     """
-    other = F.least(F.col("size") - F.size("rare"), F.col("a_size") - F.size("a_rare"))
+    total, longer = F.col("size") + F.col("a_size"), F.abs(F.col("size") - F.col("a_size"))
+
+    def differing(word: Column, other: Column) -> Column:
+        return F.bit_count(word.bitwiseXOR(other))
 
-    def enough(shared: Column) -> Column:
-        return shared >= threshold * (F.col("size") + F.col("a_size") - shared)
+    def enough(apart: Column) -> Column:
+        return (total - apart) / (total + apart) >= threshold
 
-    surely = other + F.least(F.size("rare"), F.size("a_rare"))
-    exactly = other + F.size(F.array_intersect("rare", "a_rare"))
-    unknown = F.col("rare").isNull() | F.col("a_rare").isNull()
-    return unknown | (enough(surely) & enough(exactly))
+    some = reduce(add, (differing(F.col("sketch")[i], F.col("a_sketch")[i]) for i in range(SKETCH // 256)))
+    each = F.aggregate(F.zip_with("sketch", "a_sketch", differing), F.lit(0), add)
+    unknown = F.col("sketch").isNull() | F.col("a_sketch").isNull()
+    return unknown | (enough(longer) & enough(some) & enough(each))
 
 
-def _with_rare(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of still divided bands, with ``size`` and ``rare`` for the texts of the large ones."""
+def _with_sketches(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of still divided bands, with ``size`` and ``sketch`` for the texts of the large ones."""
     large = placed.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > OUTRIGHT)
-    docs = placed.join(large, "band").groupBy("doc_id").agg(F.max("n").alias("largest"))
-    rare = landed(_rare_shingles(texts.join(docs, "doc_id")), "rare")
-    return landed(placed.join(rare, "doc_id", "left"), "bands")
+    docs = placed.join(large, "band").select("doc_id").distinct()
+    found = landed(_sketched(texts.join(docs, "doc_id")), "sketches")
+    return landed(placed.join(found, "doc_id", "left"), "bands")
 
 
 def _classes(banded: DataFrame, texts: DataFrame, threshold: float, ids: int) -> DataFrame:
@@ -381,7 +380,7 @@ def _classes(banded: DataFrame, texts: DataFrame, threshold: float, ids: int) ->
         if placed.isEmpty():
             return known
         if wave == 0:
-            placed = _with_rare(placed, texts)
+            placed = _with_sketches(placed, texts)
         # texts of a band that have not been its centre, and lie in different components
         open_ = placed.filter("not centre")
         main = open_.groupBy("band").agg(F.max(F.struct("weight", F.col("component").alias("of")))["of"].alias("main"))
@@ -396,14 +395,15 @@ def _classes(banded: DataFrame, texts: DataFrame, threshold: float, ids: int) ->
 def _met(placed: DataFrame, centres: DataFrame, threshold: float) -> DataFrame:
     """Centres (``a``) and the texts of their bands (``b``) that they may be linked with, from other components.
 
-    Near copies share many bands; a centre and a text meet in the least of them only.
+    Near copies share many bands; a centre and a text meet in the least of them only.  Without sketches all may be linked.
     """
     by_text, by_centre = Window.partitionBy("doc_id"), Window.partitionBy("a")  # no more rows each than bands
     placed = placed.withColumn("bands", F.collect_list("band").over(by_text))
     centres = centres.withColumn("a_bands", F.collect_list("band").over(by_centre))
     apart = (placed["band"] == centres["band"]) & (F.col("component") != F.col("of"))
     least = F.array_min(F.array_intersect("bands", "a_bands")) == placed["band"]
-    met = placed.join(centres, apart & least & _may_link(threshold))
+    may = _may_link(threshold) if "sketch" in placed.columns else F.lit(True)
+    met = placed.join(centres, apart & may & least)  # the cheaper test first
     return met.select("a", F.col("doc_id").alias("b"))
 
 
@@ -439,11 +439,11 @@ def _next_centres(open_: DataFrame, wave: int) -> DataFrame:
             F.col("doc_id").alias("a"),
             F.col("component").alias("of"),
             F.col("size").alias("a_size"),
-            F.col("rare").alias("a_rare"),
+            F.col("sketch").alias("a_sketch"),
         )
     )
     found = chosen.groupBy("band", slot.alias("slot")).agg(best.alias("c"))
-    return found.select("band", "c.a", "c.of", "c.a_size", "c.a_rare")
+    return found.select("band", "c.a", "c.of", "c.a_size", "c.a_sketch")
 
 
 def _joined(known: DataFrame | None, found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from compare import assert_same
 
 from stocklens.llm import bagminhash, components, nn_descent, queries
+from stocklens.session import landed
 
 
 def runs(text):
@@ -161,6 +162,34 @@ def test_a_centre_meets_a_text_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_sketches_never_rule_out_a_link():
+    """Sketches differ in no more places than the multisets, and in nearly as many while these are few."""
+    texts = family(8, 60) + family(9, 20, size=30, most=4) + [" ".join(["ha"] * n) for n in (1, 3, 9, 400)]
+    owner, hashed = bagminhash.shingles([t.encode() for t in texts])
+    bits = bagminhash.sketches(owner, hashed, len(texts))
+    assert bits.shape == (len(texts), bagminhash.SKETCH // 64) and bits.dtype == np.int64
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            x, y = runs(a), runs(b)
+            apart = sum(((x - y) + (y - x)).values())
+            seen = sum(int(n & 0xFFFFFFFFFFFFFFFF).bit_count() for n in (bits[i] ^ bits[j]).tolist())
+            assert seen <= apart and (apart > 100 or seen >= 0.8 * apart)
+
+
+def test_texts_surely_too_different_are_not_compared(spark, monkeypatch):
+    """A group whose texts share bands with many others, while few pairs reach the threshold; no step has a row a shingle."""
+    texts = dict(enumerate(family(13, 150, most=14)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    verified, seen = bagminhash._verified, []
+    monkeypatch.setattr(bagminhash, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    steps = []
+    monkeypatch.setattr(bagminhash, "landed", lambda rows, *name: steps.append(landed(rows, *name)) or steps[-1])
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs).collect()}
+    assert got == classes_of(texts)
+    assert sum(seen[1:]) < len(texts)
+    assert max(step.count() for step in steps) <= bagminhash.BANDS * len(texts)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
