@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stocklens.llm.merges import MergeTable
 from stocklens.llm.pretokens import pieces_of, rank_file_symbols
-from stocklens.llm.tasks import by_batches, text_rows
+from stocklens.llm.tasks import by_batches, of_a_stage, text_rows
 
 #: Pieces whose ids one task remembers.
 CACHED_PIECES = 400_000
@@ -98,11 +98,11 @@ def decoded(ids: bytes, vocabulary: Vocabulary) -> bytes:
     return b"".join(parts)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[int, Encoder] = of_a_stage()
 
 
 def _encoder(vocabulary: Broadcast) -> Encoder:
-    """The encoder of this Python process, kept from one batch and task to the next."""
+    """The encoder of this Python process, kept from one batch and task of a stage to the next."""
     key = id(vocabulary.value)
     if key not in _ENCODERS:
         _ENCODERS.clear()

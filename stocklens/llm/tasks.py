@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,33 @@ from stocklens.session import landed, ship_package
 
 #: Rows, and about how many bytes of text, a function sees at once.
 ROWS, BYTES = 2_000, 2 << 20
+#: Bytes of an Arrow batch on its way to Python, of which a task holds some on both sides, unless the session has its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_KEPT: list[dict] = []
+_STAGE: list[int] = []
+
+
+def of_a_stage() -> dict:
+    """A dictionary that a Python process keeps from task to task, and that is empty again in another stage."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def enter_stage() -> None:
+    """Let go of what another stage's tasks have left in this process; it serves all stages one after the other."""
+    now = [TaskContext.get().stageId()]
+    if now != _STAGE:
+        _STAGE[:] = now
+        for held in _KEPT:
+            held.clear()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` in a session that says nothing of their size."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def by_batches(
@@ -23,9 +51,11 @@ def by_batches(
     Batches are cut by rows and by bytes, so one task holds a few texts at a time.
     """
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     kind = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_stage()
         for batch in batches:
             step = max(1, min(ROWS, batch.num_rows * BYTES // max(1, batch.nbytes)))
             for begin in range(0, batch.num_rows, step):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.llm.labelled import sample_of, usable_labels
-from stocklens.llm.tasks import BYTES, ROWS, by_batches, each_text, text_rows
+from stocklens.llm.tasks import BYTES, ROWS, by_batches, each_text, enter_stage, small_batches, text_rows
 from stocklens.session import ship_package
 
 #: Rows of each label, and characters of a text, that the fit may see.
@@ -128,15 +128,18 @@ class LanguageModel:
     letters: dict[str, int]
     log_odds: np.ndarray
 
-    @lru_cache(maxsize=200_000)  # noqa: B019  one model lives as long as its process
-    def after(self, first: str, second: str, third: str) -> float:
+    def __post_init__(self) -> None:
+        self.after = lru_cache(maxsize=200_000)(self._after)  # goes when the model goes
+
+    def __reduce__(self) -> tuple:
+        return LanguageModel, (self.letters, self.log_odds)
+
+    def _after(self, first: str, second: str, third: str) -> float:
         return float(self.log_odds[self._code(first), self._code(second), self._code(third)])
 
     def _code(self, letter: str) -> int:
         return self.letters.get(letter, _OTHER if letter.isalpha() else 0)
 
-    __hash__ = object.__hash__
-
 
 def _letters_of(texts: Sequence[str]) -> Counter:
     """How often each letter (a code point) stands in lower-case texts."""
@@ -190,10 +193,12 @@ def language_model(texts: Sequence[str]) -> LanguageModel:
 def counted_language(docs: DataFrame, text_column: str = "text") -> LanguageModel:
     """Counted over all texts of ``docs``: each partition sums up its own; only a table of fixed size comes back."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
 
     def summed(part: Callable[[Sequence[str]], Iterable[tuple[int, int]]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter_stage()
             total: Counter = Counter()
             for batch in batches:
                 step = max(1, min(ROWS, batch.num_rows * BYTES // max(1, batch.nbytes)))

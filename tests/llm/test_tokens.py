@@ -7,12 +7,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from stocklens.llm import bpe, pretokens, queries, token_counts
+from stocklens.llm import bpe, pretokens, queries, tasks, token_counts
 
 RANKS = public_tokenizers.path(queries.MULTI_VOCABULARY)
 MERGES = public_tokenizers.path(queries.MERGE_VOCABULARY)
@@ -125,3 +126,18 @@ def test_proved_strings_are_one_token(counter):
     rules = token_counts.read_merge_rules(MERGES)
     chosen = sorted(rules.whole)[::499]
     assert all(len(counter.encode(t, add_special_tokens=False).ids) == 1 for t in chosen if len(t.split()) == 1)
+
+
+def test_another_stage_finds_nothing_that_is_kept(spark):
+    """Pieces learned by a process are gone when it serves the next stage, and its batches are bounded by bytes."""
+    docs = spark.range(0, 4_000, 1, 1).selectExpr("id as doc_id", "repeat(cast(id as string), 2000) as text")
+    assert bpe.encode(docs, RANKS).agg({"n_tokens": "sum"}).first()[0] > 0
+    rows = tasks.by_batches(docs.select("doc_id"), lambda rows: {"n": [len(bpe._ENCODERS)] * len(rows["doc_id"])}, "n bigint")
+    assert rows.distinct().collect() == [(0,)]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    seen = [r["n"] for r in docs.mapInArrow(sizes, "n bigint").collect()]
+    assert len(seen) > 5 and max(seen) < 2 * tasks.BATCH_BYTES
