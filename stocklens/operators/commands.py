@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections import ChainMap
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,6 +185,19 @@ def _without_source(judged: DataFrame) -> DataFrame:
     return judged.filter(~asks).unionByName(told)
 
 
+#: Kinds of resources of a split, and how far ids may lie from 0 to be told apart with the kind in one whole number.
+_KINDS = ("place", "lot", "made")
+_ID_ROOM = 1 << 61
+
+
+def _resources(rows: DataFrame, *ids: str) -> Callable[[str, Column], Column]:
+    """How resources are named by kind and id: by whole numbers, or by text where one of the ``ids`` is too large."""
+    large = [(F.col(c) < -_ID_ROOM) | (F.col(c) >= _ID_ROOM) for c in ids]
+    if rows.filter(reduce(Column.__or__, large)).isEmpty():
+        return lambda kind, ident: ident.cast("bigint") * 4 + _KINDS.index(kind)
+    return lambda kind, ident: F.concat(F.lit(f"{kind}/"), ident)
+
+
 def _updated(orders: DataFrame, status: DataFrame, key: str) -> DataFrame:
     """The orders that a command updated, with their new ``status``."""
     return orders.drop("status").join(status, key)
@@ -250,11 +264,18 @@ def split_inventory(
         "expiry_date",
         "inventory_status",
     )
-    target = free_space(tables).select(
+    places = landed(free_space(tables).withColumn("_place", F.monotonically_increasing_id()), "places")
+    target = places.select(
         F.col("warehouse_id").alias("target_warehouse"),
         F.col("location").alias("target_location"),
         F.col("free_space").alias("target_space"),
-        F.lit(True).alias("_target"),
+        F.col("_place").alias("_to"),
+    )
+    # nothing can be put at a place that is not known, so it does not matter what leaves it
+    origin = places.select(
+        F.col("warehouse_id").alias("source_warehouse"),
+        F.col("location").alias("source_location"),
+        F.col("_place").alias("_from"),
     )
     found = requests.join(source, "root_id", "left")
     if chained:
@@ -269,60 +290,63 @@ def split_inventory(
             }
         )
     refusal = f"{NOT_ENOUGH_STOCK} or no space at the target"
+    source_names = ("source_id", *(("source_request",) if chained else ()))
+    about = ("product_id", "source_warehouse", "source_total", "target_warehouse", "target_location", "operator_id")
+    about += ("unit", "production_date", "expiry_date", "inventory_status")
     enriched = (
         found.join(_known(tables["warehouses"], "warehouse_id", "target_warehouse", "_site"), "target_warehouse", "left")
         .join(target, ["target_warehouse", "target_location"], "left")
-        .withColumn(
-            "reason",
+        .join(origin, ["source_warehouse", "source_location"], "left")
+        # what only the reasons look at is neither moved nor landed
+        .select(
+            "request_id",
+            *source_names,
+            "quantity",
+            *about,
+            F.col("source_available").cast("bigint").alias("_room"),
+            "_ample",
+            space_units(F.col("volume") * F.col("quantity")).alias("_space"),
+            F.when(F.col("volume").isNotNull(), F.col("target_space")).alias("_to_room"),
+            "_to",
+            "_from",
             first_reason(
                 (F.col("source_warehouse").isNull(), NO_SOURCE),
                 (F.col("quantity").isNull() | (F.col("quantity") < 0), "quantity missing or negative"),
                 (F.col("target_warehouse") == -1, "dropping a lot is a write-off request"),
                 (F.col("_site").isNull(), "target warehouse not found"),
-                (F.col("target_location").isNotNull() & F.col("_target").isNull(), "target location not found"),
+                (F.col("target_location").isNotNull() & F.col("_to").isNull(), "target location not found"),
                 (F.col("operator_id").isNotNull() & F.col("_person").isNull(), "operator not found"),
                 (~made & (F.col("quantity") > F.col("source_available")), refusal),
-            ),
+            ).alias("reason"),
         )
     )
     ranged = in_ranges(enriched, "request_id")
     valid = ranged.filter(F.col("reason").isNull())
-    space = space_units(F.col("volume") * F.col("quantity"))
-    sized = F.col("volume").isNotNull()
-    from_place = place_of("source_warehouse", "source_location")
-    to_place = place_of("target_warehouse", "target_location")
-    same = F.coalesce(from_place == to_place, F.lit(False))
-    demand = "struct<resource:string,amount:bigint,room:bigint>"
+    same = F.coalesce(F.col("_from") == F.col("_to"), F.lit(False))
     quantity = F.col("quantity").cast("bigint")
     nothing = F.lit(None).cast("bigint")
-
-    def need(resource: Column, amount: Column, room: Column) -> Column:
-        return F.struct(resource.alias("resource"), amount.alias("amount"), room.alias("room")).cast(demand)
-
-    lot = F.concat(F.lit("lot/"), F.col("source_id"))
+    resource = _resources(valid, "request_id", *source_names)
+    lot, room = resource("lot", F.col("source_id")), F.col("_room")
     if chained:
-        by_request = F.concat(F.lit("made/"), F.col("source_request"))
-        lot = F.when(made, by_request).otherwise(lot)
+        lot = F.when(made, resource("made", F.col("source_request"))).otherwise(lot)
         # a lot of the batch is there once its request was accepted, which gives one more than it holds
-        room = F.when(made, -1).otherwise(F.col("source_available"))
-    else:
-        room = F.col("source_available")
+        room = F.when(made, -1).otherwise(room).cast("bigint")
     needs = [
-        F.when(made | ~F.coalesce("_ample", F.lit(False)), need(lot, quantity, room.cast("bigint"))),
+        (made | ~F.coalesce("_ample", F.lit(False)), lot, quantity, room),
         # moving within one place changes nothing there, but the place must not be over-full
-        F.when(
-            F.col("target_location").isNotNull(),
-            need(to_place, F.when(same, 0).otherwise(space), F.when(sized, F.col("target_space"))),
-        ),
-        F.when(F.col("source_location").isNotNull() & ~same, need(from_place, -space, nothing)),
+        (F.col("_to").isNotNull(), resource("place", F.col("_to")), F.when(same, 0).otherwise(F.col("_space")), F.col("_to_room")),
+        (F.col("_from").isNotNull() & ~same, resource("place", F.col("_from")), -F.col("_space"), nothing),
     ]
     if chained:
-        needs.append(need(F.concat(F.lit("made/"), F.col("request_id")), -quantity - 1, nothing))
-    wanted = F.array_compact(F.array(*needs))
-    demands = valid.select("request_id", F.explode(wanted).alias("w"), "_range").select(
+        needs.append((F.lit(True), resource("made", F.col("request_id")), -quantity - 1, nothing))
+    wanted, before = [], F.lit(False)
+    for asks, *need in needs:
+        named = [c.alias(n) for c, n in zip((*need, ~before), ("resource", "amount", "room", "_head"), strict=True)]
+        wanted.append(F.when(asks, F.struct(*named)))
+        before = before | asks
+    demands = valid.select("request_id", F.explode(F.array(*wanted)).alias("w"), "_range").filter("w is not null").select(
         "request_id", "w.*", "_range"
     )
-    source_names = ("source_id", *(("source_request",) if chained else ()))
     judged = _judged(ranged, demands, refusal, (*source_names, "quantity"))
 
     last_lot, last_entry = _last_id(lots, "inventory_id"), _last_id(tables["inventory_adjustments"], "adjustment_id")
@@ -349,8 +373,6 @@ def split_inventory(
             .join(onward, "request_id", "left")
             .withColumn("_left", F.col("quantity") - F.coalesce("_onward", F.lit(0)))
         )
-    about = ("product_id", "source_warehouse", "source_total", "target_warehouse", "target_location", "operator_id")
-    about += ("unit", "production_date", "expiry_date", "inventory_status")
     ids = ids.join(ranged.select("request_id", *about), "request_id")
     old_total = F.col("source_total") - F.col("_moved")
     new_lots = conform(
