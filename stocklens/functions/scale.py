@@ -17,6 +17,8 @@ from stocklens.session import landed
 
 #: About how many rows a range holds; there are as many ranges as the rows need.
 ROWS_PER_RANGE = 200_000
+#: Rows of a key with more than so many ranges of rows are summed range by range; fewer are one sorted group.
+HOT_RANGES = 4
 #: About how many rows of a whole table a task sorts.
 ROWS_PER_SORT = 500_000
 #: Keys are counted by so many slots of their hash, to find those with many rows.
@@ -142,14 +144,14 @@ def running_sums(
 
 
 def _in_hot_slots(ranged: DataFrame, keys: Sequence[str]) -> Column | None:
-    """Which rows may have a key with more than a range of rows; None if there is no such key.
+    """Which rows may have a key with more than ``HOT_RANGES`` ranges of rows; None if there is no such key.
 
     Keys are counted by slots of their hash, so a count moves at most one record per slot and task.  A key with many
     rows always fills its slot; the few others in a full slot are only handled like it.
     """
     slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
-    # at most one slot for each range of rows
-    full = ranged.groupBy(slot.alias("slot")).count().filter(F.col("count") > ROWS_PER_RANGE).collect()
+    # fewer slots than ranges of rows
+    full = ranged.groupBy(slot.alias("slot")).count().filter(F.col("count") > HOT_RANGES * ROWS_PER_RANGE).collect()
     return slot.isin([r["slot"] for r in full]) if full else None
 
 

@@ -23,11 +23,14 @@ from stocklens.operators.admission import admit
 from stocklens.operators.alerts import INBOUND, OUTBOUND, DelayRule, alerts_after
 from stocklens.operators.guards import (
     NO_SPACE,
+    UNIT_SPACE,
     free_space,
     inbound_operator_guard,
     outbound_operator_guard,
     place_of,
+    space_of,
     space_units,
+    unit_space,
 )
 from stocklens.operators.utilization import refresh_utilization, touched_locations
 from stocklens.session import landed
@@ -198,6 +201,13 @@ def _resources(rows: DataFrame, *ids: str) -> Callable[[str, Column], Column]:
     return lambda kind, ident: F.concat(F.lit(f"{kind}/"), ident)
 
 
+def _tight_places(valid: DataFrame, arriving: Column) -> DataFrame:
+    """Places, with a flag, that have not room for all that the batch wants to put there; the others refuse nothing."""
+    asked = valid.filter(F.col("_to").isNotNull()).groupBy("_to")
+    wanted = asked.agg(F.sum(F.greatest(arriving, F.lit(0))).alias("_wanted"), F.min("_to_room").alias("_given"))
+    return landed(wanted.filter("_wanted > _given").select("_to", F.lit(True).alias("_tight")), "tight")
+
+
 def _updated(orders: DataFrame, status: DataFrame, key: str) -> DataFrame:
     """The orders that a command updated, with their new ``status``."""
     return orders.drop("status").join(status, key)
@@ -248,11 +258,13 @@ def split_inventory(
     requests = requests.join(
         _known(tables["employees"], "employee_id", "operator_id", "_person"), "operator_id", "left"
     )
-    sized_lots = lots.join(tables["products"].select("product_id", "volume"), "product_id", "left")
+    volumes = tables["products"].select("product_id", "volume", *unit_space(tables["products"]))
+    sized_lots = lots.join(volumes, "product_id", "left")
     source = sized_lots.join(drawn, "inventory_id", "left").select(
         F.col("inventory_id").alias("root_id"),
         "product_id",
         "volume",
+        *[c for c in volumes.columns if c == UNIT_SPACE],
         F.col("warehouse_id").alias("source_warehouse"),
         F.col("storage_location").alias("source_location"),
         F.col("total_quantity").alias("source_total"),
@@ -305,7 +317,7 @@ def split_inventory(
             *about,
             F.col("source_available").cast("bigint").alias("_room"),
             "_ample",
-            space_units(F.col("volume") * F.col("quantity")).alias("_space"),
+            space_of(volumes.columns, "quantity").alias("_space"),
             F.when(F.col("volume").isNotNull(), F.col("target_space")).alias("_to_room"),
             "_to",
             "_from",
@@ -325,7 +337,10 @@ def split_inventory(
     same = F.coalesce(F.col("_from") == F.col("_to"), F.lit(False))
     quantity = F.col("quantity").cast("bigint")
     nothing = F.lit(None).cast("bigint")
+    arriving = F.when(same, 0).otherwise(F.col("_space")).cast("bigint")
     resource = _resources(valid, "request_id", *source_names)
+    tight = _tight_places(valid, arriving)
+    valid = valid.join(tight.toDF("_to", "_to_tight"), "_to", "left").join(tight.toDF("_from", "_from_tight"), "_from", "left")
     lot, room = resource("lot", F.col("source_id")), F.col("_room")
     if chained:
         lot = F.when(made, resource("made", F.col("source_request"))).otherwise(lot)
@@ -334,11 +349,9 @@ def split_inventory(
     needs = [
         (made | ~F.coalesce("_ample", F.lit(False)), lot, quantity, room),
         # moving within one place changes nothing there, but the place must not be over-full
-        (F.col("_to").isNotNull(), resource("place", F.col("_to")), F.when(same, 0).otherwise(F.col("_space")), F.col("_to_room")),
-        (F.col("_from").isNotNull() & ~same, resource("place", F.col("_from")), -F.col("_space"), nothing),
+        (F.col("_to_tight").isNotNull(), resource("place", F.col("_to")), arriving, F.col("_to_room")),
+        (F.col("_from_tight").isNotNull() & ~same, resource("place", F.col("_from")), -F.col("_space"), nothing),
     ]
-    if chained:
-        needs.append((F.lit(True), resource("made", F.col("request_id")), -quantity - 1, nothing))
     wanted, before = [], F.lit(False)
     for asks, *need in needs:
         named = [c.alias(n) for c, n in zip((*need, ~before), ("resource", "amount", "room", "_head"), strict=True)]
@@ -347,6 +360,14 @@ def split_inventory(
     demands = valid.select("request_id", F.explode(F.array(*wanted)).alias("w"), "_range").filter("w is not null").select(
         "request_id", "w.*", "_range"
     )
+    if chained:
+        # what a request makes matters where another one asks for it
+        asked = valid.filter(made).select(F.col("source_request").alias("request_id"))
+        given = (resource("made", F.col("request_id")), -quantity - 1, nothing, ~before)
+        makers = valid.select(
+            "request_id", *[c.alias(n) for c, n in zip(given, ("resource", "amount", "room", "_head"), strict=True)], "_range"
+        )
+        demands = demands.unionByName(makers.join(asked, "request_id", "left_semi"))
     judged = _judged(ranged, demands, refusal, (*source_names, "quantity"))
 
     last_lot, last_entry = _last_id(lots, "inventory_id"), _last_id(tables["inventory_adjustments"], "adjustment_id")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stocklens.functions.scale import in_ranges
 from stocklens.operators.admission import VOLUME_UNIT, admit
@@ -22,6 +23,24 @@ def space_units(volume: Column) -> Column:
     return F.coalesce((volume * VOLUME_UNIT).cast("bigint"), F.lit(0).cast("bigint"))
 
 
+#: Column of the space that one piece of a product takes, where it is a whole number of units.
+UNIT_SPACE = "_unit_space"
+
+
+def unit_space(products: DataFrame) -> list[Column]:
+    """``UNIT_SPACE``, if volumes have no more decimals than units; else nothing."""
+    kind = products.schema["volume"].dataType
+    whole = isinstance(kind, T.DecimalType) and 10**kind.scale <= VOLUME_UNIT
+    return [(F.col("volume") * VOLUME_UNIT).cast("bigint").alias(UNIT_SPACE)] if whole else []
+
+
+def space_of(columns: Sequence[str], quantity: str) -> Column:
+    """Space of so many pieces, by the products' ``UNIT_SPACE`` if it is among the columns."""
+    if UNIT_SPACE in columns:
+        return F.coalesce(F.col(UNIT_SPACE) * F.col(quantity), F.lit(0).cast("bigint"))
+    return space_units(F.col("volume") * F.col(quantity))
+
+
 def place_of(warehouse: str, location: str) -> Column:
     return F.concat(F.lit("place/"), F.col(warehouse), F.lit("/"), F.col(location))
 

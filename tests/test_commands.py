@@ -143,6 +143,43 @@ def chained_requests(seed, count=140):
     return rows
 
 
+@pytest.mark.parametrize("first", [1, 1 << 61], ids=["whole-numbers", "too-large"])
+def test_splits_ask_only_for_what_can_be_refused(spark, monkeypatch, first):
+    asked = []
+
+    def admit(demands, single=False):
+        asked.extend(demands.collect())
+        return kept(demands, single)
+
+    kept = commands.admit
+    monkeypatch.setattr(commands, "admit", admit)
+    tables = with_utilization(
+        small.tables(
+            spark,
+            warehouses=[warehouse(1)],
+            locations=[place(1, "A", 100), place(1, "B", 100), place(1, "C", 7)],
+            products=[product(1)],
+            employees=[person(1, 1)],
+            inventory=[lot(1, where="A", total=40), lot(2, where="B", total=40)],
+        )
+    )
+    rows = [
+        (first, 1, 20, 1, 1, "B", None),
+        (first + 1, None, 5, 1, 1, "C", first),
+        (first + 2, None, 3, 1, 1, "C", first),  # C is full
+        (first + 3, 2, 10, 1, 1, "A", None),
+        (first + 4, None, 9, 1, 1, "B", first + 9),  # no such request
+    ]
+    outcome = commands.split_inventory(tables, spark.createDataFrame(rows, CHAINED), AS_OF)
+    results = by_id(outcome.results, "request_id")
+    assert [results[first + i]["accepted"] for i in range(5)] == [True, True, False, True, False]
+    # the first makes what two others take and put at C; nothing can be refused at A or B, or of what no one takes
+    per_request = {i: [r for r in asked if r["request_id"] == first + i] for i in range(5)}
+    assert [len(per_request[i]) for i in range(5)] == [1, 2, 2, 0, 0]
+    assert len({r["resource"] for r in asked}) == 2
+    assert all(sum(r["_head"] for r in found) == 1 for found in per_request.values() if found)
+
+
 @pytest.mark.parametrize("seed, at_once, per_range", [(1, 50_000, 200_000), (2, 0, 40)], ids=["at-once", "by-component"])
 def test_splits_of_lots_made_in_the_batch(spark, monkeypatch, seed, at_once, per_range):
     monkeypatch.setattr(admission, "AT_ONCE", at_once)
