@@ -124,10 +124,16 @@ def _take_from_lots(lots: DataFrame, taken: DataFrame, touched_at: Column | None
     return changed.select(*lots.columns)
 
 
-def _with_space(tables: Tables, changed: dict[str, DataFrame], *lots: DataFrame) -> Tables:
-    """``tables`` after ``changed``, with the space use of the places of ``lots`` computed anew."""
+def _with_space(
+    tables: Tables, changed: dict[str, DataFrame], *lots: DataFrame, held: DataFrame | None = None
+) -> Tables:
+    """``tables`` after ``changed``, with the space use of the places of ``lots`` computed anew.
+
+    ``held`` gives the lots with no more than space use needs, where all their columns take more work.
+    """
     after = ChainMap(changed, tables)
-    return ChainMap({"locations": refresh_utilization(after, touched_locations(*lots))}, after)
+    counted = after if held is None else ChainMap({"inventory": held}, after)
+    return ChainMap({"locations": refresh_utilization(counted, touched_locations(*lots))}, after)
 
 
 def _traced(asked: DataFrame) -> DataFrame:
@@ -372,33 +378,38 @@ def split_inventory(
 
     last_lot, last_entry = _last_id(lots, "inventory_id"), _last_id(tables["inventory_adjustments"], "adjustment_id")
     placed = landed(position_in_ranges(judged.filter("accepted"), "request_id"), "placed")
-    moved = {"_moved": F.col("quantity")}
-    ids = running_sums(placed.withColumn("_lot", lot), ["_lot"], "request_id", moved).withColumns(
-        {
-            "new_id": last_lot + F.col("position"),
-            "log_id": last_entry + F.col("position") * 2 - 1,
-            "_left": F.col("quantity"),
-        }
-    )
     new_ids = placed.select("request_id", (last_lot + F.col("position")).alias("new_id"))
+    given = ranged.select("request_id", *about)
+    # the log tells what earlier requests left in the source, new lots what later ones leave in them
+    logged = running_sums(placed.withColumn("_lot", lot), ["_lot"], "request_id", {"_moved": F.col("quantity")})
+    made_lots = placed.withColumn("_left", F.col("quantity"))
     if chained:
-        # sources of the batch by their new ids, and what is left of them after later requests
-        made_ids = new_ids.select(F.col("request_id").alias("source_request"), F.col("new_id").alias("_made_id"))
         onward = (
             placed.filter(made)
             .groupBy(F.col("source_request").alias("request_id"))
             .agg(F.sum("quantity").alias("_onward"))
         )
-        ids = (
-            _from_made(ids, made_ids)
-            .join(onward, "request_id", "left")
-            .withColumn("_left", F.col("quantity") - F.coalesce("_onward", F.lit(0)))
+        made_lots = placed.join(onward, "request_id", "left").withColumn(
+            "_left", F.col("quantity") - F.coalesce("_onward", F.lit(0))
         )
-    ids = ids.join(ranged.select("request_id", *about), "request_id")
+    made_lots = made_lots.join(given, "request_id")
+    put = made_lots.select(
+        "product_id",
+        F.col("target_warehouse").alias("warehouse_id"),
+        F.col("target_location").alias("storage_location"),
+        F.col("_left").cast("int").alias("total_quantity"),
+    )
+    if chained:
+        # sources of the batch by their new ids
+        made_ids = new_ids.select(F.col("request_id").alias("source_request"), F.col("new_id").alias("_made_id"))
+        logged, made_lots = _from_made(logged, made_ids), _from_made(made_lots, made_ids)
+    ids = logged.join(given, "request_id").withColumns(
+        {"new_id": last_lot + F.col("position"), "log_id": last_entry + F.col("position") * 2 - 1}
+    )
     old_total = F.col("source_total") - F.col("_moved")
     new_lots = conform(
-        ids.select(
-            F.col("new_id").alias("inventory_id"),
+        made_lots.select(
+            (last_lot + F.col("position")).alias("inventory_id"),
             "product_id",
             F.col("target_warehouse").alias("warehouse_id"),
             F.col("target_location").alias("storage_location"),
@@ -468,8 +479,9 @@ def split_inventory(
         "inventory": remaining.unionByName(new_lots),
         "inventory_adjustments": append(tables, "inventory_adjustments", new_log),
     }
+    held = remaining.select(*put.columns).unionByName(put)
     return Outcome(
-        _with_space(tables, changed, new_lots, lots.join(taken, "inventory_id", "left_semi")),
+        _with_space(tables, changed, put, lots.join(taken, "inventory_id", "left_semi"), held=held),
         results,
         {"inventory": new_lots, "inventory_adjustments": new_log},
     )

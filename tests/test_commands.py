@@ -180,6 +180,17 @@ def test_splits_ask_only_for_what_can_be_refused(spark, monkeypatch, first):
     assert all(sum(r["_head"] for r in found) == 1 for found in per_request.values() if found)
 
 
+def test_space_after_splits_needs_no_running_sums(spark):
+    tables, requests = with_utilization(site(spark)), chained_requests(1)
+    outcome = commands.split_inventory(tables, spark.createDataFrame(requests, CHAINED), AS_OF)
+    plan = outcome.tables["locations"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "REPARTITION_BY_COL" not in plan
+    used = location_utilization(outcome.tables)
+    keys = ["warehouse_id", "location"]
+    stored = {tuple(r) for r in outcome.tables["locations"].select(*keys, F.col("utilization").cast("decimal(22,4)")).collect()}
+    assert stored == {tuple(r) for r in used.select(*keys, "utilization").collect()}
+
+
 @pytest.mark.parametrize("seed, at_once, per_range", [(1, 50_000, 200_000), (2, 0, 40)], ids=["at-once", "by-component"])
 def test_splits_of_lots_made_in_the_batch(spark, monkeypatch, seed, at_once, per_range):
     monkeypatch.setattr(admission, "AT_ONCE", at_once)
